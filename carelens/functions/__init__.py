@@ -1,8 +1,8 @@
 """Column-level helpers: every function maps Columns to a Column (JVM-side, codegen'd)."""
 
 from carelens.functions.measures import as_count, as_money, average, exact_quotient, half_up_div, ratio
-from carelens.functions.numbers import numeric_text, parse_number, to_stored
-from carelens.functions.text import canonicalize, lookup, normalize_text, null_tokens_to_null, strip
+from carelens.functions.numbers import numeric_text, parse_number, parse_numeric_text, to_stored
+from carelens.functions.text import canonical_text, canonicalize, lookup, normalize_text, null_tokens_to_null, strip
 
 __all__ = [
     "as_count", "as_money", "average", "exact_quotient", "half_up_div", "ratio",

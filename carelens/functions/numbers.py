@@ -21,12 +21,16 @@ def numeric_text(c: Column) -> Column:
     return F.translate(normalize_text(c), ",$", "")
 
 
-def parse_number(c: Column) -> Column:
-    """Exact decimal(38,6) value of the text, NULL when it is not a number."""
-    text = numeric_text(c)
+def parse_numeric_text(text: Column) -> Column:
+    """Exact decimal(38,6) value of already-normalised, mark-free text; NULL when it is not a number."""
     return F.when(text.rlike(_NUMBER), text.try_cast(PARSE_TYPE))
 
 
+def parse_number(c: Column) -> Column:
+    """Exact decimal(38,6) value of raw text, NULL when it is not a number."""
+    return parse_numeric_text(numeric_text(c))
+
+
 def to_stored(value: Column, target: T.DataType) -> Column:
     """Cast a parsed decimal to its stored type; integers round half away from zero."""
     if isinstance(target, (T.IntegerType, T.LongType, T.ShortType)):

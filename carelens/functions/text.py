@@ -34,7 +34,11 @@ def lookup(c: Column, mapping: Mapping, value_type: str | None = None) -> Column
     return out.cast(value_type) if value_type else out
 
 
-def canonicalize(c: Column, aliases: Mapping[str, str]) -> Column:
-    """Case-insensitive alias lookup on the normalised text; unknown values stay as they are."""
-    text = normalize_text(c)
+def canonical_text(text: Column, aliases: Mapping[str, str]) -> Column:
+    """Case-insensitive alias lookup on already-normalised text; unknown values stay as they are."""
     return F.coalesce(lookup(F.upper(text), aliases), text)
+
+
+def canonicalize(c: Column, aliases: Mapping[str, str]) -> Column:
+    """Normalise raw text, then apply the alias map."""
+    return canonical_text(normalize_text(c), aliases)

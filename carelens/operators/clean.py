@@ -17,8 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from carelens.functions.numbers import parse_number, to_stored
-from carelens.functions.text import canonicalize, lookup, normalize_text
+from carelens.functions.numbers import parse_numeric_text, to_stored
+from carelens.functions.text import canonical_text, lookup, normalize_text
 from carelens.schema import (
     ADMISSION_ALIASES, AGE_GROUP_SORT, CODE_DESCRIPTION_PAIRS, DEC_MONEY, EMERGENCY_ALIASES, FACT_COLUMNS,
     GENDER_ALIASES, HASH_NULL, HASH_SEPARATOR, MEDICAL_SURGICAL_ALIASES, MIN_DISCHARGE_YEAR, NUMERIC_TYPES,
@@ -70,58 +70,65 @@ def stage(raw: DataFrame, current_year: int | Column | None = None) -> DataFrame
     has the 41 fact columns (``source_row_hash`` included) plus ``_invalid``
     (count of invalid numeric values), ``_mismatch`` (count of one-sided
     code/description pairs) and ``_redacted``.
+
+    The rules run as a few stacked projections — text, parsed numbers,
+    violations, stored values, tallies — so each intermediate is computed
+    once and the plan stays linear in the number of columns; Catalyst fuses
+    them into one code-generated stage.
     """
     if current_year is None:
         current_year = F.year(F.current_date())
     rules = range_rules(current_year)
-    r = F.col
-    text = {c: normalize_text(r(c)) for c in RAW_COLUMNS}
-    out: dict[str, Column] = dict(text)
-    invalid_terms: list[Column] = []
-    for name, target in NUMERIC_TYPES.items():
-        parsed = parse_number(r(name))
-        violation = F.coalesce(rules[name](parsed), F.lit(False))
-        stored = F.when(~violation, to_stored(parsed, target))
-        parse_failed = text[name].isNotNull() & stored.isNull() & ~violation
-        invalid_terms.append(parse_failed.cast("int") + violation.cast("int"))
-        out[name] = stored
-
-    out["gender"] = canonicalize(r("gender"), GENDER_ALIASES)
-    out["type_of_admission"] = canonicalize(r("type_of_admission"), ADMISSION_ALIASES)
-    out["apr_medical_surgical_description"] = canonicalize(r("apr_medical_surgical_description"),
-                                                           MEDICAL_SURGICAL_ALIASES)
-    ed = canonicalize(r("emergency_department_indicator"), EMERGENCY_ALIASES)
-    out["emergency_department_indicator"] = F.when(ed.isin("Y", "N"), ed)
-
-    zip_text = F.upper(text["zip_code_3"])
-    out["zip_code_3"] = zip_text
-    out["birth_weight"] = F.when(out["type_of_admission"] == "Newborn", out["birth_weight"])
-
-    redacted = F.coalesce(F.upper(text["facility_name"]) == REDACTED_FACILITY, F.lit(False))
-    derived = {
-        "age_group_sort": lookup(text["age_group"], AGE_GROUP_SORT, "int"),
-        "zip_region_type": (
-            F.when(zip_text == ZIP_OUT_OF_STATE_TOKEN, ZIP_OUT_OF_STATE)
-            .when(zip_text.rlike(r"(?U)^\d{3}$"), ZIP_LOCAL)
-            .when(zip_text.isNotNull(), ZIP_UNKNOWN)
-        ),
-        "is_facility_redacted": redacted.cast("int"),
-        "disposition_group": F.lit(None).cast("string"),
+    c = F.col
+    prov = [x for x in PROVENANCE if x in raw.columns]
+    numeric = list(NUMERIC_TYPES)
+
+    tx = raw.select(*prov, *[normalize_text(c(x)).alias(x) for x in RAW_COLUMNS])
+    nx = tx.select("*", *[F.translate(c(x), ",$", "").alias(f"_n_{x}") for x in numeric])
+    px = nx.select("*", *[parse_numeric_text(c(f"_n_{x}")).alias(f"_p_{x}") for x in numeric])
+    vx = px.select("*", *[F.coalesce(rules[x](c(f"_p_{x}")), F.lit(False)).alias(f"_v_{x}") for x in numeric])
+
+    canonical = {
+        "gender": canonical_text(c("gender"), GENDER_ALIASES),
+        "type_of_admission": canonical_text(c("type_of_admission"), ADMISSION_ALIASES),
+        "apr_medical_surgical_description": canonical_text(c("apr_medical_surgical_description"),
+                                                           MEDICAL_SURGICAL_ALIASES),
+        "emergency_department_indicator": canonical_text(c("emergency_department_indicator"), EMERGENCY_ALIASES),
+        "zip_code_3": F.upper(c("zip_code_3")),
     }
-    cleaned = raw.select(
-        *[r(c) for c in raw.columns if c in PROVENANCE],
-        *[out[c].alias(c) for c in RAW_COLUMNS],
-        *[v.alias(k) for k, v in derived.items()],
-        sum(invalid_terms[1:], invalid_terms[0]).alias("_invalid"),
-        redacted.alias("_redacted"),
+    sx = vx.select(
+        *prov,
+        *[canonical[x].alias(x) if x in canonical else
+          (F.when(~c(f"_v_{x}"), to_stored(c(f"_p_{x}"), NUMERIC_TYPES[x])).alias(x) if x in NUMERIC_TYPES else c(x))
+          for x in RAW_COLUMNS],
+        *[c(x).isNotNull().alias(f"_t_{x}") for x in numeric],
+        *[c(f"_v_{x}") for x in numeric],
+        F.coalesce(F.upper(c("facility_name")) == REDACTED_FACILITY, F.lit(False)).alias("_redacted"),
+    )
+    invalid = [(c(f"_t_{x}") & c(x).isNull() & ~c(f"_v_{x}")).cast("int") + c(f"_v_{x}").cast("int")
+               for x in numeric]
+    ed = c("emergency_department_indicator")
+    zip_text = c("zip_code_3")
+    fixed = sx.select(
+        *prov,
+        *[x for x in RAW_COLUMNS if x not in ("emergency_department_indicator", "birth_weight")],
+        F.when(ed.isin("Y", "N"), ed).alias("emergency_department_indicator"),
+        F.when(c("type_of_admission") == "Newborn", c("birth_weight")).alias("birth_weight"),
+        lookup(c("age_group"), AGE_GROUP_SORT, "int").alias("age_group_sort"),
+        F.when(zip_text == ZIP_OUT_OF_STATE_TOKEN, ZIP_OUT_OF_STATE)
+        .when(zip_text.rlike(r"(?U)^\d{3}$"), ZIP_LOCAL)
+        .when(zip_text.isNotNull(), ZIP_UNKNOWN).alias("zip_region_type"),
+        c("_redacted").cast("int").alias("is_facility_redacted"),
+        F.lit(None).cast("string").alias("disposition_group"),
+        sum(invalid[1:], invalid[0]).alias("_invalid"),
+        "_redacted",
     )
-    mismatch = sum(((F.col(a).isNull() != F.col(b).isNull()).cast("int") for a, b in CODE_DESCRIPTION_PAIRS),
-                   F.lit(0))
-    return cleaned.select(
+    mismatch = sum(((c(a).isNull() != c(b).isNull()).cast("int") for a, b in CODE_DESCRIPTION_PAIRS), F.lit(0))
+    return fixed.select(
         "*",
         mismatch.alias("_mismatch"),
-        record_hash([F.col(c) for c in RAW_COLUMNS]).alias("source_row_hash"),
-        charge_cost_gap(F.col("total_charges"), F.col("total_costs")).alias("charge_cost_gap"),
+        record_hash([c(x) for x in RAW_COLUMNS]).alias("source_row_hash"),
+        charge_cost_gap(c("total_charges"), c("total_costs")).alias("charge_cost_gap"),
     )
 
 

@@ -343,3 +343,205 @@ def breadcrumb_sql(scope=None, mdc: str | None = None, drg: str | None = None) -
     return (f"WITH {FACT_CTE}, summ_all AS ({SUMMARY_SQL['disease_drilldown_summary']}), "
             f"summ AS (SELECT * FROM summ_all {where(scope)}) "
             f"SELECT CAST(position AS INTEGER) AS position, level, code, description FROM ({body}) AS b")
+
+
+# ---------------------------------------------------------------------------
+# raw discharges and the cleaning rules
+# ---------------------------------------------------------------------------
+
+RAW_VIEW = """
+WITH star AS (
+  SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey),
+copies AS (
+  SELECT *, 1 AS copy_no FROM star UNION ALL SELECT *, 2 AS copy_no FROM star WHERE l_orderkey % 97 = 0)
+SELECT
+  'synthetic.csv' AS source_file_name,
+  1 + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+      l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate, copy_no) AS source_row_number,
+  CASE WHEN l_orderkey % 11 = 0 THEN concat('  ', r_name, ' ') ELSE r_name END AS hospital_service_area,
+  n_name AS hospital_county,
+  CASE WHEN l_orderkey % 113 = 0 THEN 'Redacted for Confidentiality' WHEN l_orderkey % 211 = 0 THEN '  ' ELSE s_name END AS facility_name,
+  CASE WHEN l_orderkey % 101 = 0 THEN 'Unlisted' WHEN o_orderpriority LIKE '1%' THEN '0 to 17' WHEN o_orderpriority LIKE '2%' THEN '18 to 29'
+       WHEN o_orderpriority LIKE '3%' THEN '30 to 49' WHEN o_orderpriority LIKE '4%' THEN '50 to 69' ELSE '70 or Older' END AS age_group,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'oos' WHEN s_suppkey % 5 = 1 THEN '12a' WHEN s_suppkey % 5 = 2 THEN NULL
+       ELSE lpad(cast(s_suppkey % 1000 AS string), 3, '0') END AS zip_code_3,
+  CASE l_returnflag WHEN 'A' THEN CASE WHEN l_linenumber < 4 THEN 'male' ELSE 'M' END
+       WHEN 'R' THEN CASE WHEN l_linenumber < 4 THEN ' Female' ELSE 'f' END ELSE 'U' END AS gender,
+  CASE WHEN l_orderkey % 89 = 0 THEN '120 +' WHEN l_orderkey % 83 = 0 THEN '-1' ELSE cast(cast(l_quantity AS int) AS string) END AS length_of_stay,
+  CASE WHEN o_orderstatus = 'O' THEN 'EMERGENCY' WHEN o_orderstatus = 'F' THEN 'elective' WHEN l_linenumber = 1 THEN 'Newborn'
+       WHEN l_linenumber = 6 THEN NULL ELSE 'Trauma' END AS type_of_admission,
+  CASE WHEN l_orderkey % 71 = 0 THEN '1999' ELSE cast(year(l_shipdate) + 10 AS string) END AS discharge_year,
+  CASE WHEN l_orderkey % 127 = 0 THEN NULL ELSE p_brand END AS ccsr_diagnosis_code,
+  CASE WHEN l_orderkey % 131 = 0 THEN NULL ELSE concat('Diagnosis ', p_brand) END AS ccsr_diagnosis_description,
+  cast(l_linenumber AS string) AS apr_severity_code,
+  CASE WHEN l_linenumber = 1 THEN 'Minor' ELSE cast(l_linenumber AS string) END AS apr_risk_of_mortality,
+  CASE WHEN l_partkey % 7 = 0 THEN '' WHEN l_partkey % 3 = 0 THEN 'surgical' ELSE 'MEDICAL' END AS apr_medical_surgical_description,
+  CASE WHEN l_linenumber = 7 THEN 'maybe' WHEN l_linestatus = 'O' THEN 'yes' ELSE '0' END AS emergency_department_indicator,
+  CASE WHEN l_linenumber = 2 THEN '0' ELSE '3,100' END AS birth_weight,
+  CASE WHEN l_orderkey % 67 = 0 THEN '-5' ELSE concat('$', cast(cast(l_extendedprice AS decimal(16,2)) AS string)) END AS total_charges,
+  cast(cast(cast(l_extendedprice AS decimal(16,2)) * (1 - cast(l_discount AS decimal(4,2))) AS decimal(16,2)) AS string) AS total_costs
+FROM copies
+"""
+
+RAW_COLS = [
+    "hospital_service_area", "hospital_county", "operating_certificate_number", "permanent_facility_id",
+    "facility_name", "age_group", "zip_code_3", "gender", "race", "ethnicity", "length_of_stay",
+    "type_of_admission", "patient_disposition", "discharge_year", "ccsr_diagnosis_code",
+    "ccsr_diagnosis_description", "ccsr_procedure_code", "ccsr_procedure_description", "apr_drg_code",
+    "apr_drg_description", "apr_mdc_code", "apr_mdc_description", "apr_severity_code",
+    "apr_severity_description", "apr_risk_of_mortality", "apr_medical_surgical_description",
+    "payment_typology_1", "payment_typology_2", "payment_typology_3", "birth_weight",
+    "emergency_department_indicator", "total_charges", "total_costs",
+]
+_PRESENT = {
+    "hospital_service_area", "hospital_county", "facility_name", "age_group", "zip_code_3", "gender",
+    "length_of_stay", "type_of_admission", "discharge_year", "ccsr_diagnosis_code", "ccsr_diagnosis_description",
+    "apr_severity_code", "apr_risk_of_mortality", "apr_medical_surgical_description",
+    "emergency_department_indicator", "birth_weight", "total_charges", "total_costs",
+}
+_NUMERIC = {
+    "length_of_stay": ("DECIMAL(10,2)", "{v} < 0"),
+    "discharge_year": ("INTEGER", "({v} < 2000 OR {v} > {year})"),
+    "apr_severity_code": ("INTEGER", "{v} NOT IN (1, 2, 3, 4)"),
+    "apr_risk_of_mortality": ("INTEGER", "{v} NOT IN (1, 2, 3, 4)"),
+    "birth_weight": ("DECIMAL(10,2)", "{v} <= 0"),
+    "total_charges": ("DECIMAL(16,2)", "{v} < 0"),
+    "total_costs": ("DECIMAL(16,2)", "{v} < 0"),
+}
+_NUM_RE = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def _canon(col: str, pairs: list[tuple[str, str]]) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs)
+    return f"coalesce(CASE upper(t_{col}) {whens} END, t_{col})"
+
+
+def staged_sql(year: int) -> str:
+    """CTE chain ``raw -> tx (text) -> px (parsed) -> cl (cleaned) -> staged``."""
+    tx = ", ".join(
+        [f"nullif(trim({c}), '') AS t_{c}" if c in _PRESENT else f"CAST(NULL AS VARCHAR) AS t_{c}"
+         for c in RAW_COLS])
+    px = []
+    for c in _NUMERIC:
+        t = f"replace(replace(t_{c}, ',', ''), '$', '')"
+        px.append(f"CASE WHEN regexp_full_match({t}, '{_NUM_RE}') THEN TRY_CAST({t} AS DECIMAL(38,6)) END AS p_{c}")
+    cl, invalid = [], []
+    for c in RAW_COLS:
+        if c in _NUMERIC:
+            typ, rule = _NUMERIC[c]
+            viol = f"coalesce({rule.format(v=f'p_{c}', year=year)}, false)"
+            val = f"round(p_{c}, 0)" if typ == "INTEGER" else f"p_{c}"
+            stored = f"CASE WHEN NOT {viol} THEN TRY_CAST({val} AS {typ}) END"
+            cl.append(f"{stored} AS {c}")
+            invalid.append(f"CAST({viol} AS INTEGER)")
+            invalid.append(f"CAST(t_{c} IS NOT NULL AND NOT {viol} AND ({stored}) IS NULL AS INTEGER)")
+        elif c == "gender":
+            cl.append(f"{_canon(c, [('M', 'M'), ('MALE', 'M'), ('F', 'F'), ('FEMALE', 'F')])} AS {c}")
+        elif c == "type_of_admission":
+            cl.append(f"{_canon(c, [('EMERGENCY', 'Emergency'), ('URGENT', 'Urgent'), ('ELECTIVE', 'Elective'), ('NEWBORN', 'Newborn')])} AS {c}")
+        elif c == "apr_medical_surgical_description":
+            cl.append(f"{_canon(c, [('MEDICAL', 'Medical'), ('SURGICAL', 'Surgical')])} AS {c}")
+        elif c == "emergency_department_indicator":
+            ed = _canon(c, [("Y", "Y"), ("YES", "Y"), ("TRUE", "Y"), ("1", "Y"), ("N", "N"), ("NO", "N"),
+                            ("FALSE", "N"), ("0", "N")])
+            cl.append(f"CASE WHEN {ed} IN ('Y', 'N') THEN {ed} END AS {c}")
+        elif c == "zip_code_3":
+            cl.append(f"upper(t_{c}) AS {c}")
+        else:
+            cl.append(f"t_{c} AS {c}")
+    derived = (
+        "CASE t_age_group WHEN '0 to 17' THEN 1 WHEN '18 to 29' THEN 2 WHEN '30 to 49' THEN 3 "
+        "WHEN '50 to 69' THEN 4 WHEN '70 or Older' THEN 5 END AS age_group_sort, "
+        "CASE WHEN upper(t_zip_code_3) = 'OOS' THEN 'OUT_OF_STATE' "
+        "WHEN regexp_full_match(upper(t_zip_code_3), '[0-9]{3}') THEN 'LOCAL' "
+        "WHEN t_zip_code_3 IS NOT NULL THEN 'UNKNOWN' END AS zip_region_type, "
+        "coalesce(upper(t_facility_name) = 'REDACTED FOR CONFIDENTIALITY', false) AS _redacted, "
+        "CAST(NULL AS VARCHAR) AS disposition_group"
+    )
+    esc = lambda c: (f"coalesce(replace(replace(replace(CAST({c} AS VARCHAR), '\\', '\\\\'), '|', '\\|'), '<', '\\<'), "
+                     "'<NULL>')")
+    pairs = [("ccsr_diagnosis_code", "ccsr_diagnosis_description"), ("ccsr_procedure_code", "ccsr_procedure_description"),
+             ("apr_drg_code", "apr_drg_description"), ("apr_mdc_code", "apr_mdc_description")]
+    mismatch = " + ".join(f"CAST(({a} IS NULL) <> ({b} IS NULL) AS INTEGER)" for a, b in pairs)
+    hashed = f"sha256(concat_ws('|', {', '.join(esc(c) for c in RAW_COLS)}))"
+    cl_cols = ", ".join(c for c in RAW_COLS if c != "birth_weight")
+    return f"""
+raw AS ({RAW_VIEW}),
+tx AS (SELECT source_file_name, source_row_number, {tx} FROM raw),
+px AS (SELECT *, {', '.join(px)} FROM tx),
+cl0 AS (SELECT source_file_name, source_row_number, {', '.join(cl)}, {derived},
+               {' + '.join(invalid)} AS _invalid FROM px),
+cl AS (SELECT source_file_name, source_row_number, {cl_cols},
+              CASE WHEN type_of_admission = 'Newborn' THEN birth_weight END AS birth_weight,
+              age_group_sort, zip_region_type, CAST(_redacted AS INTEGER) AS is_facility_redacted, disposition_group,
+              _invalid, _redacted FROM cl0),
+staged AS (SELECT *, {mismatch} AS _mismatch, {hashed} AS source_row_hash,
+                  CAST(total_charges - total_costs AS DECIMAL(16,2)) AS charge_cost_gap FROM cl)"""
+
+
+def _first_rows() -> str:
+    return """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_row_hash ORDER BY source_file_name, source_row_number) AS _rn,
+                  count(*) OVER (PARTITION BY source_row_hash) AS _copies,
+                  sum(_invalid) OVER (PARTITION BY source_row_hash) AS _inv_sum,
+                  sum(_mismatch) OVER (PARTITION BY source_row_hash) AS _mis_sum FROM staged),
+firsts AS (SELECT *, (facility_name IS NULL OR discharge_year IS NULL OR ccsr_diagnosis_code IS NULL
+                      OR length_of_stay IS NULL) AS _core_missing FROM ranked WHERE _rn = 1)"""
+
+
+FACT_OUT = [
+    "source_row_hash", "source_file_name", "source_row_number", "hospital_service_area", "hospital_county",
+    "operating_certificate_number", "permanent_facility_id", "facility_name", "is_facility_redacted", "age_group",
+    "age_group_sort", "zip_code_3", "zip_region_type", "gender", "race", "ethnicity", "length_of_stay",
+    "type_of_admission", "emergency_department_indicator", "patient_disposition", "disposition_group",
+    "discharge_year", "ccsr_diagnosis_code", "ccsr_diagnosis_description", "ccsr_procedure_code",
+    "ccsr_procedure_description", "apr_drg_code", "apr_drg_description", "apr_mdc_code", "apr_mdc_description",
+    "apr_severity_code", "apr_severity_description", "apr_risk_of_mortality", "apr_medical_surgical_description",
+    "payment_typology_1", "payment_typology_2", "payment_typology_3", "birth_weight", "total_charges",
+    "total_costs", "charge_cost_gap",
+]
+
+
+def _fact_cols() -> str:
+    dec = {"length_of_stay", "birth_weight", "total_charges", "total_costs", "charge_cost_gap"}
+    return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in dec else
+                     ("CAST(source_row_number AS BIGINT) AS source_row_number" if c == "source_row_number" else c)
+                     for c in FACT_OUT)
+
+
+def clean_select_sql(year: int, columns: list[str]) -> str:
+    """Per raw row: ``source_row_number`` plus chosen staged columns."""
+    dec = {"length_of_stay", "birth_weight", "total_charges", "total_costs", "charge_cost_gap"}
+    cols = ["CAST(source_row_number AS BIGINT) AS source_row_number"] + [
+        f"CAST({c} AS DOUBLE) AS {c}" if c in dec else
+        ("CAST(_invalid AS BIGINT) AS invalid_numeric_values" if c == "_invalid" else
+         ("CAST(_mismatch AS BIGINT) AS code_description_mismatches" if c == "_mismatch" else
+          ("_redacted AS is_redacted" if c == "_redacted" else c)))
+        for c in columns]
+    return f"WITH {staged_sql(year)} SELECT {', '.join(cols)} FROM staged"
+
+
+def dedup_sql(year: int) -> str:
+    return (f"WITH {staged_sql(year)}, {_first_rows()} SELECT source_row_hash, source_file_name, "
+            "CAST(source_row_number AS BIGINT) AS source_row_number, CAST(_copies AS BIGINT) AS copies, "
+            "_redacted AS is_redacted, _core_missing AS core_missing FROM firsts")
+
+
+def clean_fact_sql(year: int) -> str:
+    return (f"WITH {staged_sql(year)}, {_first_rows()} SELECT {_fact_cols()} FROM firsts "
+            "WHERE NOT _redacted AND NOT _core_missing")
+
+
+def quality_sql(year: int, rerun: bool = False) -> str:
+    inserted = "0" if rerun else "sum(CASE WHEN NOT _redacted AND NOT _core_missing THEN 1 ELSE 0 END)"
+    return f"""WITH {staged_sql(year)}, {_first_rows()}
+SELECT CAST(sum(_copies) AS BIGINT) AS input_rows,
+       CAST(sum(CASE WHEN NOT _redacted AND NOT _core_missing THEN 1 ELSE 0 END) AS BIGINT) AS clean_rows,
+       CAST({inserted} AS BIGINT) AS inserted_rows,
+       CAST(sum(CASE WHEN NOT _redacted THEN _copies - 1 ELSE 0 END) AS BIGINT) AS exact_duplicate_rows,
+       CAST(sum(CASE WHEN NOT _redacted AND _core_missing THEN 1 ELSE 0 END) AS BIGINT) AS discarded_core_missing_rows,
+       CAST(sum(CASE WHEN _redacted THEN _copies ELSE 0 END) AS BIGINT) AS discarded_redacted_facility_rows,
+       CAST(sum(_inv_sum) AS BIGINT) AS invalid_numeric_values,
+       CAST(sum(CASE WHEN NOT _redacted THEN _mis_sum ELSE 0 END) AS BIGINT) AS code_description_mismatches
+FROM firsts"""

@@ -15,6 +15,9 @@ DEFAULTS: dict[str, str] = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The cleaning projection has ~40 aliased columns; inferring constraints
+    # through it grows combinatorially when such a plan is joined.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
