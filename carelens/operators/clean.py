@@ -80,7 +80,8 @@ def stage(raw: DataFrame, current_year: int | Column | None = None) -> DataFrame
         current_year = F.year(F.current_date())
     rules = range_rules(current_year)
     c = F.col
-    prov = [x for x in PROVENANCE if x in raw.columns]
+    # provenance and any position tags pass through untouched
+    prov = [x for x in raw.columns if x not in RAW_COLUMNS]
     numeric = list(NUMERIC_TYPES)
 
     tx = raw.select(*prov, *[normalize_text(c(x)).alias(x) for x in RAW_COLUMNS])
