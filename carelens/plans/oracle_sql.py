@@ -545,3 +545,162 @@ SELECT CAST(sum(_copies) AS BIGINT) AS input_rows,
        CAST(sum(_inv_sum) AS BIGINT) AS invalid_numeric_values,
        CAST(sum(CASE WHEN NOT _redacted THEN _mis_sum ELSE 0 END) AS BIGINT) AS code_description_mismatches
 FROM firsts"""
+
+
+# ---------------------------------------------------------------------------
+# charts
+# ---------------------------------------------------------------------------
+
+_BUCKETS = ["Medicare", "Medicaid", "Blue Cross/Blue Shield", "Private Health Insurance"]
+
+
+def payment_buckets_sql(scope=None) -> str:
+    names = ", ".join(f"'{b.lower()}'" for b in _BUCKETS)
+    sums = [f"coalesce(sum(CASE WHEN k = '{b.lower()}' THEN discharge_count END), 0) AS b{i}"
+            for i, b in enumerate(_BUCKETS)]
+    sums.append(f"coalesce(sum(CASE WHEN k IS NULL OR k NOT IN ({names}) THEN discharge_count END), 0) AS b4")
+    rows = " UNION ALL ".join(
+        f"SELECT CAST({i + 1} AS INTEGER) AS position, '{b}' AS payment_bucket, CAST(b{i} AS BIGINT) AS discharge_count "
+        f"FROM b" for i, b in enumerate(_BUCKETS + ["Other"]))
+    return _with_cte("patient_payment_summary",
+                     f"k AS (SELECT lower(trim(payment_typology_1)) AS k, discharge_count FROM summ), "
+                     f"b AS (SELECT {', '.join(sums)} FROM k)", rows, scope)
+
+
+def age_gender_pivot_sql(scope=None) -> str:
+    return _with_cte("patient_age_gender_summary", "x AS (SELECT 1)",
+                     "SELECT age_group, max(age_group_sort) AS age_group_sort, "
+                     "CAST(coalesce(sum(CASE WHEN gender = 'M' THEN discharge_count END), 0) AS BIGINT) AS male_count, "
+                     "CAST(coalesce(sum(CASE WHEN gender = 'F' THEN discharge_count END), 0) AS BIGINT) AS female_count "
+                     "FROM summ GROUP BY age_group", scope)
+
+
+def admission_split_sql(scope=None) -> str:
+    return _with_cte("patient_admission_emergency_summary", "x AS (SELECT 1)",
+                     "SELECT type_of_admission, "
+                     "CAST(coalesce(sum(CASE WHEN emergency_department_indicator = 'Y' THEN discharge_count END), 0) AS BIGINT) AS emergency_count, "
+                     "CAST(coalesce(sum(CASE WHEN emergency_department_indicator IS DISTINCT FROM 'Y' THEN discharge_count END), 0) AS BIGINT) AS non_emergency_count "
+                     "FROM summ GROUP BY type_of_admission", scope)
+
+
+def systems_top10_sql(scope=None) -> str:
+    return (f"SELECT CAST(row_number() OVER (ORDER BY discharge_count DESC, coalesce(apr_mdc_code, '') ASC) AS INTEGER) "
+            f"AS position, apr_mdc_code, apr_mdc_description, discharge_count FROM ({disease_systems_sql(scope)}) AS s "
+            f"QUALIFY position <= 10")
+
+
+def hospital_bubbles_sql(scope=None) -> str:
+    return (f"SELECT facility_name, hospital_county, hospital_service_area, discharge_count, "
+            f"coalesce(average_cost, 0.0) AS bubble_average_cost, "
+            f"coalesce(average_length_of_stay, 0.0) AS bubble_average_length_of_stay, emergency_ratio "
+            f"FROM ({hospital_resources_sql(scope)}) AS h")
+
+
+def drilldown_bubbles_sql(level: str, scope=None, mdc=None, drg=None) -> str:
+    return (f"WITH d AS ({drilldown_sql(level, scope, mdc, drg)}), m AS (SELECT greatest(coalesce(max(discharge_count), 0), 1) AS largest FROM d) "
+            f"SELECT code, description, discharge_count, "
+            f"CAST(floor(CAST(16 AS DOUBLE) + sqrt(discharge_count / largest) * 66 + 0.5) AS INTEGER) AS symbol_size FROM d, m")
+
+
+# ---------------------------------------------------------------------------
+# report fact packs
+# ---------------------------------------------------------------------------
+
+_NA = "'暂无'"
+
+
+def _count_t(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN {_NA} ELSE format('{{:,}}', CAST({x} AS BIGINT)) END)"
+
+
+def _dec_t(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN {_NA} ELSE format('{{:,.2f}}', CAST({x} AS DOUBLE)) END)"
+
+
+def _money_t(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN {_NA} ELSE '$' || format('{{:,.2f}}', CAST({x} AS DOUBLE)) END)"
+
+
+def _pct_t(x: str) -> str:
+    v = f"CAST({x} AS DOUBLE)"
+    return (f"(CASE WHEN {x} IS NULL THEN {_NA} ELSE "
+            f"format('{{:.2f}}', CASE WHEN {v} <= 1 THEN {v} * 100 ELSE {v} END) || '%' END)")
+
+
+def _label_t(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), 'None')"
+
+
+def _metric_rows(rt: str, section: str, source: str, metrics: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{rt}' AS report_type, '{section}' AS section, CAST(0 AS INTEGER) AS position, "
+        f"'{m}' AS metric, {expr} AS value_text FROM {source}" for m, expr in metrics)
+
+
+def _table_rows(rt: str, section: str, source: str, pos: str, cells: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{rt}' AS report_type, '{section}' AS section, CAST({pos} AS INTEGER) AS position, "
+        f"'{m}' AS metric, {expr} AS value_text FROM {source}" for m, expr in cells)
+
+
+def _first_t(src: str, order: str, col: str, fmt) -> str:
+    """Formatted ``col`` of the first row of ``src`` in ``order``; placeholder when empty."""
+    return (f"(CASE WHEN (SELECT count(*) FROM {src}) > 0 THEN "
+            f"{fmt(f'(SELECT {col} FROM {src} ORDER BY {order} LIMIT 1)')} ELSE {_NA} END)")
+
+
+def report_sql(rt: str) -> str:
+    ctes = {
+        "k": kpi_sql(), "rk": hospital_ranking_sql(None, "discharge_count", "desc", 10),
+        "ag": age_gender_sql(), "pm": payment_sql(), "ms": medical_surgical_sql(),
+        "sy": disease_systems_sql(), "dg": top_diagnoses_sql(None, 10), "sv": severity_sql(),
+    }
+    one = "(SELECT 1 AS one) AS o"
+    parts = [_metric_rows(rt, "kpi", "k", [
+        ("hospital_count", _count_t("hospital_count")), ("discharge_count", _count_t("discharge_count")),
+        ("average_length_of_stay", _dec_t("average_length_of_stay")),
+        ("total_charges", _money_t("total_charges")), ("total_costs", _money_t("total_costs")),
+        ("emergency_ratio", _pct_t("emergency_ratio"))])]
+    if rt in ("comprehensive", "operations"):
+        parts.append(_metric_rows(rt, "operations", one, [
+            ("ranked_hospitals", _count_t("(SELECT count(*) FROM rk)")),
+            ("top_facility_name", _first_t("rk", "rank", "facility_name", _label_t)),
+            ("top_discharge_count", _first_t("rk", "rank", "discharge_count", _count_t)),
+            ("top_average_cost", _first_t("rk", "rank", "average_cost", _money_t))]))
+        parts.append(_table_rows(rt, "operations.hospitals", "rk", "rank", [
+            ("facility_name", _label_t("facility_name")), ("hospital_county", _label_t("hospital_county")),
+            ("discharge_count", _count_t("discharge_count")), ("average_cost", _money_t("average_cost"))]))
+    if rt in ("comprehensive", "patient"):
+        age_o = "discharge_count DESC, age_group_sort ASC NULLS LAST, gender ASC NULLS FIRST"
+        pay_o = "discharge_count DESC, payment_typology_1 ASC NULLS FIRST"
+        med_o = "discharge_count DESC, apr_medical_surgical_description ASC NULLS FIRST"
+        parts.append(_metric_rows(rt, "patient", one, [
+            ("age_gender_groups", _count_t("(SELECT count(*) FROM ag)")),
+            ("payment_types", _count_t("(SELECT count(*) FROM pm)")),
+            ("top_payment", _first_t("pm", pay_o, "payment_typology_1", _label_t)),
+            ("top_payment_count", _first_t("pm", pay_o, "discharge_count", _count_t)),
+            ("top_age_group", _first_t("ag", age_o, "age_group", _label_t)),
+            ("top_gender", _first_t("ag", age_o, "gender", _label_t))]))
+        money = [("discharge_count", _count_t("discharge_count")), ("total_charges", _money_t("total_charges")),
+                 ("total_costs", _money_t("total_costs"))]
+        parts.append(_table_rows(rt, "patient.payments", f"(SELECT *, row_number() OVER (ORDER BY {pay_o}) AS rn FROM pm) AS p",
+                                 "rn", [("payment_typology_1", _label_t("payment_typology_1"))] + money))
+        parts.append(_table_rows(rt, "patient.medical_surgical",
+                                 f"(SELECT *, row_number() OVER (ORDER BY {med_o}) AS rn FROM ms) AS m", "rn",
+                                 [("apr_medical_surgical_description", _label_t("apr_medical_surgical_description"))]
+                                 + money))
+    if rt in ("comprehensive", "disease"):
+        sys_o = "discharge_count DESC, coalesce(apr_mdc_code, '') ASC"
+        parts.append(_metric_rows(rt, "disease", one, [
+            ("disease_systems", _count_t("(SELECT count(*) FROM sy)")),
+            ("top_diagnoses", _count_t("(SELECT count(*) FROM dg)")),
+            ("severity_levels", _count_t("(SELECT count(*) FROM sv)")),
+            ("top_system_code", _first_t("sy", sys_o, "apr_mdc_code", _label_t)),
+            ("top_system_count", _first_t("sy", sys_o, "discharge_count", _count_t)),
+            ("top_diagnosis_code", _first_t("dg", "position", "ccsr_diagnosis_code", _label_t))]))
+        parts.append(_table_rows(rt, "disease.diagnoses", "dg", "position", [
+            ("ccsr_diagnosis_code", _label_t("ccsr_diagnosis_code")),
+            ("ccsr_diagnosis_description", _label_t("ccsr_diagnosis_description")),
+            ("discharge_count", _count_t("discharge_count"))]))
+    with_ = ", ".join(f"{n} AS ({sql})" for n, sql in ctes.items())
+    return f"WITH {with_} " + " UNION ALL ".join(f"({p})" for p in parts)

@@ -281,3 +281,33 @@ def _quality_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("load_first", _load_first, O.clean_fact_sql(CURRENT_YEAR))
 register("load_rerun", _load_rerun, O.clean_fact_sql(CURRENT_YEAR) + " AND false")
 register("quality_summary_rerun", _quality_rerun, O.quality_sql(CURRENT_YEAR, rerun=True))
+
+
+# --- E5-E10: chart re-aggregations; F1-F5: report fact packs ------------------
+
+from carelens.operators import charts as C  # noqa: E402
+from carelens.operators.report import report_facts  # noqa: E402
+
+for _suffix, _sc in (("", None), ("_area", AREA)):
+    register(f"chart_payment_buckets{_suffix}",
+             _on("patient_payment_summary", C.payment_buckets, scope=_scope(_sc)), O.payment_buckets_sql(_sc))
+    register(f"chart_age_gender_pivot{_suffix}",
+             _on("patient_age_gender_summary", C.age_gender_pivot, scope=_scope(_sc)), O.age_gender_pivot_sql(_sc))
+    register(f"chart_admission_emergency{_suffix}",
+             _on("patient_admission_emergency_summary", C.admission_emergency_split, scope=_scope(_sc)),
+             O.admission_split_sql(_sc))
+    register(f"chart_systems_top10{_suffix}", _on("disease_system_summary", C.systems_top10, scope=_scope(_sc)),
+             O.systems_top10_sql(_sc))
+    register(f"chart_hospital_bubbles{_suffix}", _on(OP, C.hospital_bubbles, scope=_scope(_sc)),
+             O.hospital_bubbles_sql(_sc))
+register("chart_drilldown_bubbles_mdc", _on(DD, C.drilldown_bubbles, level="mdc"), O.drilldown_bubbles_sql("mdc"))
+register("chart_drilldown_bubbles_drg", _on(DD, C.drilldown_bubbles, level="drg", apr_mdc_code=MDC),
+         O.drilldown_bubbles_sql("drg", None, MDC))
+
+
+def _report(report_type: str) -> Query:
+    return lambda spark, sf_dir: report_facts(summaries(spark, sf_dir), report_type)
+
+
+for _rt in ("comprehensive", "operations", "patient", "disease"):
+    register(f"report_{_rt}", _report(_rt), O.report_sql(_rt))
