@@ -6,12 +6,14 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
 
-# Unicode White_Space plus the four information separators Python also strips.
-_EDGE_SPACE = r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+$"
+# The characters Python's ``str.strip()`` removes, derived from ``str.isspace``
+# (Unicode White_Space plus the four information separators).
+WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Remove leading and trailing whitespace exactly as ``str.strip()`` (a character-set trim, no regex)."""
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def normalize_text(c: Column) -> Column:
@@ -25,12 +27,13 @@ def null_tokens_to_null(c: Column, tokens: Iterable[str]) -> Column:
 
 
 def lookup(c: Column, mapping: Mapping, value_type: str | None = None) -> Column:
-    """``mapping[c]`` as a literal map lookup; missing keys give NULL."""
-    pairs = []
+    """``mapping[c]`` as a CASE chain (code-generated equality tests); missing keys give NULL."""
+    out = None
     for key, value in mapping.items():
-        pairs += [F.lit(key), F.lit(value)]
-    m = F.create_map(*pairs)
-    out = F.try_element_at(m, c)
+        out = (F.when(c == F.lit(key), F.lit(value)) if out is None
+               else out.when(c == F.lit(key), F.lit(value)))
+    if out is None:
+        out = F.lit(None)
     return out.cast(value_type) if value_type else out
 
 

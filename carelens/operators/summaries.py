@@ -74,27 +74,38 @@ def hospital_operation(fact: DataFrame) -> DataFrame:
     )
 
 
+def _with_descriptions(fact: DataFrame, codes: list[str], descriptions: list[str]) -> DataFrame:
+    """``base`` measures by scope + codes, with ``max`` of each code's description.
+
+    ``max`` over strings cannot use the hash aggregate (its buffer is not
+    fixed-width) and would sort every fact row.  So the fact is first
+    hash-aggregated by codes *and* descriptions (strings are fine as keys),
+    and the descriptions are collapsed in a second aggregate over that
+    group-level result, which is tiny next to the fact.
+    """
+    keys = [*SCOPE, *codes]
+    fine = fact.groupBy(*keys, *descriptions).agg(*_base())
+    return fine.groupBy(*keys).agg(
+        *[F.max(d).alias(d) for d in descriptions],
+        F.sum("discharge_count").cast("long").alias("discharge_count"),
+        *[F.sum(c).cast(DEC_SUM).alias(c) for c in ("length_of_stay_sum", "total_charges_sum", "total_costs_sum")])
+
+
 def disease_system(fact: DataFrame) -> DataFrame:
-    return fact.groupBy(*SCOPE, "apr_mdc_code").agg(
-        F.max("apr_mdc_description").alias("apr_mdc_description"), *_base())
+    return _with_descriptions(fact, ["apr_mdc_code"], ["apr_mdc_description"])
 
 
 def diagnosis(fact: DataFrame) -> DataFrame:
-    return fact.groupBy(*SCOPE, "ccsr_diagnosis_code").agg(
-        F.max("ccsr_diagnosis_description").alias("ccsr_diagnosis_description"), *_base())
+    return _with_descriptions(fact, ["ccsr_diagnosis_code"], ["ccsr_diagnosis_description"])
 
 
 def risk(fact: DataFrame) -> DataFrame:
-    return fact.groupBy(*SCOPE, "apr_severity_code", "apr_risk_of_mortality").agg(
-        F.max("apr_severity_description").alias("apr_severity_description"), *_base())
+    return _with_descriptions(fact, ["apr_severity_code", "apr_risk_of_mortality"], ["apr_severity_description"])
 
 
 def drilldown(fact: DataFrame) -> DataFrame:
-    return fact.groupBy(*SCOPE, "apr_mdc_code", "apr_drg_code", "ccsr_diagnosis_code").agg(
-        F.max("apr_mdc_description").alias("apr_mdc_description"),
-        F.max("apr_drg_description").alias("apr_drg_description"),
-        F.max("ccsr_diagnosis_description").alias("ccsr_diagnosis_description"),
-        *_base())
+    return _with_descriptions(fact, ["apr_mdc_code", "apr_drg_code", "ccsr_diagnosis_code"],
+                              ["apr_mdc_description", "apr_drg_description", "ccsr_diagnosis_description"])
 
 
 # table name -> builder

@@ -18,6 +18,10 @@ DEFAULTS: dict[str, str] = {
     # The cleaning projection has ~40 aliased columns; inferring constraints
     # through it grows combinatorially when such a plan is joined.
     "spark.sql.constraintPropagation.enabled": "false",
+    # HotSpot does not JIT methods over 8000 bytes of bytecode; the fused
+    # cleaning projection exceeds that, so let Spark split it instead of
+    # running one huge interpreted method (documented setting for HotSpot).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

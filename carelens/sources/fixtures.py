@@ -39,8 +39,11 @@ def _star(spark: SparkSession, sf_dir: str, with_customer: bool) -> DataFrame:
     supplier = t("supplier").select("s_suppkey", "s_name", "s_nationkey").join(
         broadcast_bounded(geo, _GEO_MAX_ROWS), F.col("s_nationkey") == F.col("n_nationkey"))
     part = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    # lineitem x orders is fact x fact at any scale: pin it to a sort-merge join
+    # so the planner never broadcasts the line items (it would at small scale,
+    # leaving the whole join to the single task streaming ``orders``).
     return (
-        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
+        lineitem.join(orders.hint("merge"), lineitem.l_orderkey == orders.o_orderkey)
         .join(supplier, lineitem.l_suppkey == supplier.s_suppkey)
         .join(part, lineitem.l_partkey == part.p_partkey)
     )
