@@ -45,13 +45,22 @@ def delimiter_for(path: str) -> str:
     return "\t" if path.lower().endswith(".tsv") else ","
 
 
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    local = path[len("file://"):] if path.startswith("file://") else (path if "://" not in path else None)
+    if local is not None:
+        with open(local, encoding="utf-8", newline="") as f:
+            line = f.readline()
+        return line.rstrip("\r\n") if line else None
+    first = spark.read.text(path).limit(1).collect()  # remote file system: one tiny job
+    return first[0][0] if first else None
+
+
 def read_header(spark: SparkSession, path: str, sep: str) -> list[str]:
     """Header fields of one file (first line only; BOM removed; quotes honoured)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+    line = _first_line(spark, path)
+    if line is None:
         raise ValueError(f"empty source file: {path}")
-    line = first[0][0].lstrip("\ufeff")
-    return next(csv.reader(io.StringIO(line), delimiter=sep))
+    return next(csv.reader(io.StringIO(line.lstrip("\ufeff")), delimiter=sep))
 
 
 def column_positions(header: list[str]) -> dict[str, int]:
