@@ -36,15 +36,18 @@ def ingest(spark: SparkSession, sources: str | list[str], target: str, current_y
 
     Returns the quality counters plus ``long_rows`` (quarantined lines).
     """
+    return load_tagged(spark, read_tagged(spark, sources, multi_line), target, current_year)
+
+
+def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_year: int | None = None) -> dict[str, int]:
+    """Tagged raw records (reader output) -> cleaned, de-duplicated, appended; returns the counters."""
     run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-ingest-{uuid.uuid4().hex}"
     # 1. parse + clean row by row (one narrow pass over the text), keep position tags
-    staged = stage(read_tagged(spark, sources, multi_line), current_year)
-    staged.write.parquet(f"{run}/staged")
+    stage(tagged, current_year).write.parquet(f"{run}/staged")
     staged = spark.read.parquet(f"{run}/staged")
     long_rows = staged.where(F.col("_long")).count()
     # 2. ordinals from the split table, then one shuffle by record hash (map-side combined)
-    collapsed = collapse_duplicates(number_records(staged))
-    collapsed.write.parquet(f"{run}/collapsed")
+    collapse_duplicates(number_records(staged)).write.parquet(f"{run}/collapsed")
     collapsed = spark.read.parquet(f"{run}/collapsed")
     # 3. anti-join against the target and append; counters from the collapsed records
     inserted = append_new(spark, clean_records(collapsed), target)

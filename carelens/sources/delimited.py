@@ -77,16 +77,52 @@ def column_positions(header: list[str]) -> dict[str, int]:
 
 
 def _scan(spark: SparkSession, paths: list[str], width: int, sep: str, multi_line: bool) -> DataFrame:
-    schema = T.StructType(
-        [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
-        + [T.StructField(_OVERFLOW, T.StringType()), T.StructField(_CORRUPT, T.StringType())])
-    return (spark.read.schema(schema)
+    return (spark.read.schema(csv_schema(width))
             .option("header", True).option("sep", sep).option("encoding", "UTF-8")
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
             .option("multiLine", multi_line)
             .csv(paths))
 
 
+def _project(df: DataFrame, header: list[str]) -> DataFrame:
+    """Positional fields -> source file name, the 33 raw columns (null tokens applied), ``_long``, split tags."""
+    positions = column_positions(list(header))
+    long_row = F.col(_OVERFLOW).isNotNull() | F.col(_CORRUPT).isNull()
+    cols = [F.col("_metadata.file_name").alias("source_file_name")]
+    for name in RAW_COLUMNS:
+        if name in positions:
+            cols.append(null_tokens_to_null(F.col(f"_c{positions[name]}"), NULL_TOKENS).alias(name))
+        else:
+            cols.append(F.lit(None).cast("string").alias(name))
+    cols += [long_row.alias("_long"), F.col("_metadata.file_path").alias("_file"),
+             F.col("_metadata.file_block_start").alias("_block")]
+    return df.select(*cols)
+
+
+def with_positions(untagged: DataFrame) -> DataFrame:
+    """Add ``_pos`` (order within the split) to kept rows; quarantined rows get NULL.
+
+    Evaluated after the filter, so quarantined rows take no ordinal (the
+    reference's reader skips them).
+    """
+    kept = untagged.where(~F.col("_long")).withColumn("_pos", F.monotonically_increasing_id())
+    quarantined = untagged.where(F.col("_long")).withColumn("_pos", F.lit(None).cast("long"))
+    return kept.unionByName(quarantined)
+
+
+def csv_schema(width: int) -> T.StructType:
+    return T.StructType(
+        [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
+        + [T.StructField(_OVERFLOW, T.StringType()), T.StructField(_CORRUPT, T.StringType())])
+
+
+def disable_csv_pruning(spark: SparkSession) -> None:
+    # Long-row detection needs every field tokenised; with CSV column pruning
+    # the parser only materialises the columns a query reads and cannot tell
+    # how many fields a line had.
+    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+
+
 def read_tagged(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
     """Raw records of one or more files with ``_long`` (quarantine flag) and position tags.
 
@@ -95,37 +131,17 @@ def read_tagged(spark: SparkSession, paths: str | list[str], multi_line: bool =
     ``multi_line`` allows quoted line breaks but makes each file one split.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    # Long-row detection needs every field tokenised; with CSV column pruning
-    # the parser only materialises the columns a query reads and cannot tell
-    # how many fields a line had.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+    disable_csv_pruning(spark)
     layouts: "OrderedDict[tuple, list[str]]" = OrderedDict()
     for p in paths:
         sep = delimiter_for(p)
         layouts.setdefault((sep, tuple(read_header(spark, p, sep))), []).append(p)
-    frames = []
-    for (sep, header), group in layouts.items():
-        positions = column_positions(list(header))
-        df = _scan(spark, group, len(header), sep, multi_line)
-        long_row = F.col(_OVERFLOW).isNotNull() | F.col(_CORRUPT).isNull()
-        cols = [F.col("_metadata.file_name").alias("source_file_name")]
-        for name in RAW_COLUMNS:
-            if name in positions:
-                cols.append(null_tokens_to_null(F.col(f"_c{positions[name]}"), NULL_TOKENS).alias(name))
-            else:
-                cols.append(F.lit(None).cast("string").alias(name))
-        cols += [long_row.alias("_long"), F.col("_metadata.file_path").alias("_file"),
-                 F.col("_metadata.file_block_start").alias("_block")]
-        frames.append(df.select(*cols))
+    frames = [_project(_scan(spark, group, len(header), sep, multi_line), list(header))
+              for (sep, header), group in layouts.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    # Position within the split among kept rows: evaluated after the filter, so
-    # quarantined rows take no ordinal (as the reference's reader skips them).
-    kept = out.where(~F.col("_long"))
-    quarantined = out.where(F.col("_long"))
-    tagged = kept.withColumn("_pos", F.monotonically_increasing_id())
-    return tagged.unionByName(quarantined.withColumn("_pos", F.lit(None).cast("long")))
+    return with_positions(out)
 
 
 def number_records(tagged: DataFrame, max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
