@@ -311,3 +311,13 @@ def _report(report_type: str) -> Query:
 
 for _rt in ("comprehensive", "operations", "patient", "disease"):
     register(f"report_{_rt}", _report(_rt), O.report_sql(_rt))
+
+
+# --- A10: freshness (a build timestamp: no oracle, row count only) ------------
+
+from carelens.operators.summaries import with_updated_at  # noqa: E402
+
+register("q_freshness", lambda spark, sf_dir: Q.latest_updated_at(with_updated_at(summaries(spark, sf_dir)(OP))))
+
+# queries whose value depends on the clock, compared by row count only
+NO_ORACLE = {"q_freshness"}
