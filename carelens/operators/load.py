@@ -9,8 +9,7 @@ so the join has no hot key.  Re-running a load appends nothing.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from carelens.schema import FACT_COLUMNS, fact_schema
@@ -23,19 +22,14 @@ def new_records(clean: DataFrame, existing: DataFrame | None) -> DataFrame:
     return clean.join(existing.select("source_row_hash"), "source_row_hash", "left_anti").select(*FACT_COLUMNS)
 
 
-def _has_table(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    return fs.exists(jvm_path)
-
-
 def read_target(spark: SparkSession, path: str) -> DataFrame:
     """The fact table at ``path``; an absent target reads as an empty fact with the fixed schema."""
-    if path.startswith("/") and not os.path.exists(path):
-        return spark.createDataFrame([], fact_schema())
-    if not path.startswith("/") and not _has_table(spark, path):
-        return spark.createDataFrame([], fact_schema())
-    return spark.read.schema(fact_schema()).parquet(path)
+    try:
+        return spark.read.schema(fact_schema()).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return spark.createDataFrame([], fact_schema())
+        raise
 
 
 def append_new(spark: SparkSession, clean: DataFrame, target: str, partition_by: list[str] | None = None) -> int:
