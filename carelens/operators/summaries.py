@@ -126,3 +126,100 @@ SUMMARIES: dict[str, Callable[[DataFrame], DataFrame]] = {
 def with_updated_at(summary: DataFrame) -> DataFrame:
     """Stamp a summary with its build time (the freshness the serving layer reports)."""
     return summary.withColumn("updated_at", F.current_timestamp())
+
+
+# ---------------------------------------------------------------------------
+# all ten summaries from one scan of the fact
+# ---------------------------------------------------------------------------
+
+_MS_KEY = "_medical_surgical"
+
+# summary -> (its keys in the grouping-sets aggregate, descriptions to collapse per code, codes)
+_SETS: dict[str, tuple[list[str], list[str], list[str]]] = {
+    "patient_age_gender_summary": (["age_group", "age_group_sort", "gender"], [], []),
+    "patient_payment_summary": (["payment_typology_1"], [], []),
+    "patient_disposition_summary": (["patient_disposition"], [], []),
+    "patient_admission_emergency_summary": (["type_of_admission", "emergency_department_indicator"], [], []),
+    "patient_medical_surgical_summary": ([_MS_KEY], [], []),
+    "hospital_operation_summary": ([], [], []),
+    "disease_system_summary": (["apr_mdc_code", "apr_mdc_description"], ["apr_mdc_description"], ["apr_mdc_code"]),
+    "diagnosis_summary": (["ccsr_diagnosis_code", "ccsr_diagnosis_description"], ["ccsr_diagnosis_description"],
+                          ["ccsr_diagnosis_code"]),
+    "patient_risk_summary": (["apr_severity_code", "apr_risk_of_mortality", "apr_severity_description"],
+                             ["apr_severity_description"], ["apr_severity_code", "apr_risk_of_mortality"]),
+    "disease_drilldown_summary": (
+        ["apr_mdc_code", "apr_drg_code", "ccsr_diagnosis_code", "apr_mdc_description", "apr_drg_description",
+         "ccsr_diagnosis_description"],
+        ["apr_mdc_description", "apr_drg_description", "ccsr_diagnosis_description"],
+        ["apr_mdc_code", "apr_drg_code", "ccsr_diagnosis_code"]),
+}
+
+# Which measures each summary keeps (beyond discharge_count).
+_MEASURES: dict[str, list[str]] = {
+    "patient_age_gender_summary": [],
+    "patient_payment_summary": ["total_charges_sum", "total_costs_sum"],
+    "patient_admission_emergency_summary": ["length_of_stay_sum"],
+    "hospital_operation_summary": [
+        "length_of_stay_sum", "total_charges_sum", "total_costs_sum", "charge_cost_gap_sum", "emergency_charges_sum",
+        "non_emergency_charges_sum", "emergency_costs_sum", "non_emergency_costs_sum", "emergency_yes_count",
+        "emergency_known_count"],
+}
+_BASE_SUMS = ["length_of_stay_sum", "total_charges_sum", "total_costs_sum"]
+
+
+def _all_keys() -> list[str]:
+    keys: list[str] = []
+    for own, _, _ in _SETS.values():
+        keys += [k for k in own if k not in keys]
+    return [*SCOPE, *keys]
+
+
+def grouping_sets_aggregate(fact: DataFrame) -> DataFrame:
+    """One pass over the fact computing every summary's groups, tagged by ``_gid``.
+
+    The fact is read once; Spark expands each row into the ten grouping sets
+    and partially aggregates them before one shuffle.  Every measure is a
+    fixed-width count or decimal sum, so it stays a hash aggregate;
+    descriptions are grouping keys here and are collapsed per code later on
+    the (small) group-level result.  The medical/surgical set keys on the
+    description only where it passes that summary's filter.
+    """
+    ed = F.col("emergency_department_indicator")
+    yes, no = ed == "Y", ed == "N"
+    kinds = F.trim(F.col("apr_medical_surgical_description")).isin("Medical", "Surgical")
+    src = fact.withColumn(_MS_KEY, F.when(kinds, F.col("apr_medical_surgical_description")))
+    keys = _all_keys()
+    sets = [[*SCOPE, *own] for own, _, _ in _SETS.values()]
+    return src.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("_gid"),
+        *_base(),
+        _sum("charge_cost_gap", "charge_cost_gap_sum"),
+        _when_sum(yes, F.col("total_charges"), "emergency_charges_sum"),
+        _when_sum(no, F.col("total_charges"), "non_emergency_charges_sum"),
+        _when_sum(yes, F.col("total_costs"), "emergency_costs_sum"),
+        _when_sum(no, F.col("total_costs"), "non_emergency_costs_sum"),
+        F.sum(F.when(yes, 1).otherwise(0)).cast("long").alias("emergency_yes_count"),
+        F.sum(F.when(ed.isin("Y", "N"), 1).otherwise(0)).cast("long").alias("emergency_known_count"),
+    )
+
+
+def _gid(own: list[str]) -> int:
+    keys = _all_keys()
+    members = set(SCOPE) | set(own)
+    return sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in members)
+
+
+def split_summary(groups: DataFrame, name: str) -> DataFrame:
+    """One summary table out of ``grouping_sets_aggregate``; same schema as ``SUMMARIES[name]``."""
+    own, descriptions, codes = _SETS[name]
+    rows = groups.where(F.col("_gid") == _gid(own))
+    measures = _MEASURES.get(name, _BASE_SUMS)
+    if name == "patient_medical_surgical_summary":
+        rows = rows.where(F.col(_MS_KEY).isNotNull()).withColumnRenamed(_MS_KEY, "apr_medical_surgical_description")
+        own = ["apr_medical_surgical_description"]
+    if descriptions:
+        return rows.groupBy(*SCOPE, *codes).agg(
+            *[F.max(d).alias(d) for d in descriptions],
+            F.sum("discharge_count").cast("long").alias("discharge_count"),
+            *[F.sum(m).cast(DEC_SUM).alias(m) for m in measures])
+    return rows.select(*SCOPE, *own, "discharge_count", *measures)

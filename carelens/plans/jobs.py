@@ -23,7 +23,7 @@ from carelens.operators import serving
 from carelens.operators.clean import clean_records, collapse_duplicates, stage
 from carelens.operators.load import append_new
 from carelens.operators.quality import COUNTERS, quality_summary
-from carelens.operators.summaries import SUMMARIES, with_updated_at
+from carelens.operators.summaries import SUMMARIES, grouping_sets_aggregate, split_summary, with_updated_at
 from carelens.plans.catalog import FolderSummaries
 from carelens.session import build_session, checkpoint_dir
 from carelens.sources.delimited import number_records, read_tagged
@@ -55,14 +55,30 @@ def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_yea
     return {**{k: int(row[k]) for k in COUNTERS}, "long_rows": int(long_rows)}
 
 
-def summarise(spark: SparkSession, fact_location, out_dir: str, tables: list[str] | None = None) -> list[str]:
-    """Rebuild the summary tables from the fact; each reads only the fact columns it needs."""
+def summarise(spark: SparkSession, fact_location, out_dir: str, tables: list[str] | None = None,
+              single_pass: bool = True) -> list[str]:
+    """Rebuild the summary tables from the fact.
+
+    ``single_pass`` (default) reads the fact once: one grouping-sets
+    aggregate computes every summary's groups, is written under
+    ``spark.checkpoint.dir``, and each table is split out of that small
+    result.  On a cluster reading a large fact from remote storage the scan
+    dominates, and this reads each needed column once instead of once per
+    table.  ``single_pass=False`` runs one column-pruned aggregation per table,
+    which is faster when the fact is small or cached locally.
+    """
     fact = read_fact(spark, fact_location)
-    done = []
-    for name in tables or list(SUMMARIES):
-        write_summary(with_updated_at(SUMMARIES[name](fact)), f"{out_dir.rstrip('/')}/{name}")
-        done.append(name)
-    return done
+    names = tables or list(SUMMARIES)
+    if single_pass:
+        run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-summaries-{uuid.uuid4().hex}"
+        grouping_sets_aggregate(fact).write.parquet(run)
+        groups = spark.read.parquet(run)
+        build = lambda name: split_summary(groups, name)
+    else:
+        build = lambda name: SUMMARIES[name](fact)
+    for name in names:
+        write_summary(with_updated_at(build(name)), f"{out_dir.rstrip('/')}/{name}")
+    return names
 
 
 # serving query name -> (summary table, function)
@@ -113,6 +129,7 @@ def main(argv: list[str] | None = None) -> None:
     s = sub.add_parser("summarise")
     s.add_argument("--fact", required=True)
     s.add_argument("--out", required=True)
+    s.add_argument("--per-table", action="store_true", help="one aggregation per table instead of one scan")
     q = sub.add_parser("serve")
     q.add_argument("--summaries", required=True)
     q.add_argument("query", choices=sorted(SERVING))
@@ -126,7 +143,7 @@ def main(argv: list[str] | None = None) -> None:
                 raise FileNotFoundError(f"Source file not found: {p}")
         print(json.dumps(ingest(spark, args.sources, args.target, args.current_year, args.multi_line)))
     elif args.cmd == "summarise":
-        print(json.dumps(summarise(spark, args.fact, args.out)))
+        print(json.dumps(summarise(spark, args.fact, args.out, single_pass=not args.per_table)))
     else:
         params = dict(kv.split("=", 1) for kv in args.param)
         for k in ("limit", "page", "page_size"):
