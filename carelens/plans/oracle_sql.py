@@ -334,6 +334,9 @@ def drilldown_sql(level: str, scope=None, mdc: str | None = None, drg: str | Non
 
 
 def breadcrumb_sql(scope=None, mdc: str | None = None, drg: str | None = None) -> str:
+    if not mdc:
+        return ("SELECT CAST(NULL AS INTEGER) AS position, CAST(NULL AS VARCHAR) AS level, "
+                "CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS description WHERE false")
     parts = [f"SELECT 1 AS position, 'mdc' AS level, '{mdc}' AS code, max(apr_mdc_description) AS description "
              f"FROM summ WHERE apr_mdc_code = '{mdc}'"]
     if drg:

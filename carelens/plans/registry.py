@@ -321,3 +321,27 @@ register("q_freshness", lambda spark, sf_dir: Q.latest_updated_at(with_updated_a
 
 # queries whose value depends on the clock, compared by row count only
 NO_ORACLE = {"q_freshness"}
+
+
+# --- more parameter combinations of the serving layer -------------------------
+
+register("q_breadcrumb_none", _on(DD, Q.breadcrumb), O.breadcrumb_sql(None))
+register("q_drilldown_ccsr_facility",
+         _on(DD, Q.drilldown, level="ccsr", scope=_scope(FACILITY), apr_mdc_code=MDC, apr_drg_code=DRG),
+         O.drilldown_sql("ccsr", FACILITY, MDC, DRG))
+register("q_drilldown_mdc_with_parent", _on(DD, Q.drilldown, level="mdc", apr_mdc_code=MDC),
+         O.drilldown_sql("mdc", None, MDC))
+register("q_hospital_ranking_county", _on(OP, Q.hospital_ranking, scope=_scope(AREA_COUNTY),
+                                          sort_by="average_length_of_stay", order="desc", limit=5),
+         O.hospital_ranking_sql(AREA_COUNTY, "average_length_of_stay", "desc", 5))
+register("q_hospital_comparison_area_keyword",
+         _on(OP, Q.hospital_comparison, scope=_scope(AREA), sort_by="total_charges", order="desc", page=1,
+             page_size=7, keyword="00000001"),
+         O.hospital_comparison_sql(AREA, "total_charges", "desc", 1, 7, "00000001"))
+register("q_hospital_comparison_past_end", _on(OP, Q.hospital_comparison, page=500, page_size=100),
+         O.hospital_comparison_sql(None, "discharge_count", "desc", 500, 100))
+register("q_top_diagnoses_top1_county", _on("diagnosis_summary", Q.top_diagnoses, scope=_scope(AREA_COUNTY), limit=1),
+         O.top_diagnoses_sql(AREA_COUNTY, limit=1))
+register("q_disposition_top1_facility",
+         _on("patient_disposition_summary", Q.disposition, scope=_scope(FACILITY), limit=1),
+         O.disposition_sql(FACILITY, limit=1))
