@@ -127,3 +127,24 @@ def test_ingest_twice_and_summarise(spark, workdir):
     op = spark.read.parquet(os.path.join(out, "hospital_operation_summary"))
     assert op.agg(F.sum("discharge_count")).first()[0] == 2
     assert op.where(F.col("updated_at").isNull()).count() == 0
+
+
+def test_split_layout_does_not_change_the_load(spark, workdir):
+    p = os.path.join(workdir, "splits.csv")
+    with open(p, "w") as f:
+        f.write("Facility Name,Race,Discharge Year,CCSR Diagnosis Code,Length of Stay\n")
+        for i in range(2000):
+            f.write(f"F{i % 300},r{i % 3},2021,D{i % 11},{i % 4}\n")  # many exact repeats
+    loads = []
+    for size in ("2048", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            target = os.path.join(workdir, f"fact_{size}")
+            counters = ingest(spark, p, target, current_year=2024)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        rows = sorted((r["source_row_hash"], r["source_row_number"])
+                      for r in spark.read.parquet(target).select("source_row_hash", "source_row_number").collect())
+        loads.append((counters, rows))
+    assert loads[0] == loads[1]
+    assert loads[0][0]["inserted_rows"] == len({(i % 300, i % 3, i % 11, i % 4) for i in range(2000)})
