@@ -55,7 +55,7 @@ def systems_top10(system_summary: DataFrame, scope: Q.Scope = Q.ALL) -> DataFram
     rows = Q.disease_systems(system_summary, scope)
     order = [F.desc("discharge_count"), F.coalesce(F.col("apr_mdc_code"), F.lit("")).asc()]
     top = rows.orderBy(*order).limit(10)
-    return Q._numbered(top, order).select(
+    return Q.numbered(top, order).select(
         "position", "apr_mdc_code", "apr_mdc_description",
         "discharge_count")
 

@@ -72,12 +72,6 @@ def _summary_query(table: str) -> Query:
     return lambda spark, sf_dir: comparable(summaries(spark, sf_dir)(table))
 
 
-def _summary_columns(table: str) -> list[str]:
-    from carelens.schema import fact_schema
-    from pyspark.sql import SparkSession as _S  # noqa: F401
-    return SUMMARY_COLUMNS[table]
-
-
 SUMMARY_COLUMNS: dict[str, list[str]] = {
     "patient_age_gender_summary": ["age_group", "age_group_sort", "gender", "discharge_count"],
     "patient_payment_summary": ["payment_typology_1", "discharge_count", "total_charges_sum", "total_costs_sum"],
