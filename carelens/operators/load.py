@@ -22,26 +22,55 @@ def new_records(clean: DataFrame, existing: DataFrame | None) -> DataFrame:
     return clean.join(existing.select("source_row_hash"), "source_row_hash", "left_anti").select(*FACT_COLUMNS)
 
 
-def read_target(spark: SparkSession, path: str) -> DataFrame:
-    """The fact table at ``path``; an absent target reads as an empty fact with the fixed schema."""
+# Buckets of a fact created as a catalog table.  At 100 TB this gives ~25 GB per bucket
+# spread over many files (every load appends files to each bucket).
+DEFAULT_BUCKETS = 4096
+
+
+def is_table_name(target: str) -> bool:
+    """A catalog identifier (``db.fact``) rather than a path."""
+    return "/" not in target and "://" not in target and "\\" not in target
+
+
+def read_target(spark: SparkSession, target: str) -> DataFrame:
+    """The fact at ``target`` (path or catalog table); an absent target is an empty fact."""
+    if is_table_name(target):
+        if spark.catalog.tableExists(target):
+            return spark.table(target)
+        return spark.createDataFrame([], fact_schema())
     try:
-        return spark.read.schema(fact_schema()).parquet(path)
+        return spark.read.schema(fact_schema()).parquet(target)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], fact_schema())
         raise
 
 
-def append_new(spark: SparkSession, clean: DataFrame, target: str, partition_by: list[str] | None = None) -> int:
-    """Append the new records of ``clean`` to the Parquet fact at ``target``; return how many were appended.
+def append_new(spark: SparkSession, clean: DataFrame, target: str, partition_by: list[str] | None = None,
+               buckets: int = DEFAULT_BUCKETS) -> int:
+    """Append the new records of ``clean`` to the fact at ``target``; return how many were appended.
 
-    ``clean`` should be materialised (written) by the caller, since the anti
-    join reads it once.  The appended count comes from Parquet footers
-    before and after the write, so it costs no extra pass over the data.
+    ``target`` is a Parquet path or a catalog table name.  A table target is
+    created bucketed (and sorted) by ``source_row_hash``: later loads then
+    read the existing fact already partitioned on the join key, and only the
+    new records are shuffled for the anti join.  ``clean`` should be
+    materialised by the caller, since the anti join reads it once.  The
+    appended count comes from file footers (or table statistics) before and
+    after the write, not from another pass over the data.
     """
     existing = read_target(spark, target)
     before = existing.count()
     fresh = new_records(clean, existing).withColumn("created_at", F.current_timestamp())
+    if is_table_name(target):
+        if spark.catalog.tableExists(target):
+            fresh.select(*spark.table(target).columns).write.insertInto(target)
+        else:
+            writer = fresh.write.format("parquet").bucketBy(buckets, "source_row_hash").sortBy("source_row_hash")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.saveAsTable(target)
+        spark.catalog.refreshTable(target)
+        return spark.table(target).count() - before
     writer = fresh.write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

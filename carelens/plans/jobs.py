@@ -123,7 +123,7 @@ def main(argv: list[str] | None = None) -> None:
     sub = ap.add_subparsers(dest="cmd", required=True)
     a = sub.add_parser("ingest")
     a.add_argument("sources", nargs="+")
-    a.add_argument("--target", required=True)
+    a.add_argument("--target", required=True, help="Parquet path, or a catalog table name (created bucketed)")
     a.add_argument("--current-year", type=int)
     a.add_argument("--multi-line", action="store_true")
     s = sub.add_parser("summarise")

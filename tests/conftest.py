@@ -17,6 +17,7 @@ def spark():
         "spark.ui.enabled": "false",
         "spark.checkpoint.dir": ckpt,
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="carelens-test-warehouse-", dir="/tmp"),
     })
     yield s
     s.stop()

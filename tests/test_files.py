@@ -148,3 +148,26 @@ def test_split_layout_does_not_change_the_load(spark, workdir):
         loads.append((counters, rows))
     assert loads[0] == loads[1]
     assert loads[0][0]["inserted_rows"] == len({(i % 300, i % 3, i % 11, i % 4) for i in range(2000)})
+
+
+def test_bucketed_table_target(spark, workdir):
+    from carelens.operators.clean import clean_records, collapse_duplicates, stage
+    from carelens.operators.load import new_records
+    from carelens.sources.delimited import read_discharge_file
+
+    rows = [row(**{"Facility Name": f"Fac {i % 40}", "Race": f"r{i}"}) for i in range(300)]
+    p = write(os.path.join(workdir, "bucketed.csv"), HEADERS, rows)
+    first = ingest(spark, p, "fact_bucketed", current_year=2024)
+    assert first["inserted_rows"] == 300
+    again = ingest(spark, p, "fact_bucketed", current_year=2024)
+    assert again["inserted_rows"] == 0 and spark.table("fact_bucketed").count() == 300
+    # the existing side of the anti join is read bucketed: no shuffle above its scan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        clean = clean_records(collapse_duplicates(stage(read_discharge_file(spark, p), 2024)))
+        plan = new_records(clean, spark.table("fact_bucketed"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    assert "Sort" in lines[scan - 1] and "Exchange" not in lines[scan - 1]
