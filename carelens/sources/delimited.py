@@ -36,9 +36,10 @@ _ALIASES = dict(HEADER_ALIASES)
 _OVERFLOW, _CORRUPT = "_overflow", "_corrupt_record"
 TAGS = ["_file", "_block", "_pos"]
 
-# One row per input split; a cluster reading 100 TB in 128 MB splits has
-# ~800k of them, so the split table is broadcast only below this bound.
-MAX_BROADCAST_SPLITS = 200_000
+# One row per input split (32 bytes: path hash, split start, first position,
+# offset).  100 TB in 128 MB splits is ~800k rows, ~25 MB; beyond this bound
+# the split table is sort-merge joined instead of broadcast.
+MAX_BROADCAST_SPLITS = 2_000_000
 
 
 def delimiter_for(path: str) -> str:
@@ -149,13 +150,20 @@ def number_records(tagged: DataFrame, max_broadcast_splits: int = MAX_BROADCAST_
 
     Works on the reader's output or on anything derived from it row by row
     (e.g. the staged cleaning output) as long as the tags are carried along.
+    Splits are keyed by a 64-bit hash of the file path so the broadcast split
+    table is 32 bytes a row (~25 MB for the ~800k splits of 100 TB); if two
+    paths ever share a hash, the path itself is used as the key instead.
     """
-    kept = tagged.where(~F.col("_long"))
-    splits = kept.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
-    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("_file", "_block", "_first",
+    kept = tagged.where(~F.col("_long")).withColumn("_fid", F.xxhash64("_file"))
+    splits = kept.groupBy("_fid", "_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    collision = (splits.select("_fid", "_file").distinct().groupBy("_fid").count()
+                 .where(F.col("count") > 1).limit(1).count() > 0)
+    key = "_file" if collision else "_fid"
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(key, "_block", "_first",
                             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    numbered = kept.join(broadcast_bounded(offsets, max_broadcast_splits), ["_file", "_block"])
+    numbered = kept.join(broadcast_bounded(offsets, max_broadcast_splits), [key, "_block"])
     rest = [c for c in tagged.columns if c not in ("source_file_name", "_long", *TAGS)]
     return numbered.select(
         "source_file_name",
