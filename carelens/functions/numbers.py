@@ -10,15 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from carelens.functions.text import normalize_text
+from carelens.functions.text import normalize_text, strip
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 PARSE_TYPE = T.DecimalType(38, 6)
 
 
+def mark_free(text: Column) -> Column:
+    """Currency marks and thousands separators removed, then surrounding space again
+    (``"$ 1,000"`` is a number, as the numeric parser of the source system accepts it)."""
+    return strip(F.translate(text, ",$", ""))
+
+
 def numeric_text(c: Column) -> Column:
     """Normalised text with currency marks and thousands separators removed."""
-    return F.translate(normalize_text(c), ",$", "")
+    return mark_free(normalize_text(c))
 
 
 def parse_numeric_text(text: Column) -> Column:

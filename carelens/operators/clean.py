@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from carelens.functions.numbers import parse_numeric_text, to_stored
+from carelens.functions.numbers import mark_free, parse_numeric_text, to_stored
 from carelens.functions.text import canonical_text, lookup, normalize_text
 from carelens.schema import (
     ADMISSION_ALIASES, AGE_GROUP_SORT, CODE_DESCRIPTION_PAIRS, DEC_MONEY, EMERGENCY_ALIASES, FACT_COLUMNS,
@@ -85,7 +85,7 @@ def stage(raw: DataFrame, current_year: int | Column | None = None) -> DataFrame
     numeric = list(NUMERIC_TYPES)
 
     tx = raw.select(*prov, *[normalize_text(c(x)).alias(x) for x in RAW_COLUMNS])
-    nx = tx.select("*", *[F.translate(c(x), ",$", "").alias(f"_n_{x}") for x in numeric])
+    nx = tx.select("*", *[mark_free(c(x)).alias(f"_n_{x}") for x in numeric])
     px = nx.select("*", *[parse_numeric_text(c(f"_n_{x}")).alias(f"_p_{x}") for x in numeric])
     vx = px.select("*", *[F.coalesce(rules[x](c(f"_p_{x}")), F.lit(False)).alias(f"_v_{x}") for x in numeric])
 

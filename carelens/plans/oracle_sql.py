@@ -427,7 +427,7 @@ def staged_sql(year: int) -> str:
          for c in RAW_COLS])
     px = []
     for c in _NUMERIC:
-        t = f"replace(replace(t_{c}, ',', ''), '$', '')"
+        t = f"trim(replace(replace(t_{c}, ',', ''), '$', ''))"
         px.append(f"CASE WHEN regexp_full_match({t}, '{_NUM_RE}') THEN TRY_CAST({t} AS DECIMAL(38,6)) END AS p_{c}")
     cl, invalid = [], []
     for c in RAW_COLS:
