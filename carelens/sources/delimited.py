@@ -80,6 +80,7 @@ def column_positions(header: list[str]) -> dict[str, int]:
 def _scan(spark: SparkSession, paths: list[str], width: int, sep: str, multi_line: bool) -> DataFrame:
     return (spark.read.schema(csv_schema(width))
             .option("header", True).option("sep", sep).option("encoding", "UTF-8")
+            .option("quote", '"').option("escape", '"')  # RFC 4180: a quote inside quotes is doubled
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
             .option("multiLine", multi_line)
             .csv(paths))

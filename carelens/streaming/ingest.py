@@ -32,6 +32,7 @@ def ingest_stream(spark: SparkSession, landing_dir: str, header: list[str] | Non
     disable_csv_pruning(spark)
     reader = (spark.readStream.schema(csv_schema(len(header)))
               .option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
+              .option("quote", '"').option("escape", '"')
               .option("columnNameOfCorruptRecord", "_corrupt_record"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -58,3 +58,27 @@ def test_numbers_match_pandas_to_numeric(spark):
                 1.0, abs(float(theirs))), raw
         checked += 1
     assert checked > 2500
+
+
+def test_reader_matches_pandas_read_csv(spark, workdir):
+    import csv
+    import os
+
+    from carelens.schema import NULL_TOKENS
+    from carelens.sources.delimited import read_discharge_file
+
+    rnd = random.Random(3)
+    pieces = ["a", "b c", "x,y", 'say "hi"', " NA ", "NA", "", " ", "null", "N/A", "nan", "#N/A", "\\", "é"]
+    headers = ["Facility Name", "Race", "Ethnicity", "Discharge Year", "CCSR Diagnosis Code", "Length of Stay"]
+    rows = [[rnd.choice(pieces) for _ in headers] for _ in range(400)]
+    path = os.path.join(workdir, "quoting.csv")
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        csv.writer(f, quoting=csv.QUOTE_MINIMAL).writerows([headers] + rows)
+    theirs = pd.read_csv(path, dtype="string", na_values=["", " ", "N/A", "NA", "NULL", "null"],
+                         keep_default_na=True)
+    mine = read_discharge_file(spark, path).orderBy("source_row_number").select(
+        "facility_name", "race", "ethnicity", "discharge_year", "ccsr_diagnosis_code", "length_of_stay").collect()
+    assert len(mine) == len(theirs)
+    for got, (_, want) in zip(mine, theirs.iterrows()):
+        assert [None if v is pd.NA else v for v in want.tolist()] == list(got)
+    assert set(NULL_TOKENS) >= {"", " ", "NA", "null", "N/A", "nan", "#N/A"}
