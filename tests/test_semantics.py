@@ -82,3 +82,19 @@ def test_reader_matches_pandas_read_csv(spark, workdir):
     for got, (_, want) in zip(mine, theirs.iterrows()):
         assert [None if v is pd.NA else v for v in want.tolist()] == list(got)
     assert set(NULL_TOKENS) >= {"", " ", "NA", "null", "N/A", "nan", "#N/A"}
+
+
+def test_blank_lines_take_no_ordinal(spark, workdir):
+    import os
+
+    from carelens.sources.delimited import read_discharge_file
+
+    path = os.path.join(workdir, "blank.csv")
+    with open(path, "w") as f:
+        f.write("Facility Name,Discharge Year,CCSR Diagnosis Code,Length of Stay\n")
+        f.write("A,2021,D1,3\n\n\nB,2021,D1,3\n,,,\n\nC,2021,D1,3\n")
+    theirs = pd.read_csv(path, dtype="string")
+    want = [(None if v is pd.NA else v, i + 2) for i, v in enumerate(theirs["Facility Name"])]
+    got = [(r["facility_name"], r["source_row_number"])
+           for r in read_discharge_file(spark, path).orderBy("source_row_number").collect()]
+    assert got == want
