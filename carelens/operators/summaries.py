@@ -154,6 +154,15 @@ _SETS: dict[str, tuple[list[str], list[str], list[str]]] = {
         ["apr_mdc_code", "apr_drg_code", "ccsr_diagnosis_code"]),
 }
 
+# Summaries rolled up from a finer set instead of being expanded themselves:
+# summary -> (finer summary, keys kept, descriptions collapsed).  Every set
+# carries every measure, so a roll-up is exact (sums of sums).
+_ROLLUPS: dict[str, tuple[str, list[str], list[str]]] = {
+    "hospital_operation_summary": ("patient_disposition_summary", [], []),
+    "disease_system_summary": ("disease_drilldown_summary", ["apr_mdc_code"], ["apr_mdc_description"]),
+    "diagnosis_summary": ("disease_drilldown_summary", ["ccsr_diagnosis_code"], ["ccsr_diagnosis_description"]),
+}
+
 # Which measures each summary keeps (beyond discharge_count).
 _MEASURES: dict[str, list[str]] = {
     "patient_age_gender_summary": [],
@@ -178,7 +187,9 @@ def grouping_sets_aggregate(fact: DataFrame) -> DataFrame:
     """One pass over the fact computing every summary's groups, tagged by ``_gid``.
 
     The fact is read once; Spark expands each row into the ten grouping sets
-    and partially aggregates them before one shuffle.  Every measure is a
+    and partially aggregates them before one shuffle.  Sets that are roll-ups
+    of a finer set (see ``_ROLLUPS``) are not expanded; ``split_summary``
+    re-aggregates them from the finer set's small result.  Every measure is a
     fixed-width count or decimal sum, so it stays a hash aggregate;
     descriptions are grouping keys here and are collapsed per code later on
     the (small) group-level result.  The medical/surgical set keys on the
@@ -189,7 +200,7 @@ def grouping_sets_aggregate(fact: DataFrame) -> DataFrame:
     kinds = F.trim(F.col("apr_medical_surgical_description")).isin("Medical", "Surgical")
     src = fact.withColumn(_MS_KEY, F.when(kinds, F.col("apr_medical_surgical_description")))
     keys = _all_keys()
-    sets = [[*SCOPE, *own] for own, _, _ in _SETS.values()]
+    sets = [[*SCOPE, *own] for name, (own, _, _) in _SETS.items() if name not in _ROLLUPS]
     return src.groupingSets(sets, *keys).agg(
         F.grouping_id().alias("_gid"),
         *_base(),
@@ -209,11 +220,28 @@ def _gid(own: list[str]) -> int:
     return sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in members)
 
 
+_ALL_MEASURES = ["length_of_stay_sum", "total_charges_sum", "total_costs_sum", "charge_cost_gap_sum",
+                 "emergency_charges_sum", "non_emergency_charges_sum", "emergency_costs_sum",
+                 "non_emergency_costs_sum", "emergency_yes_count", "emergency_known_count"]
+
+
+def _sum_measure(m: str) -> Column:
+    out = F.sum(m)
+    return (out.cast("long") if m.endswith("_count") else out.cast(DEC_SUM)).alias(m)
+
+
 def split_summary(groups: DataFrame, name: str) -> DataFrame:
     """One summary table out of ``grouping_sets_aggregate``; same schema as ``SUMMARIES[name]``."""
+    measures = _MEASURES.get(name, _BASE_SUMS)
+    if name in _ROLLUPS:
+        finer, codes, descriptions = _ROLLUPS[name]
+        rows = groups.where(F.col("_gid") == _gid(_SETS[finer][0]))
+        return rows.groupBy(*SCOPE, *codes).agg(
+            *[F.max(d).alias(d) for d in descriptions],
+            F.sum("discharge_count").cast("long").alias("discharge_count"),
+            *[_sum_measure(m) for m in measures])
     own, descriptions, codes = _SETS[name]
     rows = groups.where(F.col("_gid") == _gid(own))
-    measures = _MEASURES.get(name, _BASE_SUMS)
     if name == "patient_medical_surgical_summary":
         rows = rows.where(F.col(_MS_KEY).isNotNull()).withColumnRenamed(_MS_KEY, "apr_medical_surgical_description")
         own = ["apr_medical_surgical_description"]
@@ -221,5 +249,5 @@ def split_summary(groups: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(*SCOPE, *codes).agg(
             *[F.max(d).alias(d) for d in descriptions],
             F.sum("discharge_count").cast("long").alias("discharge_count"),
-            *[F.sum(m).cast(DEC_SUM).alias(m) for m in measures])
+            *[_sum_measure(m) for m in measures])
     return rows.select(*SCOPE, *own, "discharge_count", *measures)

@@ -16,6 +16,7 @@ import argparse
 import json
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -56,29 +57,38 @@ def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_yea
 
 
 def summarise(spark: SparkSession, fact_location, out_dir: str, tables: list[str] | None = None,
-              single_pass: bool = True) -> list[str]:
+              single_pass: bool = True, parallel_writes: int = 4) -> list[str]:
     """Rebuild the summary tables from the fact.
 
     ``single_pass`` (default) reads the fact once: one grouping-sets
     aggregate computes every summary's groups, is written under
-    ``spark.checkpoint.dir``, and each table is split out of that small
-    result.  On a cluster reading a large fact from remote storage the scan
-    dominates, and this reads each needed column once instead of once per
-    table.  ``single_pass=False`` runs one column-pruned aggregation per table,
-    which is faster when the fact is small or cached locally.
+    ``spark.checkpoint.dir`` partitioned by grouping id, and each table is
+    split out of its own partition.  On a cluster reading a large fact from
+    remote storage the scan dominates, and this reads each needed column
+    once instead of once per table.  ``single_pass=False`` runs one
+    column-pruned aggregation per table.
+
+    The table writes are independent Spark jobs; ``parallel_writes`` of them
+    are submitted at once (Spark schedules concurrent jobs from separate
+    threads), so small tables do not leave the cluster idle between jobs.
     """
     fact = read_fact(spark, fact_location)
     names = tables or list(SUMMARIES)
     if single_pass:
         run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-summaries-{uuid.uuid4().hex}"
-        grouping_sets_aggregate(fact).write.parquet(run)
+        # partitioned by grouping id: each table's split reads only its own set
+        grouping_sets_aggregate(fact).write.partitionBy("_gid").parquet(run)
         groups = spark.read.parquet(run)
         build = lambda name: split_summary(groups, name)
     else:
         build = lambda name: SUMMARIES[name](fact)
-    for name in names:
+
+    def write(name: str) -> str:
         write_summary(with_updated_at(build(name)), f"{out_dir.rstrip('/')}/{name}")
-    return names
+        return name
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_writes)) as pool:
+        return list(pool.map(write, names))
 
 
 # serving query name -> (summary table, function)
