@@ -339,3 +339,16 @@ register("q_top_diagnoses_top1_county", _on("diagnosis_summary", Q.top_diagnoses
 register("q_disposition_top1_facility",
          _on("patient_disposition_summary", Q.disposition, scope=_scope(FACILITY), limit=1),
          O.disposition_sql(FACILITY, limit=1))
+
+
+# --- C1-C10 again, as the summarise job builds them by default: one scan -----
+
+from carelens.operators.summaries import grouping_sets_aggregate, split_summary  # noqa: E402
+
+
+def _single_scan_query(table: str) -> Query:
+    return lambda spark, sf_dir: comparable(split_summary(grouping_sets_aggregate(discharges(spark, sf_dir)), table))
+
+
+for _table, _key in _SUMMARY_KEYS.items():
+    register(_key.replace("summary_", "summary_single_scan_"), _single_scan_query(_table), ORACLE[_key])
