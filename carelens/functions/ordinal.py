@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from carelens.functions.sizing import broadcast_bounded
 from carelens.session import checkpoint_dir
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
+MAX_PARTITIONS = 1_000_000
 
 
 def number_rows(df: DataFrame, order: list[Column | str], name: str, start: int = 1) -> DataFrame:
@@ -28,12 +30,12 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str, start: int
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
         .checkpoint(eager=True)
     )
-    # One row per partition: bounded by the partition count, so broadcasting it is safe.
+    # One row per partition (bounded by the partition count); checked before broadcasting.
     sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (
-        tagged.join(F.broadcast(offsets), "_part")
+        tagged.join(broadcast_bounded(offsets, MAX_PARTITIONS), "_part")
         .withColumn(name, (F.col("_off") + F.col("_pos") + start).cast("long"))
         .drop("_part", "_pos", "_off")
     )
