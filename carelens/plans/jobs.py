@@ -20,7 +20,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carelens.operators import serving
+from carelens.operators import charts, serving
+from carelens.operators.report import report_facts
 from carelens.operators.clean import clean_records, collapse_duplicates, stage
 from carelens.operators.load import append_new
 from carelens.operators.quality import COUNTERS, quality_summary
@@ -110,9 +111,16 @@ SERVING = {
     "severity": ("patient_risk_summary", serving.severity),
     "drilldown": ("disease_drilldown_summary", serving.drilldown),
     "breadcrumb": ("disease_drilldown_summary", serving.breadcrumb),
+    "chart_payment_buckets": ("patient_payment_summary", charts.payment_buckets),
+    "chart_age_gender_pivot": ("patient_age_gender_summary", charts.age_gender_pivot),
+    "chart_admission_emergency": ("patient_admission_emergency_summary", charts.admission_emergency_split),
+    "chart_systems_top10": ("disease_system_summary", charts.systems_top10),
+    "chart_hospital_bubbles": ("hospital_operation_summary", charts.hospital_bubbles),
+    "chart_drilldown_bubbles": ("disease_drilldown_summary", charts.drilldown_bubbles),
 }
 
-_SCOPED = {"age_gender", "payment", "disposition", "admission_emergency", "medical_surgical", "kpi",
+_SCOPED = {"chart_payment_buckets", "chart_age_gender_pivot", "chart_admission_emergency", "chart_systems_top10",
+           "chart_hospital_bubbles", "chart_drilldown_bubbles", "age_gender", "payment", "disposition", "admission_emergency", "medical_surgical", "kpi",
            "hospital_resources", "hospital_ranking", "hospital_comparison", "disease_systems", "top_diagnoses",
            "severity", "drilldown", "breadcrumb"}
 
@@ -128,6 +136,19 @@ def serve(spark: SparkSession, summary_dir: str, query: str, **params) -> tuple[
     return fn(summary, **params), serving.latest_updated_at(summary)
 
 
+def report(spark: SparkSession, summary_dir: str, report_type: str, **scope) -> DataFrame:
+    """Fact pack of one report type under a scope (long rows: section, position, metric, value_text)."""
+    return report_facts(FolderSummaries(spark, summary_dir), report_type, serving.Scope.of(
+        scope.get("hospital_service_area"), scope.get("hospital_county"), scope.get("facility_name")))
+
+
+def log_quality(spark: SparkSession, counters: dict[str, int], sources: list[str], quality_log: str) -> None:
+    """Append one load's counters (with its files and time) to a quality log table."""
+    row = {**counters, "sources": ",".join(sources)}
+    spark.createDataFrame([row]).withColumn("loaded_at", F.current_timestamp()).write.mode("append").parquet(
+        quality_log)
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="carelens")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -136,6 +157,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--target", required=True, help="Parquet path, or a catalog table name (created bucketed)")
     a.add_argument("--current-year", type=int)
     a.add_argument("--multi-line", action="store_true")
+    a.add_argument("--quality-log", help="append the load's counters to this Parquet table")
     s = sub.add_parser("summarise")
     s.add_argument("--fact", required=True)
     s.add_argument("--out", required=True)
@@ -145,15 +167,29 @@ def main(argv: list[str] | None = None) -> None:
     q.add_argument("query", choices=sorted(SERVING))
     q.add_argument("--param", action="append", default=[], help="name=value")
     q.add_argument("--rows", type=int, default=100)
+    r = sub.add_parser("report")
+    r.add_argument("--summaries", required=True)
+    r.add_argument("report_type", choices=["comprehensive", "operations", "patient", "disease"])
+    r.add_argument("--param", action="append", default=[], help="scope column=value")
+    r.add_argument("--out", help="write the facts as Parquet here instead of printing them")
     args = ap.parse_args(argv)
     spark = build_session(app_name=f"carelens-{args.cmd}")
     if args.cmd == "ingest":
         for p in args.sources:
             if "://" not in p and not os.path.isfile(p):
                 raise FileNotFoundError(f"Source file not found: {p}")
-        print(json.dumps(ingest(spark, args.sources, args.target, args.current_year, args.multi_line)))
+        counters = ingest(spark, args.sources, args.target, args.current_year, args.multi_line)
+        if args.quality_log:
+            log_quality(spark, counters, args.sources, args.quality_log)
+        print(json.dumps(counters))
     elif args.cmd == "summarise":
         print(json.dumps(summarise(spark, args.fact, args.out, single_pass=not args.per_table)))
+    elif args.cmd == "report":
+        facts = report(spark, args.summaries, args.report_type, **dict(kv.split("=", 1) for kv in args.param))
+        if args.out:
+            facts.write.mode("overwrite").parquet(args.out)
+        else:
+            facts.orderBy("section", "position", "metric").show(1000, truncate=False)
     else:
         params = dict(kv.split("=", 1) for kv in args.param)
         for k in ("limit", "page", "page_size"):
