@@ -42,7 +42,12 @@ def _metrics(report_type: str, section: str, base: DataFrame, metrics: list[tupl
 
 def _table(report_type: str, section: str, answer: DataFrame, order: list[Column],
            cells: list[tuple[str, Column]], position: Column | None = None) -> DataFrame:
-    """Cells of each answer row; ``position`` numbers the rows (the answer is small)."""
+    """Cells of each answer row; ``position`` numbers the rows.
+
+    The answers tabulated here are top-N lists or categorical breakdowns
+    (payment types, medical/surgical): their size is bounded by a code list,
+    not by the data, so numbering them in one ordered window is cheap.
+    """
     pos = position if position is not None else F.row_number().over(Window.orderBy(*order))
     numbered = answer.select(pos.cast("int").alias("position"),
                              *[value.alias(f"_v{i}") for i, (_, value) in enumerate(cells)])
