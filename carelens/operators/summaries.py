@@ -251,3 +251,40 @@ def split_summary(groups: DataFrame, name: str) -> DataFrame:
             F.sum("discharge_count").cast("long").alias("discharge_count"),
             *[_sum_measure(m) for m in measures])
     return rows.select(*SCOPE, *own, "discharge_count", *measures)
+
+
+# ---------------------------------------------------------------------------
+# incremental maintenance: fold a load's new records into existing summaries
+# ---------------------------------------------------------------------------
+
+# Description columns of each summary (collapsed with max); every other
+# non-measure column is a key.
+DESCRIPTIONS: dict[str, list[str]] = {
+    "disease_system_summary": ["apr_mdc_description"],
+    "diagnosis_summary": ["ccsr_diagnosis_description"],
+    "patient_risk_summary": ["apr_severity_description"],
+    "disease_drilldown_summary": ["apr_mdc_description", "apr_drg_description", "ccsr_diagnosis_description"],
+}
+
+
+def _is_measure(column: str) -> bool:
+    return column == "discharge_count" or column.endswith("_sum") or column.endswith("_count")
+
+
+def merge_summary(name: str, current: DataFrame, delta: DataFrame) -> DataFrame:
+    """``current`` + ``delta`` re-aggregated at the summary's grain (both without ``updated_at``).
+
+    Exact because every measure is additive (counts, decimal sums) and
+    descriptions are ``max``; the work is proportional to the summary's size
+    plus the new records, not to the fact.
+    """
+    columns = [c for c in delta.columns if c != "updated_at"]
+    descriptions = DESCRIPTIONS.get(name, [])
+    keys = [c for c in columns if not _is_measure(c) and c not in descriptions]
+    both = current.select(*columns).unionByName(delta.select(*columns))
+    aggs = [F.max(d).alias(d) for d in descriptions]
+    for c in columns:
+        if _is_measure(c):
+            total = F.sum(c)
+            aggs.append((total.cast("long") if c.endswith("_count") else total.cast(DEC_SUM)).alias(c))
+    return both.groupBy(*keys).agg(*aggs).select(*columns)

@@ -18,14 +18,17 @@ import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from carelens.operators import charts, serving
 from carelens.operators.report import report_facts
 from carelens.operators.clean import clean_records, collapse_duplicates, stage
-from carelens.operators.load import append_new
+from carelens.operators.load import append_new, new_records, read_target
 from carelens.operators.quality import COUNTERS, quality_summary
-from carelens.operators.summaries import SUMMARIES, grouping_sets_aggregate, split_summary, with_updated_at
+from carelens.operators.summaries import (
+    SUMMARIES, grouping_sets_aggregate, merge_summary, split_summary, with_updated_at,
+)
 from carelens.plans.catalog import FolderSummaries
 from carelens.session import build_session, checkpoint_dir
 from carelens.sources.delimited import number_records, read_tagged
@@ -33,16 +36,22 @@ from carelens.sources.tables import read_fact, write_summary
 
 
 def ingest(spark: SparkSession, sources: str | list[str], target: str, current_year: int | None = None,
-           multi_line: bool = False) -> dict[str, int]:
+           multi_line: bool = False, summary_dir: str | None = None) -> dict[str, int]:
     """Clean the source files and append their new records to the fact at ``target``.
 
-    Returns the quality counters plus ``long_rows`` (quarantined lines).
+    Returns the quality counters plus ``long_rows`` (quarantined lines).  With
+    ``summary_dir``, the summaries there are updated from the new records only.
     """
-    return load_tagged(spark, read_tagged(spark, sources, multi_line), target, current_year)
+    return load_tagged(spark, read_tagged(spark, sources, multi_line), target, current_year, summary_dir)
 
 
-def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_year: int | None = None) -> dict[str, int]:
-    """Tagged raw records (reader output) -> cleaned, de-duplicated, appended; returns the counters."""
+def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_year: int | None = None,
+                summary_dir: str | None = None) -> dict[str, int]:
+    """Tagged raw records (reader output) -> cleaned, de-duplicated, appended; returns the counters.
+
+    With ``summary_dir`` the summaries there are brought up to date from the
+    appended records alone (see ``update_summaries``).
+    """
     run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-ingest-{uuid.uuid4().hex}"
     # 1. parse + clean row by row (one narrow pass over the text), keep position tags
     stage(tagged, current_year).write.parquet(f"{run}/staged")
@@ -52,11 +61,45 @@ def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_yea
     collapse_duplicates(number_records(staged)).write.parquet(f"{run}/collapsed")
     collapsed = spark.read.parquet(f"{run}/collapsed")
     # 3. anti-join against the target and append; counters from the collapsed records
-    inserted = append_new(spark, clean_records(collapsed), target)
+    if summary_dir is None:
+        inserted = append_new(spark, clean_records(collapsed), target)
+    else:
+        # keep the appended rows: they are the only input the summary update needs
+        fresh = new_records(clean_records(collapsed), read_target(spark, target))
+        fresh.write.parquet(f"{run}/fresh")
+        fresh = spark.read.parquet(f"{run}/fresh")
+        inserted = append_new(spark, fresh, target)
+        update_summaries(spark, fresh, summary_dir, f"{run}/summaries")
     row = quality_summary(collapsed, inserted).first().asDict()
     return {**{k: int(row[k]) for k in COUNTERS}, "long_rows": int(long_rows)}
 
 
+def update_summaries(spark: SparkSession, new_rows: DataFrame, summary_dir: str, scratch: str,
+                     parallel_writes: int = 4) -> list[str]:
+    """Fold newly loaded fact rows into the summary tables at ``summary_dir``.
+
+    Each summary is re-aggregated from (its current rows + the summary of the
+    new rows), which equals a rebuild from the whole fact because every
+    measure is additive; the fact itself is not read.  The merged table is
+    written to ``scratch`` first, because a path cannot be overwritten while
+    it is being read, and then copied into place.
+    """
+    def one(name: str) -> str:
+        delta = SUMMARIES[name](new_rows)
+        path = f"{summary_dir.rstrip('/')}/{name}"
+        try:
+            current = spark.read.parquet(path)
+        except AnalysisException:
+            current = None
+        merged = delta if current is None else merge_summary(name, current, delta)
+        write_summary(with_updated_at(merged), f"{scratch}/{name}")
+        write_summary(spark.read.parquet(f"{scratch}/{name}"), path)
+        return name
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_writes)) as pool:
+        return list(pool.map(one, list(SUMMARIES)))
+
+
 def summarise(spark: SparkSession, fact_location, out_dir: str, tables: list[str] | None = None,
               single_pass: bool = True, parallel_writes: int = 4) -> list[str]:
     """Rebuild the summary tables from the fact.
@@ -158,6 +201,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--current-year", type=int)
     a.add_argument("--multi-line", action="store_true")
     a.add_argument("--quality-log", help="append the load's counters to this Parquet table")
+    a.add_argument("--summaries", help="update the summaries in this folder from the new records only")
     s = sub.add_parser("summarise")
     s.add_argument("--fact", required=True)
     s.add_argument("--out", required=True)
@@ -178,7 +222,7 @@ def main(argv: list[str] | None = None) -> None:
         for p in args.sources:
             if "://" not in p and not os.path.isfile(p):
                 raise FileNotFoundError(f"Source file not found: {p}")
-        counters = ingest(spark, args.sources, args.target, args.current_year, args.multi_line)
+        counters = ingest(spark, args.sources, args.target, args.current_year, args.multi_line, args.summaries)
         if args.quality_log:
             log_quality(spark, counters, args.sources, args.quality_log)
         print(json.dumps(counters))

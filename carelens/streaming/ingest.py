@@ -42,13 +42,17 @@ def ingest_stream(spark: SparkSession, landing_dir: str, header: list[str] | Non
 def start_ingest(spark: SparkSession, landing_dir: str, target: str, checkpoint_location: str,
                  quality_log: str, header: list[str] | None = None, sep: str = ",",
                  current_year: int | None = None, available_now: bool = False,
-                 max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the continuous ingest; ``available_now`` processes what is there and stops."""
+                 max_files_per_trigger: int | None = None, summary_dir: str | None = None) -> StreamingQuery:
+    """Start the continuous ingest; ``available_now`` processes what is there and stops.
+
+    With ``summary_dir`` every micro-batch also folds its new records into the
+    summary tables there, so they stay current without rescanning the fact.
+    """
 
     def load_batch(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        counters = load_tagged(spark, with_positions(batch), target, current_year)
+        counters = load_tagged(spark, with_positions(batch), target, current_year, summary_dir)
         row = {"epoch_id": int(epoch_id), **counters}
         spark.createDataFrame([row]).withColumn("loaded_at", F.current_timestamp()) \
             .write.mode("append").parquet(quality_log)

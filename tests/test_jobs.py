@@ -25,3 +25,28 @@ def test_cli_ingest_summarise_serve_report(spark, workdir, capsys):
     got = {(r["section"], r["metric"]): r["value_text"] for r in facts.where("position = 0").collect()}
     assert got[("kpi", "discharge_count")] == "30" and got[("operations", "ranked_hospitals")] == "3"
     assert json.loads(json.dumps(counters))["clean_rows"] == 30
+
+
+def test_incremental_summaries_equal_rebuild(spark, workdir):
+    from pyspark.sql import functions as F
+
+    day1 = [row(**{"Facility Name": f"Fac {i % 4}", "Race": f"r{i}", "APR MDC Code": f"M{i % 3}",
+                   "APR MDC Description": f"Sys {i % 3}", "Type of Admission": "Emergency" if i % 2 else "Urgent",
+                   "Emergency Department Indicator": "Y" if i % 3 else None}) for i in range(40)]
+    day2 = day1[:10] + [row(**{"Facility Name": f"Fac {i % 5}", "Race": f"s{i}", "APR MDC Code": f"M{i % 4}",
+                               "APR MDC Description": f"System {i % 4}", "Total Charges": None})
+                        for i in range(25)]
+    p1 = write(os.path.join(workdir, "day1.csv"), HEADERS, day1)
+    p2 = write(os.path.join(workdir, "day2.csv"), HEADERS, day2)
+    fact, inc, full = (os.path.join(workdir, n) for n in ("fact", "incremental", "rebuilt"))
+    jobs.ingest(spark, p1, fact, current_year=2024, summary_dir=inc)
+    second = jobs.ingest(spark, p2, fact, current_year=2024, summary_dir=inc)
+    assert second["inserted_rows"] == 25
+    jobs.summarise(spark, fact, full)
+    from carelens.operators.summaries import SUMMARIES
+    for name in SUMMARIES:
+        a = spark.read.parquet(os.path.join(inc, name)).drop("updated_at")
+        b = spark.read.parquet(os.path.join(full, name)).drop("updated_at").select(*a.columns)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+    assert spark.read.parquet(os.path.join(inc, "hospital_operation_summary")).agg(
+        F.sum("discharge_count")).first()[0] == 65
