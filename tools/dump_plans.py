@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from carelens.operators import serving as Q  # noqa: E402
 from carelens.operators.clean import clean_records, collapse_duplicates, stage  # noqa: E402
 from carelens.operators.load import new_records  # noqa: E402
-from carelens.operators.summaries import grouping_sets_aggregate, split_summary  # noqa: E402
+from carelens.operators.summaries import SUMMARIES, grouping_sets_aggregate, merge_summary, split_summary  # noqa: E402
 from carelens.plans.catalog import FolderSummaries  # noqa: E402
 from carelens.plans.jobs import summarise  # noqa: E402
 from carelens.session import build_session  # noqa: E402
@@ -59,6 +59,9 @@ def main() -> None:
         ("All summaries in one scan (grouping sets, hash aggregate)", grouping_sets_aggregate(fact)),
         ("One summary split out of the grouping-sets result (description collapse)",
          split_summary(spark.read.parquet(f"{work}/fact").transform(grouping_sets_aggregate), "diagnosis_summary")),
+        ("Incremental summary update: current table + summary of the new rows, re-aggregated (no fact scan)",
+         merge_summary("diagnosis_summary", lk("diagnosis_summary").drop("updated_at"),
+                       SUMMARIES["diagnosis_summary"](fact.limit(100)))),
         ("Serving: disposition top-10 in a facility scope (pushed filter, partial agg, take-ordered, scalar total)",
          Q.disposition(lk("patient_disposition_summary"), Q.Scope.of(facility_name="Supplier#000000001"))),
         ("Serving: hospital comparison page 2 (take-ordered with offset, numbered page)",
