@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from carelens.operators import charts, serving
 from carelens.operators.report import report_facts
 from carelens.operators.clean import clean_records, collapse_duplicates, stage
-from carelens.operators.load import append_new, new_records, read_target
+from carelens.operators.load import append_new, read_target
 from carelens.operators.quality import COUNTERS, quality_summary
 from carelens.operators.summaries import (
     SUMMARIES, grouping_sets_aggregate, merge_summary, split_summary, with_updated_at,
@@ -49,8 +49,8 @@ def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_yea
                 summary_dir: str | None = None) -> dict[str, int]:
     """Tagged raw records (reader output) -> cleaned, de-duplicated, appended; returns the counters.
 
-    With ``summary_dir`` the summaries there are brought up to date from the
-    appended records alone (see ``update_summaries``).
+    With ``summary_dir`` the summaries there are then brought up to date from
+    the newly appended fact rows (see ``update_summaries``).
     """
     run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-ingest-{uuid.uuid4().hex}"
     # 1. parse + clean row by row (one narrow pass over the text), keep position tags
@@ -61,39 +61,75 @@ def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_yea
     collapse_duplicates(number_records(staged)).write.parquet(f"{run}/collapsed")
     collapsed = spark.read.parquet(f"{run}/collapsed")
     # 3. anti-join against the target and append; counters from the collapsed records
-    if summary_dir is None:
-        inserted = append_new(spark, clean_records(collapsed), target)
-    else:
-        # keep the appended rows: they are the only input the summary update needs
-        fresh = new_records(clean_records(collapsed), read_target(spark, target))
-        fresh.write.parquet(f"{run}/fresh")
-        fresh = spark.read.parquet(f"{run}/fresh")
-        inserted = append_new(spark, fresh, target)
-        update_summaries(spark, fresh, summary_dir, f"{run}/summaries")
+    inserted = append_new(spark, clean_records(collapsed), target)
+    if summary_dir is not None:
+        update_summaries(spark, target, summary_dir)
     row = quality_summary(collapsed, inserted).first().asDict()
     return {**{k: int(row[k]) for k in COUNTERS}, "long_rows": int(long_rows)}
 
 
-def update_summaries(spark: SparkSession, new_rows: DataFrame, summary_dir: str, scratch: str,
-                     parallel_writes: int = 4) -> list[str]:
-    """Fold newly loaded fact rows into the summary tables at ``summary_dir``.
+# Newest fact ``created_at`` folded into a summary table (same value on every row).
+FOLDED = "_folded_through"
+
+
+def _as_timestamp(micros: int | None):
+    return F.lit(None).cast("timestamp") if micros is None else F.timestamp_micros(F.lit(micros))
+
 
-    Each summary is re-aggregated from (its current rows + the summary of the
-    new rows), which equals a rebuild from the whole fact because every
-    measure is additive; the fact itself is not read.  The merged table is
-    written to ``scratch`` first, because a path cannot be overwritten while
-    it is being read, and then copied into place.
+def _folded_rows(fact: DataFrame, mark: int | None) -> DataFrame:
+    """Fact rows appended after ``mark`` (epoch microseconds; all stamped rows when None).
+
+    The bound folds to a timestamp literal, so the predicate reaches the
+    Parquet scan and files written before the mark are skipped on their
+    ``created_at`` statistics instead of being read.
     """
+    stamped = F.col("created_at").isNotNull()
+    return fact.where(stamped if mark is None else F.col("created_at") > _as_timestamp(mark))
+
+
+def _newest(df: DataFrame, column: str) -> int | None:
+    """Newest timestamp of ``column`` as epoch microseconds (time-zone free); None if empty."""
+    return df.select(F.unix_micros(F.max(column))).first()[0]
+
+
+def _stamped(table: DataFrame, mark: int | None) -> DataFrame:
+    return with_updated_at(table).withColumn(FOLDED, _as_timestamp(mark))
+
+
+def update_summaries(spark: SparkSession, target: str, summary_dir: str, parallel_writes: int = 4) -> list[str]:
+    """Fold fact rows appended since each summary's watermark into it.
+
+    A summary table carries ``_folded_through``, the newest fact
+    ``created_at`` it contains.  Its update reads only newer fact rows,
+    summarises them and merges them into the current rows.  That equals a
+    rebuild because every measure is additive and descriptions are ``max``.
+    Each table moves its own watermark with its rows, so an update cut short
+    by a failure is simply run again: tables already updated fold nothing
+    twice, and the others catch up.  A table without a watermark is rebuilt
+    from the whole fact.
+    """
+    fact = read_target(spark, target)
+
     def one(name: str) -> str:
-        delta = SUMMARIES[name](new_rows)
         path = f"{summary_dir.rstrip('/')}/{name}"
         try:
             current = spark.read.parquet(path)
         except AnalysisException:
             current = None
-        merged = delta if current is None else merge_summary(name, current, delta)
-        write_summary(with_updated_at(merged), f"{scratch}/{name}")
-        write_summary(spark.read.parquet(f"{scratch}/{name}"), path)
+        if current is None or FOLDED not in current.columns:
+            table, mark = SUMMARIES[name](fact), _newest(fact, "created_at")
+        else:
+            mark = _newest(current, FOLDED)
+            newer = _folded_rows(fact, mark)
+            newest = _newest(newer, "created_at")
+            if newest is None:
+                return name
+            table = merge_summary(name, current.drop("updated_at", FOLDED), SUMMARIES[name](newer))
+            mark = newest
+        scratch = f"{checkpoint_dir(spark).rstrip('/')}/carelens-summary-{uuid.uuid4().hex}"
+        # a path cannot be overwritten while it is read: stage the new table, then copy it into place
+        write_summary(_stamped(table, mark), scratch)
+        write_summary(spark.read.parquet(scratch), path)
         return name
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_writes)) as pool:
@@ -118,6 +154,7 @@ def summarise(spark: SparkSession, fact_location, out_dir: str, tables: list[str
     """
     fact = read_fact(spark, fact_location)
     names = tables or list(SUMMARIES)
+    mark = _newest(fact, "created_at")  # watermark for later incremental updates
     if single_pass:
         run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-summaries-{uuid.uuid4().hex}"
         # partitioned by grouping id: each table's split reads only its own set
@@ -128,7 +165,7 @@ def summarise(spark: SparkSession, fact_location, out_dir: str, tables: list[str
         build = lambda name: SUMMARIES[name](fact)
 
     def write(name: str) -> str:
-        write_summary(with_updated_at(build(name)), f"{out_dir.rstrip('/')}/{name}")
+        write_summary(_stamped(build(name), mark), f"{out_dir.rstrip('/')}/{name}")
         return name
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_writes)) as pool:
