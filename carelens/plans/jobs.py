@@ -109,27 +109,39 @@ def update_summaries(spark: SparkSession, target: str, summary_dir: str, paralle
     from the whole fact.
     """
     fact = read_target(spark, target)
+    run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-summaries-{uuid.uuid4().hex}"
 
-    def one(name: str) -> str:
-        path = f"{summary_dir.rstrip('/')}/{name}"
+    def current_of(name: str) -> DataFrame | None:
         try:
-            current = spark.read.parquet(path)
+            current = spark.read.parquet(f"{summary_dir.rstrip('/')}/{name}")
         except AnalysisException:
-            current = None
-        if current is None or FOLDED not in current.columns:
+            return None
+        return current if FOLDED in current.columns else None
+
+    currents = {name: current_of(name) for name in SUMMARIES}
+    marks = {name: _newest(cur, FOLDED) for name, cur in currents.items() if cur is not None}
+    # The rows past a watermark are read from the fact once per distinct watermark
+    # (normally one: every table was last updated together) and kept small in the
+    # checkpoint folder, instead of each table filtering the fact again.
+    newer_by_mark: dict[int | None, DataFrame] = {}
+    for i, mark in enumerate(sorted(set(marks.values()), key=lambda m: -1 if m is None else m)):
+        _folded_rows(fact, mark).write.parquet(f"{run}/newer-{i}")
+        newer_by_mark[mark] = spark.read.parquet(f"{run}/newer-{i}")
+
+    def one(name: str) -> str:
+        path = f"{summary_dir.rstrip('/')}/{name}"
+        current = currents[name]
+        if current is None:
             table, mark = SUMMARIES[name](fact), _newest(fact, "created_at")
         else:
-            mark = _newest(current, FOLDED)
-            newer = _folded_rows(fact, mark)
-            newest = _newest(newer, "created_at")
-            if newest is None:
+            newer = newer_by_mark[marks[name]]
+            mark = _newest(newer, "created_at")
+            if mark is None:
                 return name
             table = merge_summary(name, current.drop("updated_at", FOLDED), SUMMARIES[name](newer))
-            mark = newest
-        scratch = f"{checkpoint_dir(spark).rstrip('/')}/carelens-summary-{uuid.uuid4().hex}"
         # a path cannot be overwritten while it is read: stage the new table, then copy it into place
-        write_summary(_stamped(table, mark), scratch)
-        write_summary(spark.read.parquet(scratch), path)
+        write_summary(_stamped(table, mark), f"{run}/{name}")
+        write_summary(spark.read.parquet(f"{run}/{name}"), path)
         return name
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_writes)) as pool:
