@@ -269,7 +269,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session(app_name=f"carelens-{args.cmd}")
     if args.cmd == "ingest":
         for p in args.sources:
-            if "://" not in p and not os.path.isfile(p):
+            if "://" not in p and not os.path.exists(p):
                 raise FileNotFoundError(f"Source file not found: {p}")
         counters = ingest(spark, args.sources, args.target, args.current_year, args.multi_line, args.summaries)
         if args.quality_log:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -125,6 +126,21 @@ def disable_csv_pruning(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
 
 
+def expand_paths(paths: str | list[str]) -> list[str]:
+    """Files to read: local folders expand to their ``.csv``/``.tsv`` files in name order."""
+    out: list[str] = []
+    for p in [paths] if isinstance(paths, str) else list(paths):
+        local = p[len("file://"):] if p.startswith("file://") else (p if "://" not in p else None)
+        if local is not None and os.path.isdir(local):
+            out += sorted(os.path.join(local, f) for f in os.listdir(local)
+                          if f.lower().endswith((".csv", ".tsv")) and not f.startswith((".", "_")))
+        else:
+            out.append(p)
+    if not out:
+        raise ValueError("no source files to read")
+    return out
+
+
 def read_tagged(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
     """Raw records of one or more files with ``_long`` (quarantine flag) and position tags.
 
@@ -132,7 +148,7 @@ def read_tagged(spark: SparkSession, paths: str | list[str], multi_line: bool =
     ``_block``, ``_pos``.  ``_pos`` orders the kept records of one split.
     ``multi_line`` allows quoted line breaks but makes each file one split.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
+    paths = expand_paths(paths)
     disable_csv_pruning(spark)
     layouts: "OrderedDict[tuple, list[str]]" = OrderedDict()
     for p in paths:

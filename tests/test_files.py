@@ -171,3 +171,14 @@ def test_bucketed_table_target(spark, workdir):
     lines = plan.splitlines()
     scan = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
     assert "Sort" in lines[scan - 1] and "Exchange" not in lines[scan - 1]
+
+
+def test_folder_of_files(spark, workdir):
+    folder = os.path.join(workdir, "drop")
+    os.makedirs(folder)
+    write(os.path.join(folder, "b.csv"), HEADERS, [row(**{"Race": "b"})])
+    write(os.path.join(folder, "a.TSV"), HEADERS, [row(**{"Race": "a"}), row(**{"Race": "c"})], sep="\t")
+    write(os.path.join(folder, "_skip.csv"), HEADERS, [row(**{"Race": "z"})])
+    got = sorted((r["source_file_name"], r["source_row_number"], r["race"])
+                 for r in read_discharge_file(spark, folder).collect())
+    assert got == [("a.TSV", 2, "a"), ("a.TSV", 3, "c"), ("b.csv", 2, "b")]
