@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from carelens.functions.text import strip
 from carelens.operators import serving as Q
-from carelens.schema import PAYMENT_BUCKETS
+from carelens.schema import EMERGENCY_YES, PAYMENT_BUCKETS
 
 
 def _n_when(cond) -> F.Column:
@@ -44,7 +44,7 @@ def age_gender_pivot(age_gender_summary: DataFrame, scope: Q.Scope = Q.ALL) -> D
 
 def admission_emergency_split(admission_summary: DataFrame, scope: Q.Scope = Q.ALL) -> DataFrame:
     """Per admission type: ED = Y versus everything else (N and unknown together)."""
-    yes = F.coalesce(F.col("emergency_department_indicator") == "Y", F.lit(False))
+    yes = F.coalesce(F.col("emergency_department_indicator") == EMERGENCY_YES, F.lit(False))
     return scope.apply(admission_summary).groupBy("type_of_admission").agg(
         _n_when(yes).alias("emergency_count"), _n_when(~yes).alias("non_emergency_count")
     ).orderBy("type_of_admission")

@@ -20,20 +20,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from carelens.functions.numbers import mark_free, parse_numeric_text, to_stored
 from carelens.functions.text import canonical_text, lookup, normalize_text
 from carelens.schema import (
-    ADMISSION_ALIASES, AGE_GROUP_SORT, CODE_DESCRIPTION_PAIRS, DEC_MONEY, EMERGENCY_ALIASES, FACT_COLUMNS,
-    GENDER_ALIASES, HASH_NULL, HASH_SEPARATOR, MEDICAL_SURGICAL_ALIASES, MIN_DISCHARGE_YEAR, NUMERIC_TYPES,
-    RAW_COLUMNS, REDACTED_FACILITY, REQUIRED_VALUES, ZIP_LOCAL, ZIP_OUT_OF_STATE, ZIP_OUT_OF_STATE_TOKEN,
-    ZIP_UNKNOWN,
+    ADMISSION_ALIASES, AGE_GROUP_SORT, CODE_DESCRIPTION_PAIRS, DEC_MONEY, EMERGENCY_ALIASES, EMERGENCY_NO,
+    EMERGENCY_YES, FACT_COLUMNS, GENDER_ALIASES, HASH_NULL, HASH_SEPARATOR, MEDICAL_SURGICAL_ALIASES,
+    MIN_DISCHARGE_YEAR, NEWBORN, NUMERIC_TYPES, RAW_COLUMNS, REDACTED_FACILITY, REQUIRED_VALUES, VALID_LEVEL_CODES,
+    ZIP_LOCAL, ZIP_OUT_OF_STATE, ZIP_OUT_OF_STATE_TOKEN, ZIP_UNKNOWN,
 )
 
 PROVENANCE = ["source_file_name", "source_row_number"]
-FLAGS = ["_invalid", "_mismatch", "_redacted"]
 
 
 def range_rules(current_year: int | Column) -> dict[str, callable]:
     """Value -> Column(bool) violation test per numeric column; NULL is never a violation."""
     year = current_year if isinstance(current_year, Column) else F.lit(current_year)
-    valid_codes = [F.lit(v) for v in (1, 2, 3, 4)]
+    valid_codes = [F.lit(v) for v in VALID_LEVEL_CODES]
     return {
         "length_of_stay": lambda v: v < 0,
         "discharge_year": lambda v: (v < MIN_DISCHARGE_YEAR) | (v > year),
@@ -113,8 +112,8 @@ def stage(raw: DataFrame, current_year: int | Column | None = None) -> DataFrame
     fixed = sx.select(
         *prov,
         *[x for x in RAW_COLUMNS if x not in ("emergency_department_indicator", "birth_weight")],
-        F.when(ed.isin("Y", "N"), ed).alias("emergency_department_indicator"),
-        F.when(c("type_of_admission") == "Newborn", c("birth_weight")).alias("birth_weight"),
+        F.when(ed.isin(EMERGENCY_YES, EMERGENCY_NO), ed).alias("emergency_department_indicator"),
+        F.when(c("type_of_admission") == NEWBORN, c("birth_weight")).alias("birth_weight"),
         lookup(c("age_group"), AGE_GROUP_SORT, "int").alias("age_group_sort"),
         F.when(zip_text == ZIP_OUT_OF_STATE_TOKEN, ZIP_OUT_OF_STATE)
         .when(zip_text.rlike(r"(?U)^\d{3}$"), ZIP_LOCAL)

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from carelens.schema import DEC_SUM, SCOPE_COLUMNS
+from carelens.schema import DEC_SUM, EMERGENCY_NO, EMERGENCY_YES, MEDICAL_SURGICAL_KINDS, SCOPE_COLUMNS
 
 SCOPE = list(SCOPE_COLUMNS)
 
@@ -55,13 +55,13 @@ def admission_emergency(fact: DataFrame) -> DataFrame:
 
 
 def medical_surgical(fact: DataFrame) -> DataFrame:
-    kinds = F.trim(F.col("apr_medical_surgical_description")).isin("Medical", "Surgical")
+    kinds = F.trim(F.col("apr_medical_surgical_description")).isin(*MEDICAL_SURGICAL_KINDS)
     return fact.where(kinds).groupBy(*SCOPE, "apr_medical_surgical_description").agg(*_base())
 
 
 def hospital_operation(fact: DataFrame) -> DataFrame:
     ed = F.col("emergency_department_indicator")
-    yes, no = ed == "Y", ed == "N"
+    yes, no = ed == EMERGENCY_YES, ed == EMERGENCY_NO
     return fact.groupBy(*SCOPE).agg(
         *_base(),
         _sum("charge_cost_gap", "charge_cost_gap_sum"),
@@ -70,7 +70,7 @@ def hospital_operation(fact: DataFrame) -> DataFrame:
         _when_sum(yes, F.col("total_costs"), "emergency_costs_sum"),
         _when_sum(no, F.col("total_costs"), "non_emergency_costs_sum"),
         F.sum(F.when(yes, 1).otherwise(0)).cast("long").alias("emergency_yes_count"),
-        F.sum(F.when(ed.isin("Y", "N"), 1).otherwise(0)).cast("long").alias("emergency_known_count"),
+        F.sum(F.when(ed.isin(EMERGENCY_YES, EMERGENCY_NO), 1).otherwise(0)).cast("long").alias("emergency_known_count"),
     )
 
 
@@ -196,8 +196,8 @@ def grouping_sets_aggregate(fact: DataFrame) -> DataFrame:
     description only where it passes that summary's filter.
     """
     ed = F.col("emergency_department_indicator")
-    yes, no = ed == "Y", ed == "N"
-    kinds = F.trim(F.col("apr_medical_surgical_description")).isin("Medical", "Surgical")
+    yes, no = ed == EMERGENCY_YES, ed == EMERGENCY_NO
+    kinds = F.trim(F.col("apr_medical_surgical_description")).isin(*MEDICAL_SURGICAL_KINDS)
     src = fact.withColumn(_MS_KEY, F.when(kinds, F.col("apr_medical_surgical_description")))
     keys = _all_keys()
     sets = [[*SCOPE, *own] for name, (own, _, _) in _SETS.items() if name not in _ROLLUPS]
@@ -210,7 +210,7 @@ def grouping_sets_aggregate(fact: DataFrame) -> DataFrame:
         _when_sum(yes, F.col("total_costs"), "emergency_costs_sum"),
         _when_sum(no, F.col("total_costs"), "non_emergency_costs_sum"),
         F.sum(F.when(yes, 1).otherwise(0)).cast("long").alias("emergency_yes_count"),
-        F.sum(F.when(ed.isin("Y", "N"), 1).otherwise(0)).cast("long").alias("emergency_known_count"),
+        F.sum(F.when(ed.isin(EMERGENCY_YES, EMERGENCY_NO), 1).otherwise(0)).cast("long").alias("emergency_known_count"),
     )
 
 
