@@ -1,6 +1,6 @@
 """Incremental fact load: only records whose hash is not in the target yet.
 
-The reference behaviour is an insert that ignores duplicate keys; here it is
+The source system inserts while ignoring duplicate keys; here it is
 a left anti join on ``source_row_hash`` followed by an append.  Both sides
 are unique on the hash (the new side was de-duplicated, the target only ever
 receives new hashes), and SHA-256 keys spread evenly over shuffle partitions,

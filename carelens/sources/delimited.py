@@ -106,7 +106,7 @@ def with_positions(untagged: DataFrame) -> DataFrame:
     """Add ``_pos`` (order within the split) to kept rows; quarantined rows get NULL.
 
     Evaluated after the filter, so quarantined rows take no ordinal (the
-    reference's reader skips them).
+    source system's reader skips them).
     """
     kept = untagged.where(~F.col("_long")).withColumn("_pos", F.monotonically_increasing_id())
     quarantined = untagged.where(F.col("_long")).withColumn("_pos", F.lit(None).cast("long"))
@@ -194,5 +194,5 @@ def read_discharge_file(spark: SparkSession, paths: str | list[str], multi_line:
 
 
 def quarantined_rows(tagged: DataFrame) -> DataFrame:
-    """Count of long rows per file (the reference warns and skips them)."""
+    """Count of long rows per file (the source system warns and skips them)."""
     return tagged.where(F.col("_long")).groupBy("source_file_name").agg(F.count(F.lit(1)).alias("long_rows"))
