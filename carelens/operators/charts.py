@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from carelens.functions.format import display_count, display_days, display_money, display_percent
 from carelens.functions.text import strip
 from carelens.operators import serving as Q
 from carelens.schema import EMERGENCY_YES, PAYMENT_BUCKETS
@@ -77,3 +78,17 @@ def drilldown_bubbles(drilldown_summary: DataFrame, level: str, scope: Q.Scope =
     largest = F.greatest(F.coalesce(rows.select(F.max("discharge_count")).scalar(), F.lit(0)), F.lit(1))
     size = F.floor(F.lit(16.0) + F.sqrt(F.col("discharge_count") / largest) * 66 + 0.5).cast("int")
     return rows.select("code", "description", "discharge_count", size.alias("symbol_size"))
+
+
+def kpi_cards(operation: DataFrame, scope: Q.Scope = Q.ALL) -> DataFrame:
+    """The KPI row as the dashboard cards show it (display text per figure)."""
+    k = Q.kpi(operation, scope)
+    return k.select(
+        display_count(F.col("hospital_count")).alias("hospital_count_text"),
+        display_count(F.col("discharge_count")).alias("discharge_count_text"),
+        display_days(F.col("average_length_of_stay")).alias("average_length_of_stay_text"),
+        display_money(F.col("total_charges")).alias("total_charges_text"),
+        display_money(F.col("total_costs")).alias("total_costs_text"),
+        display_money(F.col("average_cost")).alias("average_cost_text"),
+        display_percent(F.col("emergency_ratio")).alias("emergency_ratio_text"),
+    )

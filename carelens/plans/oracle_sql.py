@@ -707,3 +707,28 @@ def report_sql(rt: str) -> str:
             ("discharge_count", _count_t("discharge_count"))]))
     with_ = ", ".join(f"{n} AS ({sql})" for n, sql in ctes.items())
     return f"WITH {with_} " + " UNION ALL ".join(f"({p})" for p in parts)
+
+
+# ---------------------------------------------------------------------------
+# dashboard display variants
+# ---------------------------------------------------------------------------
+
+def _fixed2_sql(x: str) -> str:
+    return f"format('{{:.2f}}', CAST({x} AS DOUBLE))"
+
+
+def _disp_money(x: str) -> str:
+    v = f"CAST({x} AS DOUBLE)"
+    return (f"(CASE WHEN {x} IS NULL THEN '--' WHEN abs({v}) >= 100000000 THEN {_fixed2_sql(f'{v} / 100000000')} || ' 亿' "
+            f"WHEN abs({v}) >= 10000 THEN {_fixed2_sql(f'{v} / 10000')} || ' 万' "
+            f"ELSE format('{{:,}}', CAST(round({v}) AS BIGINT)) END)")
+
+
+def kpi_cards_sql(scope=None) -> str:
+    return (f"SELECT format('{{:,}}', coalesce(hospital_count, 0)) AS hospital_count_text, "
+            f"format('{{:,}}', coalesce(discharge_count, 0)) AS discharge_count_text, "
+            f"CASE WHEN average_length_of_stay IS NULL THEN '--' ELSE {_fixed2_sql('average_length_of_stay')} || ' 天' END "
+            f"AS average_length_of_stay_text, {_disp_money('total_charges')} AS total_charges_text, "
+            f"{_disp_money('total_costs')} AS total_costs_text, {_disp_money('average_cost')} AS average_cost_text, "
+            f"CASE WHEN emergency_ratio IS NULL THEN '--' ELSE {_fixed2_sql('emergency_ratio * 100')} || '%' END "
+            f"AS emergency_ratio_text FROM ({kpi_sql(scope)}) AS k")

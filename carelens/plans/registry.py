@@ -352,3 +352,9 @@ def _single_scan_query(table: str) -> Query:
 
 for _table, _key in _SUMMARY_KEYS.items():
     register(_key.replace("summary_", "summary_single_scan_"), _single_scan_query(_table), ORACLE[_key])
+
+
+# --- F5 display variants: KPI cards -------------------------------------------
+
+for _suffix, _sc in (("", None), ("_facility", FACILITY), ("_empty", {"facility_name": "No Such Facility"})):
+    register(f"chart_kpi_cards{_suffix}", _on(OP, C.kpi_cards, scope=_scope(_sc)), O.kpi_cards_sql(_sc))

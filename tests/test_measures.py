@@ -34,3 +34,14 @@ def test_null_and_zero_denominators(spark):
     got = df.select(ratio(F.col("num"), F.col("den")).alias("r"),
                     average(F.col("total"), F.col("den")).alias("a")).collect()
     assert [(r["r"], r["a"]) for r in got] == [(None, None), (None, None), (0.0, 0.5)]
+
+
+def test_display_formats(spark):
+    from carelens.functions.format import display_count, display_days, display_money, display_percent
+
+    df = spark.createDataFrame([(2.5,), (9999.4,), (12345.0,), (-3.5,), (None,), (123456789.0,)], "v double")
+    got = [r[0] for r in df.select(display_money(F.col("v"))).collect()]
+    assert got == ["3", "9,999", "1.23 万", "-4", "--", "1.23 亿"]
+    row = spark.createDataFrame([(0.1234, 3.5, None)], "r double, d double, n long").select(
+        display_percent(F.col("r")), display_days(F.col("d")), display_count(F.col("n"))).first()
+    assert list(row) == ["12.34%", "3.50 天", "0"]
