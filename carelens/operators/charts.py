@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from carelens.functions.format import display_count, display_days, display_money, display_percent
 from carelens.functions.text import strip
 from carelens.operators import serving as Q
-from carelens.schema import EMERGENCY_YES, PAYMENT_BUCKETS
+from carelens.schema import EMERGENCY_YES, NO_DESCRIPTION, PAYMENT_BUCKETS
 
 
 def _n_when(cond) -> F.Column:
@@ -57,8 +57,9 @@ def systems_top10(system_summary: DataFrame, scope: Q.Scope = Q.ALL) -> DataFram
     order = [F.desc("discharge_count"), F.coalesce(F.col("apr_mdc_code"), F.lit("")).asc()]
     top = rows.orderBy(*order).limit(10)
     return Q.numbered(top, order).select(
-        "position", "apr_mdc_code", "apr_mdc_description",
-        "discharge_count")
+        "position", "apr_mdc_code", "apr_mdc_description", "discharge_count",
+        F.coalesce("apr_mdc_code", F.lit("")).alias("code_label"),
+        F.coalesce("apr_mdc_description", F.lit(NO_DESCRIPTION)).alias("description_label"))
 
 
 def hospital_bubbles(operation: DataFrame, scope: Q.Scope = Q.ALL) -> DataFrame:
@@ -77,7 +78,9 @@ def drilldown_bubbles(drilldown_summary: DataFrame, level: str, scope: Q.Scope =
     rows = Q.drilldown(drilldown_summary, level, scope, apr_mdc_code, apr_drg_code)
     largest = F.greatest(F.coalesce(rows.select(F.max("discharge_count")).scalar(), F.lit(0)), F.lit(1))
     size = F.floor(F.lit(16.0) + F.sqrt(F.col("discharge_count") / largest) * 66 + 0.5).cast("int")
-    return rows.select("code", "description", "discharge_count", size.alias("symbol_size"))
+    label = F.when(F.coalesce(F.length("description"), F.lit(0)) > 0, F.col("description")).otherwise(NO_DESCRIPTION)
+    return rows.select("code", "description", "discharge_count", size.alias("symbol_size"),
+                       label.alias("description_label"))
 
 
 def kpi_cards(operation: DataFrame, scope: Q.Scope = Q.ALL) -> DataFrame:

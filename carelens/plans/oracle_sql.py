@@ -588,7 +588,8 @@ def admission_split_sql(scope=None) -> str:
 
 def systems_top10_sql(scope=None) -> str:
     return (f"SELECT CAST(row_number() OVER (ORDER BY discharge_count DESC, coalesce(apr_mdc_code, '') ASC) AS INTEGER) "
-            f"AS position, apr_mdc_code, apr_mdc_description, discharge_count FROM ({disease_systems_sql(scope)}) AS s "
+            f"AS position, apr_mdc_code, apr_mdc_description, discharge_count, coalesce(apr_mdc_code, '') AS code_label, "
+            f"coalesce(apr_mdc_description, '暂无描述') AS description_label FROM ({disease_systems_sql(scope)}) AS s "
             f"QUALIFY position <= 10")
 
 
@@ -602,7 +603,9 @@ def hospital_bubbles_sql(scope=None) -> str:
 def drilldown_bubbles_sql(level: str, scope=None, mdc=None, drg=None) -> str:
     return (f"WITH d AS ({drilldown_sql(level, scope, mdc, drg)}), m AS (SELECT greatest(coalesce(max(discharge_count), 0), 1) AS largest FROM d) "
             f"SELECT code, description, discharge_count, "
-            f"CAST(floor(CAST(16 AS DOUBLE) + sqrt(discharge_count / largest) * 66 + 0.5) AS INTEGER) AS symbol_size FROM d, m")
+            f"CAST(floor(CAST(16 AS DOUBLE) + sqrt(discharge_count / largest) * 66 + 0.5) AS INTEGER) AS symbol_size, "
+            f"CASE WHEN coalesce(length(description), 0) > 0 THEN description ELSE '暂无描述' END AS description_label "
+            f"FROM d, m")
 
 
 # ---------------------------------------------------------------------------
