@@ -1,8 +1,9 @@
 """Job entry points: ingest files -> fact, fact -> summaries, summaries -> answers.
 
-``python -m carelens.plans.jobs ingest  --target FACT  FILE [FILE ...]``
-``python -m carelens.plans.jobs summarise --fact FACT --out SUMMARY_DIR``
+``python -m carelens.plans.jobs ingest  --target FACT [--summaries DIR] [--quality-log LOG] FILE|FOLDER ...``
+``python -m carelens.plans.jobs summarise --fact FACT --out SUMMARY_DIR [--per-table]``
 ``python -m carelens.plans.jobs serve --summaries SUMMARY_DIR QUERY [--param k=v ...]``
+``python -m carelens.plans.jobs report --summaries SUMMARY_DIR TYPE [--param scope=value ...] [--out DIR]``
 
 Ingest writes its two intermediate results (per-record cleaning output, then
 the de-duplicated records) under ``spark.checkpoint.dir``: each later step
