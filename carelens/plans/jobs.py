@@ -125,9 +125,11 @@ def update_summaries(spark: SparkSession, target: str, summary_dir: str, paralle
     # (normally one: every table was last updated together) and kept small in the
     # checkpoint folder, instead of each table filtering the fact again.
     newer_by_mark: dict[int | None, DataFrame] = {}
+    newest_by_mark: dict[int | None, int | None] = {}
     for i, mark in enumerate(sorted(set(marks.values()), key=lambda m: -1 if m is None else m)):
         _folded_rows(fact, mark).write.parquet(f"{run}/newer-{i}")
         newer_by_mark[mark] = spark.read.parquet(f"{run}/newer-{i}")
+        newest_by_mark[mark] = _newest(newer_by_mark[mark], "created_at")
 
     def one(name: str) -> str:
         path = f"{summary_dir.rstrip('/')}/{name}"
@@ -136,7 +138,7 @@ def update_summaries(spark: SparkSession, target: str, summary_dir: str, paralle
             table, mark = SUMMARIES[name](fact), _newest(fact, "created_at")
         else:
             newer = newer_by_mark[marks[name]]
-            mark = _newest(newer, "created_at")
+            mark = newest_by_mark[marks[name]]
             if mark is None:
                 return name
             table = merge_summary(name, current.drop("updated_at", FOLDED), SUMMARIES[name](newer))
