@@ -4,6 +4,7 @@
 ``python -m carelens.plans.jobs summarise --fact FACT --out SUMMARY_DIR [--per-table]``
 ``python -m carelens.plans.jobs serve --summaries SUMMARY_DIR QUERY [--param k=v ...]``
 ``python -m carelens.plans.jobs report --summaries SUMMARY_DIR TYPE [--param scope=value ...] [--out DIR]``
+``python -m carelens.plans.jobs stream LANDING --target FACT --checkpoint CK --quality-log LOG [--summaries DIR] [--once]``
 
 Ingest writes its two intermediate results (per-record cleaning output, then
 the de-duplicated records) under ``spark.checkpoint.dir``: each later step
@@ -263,6 +264,14 @@ def main(argv: list[str] | None = None) -> None:
     q.add_argument("query", choices=sorted(SERVING))
     q.add_argument("--param", action="append", default=[], help="name=value")
     q.add_argument("--rows", type=int, default=100)
+    st = sub.add_parser("stream", help="ingest files as they arrive in a landing folder")
+    st.add_argument("landing")
+    st.add_argument("--target", required=True)
+    st.add_argument("--checkpoint", required=True, help="streaming checkpoint location (shared storage)")
+    st.add_argument("--quality-log", required=True)
+    st.add_argument("--summaries", help="keep the summaries in this folder up to date")
+    st.add_argument("--current-year", type=int)
+    st.add_argument("--once", action="store_true", help="process the files present now, then stop")
     r = sub.add_parser("report")
     r.add_argument("--summaries", required=True)
     r.add_argument("report_type", choices=["comprehensive", "operations", "patient", "disease"])
@@ -280,6 +289,12 @@ def main(argv: list[str] | None = None) -> None:
         print(json.dumps(counters))
     elif args.cmd == "summarise":
         print(json.dumps(summarise(spark, args.fact, args.out, single_pass=not args.per_table)))
+    elif args.cmd == "stream":
+        from carelens.streaming import start_ingest
+
+        query = start_ingest(spark, args.landing, args.target, args.checkpoint, args.quality_log,
+                             current_year=args.current_year, available_now=args.once, summary_dir=args.summaries)
+        query.awaitTermination()
     elif args.cmd == "report":
         facts = report(spark, args.summaries, args.report_type, **dict(kv.split("=", 1) for kv in args.param))
         if args.out:
