@@ -68,3 +68,11 @@ def test_split_table_falls_back_to_path_key_on_hash_collision(spark, workdir, mo
     got = sorted((r["source_file_name"], r["source_row_number"])
                  for r in delimited.read_discharge_file(spark, [a, b]).collect())
     assert got == [("a.csv", n) for n in range(2, 7)] + [("b.csv", n) for n in range(2, 5)]
+
+
+def test_no_python_evaluation_in_any_catalogue_plan(spark):
+    import __spark_entry__ as E
+
+    for name, query in E.queries().items():
+        plan = plan_of(query(spark, SF_SMALL))
+        assert "EvalPython" not in plan and "PythonUDF" not in plan and "MapInPandas" not in plan, name
