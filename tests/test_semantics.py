@@ -98,3 +98,21 @@ def test_blank_lines_take_no_ordinal(spark, workdir):
     got = [(r["facility_name"], r["source_row_number"])
            for r in read_discharge_file(spark, path).orderBy("source_row_number").collect()]
     assert got == want
+
+
+def test_canonicalize_matches_python(spark):
+    from carelens.functions.text import canonicalize
+    from carelens.schema import EMERGENCY_ALIASES, GENDER_ALIASES
+
+    rnd = random.Random(9)
+    words = ["male", "Male", "MALE", "f", "Female", "fEmAlE", "m", "U", "yes", "No", "true", "1", "0", "ß", "ǆ",
+             "straße", "ﬀ", "é"]
+    values = []
+    for _ in range(2000):
+        w = rnd.choice(words)
+        values.append(rnd.choice(["", " ", "\t", "\xa0"]) + w + rnd.choice(["", " ", "　"]))
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for aliases in (GENDER_ALIASES, EMERGENCY_ALIASES):
+        got = [r[0] for r in df.select(canonicalize(F.col("v"), aliases)).collect()]
+        want = [aliases.get(v.strip().upper(), v.strip() or None) if v.strip() else None for v in values]
+        assert got == want
