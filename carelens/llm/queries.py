@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carelens.llm import packing, token_files
+from carelens.llm import decontaminate, packing, quality, token_files
+from carelens.llm.shared import held_out, pick
 from carelens.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, length=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    rows = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=10)
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return rows.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"),
+                       F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+                       (F.size("hits") > 0).alias("contaminated"))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality")
+    return (quality.score(pick(docs, doc_id="long", text="string"), model)
+            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted")))

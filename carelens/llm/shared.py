@@ -10,12 +10,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from carelens.session import checkpoint_dir
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(),
-         "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+         "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+         "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -83,11 +84,55 @@ def groups_of(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[
         yield first, held
 
 
+def from_text(df: DataFrame, spec: str, fn, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Append the columns of ``spec``, computed by ``fn`` from slices of the ``text`` column.
+
+    ``fn(texts)`` gets a list of texts (null as empty) and returns one list or
+    array per column.  Other columns pass through untouched; ``text`` goes
+    unless ``keep`` names it.
+    """
+    passed = [f for f in df.schema.fields if f.name != "text" or "text" in keep]
+    schema = T.StructType([*passed, *T._parse_datatype_string(spec).fields])
+    kinds = [f.split()[1] for f in spec.split(",")]
+    names = schema.names
+
+    def run(batches):
+        for b in batches:
+            columns = [b.column(f.name) for f in passed]
+            for first, texts in groups_of(b.column("text").to_pylist()):
+                made = [a if isinstance(a, pa.Array) else pa.array(a, type=ARROW[k]) for k, a in zip(kinds, fn(texts))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in columns), *made], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def carry(df: DataFrame, **kinds: str) -> DataFrame:
+    """``pick`` plus the whole row as struct ``row``, for operators that keep or drop rows."""
+    prepare(df.sparkSession)
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.select(*[F.col(f"c{names.index(c)}").cast(kind).alias(c) for c, kind in kinds.items()],
+                        F.struct("*").alias("row"))
+
+
+def carried(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The rows of ``carry(like)`` that are left, with the columns of ``like``."""
+    return df.select("row.*").toDF(*like.columns)
+
+
 def ascii_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8: ``bytes.split`` breaks on exactly those six bytes."""
     return text.encode("utf-8", "surrogatepass").split()
 
 
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def folded_words(text: str) -> list[bytes]:
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, memoised; emptied when it holds ``most`` words."""
 
