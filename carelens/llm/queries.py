@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carelens.llm import decontaminate, packing, quality, token_files
+from carelens.llm import decontaminate, packing, quality, token_files, toxicity, url_filter
 from carelens.llm.shared import held_out, pick
 from carelens.session import checkpoint_dir
 
@@ -67,3 +67,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality.score(pick(docs, doc_id="long", text="string"), model)
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                     (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Domain rules of op1 (fixed values).
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op1_url_filter")
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pick(table(spark, sf_dir, "pages"), page_id="long", url="string")
+    rows = url_filter.judge(pages, RULES, url_filter.train(url_filter.labelled_urls(spark)))
+    return rows.select("page_id", "host", "path", "rule", "verdict")

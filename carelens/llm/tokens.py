@@ -80,7 +80,9 @@ class ChunkEncoder:
         self.heads, self.after_space, self.parts = _Memo(most), _Memo(most), _Memo(most)
 
     def _by_library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        rows = []
+        for lo in range(0, len(chunks), 4096):  # the library's results are large objects
+            rows += [e.ids for e in self.tokenizer.encode_batch_fast(chunks[lo:lo + 4096], add_special_tokens=False)]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         return np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum())), sizes
 
