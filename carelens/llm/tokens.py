@@ -71,7 +71,7 @@ class _Memo(dict):
 class ChunkEncoder:
     """Token ids of whole texts from memoised chunks; memos hold at most ``most`` chunks and one batch."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -86,13 +86,39 @@ class ChunkEncoder:
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         return np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum())), sizes
 
-    def _by_parts(self, prefix: str):
+    def _by_parts(self, prefix: str, memo: _Memo):
+        """Codes new chunks of ``memo``, using the rows it has for the word that a chunk begins with."""
         def code(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            cuts = [[prefix + c] if c.isalpha() else _INSIDE.split(prefix + c) for c in chunks]
-            last = np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
-            rows = self.parts.rows(list(chain.from_iterable(cuts)), self._by_library)
-            ids, ends = self.parts.table.gather(rows)
-            return ids, np.diff(ends[last - 1], prepend=0)
+            known, first, unseen, tails, counts = memo.table.rows, [], [], [], []
+            for c in chunks:
+                parts = [c] if c.isalpha() else _INSIDE.split(c)
+                row = memo.get(parts[0], known)
+                if row < known and len(parts) > 1:
+                    first.append(row)
+                else:
+                    first.append(-1 - len(unseen))
+                    unseen.append(prefix + parts[0])
+                tails += parts[1:]
+                counts.append(len(parts))
+            tail_rows = self.parts.rows(tails, self._by_library)
+            flat, sizes = self._by_library(unseen)
+            # all three sources of parts side by side
+            pool = np.concatenate([memo.table.flat[:memo.table.used], self.parts.table.flat[:self.parts.table.used], flat])
+            shift = memo.table.used + self.parts.table.used
+            counts, first = np.array(counts), np.array(first)
+            ends = np.cumsum(counts)
+            at, size = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int64)
+            head = np.zeros(ends[-1], bool)
+            head[ends - counts] = True
+            at[~head] = self.parts.table.starts[tail_rows] + memo.table.used
+            size[~head] = self.parts.table.sizes[tail_rows]
+            seen, lib = first >= 0, np.cumsum(sizes)
+            where = np.flatnonzero(head)
+            at[where[seen]], size[where[seen]] = memo.table.starts[first[seen]], memo.table.sizes[first[seen]]
+            fresh = -1 - first[~seen]
+            at[where[~seen]], size[where[~seen]] = shift + (lib - sizes)[fresh], sizes[fresh]
+            ids, part_ends = _take(pool, at, size)
+            return ids, np.diff(part_ends[ends - 1], prepend=0)
         return code
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -102,8 +128,8 @@ class ChunkEncoder:
             heads.append(chunks[0])
             rest += chunks[1:]
             sizes.append(len(chunks) - 1)
-        h = self.heads.rows(heads, self._by_parts(""))
-        r = self.after_space.rows(rest, self._by_parts(" "))
+        h = self.heads.rows(heads, self._by_parts("", self.heads))
+        r = self.after_space.rows(rest, self._by_parts(" ", self.after_space))
         head_ids, head_ends = self.heads.table.gather(h)
         ids, ends = self.after_space.table.gather(r)
         ends, head_ends = np.concatenate([[0], ends]), np.concatenate([[0], head_ends])
@@ -137,11 +163,13 @@ class _Ragged:
 
     def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated rows of ``index`` and the end of each."""
-        sizes = self.sizes[index]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[index] - (ends - sizes), sizes) + np.arange(total)
-        return self.flat[at], ends
+        return _take(self.flat, self.starts[index], self.sizes[index])
+
+
+def _take(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
