@@ -25,19 +25,26 @@ MOST_ROWS = 2000
 
 # Labelled urls (fixed values): hosts and paths of the kinds that a crawl should block, and ordinary ones.
 BLOCKED = """
-best-casino.com/win  mega-casino-slots.net/play  online-poker-win.org/bonus  free-bets-today.com/odds
-sports-betting-tips.net/free  bet-win.com/jackpot  lucky-jackpot.net/spin  slot-machines.org/free-spins
-cheap-pills-online.com/buy  buy-pills.net/order  discount-pharmacy.org/cheap  viagra-cheap.com/pills
-generic-meds.net/no-prescription  diet-pills.org/fat-burn  adult-videos.com/watch  adult-chat.net/cams
-xxx-movies.org/free  sex-x-tube.com/video  hot-x-cams.net/live  porn-x.com/xxx  adult-dating.org/girls
-escort-girls.com/city  nude-x-pics.net/gallery  ads-server.com/click  ad-track.net/pixel  track-ads.org/banner
-click-track.com/redirect  pop-ads.net/pop  banner-ads.org/serve  ads.tracker-click.com/go  ad-click-tracking.net/c
-spam-links.com/farm  link-farm.net/links  seo-spam.org/backlinks  content-farm.com/spin  spam-blog.net/post
-farm-links.org/buy  payday-loans.com/fast  quick-cash-loan.net/apply  easy-money-win.org/rich  make-money-fast.com/now
-crypto-double.net/invest  replica-watches.com/shop  fake-rolex.net/cheap  cheap-handbags.org/outlet
-crack-keygen.com/download  warez-torrent.net/free  free-download-crack.org/serial  hacked-games.net/cheats
-win-free-iphone.com/prize  prize-winner.net/claim  free-gift-cards.org/win  cheap-followers.com/likes
-miracle-cure.net/order  hair-loss-pills.com/trial  bonus-bets.org/free  casino-bonus.net/welcome  xxx-adult.com/free
+best-casino.com/win  mega-casino-slots.net/play  www.online-poker-win.org/bonus  free-bets-today.com/odds
+sports-betting-tips.net/free  blog.bet-win.com/jackpot  lucky-jackpot.net/spin  slot-machines.org/free-spins
+www.cheap-pills-online.com/buy  buy-pills.net/order  discount-pharmacy.org/cheap  m.viagra-cheap.com/pills
+generic-meds.net/no-prescription  diet-pills.org/fat-burn  www.adult-videos.com/watch  adult-chat.net/cams
+xxx-movies.org/free  blog.sex-x-tube.com/video  hot-x-cams.net/live  porn-x.com/xxx  www.adult-dating.org/girls
+escort-girls.com/city  nude-x-pics.net/gallery  m.ads-server.com/click  ad-track.net/pixel  track-ads.org/banner
+www.click-track.com/redirect  pop-ads.net/pop  banner-ads.org/serve  blog.ads.tracker-click.com/go  ad-click-tracking.net/c
+spam-links.com/farm  www.link-farm.net/links  seo-spam.org/backlinks  content-farm.com/spin  m.spam-blog.net/post
+farm-links.org/buy  payday-loans.com/fast  www.quick-cash-loan.net/apply  easy-money-win.org/rich  make-money-fast.com/now
+blog.crypto-double.net/invest  replica-watches.com/shop  fake-rolex.net/cheap  www.cheap-handbags.org/outlet
+crack-keygen.com/download  warez-torrent.net/free  m.free-download-crack.org/serial  hacked-games.net/cheats
+win-free-iphone.com/prize  www.prize-winner.net/claim  free-gift-cards.org/win  cheap-followers.com/likes
+blog.miracle-cure.net/order  hair-loss-pills.com/trial  bonus-bets.org/free  www.casino-bonus.net/welcome  xxx-adult.com/free
+casino.example.com/en/5  m.win-casino.example.net/de/40  poker-win.example.org/fr/2  bets.example.com/en/61
+www.free-betting.example.org/es/7  jackpot-win.example.com/en/12  pills.example.org/de/8  blog.cheap-meds.example.net/en/9
+buy-cheap-pills.example.com/fr/33  adult.example.net/es/6  www.adult-xxx.example.org/en/71  x-cams.example.com/de/15
+ads.example.org/en/4  m.ad-tracker.example.net/fr/18  track-click.example.com/en/90  spam.example.com/es/22
+www.spam-links.example.net/en/3  link-farm.example.org/de/6  farm-spam.example.com/en/54  blog.free-spins.example.net/fr/1
+loans.example.com/en/17  fast-cash.example.org/es/28  www.replica.example.net/en/36  warez.example.com/de/44
+free-prize.example.org/en/8  m.slots.example.com/fr/19  www.cheap-viagra.example.net/en/77  blog.porn.example.org/es/5
 """.split()
 ALLOWED = """
 example.com/en  www.example.org/de/12  blog.example.net/fr/3  news.example.com/world/2021  en.wikipedia.org/wiki/Tree
@@ -53,6 +60,12 @@ www.farmers.org/market  nursery.gardens.com/plants  www.clinic.de/termine  thera
 m.thought.com/en/7  www.other.org/fr/1  blog.nation.net/de/4  www.edition.com/en/page  m.there.example.com/es
 station.example.org/en/2  www.tradition.net/en  history.example.net/fr  www.north.org/en/8  thin.example.com/de
 rather.example.net/en/3  www.shine.example.org/es/9  mention.example.com/fr/1  blog.onshore.net/en  www.hand.org/en
+garden.example.org/en/5  www.weather.example.com/de/41  library.example.net/fr/7  m.teacher.example.org/es/20
+athens.example.com/en/33  www.tennis.example.org/en/64  blog.letters.example.com/fr/9  northern.example.org/de/2
+there.example.org/en/18  www.either.example.com/es/72  nature.example.net/de/13  thirteen.example.org/fr/55
+blog.theory.example.com/en/86  www.lantern.example.org/de/30  within.example.com/en/4  m.leather.example.net/fr/3
+thirty.example.org/es/11  onion.example.com/de/97  www.anthem.example.org/en/6  stationery.example.com/fr/21
+mother.example.org/en/70  www.thesis.example.net/es/8  blog.heather.example.org/de/16  notion.example.com/en/25
 """.split()
 
 
@@ -107,7 +120,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     return rows(BLOCKED, 1).unionByName(rows(ALLOWED, 0))
 
 
-def train(labelled: DataFrame, steps: int = 200, rate: float = 8.0, decay: float = 0.002) -> list[float]:
+def train(labelled: DataFrame, steps: int = 300, rate: float = 16.0, decay: float = 0.0005) -> list[float]:
     """Weights by bucket, the intercept's last, from (url, blocked); at most ``MOST_ROWS`` labelled rows."""
     rows = labelled.where("url is not null and blocked is not null").limit(MOST_ROWS + 1)
     host, path = parts(F.col("url"))
