@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carelens.llm import decontaminate, packing, quality, token_files, toxicity, url_filter
+from carelens.llm import decontaminate, minhash, packing, quality, token_files, toxicity, url_filter
 from carelens.llm.shared import held_out, pick
 from carelens.session import checkpoint_dir
 
@@ -85,3 +85,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pick(table(spark, sf_dir, "pages"), page_id="long", url="string")
     rows = url_filter.judge(pages, RULES, url_filter.train(url_filter.labelled_urls(spark)))
     return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
