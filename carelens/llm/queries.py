@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carelens.llm import decontaminate, minhash, packing, quality, token_files, toxicity, url_filter
+from carelens.llm import decontaminate, minhash, packing, quality, substring, token_files, toxicity, url_filter
 from carelens.llm.shared import held_out, pick
 from carelens.session import checkpoint_dir
 
@@ -90,3 +90,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
