@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carelens.llm import decontaminate, embeddings, minhash, packing, quality, substring, token_files, toxicity, url_filter
+from carelens.llm import decontaminate, embeddings, lines, minhash, packing, quality, substring, token_files, toxicity, url_filter
 from carelens.llm.shared import held_out, pick
 from carelens.session import checkpoint_dir
 
@@ -101,3 +101,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_embedding_near_dedup")
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    rows = lines.remove_repeats(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")))
+    left = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return rows.select("doc_id", "n_lines", left.alias("n_left"), F.sha2("text", 256).alias("text_sha256"))
