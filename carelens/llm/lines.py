@@ -249,8 +249,13 @@ def repeats(docs: DataFrame, edits: int = 1, least_docs: int = 2, min_chars: int
             .agg(F.collect_set("at").alias("gone")))
 
 
-def remove_repeats(docs: DataFrame, edits: int = 1, least_docs: int = 2, min_chars: int = 24) -> DataFrame:
-    """``docs`` with repeated lines cut from ``text``; a text that loses every line becomes empty."""
+def remove_repeats(docs: DataFrame, edits: int = 1, least_docs: int = 2, min_chars: int = 24,
+                   drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with repeated lines cut from ``text``.
+
+    A text that loses every line becomes empty; ``drop_emptied`` drops the rows
+    of texts that lost lines and have nothing but blanks left.
+    """
     prepare(docs.sparkSession)
     rows = carry(docs, doc_id="long", text="string")
     gone = repeats(rows, edits, least_docs, min_chars)
@@ -258,5 +263,8 @@ def remove_repeats(docs: DataFrame, edits: int = 1, least_docs: int = 2, min_cha
     rows = rows.join(gone, ["doc", "tie"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    rows = rows.withColumn("text", text)
+    if drop_emptied:
+        rows = rows.where(F.col("gone").isNull() | (F.trim("text", F.lit(BLANKS + "\n")) != ""))
     at = docs.columns.index("text")
-    return carried(rows.select(F.col("row").withField(f"c{at}", text).alias("row")), docs)
+    return carried(rows.select(F.col("row").withField(f"c{at}", F.col("text")).alias("row")), docs)
