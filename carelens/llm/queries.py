@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carelens.llm import decontaminate, embeddings, lines, minhash, packing, quality, substring, token_files, toxicity, url_filter
+from carelens.llm import decontaminate, embeddings, lines, minhash, oracle_sql, packing, quality, substring, token_files, toxicity, url_filter
 from carelens.llm.shared import held_out, pick
 from carelens.session import checkpoint_dir
 
@@ -49,7 +49,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
-@query("op9_decontamination")
+@query("op9_decontamination", oracle_sql.OP9)
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="long", text="string")
     rows = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -87,18 +87,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op5_minhash_near_dedup")
+@query("op5_minhash_near_dedup", oracle_sql.OP5)
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", oracle_sql.OP8)
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op3_embedding_near_dedup")
+@query("op3_embedding_near_dedup", oracle_sql.OP3)
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
