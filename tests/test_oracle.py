@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from carelens.plans.registry import NO_ORACLE, ORACLE, QUERIES
 from conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -30,17 +31,16 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(E.oracle_sql()) <= set(E.queries())
-    from carelens.plans.registry import NO_ORACLE
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == NO_ORACLE, missing
+    assert QUERIES.items() <= E.queries().items() and ORACLE.items() <= E.oracle_sql().items()
+    assert set(QUERIES) - set(ORACLE) == NO_ORACLE
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     cols = sorted(df.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-    rel = con.sql(E.oracle_sql()[name])
+    rel = con.sql(ORACLE[name])
     assert sorted(rel.columns) == cols
     idx = [rel.columns.index(c) for c in cols]
     exp = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
@@ -48,7 +48,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_freshness_is_iso_seconds(spark):
-    v = E.queries()["q_freshness"](spark, SF_SMALL).collect()
+    v = QUERIES["q_freshness"](spark, SF_SMALL).collect()
     assert len(v) == 1 and len(v[0]["updated_at"]) == 25 and v[0]["updated_at"][10] == "T"
 
 

@@ -71,8 +71,8 @@ def test_split_table_falls_back_to_path_key_on_hash_collision(spark, workdir, mo
 
 
 def test_no_python_evaluation_in_any_catalogue_plan(spark):
-    import __spark_entry__ as E
+    from carelens.plans.registry import QUERIES
 
-    for name, query in E.queries().items():
+    for name, query in QUERIES.items():
         plan = plan_of(query(spark, SF_SMALL))
         assert "EvalPython" not in plan and "PythonUDF" not in plan and "MapInPandas" not in plan, name
