@@ -68,7 +68,7 @@ def main() -> None:
     from pyspark.sql import functions as F
     from carelens.schema import HEADER_ALIASES, RAW_COLUMNS
     header_of = {}
-    for header, column in HEADER_ALIASES:
+    for header, column in HEADER_ALIASES.items():
         header_of.setdefault(column, header)
     csv_dir = os.path.join(work, "csv")
     raw_discharges(spark, SF_DIR).select(*[F.col(c).alias(header_of[c]) for c in RAW_COLUMNS]) \

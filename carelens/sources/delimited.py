@@ -33,7 +33,6 @@ from carelens.functions.sizing import broadcast_bounded
 from carelens.functions.text import null_tokens_to_null
 from carelens.schema import HEADER_ALIASES, NULL_TOKENS, RAW_COLUMNS, REQUIRED_HEADERS
 
-_ALIASES = dict(HEADER_ALIASES)
 _OVERFLOW, _CORRUPT = "_overflow", "_corrupt_record"
 TAGS = ["_file", "_block", "_pos"]
 
@@ -69,12 +68,12 @@ def column_positions(header: list[str]) -> dict[str, int]:
     """Fact column -> position of the first header that maps to it; validates mandatory headers."""
     positions: dict[str, int] = {}
     for i, name in enumerate(header):
-        target = _ALIASES.get(name)
+        target = HEADER_ALIASES.get(name)
         if target is not None and target not in positions:
             positions[target] = i
     missing = sorted(set(REQUIRED_HEADERS) - set(positions))
     if missing:
-        raise ValueError(f"Source file is missing required columns: {', '.join(missing)}")
+        raise ValueError(f"no header for {', '.join(missing)} among {header}")
     return positions
 
 

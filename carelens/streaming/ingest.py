@@ -22,7 +22,7 @@ from carelens.plans.jobs import load_tagged
 from carelens.schema import HEADER_ALIASES
 from carelens.sources.delimited import _project, csv_schema, disable_csv_pruning, with_positions
 
-STANDARD_HEADER = [h for h, _ in HEADER_ALIASES if h != "County"]
+STANDARD_HEADER = [h for h in HEADER_ALIASES if h != "County"]
 
 
 def ingest_stream(spark: SparkSession, landing_dir: str, header: list[str] | None = None, sep: str = ",",

@@ -9,7 +9,7 @@ from carelens.plans.jobs import ingest, summarise
 from carelens.schema import HEADER_ALIASES
 from carelens.sources.delimited import read_discharge_file, read_tagged
 
-HEADERS = [h for h, _ in HEADER_ALIASES if h != "County"]  # 33 headers
+HEADERS = [h for h in HEADER_ALIASES if h != "County"]  # 33 headers
 
 
 def row(**kv):
