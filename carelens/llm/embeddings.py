@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from carelens.llm.links import components
-from carelens.llm.shared import batch, cut, mix, pick
+from carelens.llm.shared import batch, by_group, cut, dealt, mix, pick
 
 WIDTH = 2.0  # half a window, in standard deviations of a threshold pair's difference
 STEPS = 10  # quantisation steps in half a window
@@ -95,17 +95,6 @@ def colliding(sketch: np.ndarray, least: int) -> np.ndarray:
     return counts >= least
 
 
-def dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Add (lo, hi): groups of more than ``most`` rows become pairs of blocks; ``mine`` is the row's own block."""
-    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    blocks = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("long")
-    rows = rows.join(large, key, "left").withColumn("blocks", blocks).drop("n")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    rows = rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other")
-    return rows.repartition(key, "lo", "hi")
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, projections: int = 64, miss: float = 1e-6,
                     occupancy: int = 128, most: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every id; links are pairs of cosine ``cosine`` or more."""
@@ -152,34 +141,34 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, projections: int =
 
     placed = reps.mapInArrow(place, spec).select("id", "sketch", F.explode("buckets").alias("bucket"))
 
-    def group(t: pa.Table) -> pa.Table:
+    def group(t: pa.Table):
         ids = t.column("id").to_numpy()
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int16)
         low = smallest_linked(colliding(sketch, least), ids)
         moved = low < ids
-        return pa.table({"a": ids[moved], "b": low[moved]})
+        return ids[moved], low[moved]
 
-    candidates = components(dealt(placed, "bucket", most).groupBy("bucket", "lo", "hi").applyInArrow(group, "a long, b long"))
+    candidates = components(by_group(dealt(placed, "bucket", most), ["bucket", "lo", "hi"], group, "a long, b long"))
     spec = "id long, links long, low long"
 
-    def verify(t: pa.Table) -> pa.Table:
+    def verify(t: pa.Table):
         ids, weight, mine = (t.column(c).to_numpy() for c in ("id", "size", "mine"))
         dims, units = t.column("dim").to_numpy(), t.column("unit")
         links, low = np.zeros(len(ids), np.int64), ids.copy()
         across = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
-            x = _matrix(units.take(pa.array(at, pa.int64())))
+            x = _matrix(units.take(pa.array(at, pa.int64())).combine_chunks())
             linked = x @ x.T >= cosine
             np.fill_diagonal(linked, False)
             if across:  # pairs inside a block belong to that block's own task
                 linked &= mine[at][:, None] != mine[at][None, :]
             links[at] = linked @ weight[at]
             low[at] = smallest_linked(linked, ids[at])
-        return pa.table({"id": ids, "links": links, "low": low})
+        return ids, links, low
 
     inside = reps.join(candidates, "id")
-    found = cut(dealt(inside, "component", most).groupBy("component", "lo", "hi").applyInArrow(verify, spec))
+    found = cut(by_group(dealt(inside, "component", most), ["component", "lo", "hi"], verify, spec))
     whole = components(found.where("low < id").select(F.col("id").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     result = (known.join(classes, "code", "left").join(links, "id", "left").join(whole, "id", "left")

@@ -13,9 +13,13 @@
 
 A band shared by many documents is not expanded into all pairs.  Each bucket's
 members are first compared with one hub, twice with different hubs, and linked
-components are merged; pairs inside a component need no test.  What is left in
-a bucket outside its largest component is then compared with every member of
-another component, so no link between components is lost.
+components are merged; pairs inside a component need no test.  For what is left
+in buckets that more than one component shares, signatures travel to the
+bucket; its tasks compare all pairs across components and emit, instead of
+pairs, one link from each component to the smallest that it may belong to.  The
+sets of each such group of components then meet, and pairs across components
+are compared again and verified until no two of them link.  Buckets and groups
+of more than ``most`` documents are dealt into pairs of blocks.
 
 Null and empty texts have no set and link with nothing; null doc_ids are
 reported alone, without a component; a doc_id that repeats is one document, its
@@ -32,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from carelens.llm.links import components
-from carelens.llm.shared import batch, carried, carry, cut, from_text, mix, pick, window_hashes, word_hashes
+from carelens.llm.shared import (batch, by_group, carried, carry, cut, dealt, from_text, mix, pick, window_hashes,
+                                    word_hashes)
 
 BATCH = 20
 
@@ -79,7 +84,8 @@ def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
     return code.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-6,
+                    most: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     Two documents link if 100 * intersection >= percent * union of their sets.
@@ -117,31 +123,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     sets = cut(sets.groupBy("doc_id").agg(F.min_by(F.struct("sig", "hashes"), F.octet_length("hashes")).alias("d"))
                .select(F.col("doc_id").alias("id"), "d.sig", "d.hashes"))
 
-    links = tested = None
-    for hub in ("low", "any", None):
-        if links is None:
-            pairs = buckets.select(F.col(hub).alias("u"), F.col("id").alias("v"))
-        else:
-            part = cut(buckets.join(components(links), "id", "left")
-                       .select("bucket", "id", "low", "any", F.coalesce("component", "id").alias("component")))
-            ends = part.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-            part = part.join(ends.where("c0 != c1").select("bucket"), "bucket", "left_semi")
-            if hub:
-                pairs = part.select(F.col(hub).alias("u"), F.col("id").alias("v"))
-            else:
-                sizes = part.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-                main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"))
-                rest = (part.join(main, "bucket").where("component != m.component")
-                        .select("bucket", F.col("id").alias("u"), F.col("component").alias("cu")))
-                pairs = (rest.join(part.select("bucket", F.col("id").alias("v"), "component"), "bucket")
-                         .where("cu != component").select("u", "v"))
-        pairs = (pairs.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        checked = cut(verified(pairs, sets, percent, size, miss))
-        links = checked if links is None else links.union(checked)
+    pairs = buckets.select(F.col("low").alias("u"), F.col("id").alias("v"))
+    tested = cut(_ordered(pairs))
+    links = cut(verified(tested, sets, percent, size, miss))
+    part = _shared_by_components(buckets, links)
+    pairs = _ordered(part.select(F.col("any").alias("u"), F.col("id").alias("v")))
+    links = links.union(cut(verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent, size, miss)))
+    part = _shared_by_components(buckets, links)
+    links = links.union(_across(part, sets, percent, size, miss, most))
 
     whole = components(links).withColumnRenamed("id", "rep")
     rep = classes.withColumnRenamed("id", "rep")
@@ -153,10 +142,104 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     return result.unionByName(nameless)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b) with a < b of pairs (u, v)."""
+    return pairs.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def _shared_by_components(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``buckets`` with each id's component, of the buckets that hold more than one."""
+    part = cut(buckets.join(components(links), "id", "left")
+               .withColumn("component", F.coalesce("component", "id")))
+    ends = part.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    return part.join(ends.where("c0 != c1").select("bucket"), "bucket", "left_semi")
+
+
+def _stops(size: int, percent: int, miss: float) -> list[tuple[int, int, int]]:
+    """(start, stop, matches needed up to stop) of each batch of signature values."""
+    ends = [*range(BATCH, size, BATCH), size]
+    return [(a, b, least_matches(b, percent / 100, miss)) for a, b in zip([0, *ends], ends)]
+
+
+def surviving(sig: np.ndarray, component: np.ndarray, mine: np.ndarray, across: bool, stops) -> list[np.ndarray]:
+    """Pairs of rows of different components that no batch prunes: (row, row, matches).
+
+    ``across``: only pairs of different blocks (those inside one belong to another task).
+    """
+    found = [[], [], []]
+    for i in range(len(sig) - 1):
+        rest = np.flatnonzero((component[i + 1:] != component[i]) & ((mine[i + 1:] != mine[i]) | (not across))) + i + 1
+        matches = np.zeros(len(rest), np.int64)
+        for start, stop, need in stops:
+            matches += (sig[rest, start:stop] == sig[i, start:stop]).sum(axis=1)
+            alive = matches >= need
+            rest, matches = rest[alive], matches[alive]
+            if not len(rest):
+                break
+        for column, values in zip(found, (np.full(len(rest), i), rest, matches)):
+            column.append(values)
+    return [np.concatenate([np.empty(0, np.int64), *c]) for c in found]
+
+
+class _Sets(dict):
+    """Disjoint sets of numbers, named by their smallest."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = sorted((self.find(x), self.find(y)))
+        self[y] = x
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _across(part: DataFrame, sets: DataFrame, percent: int, size: int, miss: float, most: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, enough of them to connect what links."""
+    stops = _stops(size, percent, miss)
+
+    def rows_of(t: pa.Table):
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(t.num_rows, size)
+        across = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        component = t.column("component").to_numpy()
+        return component, surviving(sig, component, t.column("mine").to_numpy(), across, stops)
+
+    def maybe(t: pa.Table):
+        component, (i, j, _) = rows_of(t)
+        pairs = np.unique(np.stack([component[i], component[j]], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
+        joined = _Sets()
+        for x, y in pairs.tolist():
+            joined.join(x, y)
+        return list(joined), [joined.find(x) for x in joined]
+
+    def confirm(t: pa.Table):
+        component, (i, j, matches) = rows_of(t)
+        hashes = t.column("hashes")
+        joined, links = _Sets(), []
+        for k in np.argsort(-matches, kind="stable").tolist():
+            x, y = int(component[i[k]]), int(component[j[k]])
+            if joined.find(x) != joined.find(y):
+                one, two = (np.frombuffer(hashes[int(r)].as_buffer(), "<u8") for r in (i[k], j[k]))
+                if _linked(one, two, percent):
+                    joined.join(x, y)
+                    links.append((x, y))
+        return list(zip(*links)) if links else ([], [])
+
+    keys = ["bucket", "lo", "hi"]
+    signed = part.select("bucket", "id", "component").join(sets.select("id", "sig"), "id")
+    groups = components(by_group(dealt(signed, "bucket", most), keys, maybe, "a long, b long"))
+    groups = groups.select(F.col("id").alias("component"), F.col("component").alias("bucket"))
+    members = part.select("id", "component").distinct().join(groups, "component").join(sets, "id")
+    return cut(by_group(dealt(members, "bucket", most), keys, confirm, "a long, b long"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, size: int, miss: float) -> DataFrame:
     """The pairs (a, b) that link: signatures compared in batches, then survivors' whole sets."""
-    stops = [*range(BATCH, size, BATCH), size]
-    need = [least_matches(n, percent / 100, miss) for n in stops]
     spec = "a long, b long"
 
     def prune(batches):
@@ -164,19 +247,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, size: int, miss: f
             if not b.num_rows:
                 continue
             one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, size) for c in ("sig_a", "sig_b"))
-            alive, matches, start = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64), 0
-            for stop, least in zip(stops, need):
+            alive, matches = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
+            for start, stop, need in _stops(size, percent, miss):
                 matches[alive] += (one[alive, start:stop] == two[alive, start:stop]).sum(axis=1)
-                alive, start = alive[matches[alive] >= least], stop
+                alive = alive[matches[alive] >= need]
             yield batch(spec, [b.column("a").take(alive), b.column("b").take(alive)])
 
     def confirm(batches):
         for b in batches:
             keep = []
             for i, (x, y) in enumerate(zip(b.column("hashes_a").to_pylist(), b.column("hashes_b").to_pylist())):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if _linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent):
                     keep.append(i)
             yield batch(spec, [b.column("a").take(pa.array(keep, pa.int64())), b.column("b").take(pa.array(keep, pa.int64()))])
 

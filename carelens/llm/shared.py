@@ -120,6 +120,54 @@ def carried(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select("row.*").toDF(*like.columns)
 
 
+def dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Add (lo, hi, mine): groups of more than ``most`` rows become pairs of blocks.
+
+    A row (with an ``id``) belongs to block ``mine`` of its group and goes to
+    every pair (lo, hi) that its block is part of.
+    """
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    blocks = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("long")
+    rows = rows.join(large, key, "left").withColumn("blocks", blocks).drop("n")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other")
+
+
+def by_group(df: DataFrame, keys: list[str], fn, spec: str) -> DataFrame:
+    """``fn(table)`` of each group's rows (integer ``keys``, not null); it returns the columns of ``spec``.
+
+    Groups arrive sorted, one is held at a time, and results leave in batches.
+    """
+    def run(batches):
+        held, current, made, size = [], None, [], 0
+        for b in batches:
+            columns = [b.column(k).to_numpy() for k in keys]
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            starts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+            for a, z in zip(starts, starts[1:]):
+                key = tuple(c[a] for c in columns)
+                if held and key != current:
+                    made.append(batch(spec, fn(pa.Table.from_batches(held))))
+                    size += made[-1].num_rows
+                    held = []
+                    if size > 10_000 or len(made) > 1000:
+                        yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+                        made, size = [], 0
+                current = key
+                held.append(b.slice(a, z - a))
+        if held:
+            made.append(batch(spec, fn(pa.Table.from_batches(held))))
+        if made:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, spec)
+
+
 def ascii_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8: ``bytes.split`` breaks on exactly those six bytes."""
     return text.encode("utf-8", "surrogatepass").split()

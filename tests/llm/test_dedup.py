@@ -43,9 +43,9 @@ def shingles(text, n):
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
 
 
-def check_minhash(spark, rows, n, percent):
+def check_minhash(spark, rows, n, percent, most):
     docs = spark.createDataFrame([(d, t, "z", 0) for d, t in rows], "doc_id long, text string, Doc_Id string, component_id int")
-    got = {r.doc_id: r for r in minhash.near_duplicates(docs, n, percent).collect()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs, n, percent, most=most).collect()}
     sets = {}
     for d, t in rows:
         sets.setdefault(d, shingles(t, n))
@@ -68,8 +68,8 @@ def near_copies(rng, base, count, changes):
     return out
 
 
-@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
-def test_minhash(spark, n, percent):
+@pytest.mark.parametrize("n, percent, most", [(3, 85, 1024), (5, 80, 16)])
+def test_minhash(spark, n, percent, most):
     rng = random.Random(n)
     words = ["w%d" % i for i in range(4000)]
     texts = [" ".join(rng.choices(words, k=rng.randrange(1, 80))) for _ in range(60)]
@@ -78,7 +78,7 @@ def test_minhash(spark, n, percent):
     texts += [texts[0].upper(), texts[0].replace(" ", "\t\n"), None, "", "  ", "one", "ONE", "one two", "w " * 30_000]
     rng.shuffle(texts)
     rows = [(7 * i % 1009, t) for i, t in enumerate(texts)]
-    got, docs, links = check_minhash(spark, rows + [(None, "one"), rows[0]], n, percent)
+    got, docs, links = check_minhash(spark, rows + [(None, "one"), rows[0]], n, percent, most)
     assert links > 500 and got[None].kept and got[None].component_id is None
     kept = minhash.keep_first(docs, n, percent)
     assert kept.columns == docs.columns
