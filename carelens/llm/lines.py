@@ -27,29 +27,16 @@ A line is named by its 64-bit hash.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from carelens.llm.links import components
-from carelens.llm.shared import batch, carried, carry, cut, groups_of, mix, prepare
+from carelens.llm.shared import batch, carried, carry, cut, groups_of, mix, powers, prepare
 
-BASE = 0x9E3779B97F4A7C15
 BLANKS = " \t\r\x0b\x0c"
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-    def run(base):
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
-    return run(np.uint64(BASE)), run(np.uint64(pow(BASE, -1, 1 << 64)))
-
-
 class Hashed:
     """Hashes of any substrings of some lines, from prefix sums over their characters."""
 
@@ -57,7 +44,7 @@ class Hashed:
         self.sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
         self.starts = np.cumsum(self.sizes) - self.sizes
-        power, self.inverse = _powers(1 << max(22, len(chars).bit_length()))
+        power, self.inverse = powers(1 << max(21, len(chars).bit_length()))
         code = mix(chars.astype(np.uint64) + np.uint64(1))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power[:len(chars)])])
         # parity of character pairs, those that end a line and begin the next left out

@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +213,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers of a hash base and of its inverse modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+
+    def run(x):
+        out = np.full(n, x, np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+    return run(np.uint64(base)), run(np.uint64(pow(base, -1, 1 << 64)))
+
+
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+class Words:
+    """Words of many byte strings at once: places in one buffer and 64-bit hashes.
+
+    The strings' words must be parted by single spaces.  ``counts`` has the
+    words of each string; word i is ``data[starts[i]:ends[i]]``.
+    """
+
+    def __init__(self, strings: list[bytes]):
+        self.data = b"\n".join(strings)
+        raw = np.frombuffer(self.data, np.uint8)
+        power, inverse = powers(1 << max(21, len(raw).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * power[:len(raw)])])
+        apart = np.flatnonzero((raw == 32) | (raw == 10))
+        starts, ends = np.concatenate([[0], apart + 1]), np.concatenate([apart, [len(raw)]])
+        full = ends > starts
+        self.starts, self.ends = starts[full], ends[full]
+        self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        edges = np.cumsum(np.fromiter((len(s) + 1 for s in strings), np.int64, len(strings)))
+        self.counts = np.diff(np.searchsorted(self.starts, edges), prepend=0)
+
+    def windows(self, size: int) -> np.ndarray:
+        """First words of all runs of ``size`` words that lie in one string."""
+        ends = np.repeat(np.cumsum(self.counts), self.counts)
+        at = np.arange(len(ends))
+        return at[at + size <= ends]
+
+
 def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """64-bit hash of each run of ``k`` consecutive word hashes (order matters)."""
     n = len(h) - k + 1

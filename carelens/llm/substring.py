@@ -4,7 +4,7 @@ Each text is cut into runs of consecutive windows that share a minimiser (the
 smallest hash among the ``SEED``-word runs of the window).  Such a run, a
 super-k-mer, is shuffled as one packed string to the bucket of its minimiser.
 All occurrences of a window meet in one bucket, where windows are sorted by
-hash, equal neighbours are compared word by word, and the smallest doc_id of
+hash, equal neighbours are compared byte by byte, and the smallest doc_id of
 each distinct window is found.  The results go back to the places where the
 strings occur, and words covered by a window that an earlier document also has
 are removed.
@@ -29,36 +29,49 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from carelens.llm.shared import ascii_words, batch, cut, groups_of, pick, window_hashes, word_hashes
+from carelens.llm.shared import Words, ascii_words, batch, cut, groups_of, pick, window_hashes
 
 SEED = 3
 MOST_HOT = 10_000
 LAST = np.iinfo(np.int64).max
 
 
-def super_kmers(words: list[bytes], window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, windows) of each super-k-mer; windows with a ``hot`` (sorted) minimiser stand alone."""
+def _lowest(values: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of each run of ``size`` values, by doubling."""
+    low, span = values, 1
+    while 2 * span <= size:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    rest = size - span
+    return np.minimum(low[:len(low) - rest], low[rest:]) if rest else low
+
+
+def super_kmers(words: Words, window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first word, windows) of each super-k-mer; windows with a ``hot`` (sorted) minimiser stand alone."""
+    at = words.windows(window)
+    if not len(at):
+        return np.empty(0, np.int64), at, at
     seed = min(SEED, window)
-    h = word_hashes(words)
-    seeds = window_hashes(h, seed)
-    low = np.lib.stride_tricks.sliding_window_view(seeds, window - seed + 1).min(axis=1)
-    new = np.concatenate([[True], low[1:] != low[:-1]])
+    low = _lowest(window_hashes(words.hashes, seed), window - seed + 1)[at]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)])
     if len(hot):
         alone = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
-        low = np.where(alone, window_hashes(h, window, seed=1), low)
+        low = np.where(alone, window_hashes(words.hashes, window, seed=1)[at], low)
         new |= alone
         new[1:] |= alone[:-1]
     first = np.flatnonzero(new)
-    return low[first].astype(np.int64), first, np.diff(np.concatenate([first, [len(low)]]))
+    return low[first].astype(np.int64), at[first], np.diff(np.concatenate([first, [len(at)]]))
+
+
+def _texts(b: pa.RecordBatch, window: int, hot: np.ndarray):
+    """(first row, words, keys, first words, counts) of slices of a batch."""
+    for at, texts in groups_of(b.column("text").to_pylist(), 1_000_000):
+        words = Words([b" ".join(ascii_words(t)) for t in texts])
+        yield at, words, *super_kmers(words, window, hot)
 
 
-def _documents(b: pa.RecordBatch, window: int, hot: np.ndarray):
-    """(row of the batch, words, keys, first windows, counts) of each document with a window."""
-    for at, texts in groups_of(b.column("text").to_pylist()):
-        for i, text in enumerate(texts):
-            words = ascii_words(text)
-            if len(words) >= window:
-                yield at + i, words, *super_kmers(words, window, hot)
+def _strings(words: Words, first: np.ndarray, counts: np.ndarray, window: int) -> list[bytes]:
+    """The packed words of each super-k-mer."""
+    return [words.data[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first + counts + window - 2].tolist())]
 
 
 def hot_minimisers(rows: DataFrame, window: int, hot: int) -> np.ndarray:
@@ -67,7 +80,7 @@ def hot_minimisers(rows: DataFrame, window: int, hot: int) -> np.ndarray:
 
     def count(batches):
         for b in batches:
-            keys = [k for _, _, k, _, _ in _documents(b, window, np.empty(0, np.uint64))]
+            keys = [k for _, _, k, _, _ in _texts(b, window, np.empty(0, np.uint64))]
             if keys:
                 yield batch(spec, np.unique(np.concatenate(keys), return_counts=True))
 
@@ -78,7 +91,7 @@ def hot_minimisers(rows: DataFrame, window: int, hot: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in found], np.int64).astype(np.uint64))
 
 
-def packed(rows: DataFrame, window: int, hot: np.ndarray, held: int = 150_000) -> DataFrame:
+def packed(rows: DataFrame, window: int, hot: np.ndarray, held: int = 100_000) -> DataFrame:
     """(key, code, words, doc, several): strings combined within each task.
 
     ``doc`` is the smallest doc_id of the task's occurrences, ``several`` says
@@ -98,11 +111,10 @@ def packed(rows: DataFrame, window: int, hot: np.ndarray, held: int = 150_000) -
             table.clear()
 
         for b in batches:
-            docs = b.column("doc").to_pylist()
-            for i, words, keys, first, counts in _documents(b, window, hot):
-                doc = docs[i]
-                for key, a, n in zip(keys.tolist(), first.tolist(), counts.tolist()):
-                    string = b" ".join(words[a:a + n + window - 1])
+            docs = b.column("doc").to_numpy()
+            for at, words, keys, first, counts in _texts(b, window, hot):
+                owners = docs[at + np.searchsorted(np.cumsum(words.counts), first, side="right")]
+                for key, doc, string in zip(keys.tolist(), owners.tolist(), _strings(words, first, counts, window)):
                     code = xxhash.xxh3_128_digest(string)
                     row = table.get(code)
                     if row is None:
@@ -119,29 +131,22 @@ def packed(rows: DataFrame, window: int, hot: np.ndarray, held: int = 150_000) -
 
 def first_documents(strings: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest doc of every window of the strings, flat, and the windows of each string."""
-    split = [s.split(b" ") for s in strings]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    local: dict[bytes, int] = {}
-    flat = [w for ws in split for w in ws]
-    for w in flat:
-        local.setdefault(w, len(local))
-    ids = np.fromiter(map(local.__getitem__, flat), np.int64, len(flat))
-    counts = sizes - window + 1
-    starts = np.cumsum(sizes) - sizes
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    words = Words(strings)
+    counts = words.counts - window + 1
+    at = words.windows(window)
     doc = np.repeat(docs, counts)
-    code = window_hashes((ids + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), window, seed=2)[at]
+    code = window_hashes(words.hashes, window, seed=2)[at]
     order = np.argsort(code, kind="stable")
     ranked, place = code[order], at[order]
     same = ranked[1:] == ranked[:-1]
-    pair = np.flatnonzero(same)
-    equal = np.ones(len(pair), bool)
-    for j in range(window):
-        equal &= ids[place[pair] + j] == ids[place[pair + 1] + j]
-    if not equal.all():  # two windows with one hash: rank by the words themselves
-        _, code = np.unique(ids[at[:, None] + np.arange(window)], axis=0, return_inverse=True)
-        order = np.argsort(code.ravel(), kind="stable")
-        ranked = code.ravel()[order]
+    begin, end = words.starts[place], words.ends[place + window - 1]
+    if any(words.data[a:b] != words.data[c:d] for a, b, c, d in zip(*(
+            x.tolist() for i in (np.flatnonzero(same), np.flatnonzero(same) + 1) for x in (begin[i], end[i])))):
+        # two windows with one hash: rank by the words themselves
+        begin, end = words.starts[at].tolist(), words.ends[at + window - 1].tolist()
+        _, code = np.unique(np.array([words.data[a:b] for a, b in zip(begin, end)], object), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        ranked = code[order]
         same = ranked[1:] == ranked[:-1]
     group = np.flatnonzero(np.concatenate([[True], ~same]))
     low = np.minimum.reduceat(doc[order], group)
@@ -150,7 +155,7 @@ def first_documents(strings: list[bytes], docs: np.ndarray, window: int) -> tupl
     return out, counts
 
 
-def judged(strings: DataFrame, window: int, most_bytes: int = 8_000_000) -> DataFrame:
+def judged(strings: DataFrame, window: int, most_bytes: int = 1_500_000) -> DataFrame:
     """(code, firsts): the smallest doc of each window of the strings that occur in a later document too.
 
     Rows come in key order; complete keys of at least ``most_bytes`` are judged
@@ -193,17 +198,12 @@ def occurrences(rows: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     def find(batches):
         for b in batches:
             docs, ties = b.column("doc").to_numpy(), b.column("tie").to_numpy()
-            at, codes, firsts = [], [], []
-            for i, words, _, first, counts in _documents(b, window, hot):
-                at += [i] * len(first)
-                firsts += first.tolist()
-                codes += [xxhash.xxh3_128_digest(b" ".join(words[a:a + n + window - 1]))
-                          for a, n in zip(first.tolist(), counts.tolist())]
-                if len(at) >= 100_000:
-                    yield batch(spec, [docs[at], ties[at], codes, firsts])
-                    at, codes, firsts = [], [], []
-            if at:
-                yield batch(spec, [docs[at], ties[at], codes, firsts])
+            for at, words, _, first, counts in _texts(b, window, hot):
+                ends = np.cumsum(words.counts)
+                row = np.searchsorted(ends, first, side="right")
+                yield batch(spec, [docs[at + row], ties[at + row],
+                                   [xxhash.xxh3_128_digest(s) for s in _strings(words, first, counts, window)],
+                                   first - (ends - words.counts)[row]])
 
     return rows.select("doc", "tie", "text").mapInArrow(find, spec)
 
