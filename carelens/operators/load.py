@@ -1,16 +1,20 @@
 """Incremental fact load: only records whose hash is not in the target yet.
 
-The source system inserts while ignoring duplicate keys; here it is
-a left anti join on ``source_row_hash`` followed by an append.  Both sides
-are unique on the hash (the new side was de-duplicated, the target only ever
-receives new hashes), and SHA-256 keys spread evenly over shuffle partitions,
-so the join has no hot key.  Re-running a load appends nothing.
+The source system inserts while ignoring duplicate keys; here the stored
+hashes that the load repeats are found first (a semi join whose build side is
+the load, so a small load is broadcast and the fact is not shuffled), and the
+load's records without them are appended.  Both sides are unique on the hash,
+and SHA-256 keys spread evenly over shuffle partitions, so no join has a hot
+key.  Re-running a load appends nothing.
+
+Appended rows carry ``load_id``, one more than the largest in the target.
+Summaries follow it to fold each load once; it does not depend on any clock.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from carelens.schema import FACT_COLUMNS, fact_schema
 
@@ -19,7 +23,8 @@ def new_records(clean: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Clean rows whose hash is not in ``existing`` (all of them when there is no target)."""
     if existing is None:
         return clean
-    return clean.join(existing.select("source_row_hash"), "source_row_hash", "left_anti").select(*FACT_COLUMNS)
+    stored = existing.select("source_row_hash").join(clean.select("source_row_hash"), "source_row_hash", "left_semi")
+    return clean.join(stored, "source_row_hash", "left_anti").select(*FACT_COLUMNS)
 
 
 # Buckets of a fact created as a catalog table.  At 100 TB this gives ~25 GB per bucket
@@ -53,14 +58,15 @@ def append_new(spark: SparkSession, clean: DataFrame, target: str, partition_by:
     ``target`` is a Parquet path or a catalog table name.  A table target is
     created bucketed (and sorted) by ``source_row_hash``: later loads then
     read the existing fact already partitioned on the join key, and only the
-    new records are shuffled for the anti join.  ``clean`` should be
-    materialised by the caller, since the anti join reads it once.  The
-    appended count comes from file footers (or table statistics) before and
-    after the write, not from another pass over the data.
+    new records are shuffled.  ``clean`` should be materialised by the caller,
+    since both joins read it.  The appended rows are counted by the write.
     """
     existing = read_target(spark, target)
-    before = existing.count()
-    fresh = new_records(clean, existing).withColumn("created_at", F.current_timestamp())
+    # a column maximum: Parquet answers it from the footers
+    load_id = (existing.agg(F.max("load_id")).first()[0] or 0) + 1
+    appended = Observation()
+    fresh = (new_records(clean, existing).withColumns({"created_at": F.current_timestamp(), "load_id": F.lit(load_id).cast("long")})
+             .observe(appended, F.count(F.lit(1)).alias("rows")))
     if is_table_name(target):
         if spark.catalog.tableExists(target):
             fresh.select(*spark.table(target).columns).write.insertInto(target)
@@ -70,9 +76,9 @@ def append_new(spark: SparkSession, clean: DataFrame, target: str, partition_by:
                 writer = writer.partitionBy(*partition_by)
             writer.saveAsTable(target)
         spark.catalog.refreshTable(target)
-        return spark.table(target).count() - before
+        return appended.get["rows"]
     writer = fresh.write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(target)
-    return read_target(spark, target).count() - before
+    return appended.get["rows"]

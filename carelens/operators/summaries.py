@@ -123,9 +123,9 @@ SUMMARIES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def with_updated_at(summary: DataFrame) -> DataFrame:
-    """Stamp a summary with its build time (the freshness the serving layer reports)."""
-    return summary.withColumn("updated_at", F.current_timestamp())
+def with_updated_at(summary: DataFrame, at: Column | None = None) -> DataFrame:
+    """Stamp a summary with its build time (the freshness the serving layer reports), or with ``at``."""
+    return summary.withColumn("updated_at", F.current_timestamp() if at is None else at)
 
 
 # ---------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 ``python -m carelens.plans.jobs ingest  --target FACT [--summaries DIR] [--quality-log LOG] FILE|FOLDER ...``
 ``python -m carelens.plans.jobs summarise --fact FACT --out SUMMARY_DIR [--per-table]``
-``python -m carelens.plans.jobs serve --summaries SUMMARY_DIR QUERY [--param k=v ...]``
+``python -m carelens.plans.jobs serve --summaries SUMMARY_DIR QUERY [--param k=v ...] [--out DIR]``
 ``python -m carelens.plans.jobs report --summaries SUMMARY_DIR TYPE [--param scope=value ...] [--out DIR]``
 ``python -m carelens.plans.jobs stream LANDING --target FACT --checkpoint CK --quality-log LOG [--summaries DIR] [--once]``
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -70,39 +69,33 @@ def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_yea
     return {**{k: int(row[k]) for k in COUNTERS}, "long_rows": int(long_rows)}
 
 
-# Newest fact ``created_at`` folded into a summary table (same value on every row).
+# Newest fact ``load_id`` folded into a summary table (same value on every row).
 FOLDED = "_folded_through"
 
 
-def _as_timestamp(micros: int | None):
-    return F.lit(None).cast("timestamp") if micros is None else F.timestamp_micros(F.lit(micros))
-
-
 def _folded_rows(fact: DataFrame, mark: int | None) -> DataFrame:
-    """Fact rows appended after ``mark`` (epoch microseconds; all stamped rows when None).
+    """Fact rows of the loads after ``mark`` (all loads when None).
 
-    The bound folds to a timestamp literal, so the predicate reaches the
-    Parquet scan and files written before the mark are skipped on their
-    ``created_at`` statistics instead of being read.
+    The predicate reaches the Parquet scan, so files of earlier loads are
+    skipped on their ``load_id`` statistics instead of being read.
     """
-    stamped = F.col("created_at").isNotNull()
-    return fact.where(stamped if mark is None else F.col("created_at") > _as_timestamp(mark))
+    return fact.where(F.col("load_id").isNotNull() if mark is None else F.col("load_id") > mark)
 
 
 def _newest(df: DataFrame, column: str) -> int | None:
-    """Newest timestamp of ``column`` as epoch microseconds (time-zone free); None if empty."""
-    return df.select(F.unix_micros(F.max(column))).first()[0]
+    """Largest value of ``column``; None if there is none or no such column (a fact read over JDBC)."""
+    return df.agg(F.max(column)).first()[0] if column in df.columns else None
 
 
 def _stamped(table: DataFrame, mark: int | None) -> DataFrame:
-    return with_updated_at(table).withColumn(FOLDED, _as_timestamp(mark))
+    return with_updated_at(table).withColumn(FOLDED, F.lit(mark).cast("long"))
 
 
 def update_summaries(spark: SparkSession, target: str, summary_dir: str, parallel_writes: int = 4) -> list[str]:
     """Fold fact rows appended since each summary's watermark into it.
 
     A summary table carries ``_folded_through``, the newest fact
-    ``created_at`` it contains.  Its update reads only newer fact rows,
+    ``load_id`` it contains.  Its update reads only newer fact rows,
     summarises them and merges them into the current rows.  That equals a
     rebuild because every measure is additive and descriptions are ``max``.
     Each table moves its own watermark with its rows, so an update cut short
@@ -116,7 +109,9 @@ def update_summaries(spark: SparkSession, target: str, summary_dir: str, paralle
     def current_of(name: str) -> DataFrame | None:
         try:
             current = spark.read.parquet(f"{summary_dir.rstrip('/')}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
         return current if FOLDED in current.columns else None
 
@@ -130,13 +125,13 @@ def update_summaries(spark: SparkSession, target: str, summary_dir: str, paralle
     for i, mark in enumerate(sorted(set(marks.values()), key=lambda m: -1 if m is None else m)):
         _folded_rows(fact, mark).write.parquet(f"{run}/newer-{i}")
         newer_by_mark[mark] = spark.read.parquet(f"{run}/newer-{i}")
-        newest_by_mark[mark] = _newest(newer_by_mark[mark], "created_at")
+        newest_by_mark[mark] = _newest(newer_by_mark[mark], "load_id")
 
     def one(name: str) -> str:
         path = f"{summary_dir.rstrip('/')}/{name}"
         current = currents[name]
         if current is None:
-            table, mark = SUMMARIES[name](fact), _newest(fact, "created_at")
+            table, mark = SUMMARIES[name](fact), _newest(fact, "load_id")
         else:
             newer = newer_by_mark[marks[name]]
             mark = newest_by_mark[marks[name]]
@@ -170,7 +165,7 @@ def summarise(spark: SparkSession, fact_location, out_dir: str, tables: list[str
     """
     fact = read_fact(spark, fact_location)
     names = tables or list(SUMMARIES)
-    mark = _newest(fact, "created_at")  # watermark for later incremental updates
+    mark = _newest(fact, "load_id")  # watermark for later incremental updates
     if single_pass:
         run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-summaries-{uuid.uuid4().hex}"
         # partitioned by grouping id: each table's split reads only its own set
@@ -207,6 +202,8 @@ SERVING = {
     "severity": ("patient_risk_summary", serving.severity),
     "drilldown": ("disease_drilldown_summary", serving.drilldown),
     "breadcrumb": ("disease_drilldown_summary", serving.breadcrumb),
+    "freshness": ("hospital_operation_summary", serving.latest_updated_at),
+    "chart_kpi_cards": ("hospital_operation_summary", charts.kpi_cards),
     "chart_payment_buckets": ("patient_payment_summary", charts.payment_buckets),
     "chart_age_gender_pivot": ("patient_age_gender_summary", charts.age_gender_pivot),
     "chart_admission_emergency": ("patient_admission_emergency_summary", charts.admission_emergency_split),
@@ -215,17 +212,15 @@ SERVING = {
     "chart_drilldown_bubbles": ("disease_drilldown_summary", charts.drilldown_bubbles),
 }
 
-_SCOPED = {"chart_payment_buckets", "chart_age_gender_pivot", "chart_admission_emergency", "chart_systems_top10",
-           "chart_hospital_bubbles", "chart_drilldown_bubbles", "age_gender", "payment", "disposition", "admission_emergency", "medical_surgical", "kpi",
-           "hospital_resources", "hospital_ranking", "hospital_comparison", "disease_systems", "top_diagnoses",
-           "severity", "drilldown", "breadcrumb"}
+# answers about the whole table or with filters of their own
+_UNSCOPED = {"areas", "counties", "facilities", "freshness"}
 
 
 def serve(spark: SparkSession, summary_dir: str, query: str, **params) -> tuple[DataFrame, DataFrame]:
     """Run one serving query; returns (answer, freshness of the summary it read)."""
     table, fn = SERVING[query]
     summary = FolderSummaries(spark, summary_dir)(table)
-    if query in _SCOPED:
+    if query not in _UNSCOPED:
         scope = serving.Scope.of(params.pop("hospital_service_area", None), params.pop("hospital_county", None),
                                  params.pop("facility_name", None))
         params["scope"] = scope
@@ -238,6 +233,15 @@ def report(spark: SparkSession, summary_dir: str, report_type: str, **scope) ->
         scope.get("hospital_service_area"), scope.get("hospital_county"), scope.get("facility_name")))
 
 
+def deliver(answer: DataFrame, out: str | None = None) -> None:
+    """Write every row of ``answer`` to ``out``, or print every row as JSON, one partition at a time."""
+    if out:
+        answer.write.mode("overwrite").parquet(out)
+        return
+    for line in answer.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
+        print(line[0])
+
+
 def log_quality(spark: SparkSession, counters: dict[str, int], sources: list[str], quality_log: str) -> None:
     """Append one load's counters (with its files and time) to a quality log table."""
     row = {**counters, "sources": ",".join(sources)}
@@ -263,7 +267,7 @@ def main(argv: list[str] | None = None) -> None:
     q.add_argument("--summaries", required=True)
     q.add_argument("query", choices=sorted(SERVING))
     q.add_argument("--param", action="append", default=[], help="name=value")
-    q.add_argument("--rows", type=int, default=100)
+    q.add_argument("--out", help="write the answer as Parquet here instead of printing it")
     st = sub.add_parser("stream", help="ingest files as they arrive in a landing folder")
     st.add_argument("landing")
     st.add_argument("--target", required=True)
@@ -280,9 +284,6 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     spark = build_session(app_name=f"carelens-{args.cmd}")
     if args.cmd == "ingest":
-        for p in args.sources:
-            if "://" not in p and not os.path.exists(p):
-                raise FileNotFoundError(f"Source file not found: {p}")
         counters = ingest(spark, args.sources, args.target, args.current_year, args.multi_line, args.summaries)
         if args.quality_log:
             log_quality(spark, counters, args.sources, args.quality_log)
@@ -297,18 +298,12 @@ def main(argv: list[str] | None = None) -> None:
         query.awaitTermination()
     elif args.cmd == "report":
         facts = report(spark, args.summaries, args.report_type, **dict(kv.split("=", 1) for kv in args.param))
-        if args.out:
-            facts.write.mode("overwrite").parquet(args.out)
-        else:
-            facts.orderBy("section", "position", "metric").show(1000, truncate=False)
+        deliver(facts.orderBy("section", "position", "metric"), args.out)
     else:
         params = dict(kv.split("=", 1) for kv in args.param)
-        for k in ("limit", "page", "page_size"):
-            if k in params:
-                params[k] = int(params[k])
         answer, fresh = serve(spark, args.summaries, args.query, **params)
-        answer.show(args.rows, truncate=False)
-        fresh.show(truncate=False)
+        deliver(answer, args.out)
+        deliver(fresh)
     spark.stop()
 
 

@@ -536,8 +536,9 @@ def clean_fact_sql(year: int) -> str:
             "WHERE NOT _redacted AND NOT _core_missing")
 
 
-def quality_sql(year: int, rerun: bool = False) -> str:
-    inserted = "0" if rerun else "sum(CASE WHEN NOT _redacted AND NOT _core_missing THEN 1 ELSE 0 END)"
+def quality_sql(year: int, inserted: str = "true") -> str:
+    """Counters; of the clean records, those that satisfy ``inserted`` are new."""
+    inserted = f"sum(CASE WHEN NOT _redacted AND NOT _core_missing AND {inserted} THEN 1 ELSE 0 END)"
     return f"""WITH {staged_sql(year)}, {_first_rows()}
 SELECT CAST(sum(_copies) AS BIGINT) AS input_rows,
        CAST(sum(CASE WHEN NOT _redacted AND NOT _core_missing THEN 1 ELSE 0 END) AS BIGINT) AS clean_rows,

@@ -17,6 +17,7 @@ from carelens.operators import serving as Q
 from carelens.operators.summaries import SUMMARIES
 from carelens.plans import oracle_sql as O
 from carelens.plans.catalog import FactSummaries
+from carelens.session import checkpoint_dir
 from carelens.sources.fixtures import discharges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,29 +253,41 @@ def _load_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(new_records(clean_records(_collapsed(spark, sf_dir)), None))
 
 
-def _shallow_joins(spark: SparkSession) -> None:
-    # Both join sides below are full cleaning plans; constraint inference over
-    # two ~40-alias projections is combinatorial, so it is switched off.
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+def _half_stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(collapsed load, new records) when the records of every second row number are stored already."""
+    checkpoint_dir(spark)
+    collapsed = _collapsed(spark, sf_dir).checkpoint()
+    load = clean_records(collapsed)
+    return collapsed, new_records(load, load.where("source_row_number % 2 = 0"))
 
 
 def _load_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _shallow_joins(spark)
-    first = clean_records(_collapsed(spark, sf_dir))
-    again = clean_records(_collapsed(spark, sf_dir))
-    return comparable(new_records(again, first))
+    """How many records a load has, finds stored and inserts, when all of them are stored."""
+    checkpoint_dir(spark)
+    load = clean_records(_collapsed(spark, sf_dir)).checkpoint()
+    inserted = new_records(load, load).select(F.count(F.lit(1))).scalar()
+    return load.agg(F.count(F.lit(1)).alias("load_rows")).withColumn("inserted_rows", inserted)
 
 
 def _quality_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _shallow_joins(spark)
-    collapsed = _collapsed(spark, sf_dir)
-    inserted = new_records(clean_records(collapsed), clean_records(_collapsed(spark, sf_dir)))
-    return quality_summary(collapsed, inserted.select(F.count(F.lit(1))).scalar())
+    checkpoint_dir(spark)
+    collapsed = _collapsed(spark, sf_dir).checkpoint()
+    load = clean_records(collapsed)
+    return quality_summary(collapsed, new_records(load, load).select(F.count(F.lit(1))).scalar())
+
+
+def _quality_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    collapsed, fresh = _half_stored(spark, sf_dir)
+    return quality_summary(collapsed, fresh.select(F.count(F.lit(1))).scalar())
 
 
 register("load_first", _load_first, O.clean_fact_sql(CURRENT_YEAR))
-register("load_rerun", _load_rerun, O.clean_fact_sql(CURRENT_YEAR) + " AND false")
-register("quality_summary_rerun", _quality_rerun, O.quality_sql(CURRENT_YEAR, rerun=True))
+register("load_partial_overlap", lambda spark, sf_dir: comparable(_half_stored(spark, sf_dir)[1]),
+         O.clean_fact_sql(CURRENT_YEAR) + " AND source_row_number % 2 <> 0")
+register("load_rerun", _load_rerun,
+         f"SELECT count(*) AS load_rows, CAST(0 AS BIGINT) AS inserted_rows FROM ({O.clean_fact_sql(CURRENT_YEAR)})")
+register("quality_summary_rerun", _quality_rerun, O.quality_sql(CURRENT_YEAR, inserted="false"))
+register("quality_partial_overlap", _quality_partial, O.quality_sql(CURRENT_YEAR, inserted="source_row_number % 2 <> 0"))
 
 
 # --- E5-E10: chart re-aggregations; F1-F5: report fact packs ------------------
@@ -307,19 +320,28 @@ for _rt in ("comprehensive", "operations", "patient", "disease"):
     register(f"report_{_rt}", _report(_rt), O.report_sql(_rt))
 
 
-# --- A10: freshness (a build timestamp: no oracle, row count only) ------------
+# --- A10: freshness, of a summary stamped with the newest order date at midnight UTC ---
 
 from carelens.operators.summaries import with_updated_at  # noqa: E402
 
-register("q_freshness", lambda spark, sf_dir: Q.latest_updated_at(with_updated_at(summaries(spark, sf_dir)(OP))))
 
-# queries whose value depends on the clock, compared by row count only
-NO_ORACLE = {"q_freshness"}
+def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.max(F.to_date("o_orderdate"))).scalar()
+    at = F.timestamp_seconds(F.unix_date(newest).cast("long") * 86400)
+    return Q.latest_updated_at(with_updated_at(summaries(spark, sf_dir)(OP), at))
+
+
+register("q_freshness", _freshness,
+         "SELECT strftime(max(CAST(o_orderdate AS DATE)), '%Y-%m-%d') || 'T08:00:00+08:00' AS updated_at FROM orders")
+
+# queries without SQL to check them
+NO_ORACLE: set[str] = set()
 
 
 # --- more parameter combinations of the serving layer -------------------------
 
-register("q_breadcrumb_none", _on(DD, Q.breadcrumb), O.breadcrumb_sql(None))
+register("q_breadcrumb_unknown", _on(DD, Q.breadcrumb, apr_mdc_code="no such code", apr_drg_code=DRG),
+         O.breadcrumb_sql(None, "no such code", DRG))
 register("q_drilldown_ccsr_facility",
          _on(DD, Q.drilldown, level="ccsr", scope=_scope(FACILITY), apr_mdc_code=MDC, apr_drg_code=DRG),
          O.drilldown_sql("ccsr", FACILITY, MDC, DRG))

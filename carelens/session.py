@@ -6,8 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job wants; a cluster's own spark-defaults win because they are
-# only applied when the key is not set yet.
+# Settings every job wants; applied only where neither the cluster nor the
+# caller has set the key.
 DEFAULTS: dict[str, str] = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -30,9 +30,13 @@ def build_session(master: str | None = None, app_name: str = "carelens",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **(conf or {})}.items():
+    for key, value in (conf or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not given.contains(key) and key not in (conf or {}):
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("WARN")
     return spark
 

@@ -15,16 +15,18 @@
 * ``source_row_number`` is the record's ordinal among the kept records of its
   file plus 2 (line 1 is the header).  It is exact across any number of
   input splits: rows carry (file, split start, position), one small table
-  holds each split's record count, and its running sum gives each split's
-  first ordinal.
+  holds each split's record count and the positions of its quarantined lines;
+  the running sum of the counts gives each split's first ordinal.
+* Folders are listed and headers read through the file system that Spark
+  resolves the path on, whatever its scheme.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import os
 from collections import OrderedDict
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
@@ -46,24 +48,39 @@ def delimiter_for(path: str) -> str:
     return "\t" if path.lower().endswith(".tsv") else ","
 
 
-def _first_line(spark: SparkSession, path: str) -> str | None:
-    local = path[len("file://"):] if path.startswith("file://") else (path if "://" not in path else None)
-    if local is not None:
-        with open(local, encoding="utf-8", newline="") as f:
-            line = f.readline()
-        return line.rstrip("\r\n") if line else None
-    first = spark.read.text(path).limit(1).collect()  # remote file system: one tiny job
-    return first[0][0] if first else None
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system): the one Spark itself resolves the path on."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def read_header(spark: SparkSession, path: str, sep: str) -> list[str]:
     """Header fields of one file (first line only; BOM removed; quotes honoured)."""
-    line = _first_line(spark, path)
-    if line is None:
+    where, fs = _file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        java = spark._jvm.java
+        line = java.io.BufferedReader(java.io.InputStreamReader(stream, java.nio.charset.StandardCharsets.UTF_8)).readLine()
+    finally:
+        stream.close()
+    if not line:
         raise ValueError(f"empty source file: {path}")
     return next(csv.reader(io.StringIO(line.lstrip("\ufeff")), delimiter=sep))
 
 
+def read_headers(spark: SparkSession, paths: list[str]) -> "OrderedDict[tuple, list[str]]":
+    """Files by (delimiter, header); first lines are read by several threads at once."""
+    def layout(path: str) -> tuple:
+        sep = delimiter_for(path)
+        return sep, tuple(read_header(spark, path, sep))
+
+    layouts: "OrderedDict[tuple, list[str]]" = OrderedDict()
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        for path, found in zip(paths, pool.map(layout, paths)):
+            layouts.setdefault(found, []).append(path)
+    return layouts
+
+
 def column_positions(header: list[str]) -> dict[str, int]:
     """Fact column -> position of the first header that maps to it; validates mandatory headers."""
     positions: dict[str, int] = {}
@@ -83,6 +100,8 @@ def _scan(spark: SparkSession, paths: list[str], width: int, sep: str, multi_lin
             .option("quote", '"').option("escape", '"')  # RFC 4180: a quote inside quotes is doubled
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
             .option("multiLine", multi_line)
+            # a pruned parser does not see how many fields a line has
+            .option("columnPruning", False)
             .csv(paths))
 
 
@@ -102,14 +121,8 @@ def _project(df: DataFrame, header: list[str]) -> DataFrame:
 
 
 def with_positions(untagged: DataFrame) -> DataFrame:
-    """Add ``_pos`` (order within the split) to kept rows; quarantined rows get NULL.
-
-    Evaluated after the filter, so quarantined rows take no ordinal (the
-    source system's reader skips them).
-    """
-    kept = untagged.where(~F.col("_long")).withColumn("_pos", F.monotonically_increasing_id())
-    quarantined = untagged.where(F.col("_long")).withColumn("_pos", F.lit(None).cast("long"))
-    return kept.unionByName(quarantined)
+    """Add ``_pos``, the order of all lines (quarantined ones too) within their split."""
+    return untagged.withColumn("_pos", F.monotonically_increasing_id())
 
 
 def csv_schema(width: int) -> T.StructType:
@@ -118,21 +131,17 @@ def csv_schema(width: int) -> T.StructType:
         + [T.StructField(_OVERFLOW, T.StringType()), T.StructField(_CORRUPT, T.StringType())])
 
 
-def disable_csv_pruning(spark: SparkSession) -> None:
-    # Long-row detection needs every field tokenised; with CSV column pruning
-    # the parser only materialises the columns a query reads and cannot tell
-    # how many fields a line had.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-
-
-def expand_paths(paths: str | list[str]) -> list[str]:
-    """Files to read: local folders expand to their ``.csv``/``.tsv`` files in name order."""
+def expand_paths(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """Files to read, on any file system: a folder expands to its ``.csv``/``.tsv`` files in name order."""
     out: list[str] = []
     for p in [paths] if isinstance(paths, str) else list(paths):
-        local = p[len("file://"):] if p.startswith("file://") else (p if "://" not in p else None)
-        if local is not None and os.path.isdir(local):
-            out += sorted(os.path.join(local, f) for f in os.listdir(local)
-                          if f.lower().endswith((".csv", ".tsv")) and not f.startswith((".", "_")))
+        where, fs = _file_system(spark, p)
+        if not fs.exists(where):
+            raise FileNotFoundError(f"no such source: {p}")
+        if fs.getFileStatus(where).isDirectory():
+            names = sorted(f.getPath().getName() for f in fs.listStatus(where) if f.isFile())
+            out += [f"{p.rstrip('/')}/{n}" for n in names
+                    if n.lower().endswith((".csv", ".tsv")) and not n.startswith((".", "_"))]
         else:
             out.append(p)
     if not out:
@@ -144,15 +153,10 @@ def read_tagged(spark: SparkSession, paths: str | list[str], multi_line: bool =
     """Raw records of one or more files with ``_long`` (quarantine flag) and position tags.
 
     Columns: ``source_file_name``, the 33 raw columns, ``_long``, ``_file``,
-    ``_block``, ``_pos``.  ``_pos`` orders the kept records of one split.
+    ``_block``, ``_pos``.  ``_pos`` orders the lines of one split.
     ``multi_line`` allows quoted line breaks but makes each file one split.
     """
-    paths = expand_paths(paths)
-    disable_csv_pruning(spark)
-    layouts: "OrderedDict[tuple, list[str]]" = OrderedDict()
-    for p in paths:
-        sep = delimiter_for(p)
-        layouts.setdefault((sep, tuple(read_header(spark, p, sep))), []).append(p)
+    layouts = read_headers(spark, expand_paths(spark, paths))
     frames = [_project(_scan(spark, group, len(header), sep, multi_line), list(header))
               for (sep, header), group in layouts.items()]
     out = frames[0]
@@ -170,20 +174,22 @@ def number_records(tagged: DataFrame, max_broadcast_splits: int = MAX_BROADCAST_
     table is 32 bytes a row (~25 MB for the ~800k splits of 100 TB); if two
     paths ever share a hash, the path itself is used as the key instead.
     """
-    kept = tagged.where(~F.col("_long")).withColumn("_fid", F.xxhash64("_file"))
-    splits = kept.groupBy("_fid", "_file", "_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    lines = tagged.withColumn("_fid", F.xxhash64("_file"))
+    splits = lines.groupBy("_fid", "_file", "_block").agg(
+        F.count_if(~F.col("_long")).alias("_n"), F.min("_pos").alias("_first"),
+        F.array_sort(F.collect_list(F.when(F.col("_long"), F.col("_pos")))).alias("_skipped"))
     collision = (splits.select("_fid", "_file").distinct().groupBy("_fid").count()
                  .where(F.col("count") > 1).limit(1).count() > 0)
     key = "_file" if collision else "_fid"
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(key, "_block", "_first",
+    offsets = splits.select(key, "_block", "_first", "_skipped",
                             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    numbered = kept.join(broadcast_bounded(offsets, max_broadcast_splits), [key, "_block"])
+    numbered = lines.where(~F.col("_long")).join(broadcast_bounded(offsets, max_broadcast_splits), [key, "_block"])
     rest = [c for c in tagged.columns if c not in ("source_file_name", "_long", *TAGS)]
+    skipped = F.when(F.size("_skipped") == 0, 0).otherwise(F.size(F.filter("_skipped", lambda p: p < F.col("_pos"))))
     return numbered.select(
         "source_file_name",
-        (F.col("_offset") + (F.col("_pos") - F.col("_first")) + 2).cast("long").alias("source_row_number"),
+        (F.col("_offset") + (F.col("_pos") - F.col("_first")) - skipped + 2).cast("long").alias("source_row_number"),
         *rest)
 
 

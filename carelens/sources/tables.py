@@ -1,6 +1,6 @@
 """The fact table and summary tables: Parquet by default, JDBC when given connection options.
 
-A location is either a path (Parquet) or a ``dict`` of Spark JDBC options.
+A location is a path (Parquet), a catalog table name, or a ``dict`` of Spark JDBC options.
 For JDBC reads pass ``partitionColumn``/``lowerBound``/``upperBound``/
 ``numPartitions`` so the scan runs as parallel range queries instead of
 one task.
@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelens.schema import SCOPE_COLUMNS, fact_schema
+from carelens.operators.load import read_target
+from carelens.schema import SCOPE_COLUMNS
 
 Location = str | dict
 
@@ -18,7 +19,7 @@ Location = str | dict
 def read_fact(spark: SparkSession, location: Location) -> DataFrame:
     if isinstance(location, dict):
         return spark.read.format("jdbc").options(**location).load()
-    return spark.read.schema(fact_schema()).parquet(location)
+    return read_target(spark, location)
 
 
 def write_summary(summary: DataFrame, location: Location) -> None:

@@ -1,5 +1,5 @@
 """Structured Streaming: the discharge ingest driven by files arriving in a landing folder."""
 
-from carelens.streaming.ingest import ingest_stream, start_ingest
+from carelens.streaming.ingest import new_files, start_ingest
 
-__all__ = ["ingest_stream", "start_ingest"]
+__all__ = ["new_files", "start_ingest"]

@@ -1,16 +1,11 @@
 """Continuous ingest of discharge files dropped into a landing folder.
 
-``readStream.csv`` picks up new files (each file lands whole in one
-micro-batch); every micro-batch then runs the batch ingest plan in
-``foreachBatch``: position tags, cleaning, split ordinals, keep-first
-de-duplication, anti-join on the record hash and append.  The anti-join
-makes the sink idempotent: if a batch is replayed after a failure, records
-it already appended are skipped, so the fact never holds a record twice.
-Quality counters of every batch are appended to a log table.
-
-Streaming file sources need one schema up front, so the header layout is
-declared (by default the 33 standard headers in source order); files with
-another layout belong to the batch ingest, which reads each file's header.
+A file stream lists new files (their paths only, no content); every
+micro-batch hands its files to the batch ingest in ``foreachBatch``, which
+reads each file's own header and maps columns by name, whatever their order or
+delimiter.  The load skips records that are stored already, so a batch that is
+replayed after a failure appends nothing twice.  Quality counters of every
+batch are appended to a log table.
 """
 
 from __future__ import annotations
@@ -18,30 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from carelens.plans.jobs import load_tagged
-from carelens.schema import HEADER_ALIASES
-from carelens.sources.delimited import _project, csv_schema, disable_csv_pruning, with_positions
+from carelens.plans.jobs import ingest
 
-STANDARD_HEADER = [h for h in HEADER_ALIASES if h != "County"]
 
-
-def ingest_stream(spark: SparkSession, landing_dir: str, header: list[str] | None = None, sep: str = ",",
-                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of raw tagged records (without positions) from new files in ``landing_dir``."""
-    header = header or STANDARD_HEADER
-    disable_csv_pruning(spark)
-    reader = (spark.readStream.schema(csv_schema(len(header)))
-              .option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-              .option("quote", '"').option("escape", '"')
-              .option("columnNameOfCorruptRecord", "_corrupt_record"))
+def new_files(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame of the paths of new ``.csv`` and ``.tsv`` files in ``landing_dir``."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{csv,tsv,CSV,TSV}")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _project(reader.csv(landing_dir), header)
+    return reader.load(landing_dir).select("path")
 
 
 def start_ingest(spark: SparkSession, landing_dir: str, target: str, checkpoint_location: str,
-                 quality_log: str, header: list[str] | None = None, sep: str = ",",
-                 current_year: int | None = None, available_now: bool = False,
+                 quality_log: str, current_year: int | None = None, available_now: bool = False,
                  max_files_per_trigger: int | None = None, summary_dir: str | None = None) -> StreamingQuery:
     """Start the continuous ingest; ``available_now`` processes what is there and stops.
 
@@ -50,14 +35,15 @@ def start_ingest(spark: SparkSession, landing_dir: str, target: str, checkpoint_
     """
 
     def load_batch(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
+        paths = sorted(r.path for r in batch.collect())  # one short row per new file
+        if not paths:
             return
-        counters = load_tagged(spark, with_positions(batch), target, current_year, summary_dir)
+        counters = ingest(spark, paths, target, current_year, summary_dir=summary_dir)
         row = {"epoch_id": int(epoch_id), **counters}
         spark.createDataFrame([row]).withColumn("loaded_at", F.current_timestamp()) \
             .write.mode("append").parquet(quality_log)
 
-    writer = (ingest_stream(spark, landing_dir, header, sep, max_files_per_trigger)
+    writer = (new_files(spark, landing_dir, max_files_per_trigger)
               .writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

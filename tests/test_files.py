@@ -161,10 +161,12 @@ def test_bucketed_table_target(spark, workdir):
     assert first["inserted_rows"] == 300
     again = ingest(spark, p, "fact_bucketed", current_year=2024)
     assert again["inserted_rows"] == 0 and spark.table("fact_bucketed").count() == 300
-    # the existing side of the anti join is read bucketed: no shuffle above its scan
+    # the existing side of the semi join is read bucketed: no shuffle above its scan
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        clean = clean_records(collapse_duplicates(stage(read_discharge_file(spark, p), 2024)))
+        # written out first, as the ingest job does
+        clean_records(collapse_duplicates(stage(read_discharge_file(spark, p), 2024))).write.parquet(f"{workdir}/clean")
+        clean = spark.read.parquet(f"{workdir}/clean")
         plan = new_records(clean, spark.table("fact_bucketed"))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -182,3 +184,45 @@ def test_folder_of_files(spark, workdir):
     got = sorted((r["source_file_name"], r["source_row_number"], r["race"])
                  for r in read_discharge_file(spark, folder).collect())
     assert got == [("a.TSV", 2, "a"), ("a.TSV", 3, "c"), ("b.csv", 2, "b")]
+
+
+def test_text_is_scanned_once(spark, workdir):
+    p = write(os.path.join(workdir, "one.csv"), HEADERS, [row(), row()])
+    plan = read_tagged(spark, p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+
+
+def test_quarantined_lines_take_no_ordinal_in_any_split(spark, workdir):
+    p = os.path.join(workdir, "ragged.csv")
+    good = row(**{"Race": "x" * 200})
+    with open(p, "w", encoding="utf-8") as f:
+        f.write(",".join(f'"{h}"' for h in HEADERS) + "\n")
+        want = []
+        for i in range(400):
+            values = [f'"{good.get(h) or ""}"' for h in HEADERS]
+            if i % 7 == 3 or 100 < i < 110:
+                values += ["extra", "fields"]
+            else:
+                want.append(len(want) + 2)
+            f.write(",".join(values) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        got = sorted(r[0] for r in read_discharge_file(spark, p).select("source_row_number").collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == want
+
+
+def test_folders_and_schemes(spark, workdir):
+    folder = os.path.join(workdir, "landing")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.csv"), HEADERS, [row()])
+    write(os.path.join(folder, "b.csv"), HEADERS[::-1], [row()])
+    for path in (folder, f"file:{folder}", f"file://{folder}/"):
+        rows = read_discharge_file(spark, path).collect()
+        assert sorted(r["source_file_name"] for r in rows) == ["a.csv", "b.csv"]
+        assert len({r["facility_name"] for r in rows}) == 1
+    with pytest.raises(FileNotFoundError):
+        read_tagged(spark, os.path.join(workdir, "absent.csv"))

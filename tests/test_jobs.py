@@ -70,3 +70,50 @@ def test_interrupted_summary_update_catches_up(spark, workdir):
     for name in SUMMARIES:
         assert spark.read.parquet(os.path.join(summ, name)).agg(
             {"discharge_count": "sum"}).first()[0] in (19, 0, None) or name == "patient_medical_surgical_summary"
+
+
+def test_summaries_follow_loads_not_the_clock(spark, workdir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from carelens.operators import load
+
+    stalled = F.to_timestamp(F.lit("2020-01-01 00:00:00"))
+    monkeypatch.setattr(load.F, "current_timestamp", lambda: stalled)
+    fact, summ = os.path.join(workdir, "fact"), os.path.join(workdir, "summ")
+    for day, n in (("a", 12), ("b", 7), ("c", 5)):
+        p = write(os.path.join(workdir, f"{day}.csv"), HEADERS, [row(**{"Race": f"{day}{i}"}) for i in range(n)])
+        jobs.ingest(spark, p, fact, current_year=2024, summary_dir=summ)
+    stored = spark.read.parquet(fact)
+    assert stored.select("created_at").distinct().count() == 1
+    assert sorted(r[0] for r in stored.select("load_id").distinct().collect()) == [1, 2, 3]
+    total = spark.read.parquet(os.path.join(summ, "hospital_operation_summary")).agg(F.sum("discharge_count")).first()[0]
+    assert total == 24
+
+
+def test_answers_are_delivered_whole(spark, workdir, capsys):
+    from pyspark.sql import functions as F
+
+    frame = spark.range(1234).select("id", F.lit(None).cast("string").alias("note"))
+    jobs.deliver(frame)
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert sorted(x["id"] for x in lines) == list(range(1234)) and lines[0]["note"] is None
+    jobs.deliver(frame, os.path.join(workdir, "out"))
+    assert spark.read.parquet(os.path.join(workdir, "out")).count() == 1234
+
+
+def test_summarise_a_catalog_table(spark, workdir):
+    p = write(os.path.join(workdir, "t.csv"), HEADERS, [row(**{"Race": f"r{i}"}) for i in range(9)])
+    spark.sql("DROP TABLE IF EXISTS fact_by_name")
+    jobs.ingest(spark, p, "fact_by_name", current_year=2024)
+    jobs.summarise(spark, "fact_by_name", os.path.join(workdir, "s"), tables=["hospital_operation_summary"])
+    assert spark.read.parquet(os.path.join(workdir, "s", "hospital_operation_summary")).first()["discharge_count"] == 9
+    spark.sql("DROP TABLE fact_by_name")
+
+
+def test_partly_overlapping_load(spark, workdir):
+    rows = [row(**{"Race": f"r{i}"}) for i in range(20)]
+    fact = os.path.join(workdir, "fact")
+    first = jobs.ingest(spark, write(os.path.join(workdir, "a.csv"), HEADERS, rows[:12]), fact, current_year=2024)
+    second = jobs.ingest(spark, "file:" + write(os.path.join(workdir, "b.csv"), HEADERS, rows[6:]), fact, current_year=2024)
+    assert (first["inserted_rows"], second["inserted_rows"], second["clean_rows"]) == (12, 8, 14)
+    assert spark.read.parquet(fact).count() == 20

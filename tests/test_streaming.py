@@ -26,3 +26,19 @@ def test_stream_ingest_once(spark, workdir):
     logs = spark.read.parquet(log).orderBy("epoch_id").collect()
     assert [r["inserted_rows"] for r in logs] == [2, 1]
     assert [r["input_rows"] for r in logs] == [3, 2]
+
+
+def test_stream_maps_each_files_own_header(spark, workdir):
+    landing, target = os.path.join(workdir, "landing"), os.path.join(workdir, "fact")
+    os.makedirs(landing)
+    swapped = list(HEADERS)
+    i, j = swapped.index("Total Charges"), swapped.index("Total Costs")
+    swapped[i], swapped[j] = swapped[j], swapped[i]
+    write(os.path.join(landing, "a.csv"), HEADERS, [row(**{"Race": "a", "Total Charges": "20", "Total Costs": "10"})])
+    write(os.path.join(landing, "b.csv"), swapped, [row(**{"Race": "b", "Total Charges": "40", "Total Costs": "30"})])
+    write(os.path.join(landing, "c.tsv"), HEADERS[::-1], [row(**{"Race": "c", "Total Charges": "60", "Total Costs": "50"})],
+          sep="\t")
+    start_ingest(spark, landing, target, os.path.join(workdir, "ck"), os.path.join(workdir, "q"), current_year=2024,
+                 available_now=True).awaitTermination(120)
+    got = {r["race"]: (int(r["total_charges"]), int(r["total_costs"])) for r in spark.read.parquet(target).collect()}
+    assert got == {"a": (20, 10), "b": (40, 30), "c": (60, 50)}
