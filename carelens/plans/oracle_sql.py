@@ -525,6 +525,19 @@ def clean_select_sql(year: int, columns: list[str]) -> str:
     return f"WITH {staged_sql(year)} SELECT {', '.join(cols)} FROM staged"
 
 
+def src_records_sql() -> str:
+    cols = ", ".join(f"nullif({c}, '') AS {c}" for c in RAW_COLS if c in _PRESENT)
+    return f"WITH raw AS ({RAW_VIEW}) SELECT {cols} FROM raw"
+
+
+def src_ordinals_sql() -> str:
+    return f"WITH raw AS ({RAW_VIEW}) SELECT count(*) AS records, CAST(0 AS BIGINT) AS files_with_gaps FROM raw"
+
+
+def src_quality_sql(year: int) -> str:
+    return f"SELECT *, CAST(0 AS BIGINT) AS long_rows FROM ({quality_sql(year)})"
+
+
 def dedup_sql(year: int) -> str:
     return (f"WITH {staged_sql(year)}, {_first_rows()} SELECT source_row_hash, source_file_name, "
             "CAST(source_row_number AS BIGINT) AS source_row_number, CAST(_copies AS BIGINT) AS copies, "

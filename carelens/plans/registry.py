@@ -290,6 +290,36 @@ register("quality_summary_rerun", _quality_rerun, O.quality_sql(CURRENT_YEAR, in
 register("quality_partial_overlap", _quality_partial, O.quality_sql(CURRENT_YEAR, inserted="source_row_number % 2 <> 0"))
 
 
+# --- A1-A7, A9, A11: the raw records as files, read and ingested -------------
+
+from carelens.plans.jobs import ingest  # noqa: E402
+from carelens.sources.delimited import read_discharge_file  # noqa: E402
+from carelens.sources.fixtures import rendered_files  # noqa: E402
+
+
+def _src_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_discharge_file(spark, rendered_files(spark, sf_dir)).select(*sorted(O._PRESENT))
+
+
+def _src_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read_discharge_file(spark, rendered_files(spark, sf_dir)).groupBy("source_file_name").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("source_row_number").alias("distinct"),
+        F.min("source_row_number").alias("low"), F.max("source_row_number").alias("high"))
+    gaps = (F.col("low") != 2) | (F.col("high") != F.col("n") + 1) | (F.col("distinct") != F.col("n"))
+    return files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_if(gaps).alias("files_with_gaps"))
+
+
+def _src_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = rendered_files(spark, sf_dir)
+    counters = ingest(spark, files, f"{files[0]}-fact", CURRENT_YEAR)
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in counters.items()])
+
+
+register("src_records", _src_records, O.src_records_sql())
+register("src_ordinals", _src_ordinals, O.src_ordinals_sql())
+register("src_ingest_quality", _src_quality, O.src_quality_sql(CURRENT_YEAR))
+
+
 # --- E5-E10: chart re-aggregations; F1-F5: report fact packs ------------------
 
 from carelens.operators import charts as C  # noqa: E402
@@ -308,6 +338,8 @@ for _suffix, _sc in (("", None), ("_area", AREA)):
     register(f"chart_hospital_bubbles{_suffix}", _on(OP, C.hospital_bubbles, scope=_scope(_sc)),
              O.hospital_bubbles_sql(_sc))
 register("chart_drilldown_bubbles_mdc", _on(DD, C.drilldown_bubbles, level="mdc"), O.drilldown_bubbles_sql("mdc"))
+register("chart_drilldown_bubbles_ccsr", _on(DD, C.drilldown_bubbles, level="ccsr", apr_mdc_code=MDC, apr_drg_code=DRG),
+         O.drilldown_bubbles_sql("ccsr", None, MDC, DRG))
 register("chart_drilldown_bubbles_drg", _on(DD, C.drilldown_bubbles, level="drg", apr_mdc_code=MDC),
          O.drilldown_bubbles_sql("drg", None, MDC))
 

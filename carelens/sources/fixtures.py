@@ -10,12 +10,15 @@ size is under the threshold and sort-merge them otherwise.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from carelens.functions.ordinal import number_rows
 from carelens.functions.sizing import broadcast_bounded
 from carelens.operators.clean import charge_cost_gap
-from carelens.schema import RAW_COLUMNS
+from carelens.schema import HEADER_ALIASES, RAW_COLUMNS
+from carelens.session import checkpoint_dir
 
 # nation x region is fixed by the star's definition (25 x 5); anything far
 # beyond that is not a dimension to broadcast.
@@ -156,3 +159,21 @@ def raw_discharges(spark: SparkSession, sf_dir: str, file_name: str = "synthetic
     cols = [values["source_file_name"].alias("source_file_name"), values["source_row_number"].alias("source_row_number")]
     cols += [values.get(name, F.lit(None).cast("string")).alias(name) for name in RAW_COLUMNS]
     return numbered.select(*cols)
+
+
+def rendered_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The raw records as files with source headers: half as CSV, half as TSV with the columns reversed.
+
+    Written under the shared checkpoint folder; returns the two folders.
+    """
+    header_of = {column: header for header, column in reversed(HEADER_ALIASES.items())}
+    raw = raw_discharges(spark, sf_dir)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/carelens-files-{uuid.uuid4().hex}"
+    folders = []
+    for kind, sep, half, columns in (("csv", ",", 0, RAW_COLUMNS), ("tsv", "\t", 1, RAW_COLUMNS[::-1])):
+        part = raw.where(F.col("source_row_number") % 2 == half).select(*[F.col(c).alias(header_of[c]) for c in columns])
+        folders.append(f"{root}/{kind}")
+        (part.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("extension", kind).csv(folders[-1]))
+    return folders
