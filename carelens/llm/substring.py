@@ -9,12 +9,14 @@ each distinct window is found.  The results go back to the places where the
 strings occur, and words covered by a window that an earlier document also has
 are removed.
 
-Equal strings are combined in the map task before the shuffle.  A minimiser with
-more than ``hot`` super-k-mers in the corpus is not one bucket: its windows
-travel alone, keyed by their own hash, so equal ones still meet and different
-ones spread.  At most ``MOST_HOT`` minimisers can be hot, since the bound rises
-with the corpus.  Buckets are read in key order and judged a bounded number of
-strings at a time.
+Equal strings are combined in the map task before the shuffle, and travel in
+compressed blocks, one for each group of minimisers; the number of groups grows
+with the corpus.  A minimiser with more than ``hot`` super-k-mers is not one
+bucket: its windows travel alone, keyed by their own hash, so equal ones still
+meet and different ones spread.  At most ``MOST_HOT`` minimisers can be hot,
+since the bound rises with the corpus.  Strings are judged in key order, a
+bounded number at a time.  On the way back, places whose string cannot be in the
+results are left out by a bitmap of fixed size (``MARKS`` bits).
 
 Null and empty texts have no words; a null doc_id counts as later than all
 others; documents with fewer words than the window keep all; a doc_id that
@@ -27,12 +29,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+import zstandard
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
-from carelens.llm.shared import Words, ascii_words, batch, cut, groups_of, pick, window_hashes
+from carelens.llm.shared import Words, ascii_words, batch, by_group, cut, groups_of, mix, pick, window_hashes
 
 SEED = 3
 MOST_HOT = 10_000
+MARKS = 1 << 26
+GROUP = 100_000  # super-k-mers in a group of minimisers, about
 LAST = np.iinfo(np.int64).max
 
 
@@ -74,8 +79,8 @@ def _strings(words: Words, first: np.ndarray, counts: np.ndarray, window: int) -
     return [words.data[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first + counts + window - 2].tolist())]
 
 
-def hot_minimisers(rows: DataFrame, window: int, hot: int) -> np.ndarray:
-    """Sorted minimisers with more super-k-mers than ``hot`` or a ``MOST_HOT``-th of all."""
+def minimisers(rows: DataFrame, window: int, hot: int) -> tuple[int, np.ndarray]:
+    """Super-k-mers in the corpus; sorted minimisers with more than ``hot`` or a ``MOST_HOT``-th of them."""
     spec = "key long, n long"
 
     def count(batches):
@@ -84,47 +89,66 @@ def hot_minimisers(rows: DataFrame, window: int, hot: int) -> np.ndarray:
             if keys:
                 yield batch(spec, np.unique(np.concatenate(keys), return_counts=True))
 
+    seen = Observation()
     counts = rows.select("text").mapInArrow(count, spec).groupBy("key").agg(F.sum("n").alias("n"))
-    counts = cut(counts.where(F.col("n") > 1))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("n") > max(hot, total // MOST_HOT)).select("key").collect()  # at most MOST_HOT
-    return np.sort(np.array([r.key for r in found], np.int64).astype(np.uint64))
+    large = cut(counts.observe(seen, F.sum("n").alias("total")).where(F.col("n") > hot))
+    total = seen.get["total"] or 0
+    found = large.where(F.col("n") > total // MOST_HOT).select("key").collect()  # at most MOST_HOT
+    return total, np.sort(np.array([r.key for r in found], np.int64).astype(np.uint64))
 
 
-def packed(rows: DataFrame, window: int, hot: np.ndarray, held: int = 100_000) -> DataFrame:
-    """(key, code, words, doc, several): strings combined within each task.
+def _block(keys: np.ndarray, docs: np.ndarray, several: np.ndarray, strings: list[bytes]) -> bytes:
+    head = np.array([len(keys)], "<i8")
+    parts = [head.tobytes(), keys.astype("<i8").tobytes(), docs.astype("<i8").tobytes(), several.astype(np.uint8).tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, b"\n".join(strings)]))
 
-    ``doc`` is the smallest doc_id of the task's occurrences, ``several`` says
-    whether there are larger ones.  At most ``held`` strings are held at a time.
+
+def _unblock(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    keys, docs = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * i) for i in range(2))
+    return keys, docs, np.frombuffer(raw, np.uint8, n, 8 + 16 * n) > 0, raw[8 + 17 * n:].split(b"\n")
+
+
+def packed(rows: DataFrame, window: int, hot: np.ndarray, groups: int, held: int = 100_000) -> DataFrame:
+    """(part, block): super-k-mers combined within each task, in blocks of one group of minimisers.
+
+    A block holds keys, the smallest doc_id of the task's occurrences, whether
+    there are larger ones, and the strings.  At most ``held`` strings wait in a
+    task at a time, and one slice of texts.
     """
-    spec = "key long, code binary, words binary, doc long, several boolean"
+    spec = "part long, block binary"
 
     def pack(batches):
         table: dict[bytes, list] = {}
 
         def flushed():
-            codes = list(table)
-            columns = list(zip(*table.values()))
-            for lo in range(0, len(codes), 20_000):
-                s = slice(lo, lo + 20_000)
-                yield batch(spec, [columns[0][s], codes[s], *(c[s] for c in columns[1:])])
+            key, strings, doc, several = (list(c) for c in zip(*table.values()))
+            key, doc, several = np.array(key, np.int64), np.array(doc, np.int64), np.array(several, bool)
+            part = (mix(key.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = np.lexsort((key, part))
+            edges = np.flatnonzero(np.diff(part[order], prepend=-1))
+            parts, blocks = [], []
+            for at in np.split(order, edges[1:]):
+                parts.append(int(part[at[0]]))
+                blocks.append(_block(key[at], doc[at], several[at], [strings[i] for i in at.tolist()]))
             table.clear()
+            return batch(spec, [parts, blocks])
 
         for b in batches:
             docs = b.column("doc").to_numpy()
             for at, words, keys, first, counts in _texts(b, window, hot):
                 owners = docs[at + np.searchsorted(np.cumsum(words.counts), first, side="right")]
                 for key, doc, string in zip(keys.tolist(), owners.tolist(), _strings(words, first, counts, window)):
-                    code = xxhash.xxh3_128_digest(string)
-                    row = table.get(code)
+                    row = table.get(string)
                     if row is None:
-                        table[code] = [key, string, doc, False]
+                        table[string] = [key, string, doc, False]
                     elif doc != row[2]:
                         row[2], row[3] = min(doc, row[2]), True
                 if len(table) >= held:
-                    yield from flushed()
+                    yield flushed()
         if table:
-            yield from flushed()
+            yield flushed()
 
     return rows.select("doc", "text").mapInArrow(pack, spec)
 
@@ -155,55 +179,63 @@ def first_documents(strings: list[bytes], docs: np.ndarray, window: int) -> tupl
     return out, counts
 
 
-def judged(strings: DataFrame, window: int, most_bytes: int = 1_500_000) -> DataFrame:
-    """(code, firsts): the smallest doc of each window of the strings that occur in a later document too.
+def judged(blocks: DataFrame, window: int, most_bytes: int = 1_500_000) -> DataFrame:
+    """(code, mark, firsts): the smallest doc of each window of the strings that occur in a later document too.
 
-    Rows come in key order; complete keys of at least ``most_bytes`` are judged
-    together.
+    One group of minimisers is held at a time; complete keys of about
+    ``most_bytes`` are judged together.
     """
-    spec = "code binary, firsts array<bigint>"
-
-    def made(keys, codes, words, docs, several):
-        low, counts = first_documents(words, np.array(docs, np.int64), window)
-        ends = np.cumsum(counts)
-        later = np.add.reduceat((low < np.repeat(np.array(docs, np.int64), counts)).astype(np.int64), ends - counts) > 0
-        chosen = {c: i for i, c in enumerate(codes) if later[i] or several[i]}
-        rows = list(chosen.values())
-        return batch(spec, [list(chosen), [low[ends[i] - counts[i]:ends[i]] for i in rows]]) if rows else None
-
-    def judge(batches):
-        held, size = [[] for _ in range(5)], 0
-        for b in batches:
-            for column, name in zip(held, ("key", "code", "words", "doc", "several")):
-                column += b.column(name).to_pylist()
-            size += b.column("words").nbytes
-            end = len(held[0])
-            while end and held[0][end - 1] == held[0][-1]:
-                end -= 1
-            if size >= most_bytes and end:
-                if (out := made(*(c[:end] for c in held))) is not None:
-                    yield out
-                held = [c[end:] for c in held]
-                size = sum(map(len, held[2]))
-        if held[0] and (out := made(*held)) is not None:
-            yield out
-
-    return strings.repartition("key").sortWithinPartitions("key").mapInArrow(judge, spec)
-
-
-def occurrences(rows: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
-    """(doc, tie, code, first): every place where a string stands."""
+    def judge(t: pa.Table):
+        keys, docs, several, strings = zip(*map(_unblock, t.column("block").to_pylist()))
+        keys, docs, several = np.concatenate(keys), np.concatenate(docs), np.concatenate(several)
+        strings = [s for some in strings for s in some]
+        order = np.argsort(keys, kind="stable")
+        size = np.cumsum([len(strings[i]) for i in order.tolist()])
+        new_key = np.flatnonzero(np.diff(keys[order])) + 1  # where judging may be cut
+        wanted = np.searchsorted(size, np.arange(most_bytes, size[-1], most_bytes))
+        cuts = np.unique(new_key[np.minimum(np.searchsorted(new_key, wanted), len(new_key) - 1)]) if len(new_key) else []
+        codes, firsts = [], []
+        for at in np.split(order, cuts):
+            some = [strings[i] for i in at.tolist()]
+            low, counts = first_documents(some, docs[at], window)
+            ends = np.cumsum(counts)
+            later = np.add.reduceat((low < np.repeat(docs[at], counts)).astype(np.int64), ends - counts) > 0
+            chosen = {some[i]: i for i in np.flatnonzero(later | several[at]).tolist()}
+            codes += [xxhash.xxh3_128_digest(s) for s in chosen]
+            firsts += [low[ends[i] - counts[i]:ends[i]] for i in chosen.values()]
+        return codes, _marks(codes), firsts
+
+    return by_group(blocks, ["part"], judge, "code binary, mark long, firsts array<bigint>")
+
+
+def _marks(codes: list[bytes]) -> np.ndarray:
+    return (np.frombuffer(b"".join(codes), "<u8")[::2] % np.uint64(MARKS)).astype(np.int64)
+
+
+def marked(results: DataFrame) -> np.ndarray:
+    """Bitmap of the results' marks as 64-bit words; at most ``MARKS`` / 64 rows come to the driver."""
+    words = (results.groupBy(F.shiftright("mark", 6).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(mark & 63 as int))")).alias("bits")).collect())
+    out = np.zeros(MARKS // 64, np.uint64)
+    out[[r.w for r in words]] = np.array([r.bits for r in words], np.int64).astype(np.uint64)
+    return out
+
+
+def occurrences(rows: DataFrame, window: int, hot: np.ndarray, marks) -> DataFrame:
+    """(doc, tie, code, first): every place of a string whose mark is set in the broadcast bitmap."""
     spec = "doc long, tie long, code binary, first int"
 
     def find(batches):
         for b in batches:
             docs, ties = b.column("doc").to_numpy(), b.column("tie").to_numpy()
             for at, words, _, first, counts in _texts(b, window, hot):
+                codes = [xxhash.xxh3_128_digest(s) for s in _strings(words, first, counts, window)]
+                mark = _marks(codes)
+                kept = np.flatnonzero(marks.value[mark >> 6] >> (mark & 63).astype(np.uint64) & np.uint64(1))
                 ends = np.cumsum(words.counts)
-                row = np.searchsorted(ends, first, side="right")
-                yield batch(spec, [docs[at + row], ties[at + row],
-                                   [xxhash.xxh3_128_digest(s) for s in _strings(words, first, counts, window)],
-                                   first - (ends - words.counts)[row]])
+                row = np.searchsorted(ends, first[kept], side="right")
+                yield batch(spec, [docs[at + row], ties[at + row], [codes[i] for i in kept.tolist()],
+                                   first[kept] - (ends - words.counts)[row]])
 
     return rows.select("doc", "tie", "text").mapInArrow(find, spec)
 
@@ -212,9 +244,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, hot: int = 200_000) -> Dat
     """(doc_id, n_words, n_removed, kept): words outside every window that a document with a smaller id has."""
     rows = (pick(docs, doc_id="long", text="string").withColumn("doc", F.coalesce("doc_id", F.lit(int(LAST))))
             .withColumn("tie", F.xxhash64("text")))
-    keys = hot_minimisers(rows, window, hot)
-    results = cut(judged(packed(rows, window, keys), window))
-    places = (occurrences(rows, window, keys).join(results, "code")
+    total, keys = minimisers(rows, window, hot)
+    results = cut(judged(packed(rows, window, keys, total // GROUP + 1), window))
+    marks = docs.sparkSession.sparkContext.broadcast(marked(results))  # MARKS / 8 bytes
+    places = (occurrences(rows, window, keys, marks).join(results, "code")
               .select("doc", "tie", F.filter(F.transform("firsts", lambda low, i: F.when(
                   low < F.col("doc"), (F.col("first") + i).cast("int"))), lambda x: x.isNotNull()).alias("at"))
               .where(F.size("at") > 0).distinct()
