@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from carelens.session import checkpoint_dir
@@ -98,6 +99,7 @@ def from_text(df: DataFrame, spec: str, fn, keep: tuple[str, ...] = ()) -> DataF
     names = schema.names
 
     def run(batches):
+        stage_memo("begun", object)
         for b in batches:
             columns = [b.column(f.name) for f in passed]
             for first, texts in groups_of(b.column("text").to_pylist()):
@@ -141,6 +143,7 @@ def by_group(df: DataFrame, keys: list[str], fn, spec: str) -> DataFrame:
     Groups arrive sorted, one is held at a time, and results leave in batches.
     """
     def run(batches):
+        stage_memo("begun", object)
         held, current, made, size = [], None, [], 0
         for b in batches:
             columns = [b.column(k).to_numpy() for k in keys]
@@ -182,6 +185,20 @@ def folded_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+_KEPT: dict = {}
+
+
+def stage_memo(name, make):
+    """An object that this worker keeps for the tasks of one stage; what earlier stages left is dropped first."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    for old in [k for k, (kept_for, _) in _KEPT.items() if kept_for != stage]:
+        del _KEPT[old]
+    if name not in _KEPT:
+        _KEPT[name] = stage, make()
+    return _KEPT[name][1]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, memoised; emptied when it holds ``most`` words."""
 
@@ -199,11 +216,8 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_WORDS = WordHashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return _WORDS.of(words)
+    return stage_memo("words", WordHashes).of(words)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

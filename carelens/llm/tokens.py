@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from carelens.llm.shared import batch, cut, groups_of, pick
+from carelens.llm.shared import batch, cut, groups_of, pick, stage_memo
 
 _BEFORE_WORD = re.compile(r" (?=[^\s᠎])")
 _SPACE_RUN = re.compile(r" [\s᠎]")
@@ -172,14 +172,9 @@ def _take(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker and tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker, stage and tokenizer file."""
+    return stage_memo(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def in_doc_order(docs: DataFrame) -> DataFrame:
