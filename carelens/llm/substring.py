@@ -36,7 +36,7 @@ from carelens.llm.shared import Words, ascii_words, batch, by_group, cut, groups
 
 SEED = 3
 MOST_HOT = 10_000
-MARKS = 1 << 26
+MARKS = 1 << 25
 GROUP = 100_000  # super-k-mers in a group of minimisers, about
 LAST = np.iinfo(np.int64).max
 
@@ -215,9 +215,9 @@ def _marks(codes: list[bytes]) -> np.ndarray:
 def marked(results: DataFrame) -> np.ndarray:
     """Bitmap of the results' marks as 64-bit words; at most ``MARKS`` / 64 rows come to the driver."""
     words = (results.groupBy(F.shiftright("mark", 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(mark & 63 as int))")).alias("bits")).collect())
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(mark & 63 as int))")).alias("bits")).toArrow())
     out = np.zeros(MARKS // 64, np.uint64)
-    out[[r.w for r in words]] = np.array([r.bits for r in words], np.int64).astype(np.uint64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
