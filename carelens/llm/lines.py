@@ -17,12 +17,17 @@ Linked lines form classes; equal lines are one member however often they occur.
 In a class that occurs in ``least_docs`` documents at least, every occurrence
 but the first (by doc_id, then place) is removed.
 
-Lines are cut at line feeds and compared without surrounding blanks; those
-under ``min_chars`` characters are never removed.  Null and empty texts stay as
-they are, a null doc_id comes after all others, rows that repeat a doc_id count
-as one document for ``least_docs`` and are told apart by their texts' hashes
-(equal rows keep or lose the same lines), an empty table gives an empty result.
-A line is named by its 64-bit hash.
+Lines are cut at line feeds and compared without surrounding blanks.  Those
+under ``min_chars`` characters are never removed.  Null and
+empty texts stay as they are, a null doc_id comes after all others, rows that
+repeat a doc_id count as one document for ``least_docs`` and are told apart by their texts' hashes (equal rows keep or lose
+the same lines), an empty table gives an empty result.  A line is named by its
+64-bit hash.
+
+With ``copies`` = (shingle, percent), a row goes whole if it is a near-duplicate
+(``minhash``) of an earlier row that has one of its lines first.  Lines are then
+cut from the rows that are left, so a near copy leaves no fragment, and no line
+gives way to one that goes with its row.  Rows without a doc_id stay.
 """
 
 from __future__ import annotations
@@ -31,10 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from carelens.functions.sizing import broadcast_bounded
+from carelens.llm import minhash
 from carelens.llm.links import components
-from carelens.llm.shared import batch, carried, carry, cut, groups_of, mix, powers, prepare
+from carelens.llm.shared import batch, carried, carry, cut, from_text, groups_of, mix, powers, prepare
 
 BLANKS = " \t\r\x0b\x0c"
+NO_ID = (1 << 63) - 1
+SIGNATURE = 60
 
 
 class Hashed:
@@ -167,8 +176,8 @@ def _walk(rests: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray, edits: i
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, tie, at, id, line) of every line long enough to be compared."""
-    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    """(doc, tie, at, id, line) of every line of ``min_chars`` characters or more."""
+    doc = F.coalesce("doc_id", F.lit(NO_ID))
     rows = docs.select(doc.alias("doc"), F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     rows = rows.withColumn("line", F.trim("line", F.lit(BLANKS))).where(F.length("line") >= min_chars)
     return rows.withColumn("id", F.xxhash64("line"))
@@ -218,36 +227,87 @@ def near_lines(lines: DataFrame, edits: int = 1) -> DataFrame:
     return pairs.mapInArrow(verify, spec2)
 
 
-def repeats(docs: DataFrame, edits: int = 1, least_docs: int = 2, min_chars: int = 24) -> DataFrame:
-    """(doc, tie, gone): places of the lines to remove from each text (null doc_ids as the largest long)."""
+def _places(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(doc, tie, at, line_class) of every line that can be removed."""
     if min_chars <= 2 * edits:
         raise ValueError("min_chars must be over twice the edits")
     lines = _lines(docs, min_chars)
     classes = components(near_lines(lines, edits))
-    places = lines.select("doc", "tie", "at", "id").join(classes, "id", "left").select(
+    return lines.select("doc", "tie", "at", "id").join(classes, "id", "left").select(
         "doc", "tie", "at", F.coalesce("component", "id").alias("line_class"))
+
+
+def _firsts(places: DataFrame, least_docs: int) -> DataFrame:
+    """(line_class, first) of the classes that lose lines."""
     # documents of a class, counted on (class, doc) rows that were combined before the shuffle
-    per_doc = places.groupBy("line_class", "doc").agg(F.min(F.struct("tie", "at")).alias("place"), F.count(F.lit(1)).alias("n"))
+    per_doc = places.groupBy("line_class", "doc").agg(
+        F.min(F.struct("tie", "at")).alias("place"), F.count(F.lit(1)).alias("n"))
     firsts = per_doc.groupBy("line_class").agg(
         F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
-    firsts = firsts.where((F.col("docs") >= least_docs) & (F.col("n") > 1)).select("line_class", "first")
+    return firsts.where((F.col("docs") >= least_docs) & (F.col("n") > 1)).select("line_class", "first")
+
+
+def _repeats(places: DataFrame, least_docs: int) -> DataFrame:
+    """(doc, tie, gone): places of the lines to remove from each text (null doc_ids as the largest long)."""
     own = F.struct("doc", F.struct("tie", "at").alias("place"))
-    return (places.join(firsts, "line_class").where(own != F.col("first")).groupBy("doc", "tie")
+    return (places.join(_firsts(places, least_docs), "line_class").where(own != F.col("first")).groupBy("doc", "tie")
             .agg(F.collect_set("at").alias("gone")))
 
 
+def _copies(rows: DataFrame, places: DataFrame, shingle: int, percent: int, miss: float = 1e-6,
+            most: int = 2_000_000) -> DataFrame | None:
+    """(doc, tie) of the rows to drop whole; None if there are none.
+
+    Rows that go no longer hold the first place of a line, so their lines' next
+    places are tried until no pair of rows is new.
+    """
+    def detail(texts):
+        sets = [minhash.shingle_set(t, shingle) for t in texts]
+        return [[minhash.signature(s, SIGNATURE).astype("<u4").tobytes() for s in sets], [s.astype("<u8").tobytes() for s in sets]]
+
+    rows = rows.where(F.col("doc") != NO_ID).select("doc", F.xxhash64("doc", "tie").alias("id"), "text")
+    places = cut(places.where(F.col("doc") != NO_ID)
+                 .select("line_class", "doc", "tie", F.xxhash64("doc", "tie").alias("id")).distinct())
+    gone = tested = None
+    while True:
+        left = places if gone is None else places.join(gone, ["doc", "tie"], "left_anti")
+        firsts = left.groupBy("line_class").agg(F.min(F.struct("doc", "tie", "id")).alias("first"))
+        pairs = (left.join(firsts, "line_class").where(F.col("first.doc") < F.col("doc"))
+                 .select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            return gone
+        tested = pairs if tested is None else tested.union(pairs)
+        wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        texts = rows.join(broadcast_bounded(wanted, most), "id", "left_semi").select("id", "text")
+        sets = cut(from_text(texts, "sig binary, hashes binary", detail).dropDuplicates(["id"]))
+        linked = minhash.verified(pairs, sets, percent, SIGNATURE, miss).select(F.col("b").alias("id")).distinct()
+        found = cut(places.join(linked, "id", "left_semi").select("doc", "tie").distinct())
+        if found.isEmpty():
+            return gone
+        gone = found if gone is None else gone.union(found)
+
+
 def remove_repeats(docs: DataFrame, edits: int = 1, least_docs: int = 2, min_chars: int = 24,
-                   drop_emptied: bool = False) -> DataFrame:
+                   drop_emptied: bool = False, copies: tuple[int, int] | None = None) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``.
 
     A text that loses every line becomes empty; ``drop_emptied`` drops the rows
     of texts that lost lines and have nothing but blanks left.
     """
     prepare(docs.sparkSession)
-    rows = carry(docs, doc_id="long", text="string")
-    gone = repeats(rows, edits, least_docs, min_chars)
-    rows = rows.withColumns({"doc": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "tie": F.xxhash64("text")})
-    rows = rows.join(gone, ["doc", "tie"], "left")
+    keyed = carry(docs, doc_id="long", text="string")
+    rows = keyed.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "tie": F.xxhash64("text")})
+    places = _places(keyed, edits, min_chars)
+    if copies is not None:
+        # classes of one row have nothing to compare or remove
+        several = places.groupBy("line_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line_class")
+        places = cut(places.join(several, "line_class", "left_semi"))
+        whole = _copies(rows, places, *copies)
+        if whole is not None:
+            places = places.join(whole, ["doc", "tie"], "left_anti")
+            rows = rows.join(whole, ["doc", "tie"], "left_anti")
+    rows = rows.join(_repeats(places, least_docs), ["doc", "tie"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
     rows = rows.withColumn("text", text)

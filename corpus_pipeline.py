@@ -6,8 +6,9 @@ columns of ``documents``; texts that a stage shortens keep their other columns
 (``n_chars`` describes the original).
 
 1. quality   documents whose score is under 0.3 go (labels of the held-out fifth are never used)
-2. lines     lines that ``LEAST_DOCS`` documents or more share, up to one edit, stay only where they
-             stand first; a document that loses its last word goes
+2. lines     near copies (as in 3) of a document that has one of their lines first go whole; lines that
+             two documents or more share, up to one edit, then stay
+             only where they stand first; a document that loses its last word goes
 3. near      one document of each group of near-duplicates stays (runs of five words, similarity 0.8)
 4. leaks     documents that hold ten consecutive words of a benchmark item go
 5. packing   the rest is encoded, joined and cut into sequences of 2048 ids
@@ -28,7 +29,7 @@ from carelens.llm import decontaminate, lines, minhash, packing, quality
 from carelens.llm.queries import table, vocabulary
 from carelens.session import checkpoint_dir
 
-LEAST_DOCS = 6
+NEAR = {"shingle": 5, "percent": 80}
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +37,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.remove_repeats(docs, edits=1, least_docs=LEAST_DOCS, drop_emptied=True)
+    return lines.remove_repeats(docs, edits=1, least_docs=2, drop_emptied=True,
+                                copies=(NEAR["shingle"], NEAR["percent"]))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_first(docs, shingle=5, percent=80)
+    return minhash.keep_first(docs, **NEAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from carelens.llm import decontaminate, embeddings, lines, minhash, substring
 from carelens.llm.links import components
 
@@ -170,6 +171,22 @@ def test_line_dedup(spark, edits, least_docs):
     assert lines.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_near_copies_go_whole_before_lines_are_cut(spark):
+    words = ["w%d" % i for i in range(400)]
+    parts = [" ".join(words[i:i + 40]) for i in range(0, 400, 40)]
+    near = parts[:4] + [parts[4].replace("w170", "other words")] + parts[5:]
+    chain = near[:8] + [near[8].replace("w330", "third")] + near[9:]
+    far = parts[:3] + ["an own line that no other document has but this one"]
+    rows = [(5, "\n".join(parts)), (7, "\n".join(near)), (8, "\n".join(chain)), (9, "\n".join(far)),
+            (10, near[4] + "\nnew"), (None, "\n".join(near)), (11, "\n".join(parts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in lines.remove_repeats(docs, copies=(5, 80)).collect()}
+    # 10 keeps the line that it shares only with rows that go
+    assert out == {5: rows[0][1], 9: far[3], 10: rows[4][1], None: ""}
+    left = corpus_pipeline.dedup_lines(spark, docs, "")  # the stage: two documents suffice
+    assert {r.doc_id: r.text for r in left.collect()} == {5: rows[0][1], 9: far[3], 10: rows[4][1]}
+
+
 # --- op8 ---------------------------------------------------------------------
 
 @pytest.mark.parametrize("window, hot", [(13, 200_000), (13, 3), (4, 5), (2, 200_000)])
