@@ -18,7 +18,8 @@ In a class that occurs in ``least_docs`` documents at least, every occurrence
 but the first (by doc_id, then place) is removed.
 
 Lines are cut at line feeds and compared without surrounding blanks.  Those
-under ``min_chars`` characters are never removed.  Null and
+under ``min_chars`` characters skip the edit join: with ``short`` equal ones
+form a class, else they are never removed.  Blank lines always stay.  Null and
 empty texts stay as they are, a null doc_id comes after all others, rows that
 repeat a doc_id count as one document for ``least_docs`` and are told apart by their texts' hashes (equal rows keep or lose
 the same lines), an empty table gives an empty result.  A line is named by its
@@ -227,12 +228,12 @@ def near_lines(lines: DataFrame, edits: int = 1) -> DataFrame:
     return pairs.mapInArrow(verify, spec2)
 
 
-def _places(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def _places(docs: DataFrame, edits: int, min_chars: int, short: bool) -> DataFrame:
     """(doc, tie, at, line_class) of every line that can be removed."""
     if min_chars <= 2 * edits:
         raise ValueError("min_chars must be over twice the edits")
-    lines = _lines(docs, min_chars)
-    classes = components(near_lines(lines, edits))
+    lines = _lines(docs, 1 if short else min_chars)
+    classes = components(near_lines(lines.where(F.length("line") >= min_chars), edits))
     return lines.select("doc", "tie", "at", "id").join(classes, "id", "left").select(
         "doc", "tie", "at", F.coalesce("component", "id").alias("line_class"))
 
@@ -289,7 +290,7 @@ def _copies(rows: DataFrame, places: DataFrame, shingle: int, percent: int, miss
 
 
 def remove_repeats(docs: DataFrame, edits: int = 1, least_docs: int = 2, min_chars: int = 24,
-                   drop_emptied: bool = False, copies: tuple[int, int] | None = None) -> DataFrame:
+                   drop_emptied: bool = False, short: bool = False, copies: tuple[int, int] | None = None) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``.
 
     A text that loses every line becomes empty; ``drop_emptied`` drops the rows
@@ -298,7 +299,7 @@ def remove_repeats(docs: DataFrame, edits: int = 1, least_docs: int = 2, min_cha
     prepare(docs.sparkSession)
     keyed = carry(docs, doc_id="long", text="string")
     rows = keyed.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "tie": F.xxhash64("text")})
-    places = _places(keyed, edits, min_chars)
+    places = _places(keyed, edits, min_chars, short)
     if copies is not None:
         # classes of one row have nothing to compare or remove
         several = places.groupBy("line_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line_class")

@@ -7,7 +7,7 @@ columns of ``documents``; texts that a stage shortens keep their other columns
 
 1. quality   documents whose score is under 0.3 go (labels of the held-out fifth are never used)
 2. lines     near copies (as in 3) of a document that has one of their lines first go whole; lines that
-             two documents or more share, up to one edit, then stay
+             two documents or more share (up to one edit from 24 characters on, equal below) then stay
              only where they stand first; a document that loses its last word goes
 3. near      one document of each group of near-duplicates stays (runs of five words, similarity 0.8)
 4. leaks     documents that hold ten consecutive words of a benchmark item go
@@ -37,7 +37,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.remove_repeats(docs, edits=1, least_docs=2, drop_emptied=True,
+    return lines.remove_repeats(docs, edits=1, least_docs=2, drop_emptied=True, short=True,
                                 copies=(NEAR["shingle"], NEAR["percent"]))
 
 

@@ -171,6 +171,16 @@ def test_line_dedup(spark, edits, least_docs):
     assert lines.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_short_lines_are_compared_as_they_are(spark):
+    rows = [(1, "All rights reserved.\nSee more\n\n}"), (2, "all rights reserved.\n  See more \t\n\n}"), (3, "Menu\nAll rights reserved."),
+            (4, "Menu\nMenu!"), (None, "Menu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in lines.remove_repeats(docs, short=True).collect()}
+    assert out == {1: rows[0][1], 2: "all rights reserved.\n", 3: "Menu", 4: "Menu!", None: ""}
+    out = {r.doc_id: r.text for r in lines.remove_repeats(docs).collect()}
+    assert out == dict(rows)
+
+
 def test_near_copies_go_whole_before_lines_are_cut(spark):
     words = ["w%d" % i for i in range(400)]
     parts = [" ".join(words[i:i + 40]) for i in range(0, 400, 40)]
