@@ -21,7 +21,8 @@ Lines are cut at line feeds and compared without surrounding blanks.  Those
 under ``min_chars`` characters skip the edit join: with ``short`` equal ones
 form a class, else they are never removed.  Blank lines always stay.  Null and
 empty texts stay as they are, a null doc_id comes after all others, rows that
-repeat a doc_id count as one document for ``least_docs`` and are told apart by their texts' hashes (equal rows keep or lose
+repeat a doc_id count as one document for ``least_docs`` (those without one by
+their texts) and are told apart by their texts' hashes (equal rows keep or lose
 the same lines), an empty table gives an empty result.  A line is named by its
 64-bit hash.
 
@@ -241,7 +242,7 @@ def _places(docs: DataFrame, edits: int, min_chars: int, short: bool) -> DataFra
 def _firsts(places: DataFrame, least_docs: int) -> DataFrame:
     """(line_class, first) of the classes that lose lines."""
     # documents of a class, counted on (class, doc) rows that were combined before the shuffle
-    per_doc = places.groupBy("line_class", "doc").agg(
+    per_doc = places.groupBy("line_class", "doc", F.when(F.col("doc") == NO_ID, F.col("tie"))).agg(
         F.min(F.struct("tie", "at")).alias("place"), F.count(F.lit(1)).alias("n"))
     firsts = per_doc.groupBy("line_class").agg(
         F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))

@@ -106,6 +106,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_line_dedup")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="long", text="string")
-    rows = lines.remove_repeats(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")), short=True)
+    docs = docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    rows = lines.remove_repeats(docs, least_docs=1, short=True)
     left = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return rows.select("doc_id", "n_lines", left.alias("n_left"), F.sha2("text", 256).alias("text_sha256"))

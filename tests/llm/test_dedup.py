@@ -181,6 +181,20 @@ def test_short_lines_are_compared_as_they_are(spark):
     assert out == dict(rows)
 
 
+def test_lines_repeated_inside_one_document(spark):
+    line = "one line of more than twenty-four characters"
+    rows = [(1, f"{line}\na\n{line}.\nb\na"), (2, "c\nd"), (None, "e\nf"), (None, "g\nf")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = lines.remove_repeats(docs, least_docs=1, short=True)
+    left = sorted(r.text for r in out.collect())
+    assert left[:2] == ["c\nd", "e"] + [] or left[0] == "c\nd"
+    assert f"{line}\na\nb" in left and sum("f" in t.split("\n") for t in left) == 1
+    # rows without a doc_id are documents of their own: two of them share a line
+    out = lines.remove_repeats(docs, least_docs=2, short=True)
+    left = [r.text for r in out.collect()]
+    assert rows[0][1] in left and sum("f" in t.split("\n") for t in left) == 1
+
+
 def test_near_copies_go_whole_before_lines_are_cut(spark):
     words = ["w%d" % i for i in range(400)]
     parts = [" ".join(words[i:i + 40]) for i in range(0, 400, 40)]
@@ -190,7 +204,7 @@ def test_near_copies_go_whole_before_lines_are_cut(spark):
     rows = [(5, "\n".join(parts)), (7, "\n".join(near)), (8, "\n".join(chain)), (9, "\n".join(far)),
             (10, near[4] + "\nnew"), (None, "\n".join(near)), (11, "\n".join(parts))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r.text for r in lines.remove_repeats(docs, copies=(5, 80)).collect()}
+    out = {r.doc_id: r.text for r in lines.remove_repeats(docs, short=True, copies=(5, 80)).collect()}
     # 10 keeps the line that it shares only with rows that go
     assert out == {5: rows[0][1], 9: far[3], 10: rows[4][1], None: ""}
     left = corpus_pipeline.dedup_lines(spark, docs, "")  # the stage: two documents suffice
