@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions, and the queries' SQL."""
 
+import itertools
 import re
 
 import duckdb
@@ -55,6 +56,69 @@ def test_lines_stage_cuts_whole_lines(stages):
         assert r.text == before[r.doc_id].text or all(line in lines for line in left)
 
 
+def line_classes(found):
+    """A name for the class of each line: linked by one edit from 24 characters on."""
+    low = {s: s for s in found}
+
+    def name(s):
+        while low[s] != s:
+            s = low[s]
+        return s
+
+    def close(a, b):
+        i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        return a[i + 1:] == b[i + 1:] or a[i + 1:] == b[i:] or a[i:] == b[i + 1:]
+
+    shorter = {}  # lines within one edit share themselves or one less character
+    for s in found:
+        if len(s) >= 24:
+            for v in {s, *(s[:i] + s[i + 1:] for i in range(len(s)))}:
+                shorter.setdefault(hash(v), []).append(s)
+    for group in shorter.values():
+        for a, b in itertools.combinations(group, 2):
+            if close(a, b):
+                a, b = sorted((name(a), name(b)))
+                low[b] = a
+    return {s: name(s) for s in found}
+
+
+def test_lines_stage_equals_a_plain_version(stages):
+    before, made = stages["lines"]
+    split = {d: [s.strip(" \t\r\x0b\x0c") for s in r.text.split("\n")] for d, r in before.items()}
+    classes = line_classes({s for ls in split.values() for s in ls if s})
+    split = {d: [classes.get(s) for s in ls] for d, ls in split.items()}
+
+    def runs(d):
+        w = re.findall(r"[^\x20\x09-\x0D]+", before[d].text.translate(LOWER))
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def firsts():
+        out, many = {}, set()
+        for d in sorted(split):
+            for i, c in enumerate(split[d]):
+                if out.setdefault(c, (d, i))[0] != d:
+                    many.add(c)
+        return out, many
+
+    copies, tested = set(), set()
+    while True:
+        first, many = firsts()
+        pairs = {(first[c][0], d) for d, ls in split.items() for c in ls if c and first[c][0] != d} - tested
+        tested |= pairs
+        new = {d for p, d in pairs if 100 * len(runs(p) & runs(d)) >= 80 * len(runs(p) | runs(d))}
+        if not new:
+            break
+        copies |= new
+        split = {d: ls for d, ls in split.items() if d not in new}
+    want = {}
+    for d, ls in split.items():
+        kept = [s for i, (s, c) in enumerate(zip(before[d].text.split("\n"), ls)) if not c or c not in many or first[c] == (d, i)]
+        if len(kept) == len(ls) or "".join(kept).strip(" \t\r\x0b\x0c"):
+            want[d] = "\n".join(kept)
+    assert len(copies) > 20 and sum(t != before[d].text for d, t in want.items()) > 20
+    assert {r.doc_id: r.text for r in made.collect()} == want
+
+
 def test_near_stage(stages):
     before, made = stages["near"]
     sets = {}
