@@ -14,8 +14,8 @@
   exactly, or spills text into the extra column, is a long row.
 * ``source_row_number`` is the record's ordinal among the kept records of its
   file plus 2 (line 1 is the header).  It is exact across any number of
-  input splits: rows carry (file, split start, position), one small table
-  holds each split's record count and the positions of its quarantined lines;
+  input splits: kept rows carry (file, split start, position among the kept
+  rows), one small table holds each split's record count and first position;
   the running sum of the counts gives each split's first ordinal.
 * Folders are listed and headers read through the file system that Spark
   resolves the path on, whatever its scheme.
@@ -121,8 +121,9 @@ def _project(df: DataFrame, header: list[str]) -> DataFrame:
 
 
 def with_positions(untagged: DataFrame) -> DataFrame:
-    """Add ``_pos``, the order of all lines (quarantined ones too) within their split."""
-    return untagged.withColumn("_pos", F.monotonically_increasing_id())
+    """Add ``_pos``, which counts the kept lines within their split (null for quarantined ones)."""
+    # a branch that is not taken does not advance the counter
+    return untagged.withColumn("_pos", F.when(~F.col("_long"), F.monotonically_increasing_id()))
 
 
 def csv_schema(width: int) -> T.StructType:
@@ -153,7 +154,7 @@ def read_tagged(spark: SparkSession, paths: str | list[str], multi_line: bool =
     """Raw records of one or more files with ``_long`` (quarantine flag) and position tags.
 
     Columns: ``source_file_name``, the 33 raw columns, ``_long``, ``_file``,
-    ``_block``, ``_pos``.  ``_pos`` orders the lines of one split.
+    ``_block``, ``_pos``.  ``_pos`` counts the kept lines of one split.
     ``multi_line`` allows quoted line breaks but makes each file one split.
     """
     layouts = read_headers(spark, expand_paths(spark, paths))
@@ -176,20 +177,18 @@ def number_records(tagged: DataFrame, max_broadcast_splits: int = MAX_BROADCAST_
     """
     lines = tagged.withColumn("_fid", F.xxhash64("_file"))
     splits = lines.groupBy("_fid", "_file", "_block").agg(
-        F.count_if(~F.col("_long")).alias("_n"), F.min("_pos").alias("_first"),
-        F.array_sort(F.collect_list(F.when(F.col("_long"), F.col("_pos")))).alias("_skipped"))
+        F.count_if(~F.col("_long")).alias("_n"), F.min("_pos").alias("_first"))
     collision = (splits.select("_fid", "_file").distinct().groupBy("_fid").count()
                  .where(F.col("count") > 1).limit(1).count() > 0)
     key = "_file" if collision else "_fid"
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(key, "_block", "_first", "_skipped",
+    offsets = splits.select(key, "_block", "_first",
                             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     numbered = lines.where(~F.col("_long")).join(broadcast_bounded(offsets, max_broadcast_splits), [key, "_block"])
     rest = [c for c in tagged.columns if c not in ("source_file_name", "_long", *TAGS)]
-    skipped = F.when(F.size("_skipped") == 0, 0).otherwise(F.size(F.filter("_skipped", lambda p: p < F.col("_pos"))))
     return numbered.select(
         "source_file_name",
-        (F.col("_offset") + (F.col("_pos") - F.col("_first")) - skipped + 2).cast("long").alias("source_row_number"),
+        (F.col("_offset") + (F.col("_pos") - F.col("_first")) + 2).cast("long").alias("source_row_number"),
         *rest)
 
 

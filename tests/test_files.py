@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carelens.plans.jobs import ingest, summarise
 from carelens.schema import HEADER_ALIASES
-from carelens.sources.delimited import read_discharge_file, read_tagged
+from carelens.sources.delimited import number_records, read_discharge_file, read_tagged
 
 HEADERS = [h for h in HEADER_ALIASES if h != "County"]  # 33 headers
 
@@ -215,6 +215,21 @@ def test_quarantined_lines_take_no_ordinal_in_any_split(spark, workdir):
     assert got == want
 
 
+def test_split_table_does_not_grow_with_quarantined_lines(spark, workdir):
+    p = os.path.join(workdir, "thirds.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("Facility Name,Discharge Year,CCSR Diagnosis Code,Length of Stay\n")
+        for i in range(300):
+            f.write(f"F{i},2021,D1,3" + (",long,row" if i % 3 == 0 else "") + "\n")
+    tagged = read_tagged(spark, p)
+    rows = tagged.collect()
+    assert all((r["_pos"] is None) == r["_long"] for r in rows) and sum(r["_long"] for r in rows) == 100
+    numbered = number_records(tagged)
+    assert "collect_list" not in numbered._jdf.queryExecution().toString()
+    got = {r["facility_name"]: r["source_row_number"] for r in numbered.collect()}
+    assert got == {f"F{i}": n + 2 for n, i in enumerate(i for i in range(300) if i % 3)}
+
+
 def test_folders_and_schemes(spark, workdir):
     folder = os.path.join(workdir, "landing")
     os.makedirs(folder)
