@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carelens.llm import decontaminate, embeddings, lines, minhash, oracle_sql, packing, quality, substring, token_files, toxicity, url_filter
+from carelens.llm import (decontaminate, embeddings, lines, minhash, oracle_sql, packing, pieces, quality, substring, token_files, toxicity,
+                          url_filter)
 from carelens.llm.shared import held_out, pick
 from carelens.session import checkpoint_dir
 
@@ -110,3 +111,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.remove_repeats(docs, least_docs=1, short=True)
     left = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return rows.select("doc_id", "n_lines", left.alias("n_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op12_sentencepiece")
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"),
+                       F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
