@@ -245,12 +245,13 @@ def _model(name: str) -> Model:
     return stage_memo(("pieces", name), load)
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids, begins, ends) of every row: little-endian unsigned 32-bit ids with their byte spans.
 
-    ``model`` is the path of a model file that every worker can open.
+    ``model`` is the path of a model file that every worker can open.  With
+    ``decoded``, a last column has the text that the ids stand for.
     """
-    spec = "doc_id long, ids binary, begins binary, ends binary"
+    spec = "doc_id long, ids binary, begins binary, ends binary" + ", decoded string" * decoded
 
     def run(batches):
         coder = _model(model)
@@ -258,20 +259,22 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             doc_ids = b.column("doc_id")
             for first, texts in groups_of(b.column("text").to_pylist()):
                 rows = [coder.encode(t) for t in texts]
-                yield batch(spec, [doc_ids.slice(first, len(texts)), *([c.astype("<u4").tobytes() for c in col] for col in zip(*rows))])
+                columns = [[c.astype("<u4").tobytes() for c in column] for column in zip(*rows)]
+                if decoded:
+                    columns.append([coder.decode(ids.tolist()) for ids, _, _ in rows])
+                yield batch(spec, [doc_ids.slice(first, len(texts)), *columns])
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, spec)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
-    """``rows`` (with binary ``ids``) and the text that the ids stand for, as ``decoded``."""
+    """``rows`` (with binary ``ids``) and the text that the ids stand for, as ``decoded``; null ids give null."""
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
         coder = _model(model)
-        for b in batches:
-            ids = b.column("ids")
-            texts = [coder.decode(np.frombuffer(i.as_buffer(), "<u4").tolist()) if i.is_valid else None for i in ids]
+        for b in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
+            texts = [coder.decode(np.frombuffer(i.as_buffer(), "<u4").tolist()) if i.is_valid else None for i in b.column("ids")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -96,3 +96,12 @@ def test_clashing_column_names_are_ignored(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 9)], "doc_id long, text string, Text string, IDS int")
     row = pieces.encode(docs, PATH).first()
     assert np.frombuffer(row.ids, "<u4").tolist() == [1, 264, 287, 2]
+
+
+def test_stored_ids_are_decoded(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    ids = [[1, 264, 287, 2], [], None, [1, 2], [30000] * 1200, [3 + 0xE6, 3 + 0x97], [3 + 0xF0, 300]]  # with broken byte pieces
+    rows = spark.createDataFrame([(i, None if x is None else bytearray(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)],
+                                 "n int, ids binary")
+    got = {r.n: r.decoded for r in pieces.decode(rows, PATH).collect()}
+    assert got == {i: None if x is None else library.decode(x) for i, x in enumerate(ids)}
