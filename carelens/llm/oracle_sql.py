@@ -69,3 +69,33 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+OP13 = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+lows AS (SELECT t, min(doc_id) AS low FROM texts GROUP BY t),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels
+          WHERE doc_id IS NOT NULL GROUP BY doc_id),
+facts AS (SELECT doc_id, part, t, low, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts JOIN lows USING (t)),
+fails AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 50,
+            100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+            regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > low, false)] AS f
+          FROM facts LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, f),
+orders(o) AS (SELECT '' UNION ALL SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5),
+seen AS (SELECT part, o, step, n, good, toxic, f, f[ascii(o[step]) - 64] AS bad,
+           list_bool_or(list_transform(range(1, step), lambda i: f[ascii(o[i]) - 64])) AS before FROM counts, steps),
+totals AS (SELECT part, o, step,
+    sum(CASE WHEN NOT bad AND NOT coalesce(before, false) THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN bad AND NOT coalesce(before, false) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN bad AND coalesce(before, false) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN bad AND len(list_filter(f, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN bad AND NOT coalesce(before, false) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN bad AND NOT coalesce(before, false) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM seen GROUP BY part, o, step),
+shares AS (SELECT part, o[step] AS letter, sum(removed) AS shapley FROM totals GROUP BY part, o[step])
+SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
+FROM totals JOIN shares USING (part) WHERE letter = o[step]
+"""

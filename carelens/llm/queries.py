@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carelens.llm import (decontaminate, embeddings, lines, minhash, oracle_sql, packing, pieces, quality, substring, token_files, toxicity,
-                          url_filter)
+from carelens.llm import (decontaminate, embeddings, filter_audit, lines, minhash, oracle_sql, packing, pieces, quality, substring, token_files,
+                          toxicity, url_filter)
 from carelens.llm.shared import held_out, pick
 from carelens.session import checkpoint_dir
 
@@ -116,7 +116,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_sentencepiece")
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
-    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    rows = pieces.encode(table(spark, sf_dir, "documents"), model, decoded=True)
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"),
                        F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
+
+
+@query("op13_filter_audit", oracle_sql.OP13)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
