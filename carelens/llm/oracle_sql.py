@@ -99,3 +99,34 @@ SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT)
        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
 FROM totals JOIN shares USING (part) WHERE letter = o[step]
 """
+
+OP11 = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL),
+crc(c, s, i, x) AS (
+  SELECT c, s, 0, CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL
+  SELECT c, s, i + 1, xor(x >> 8, list_reduce(list_prepend(xor(x, CAST(ascii(s[i + 1]) AS BIGINT)) & 255, range(8)),
+                                              lambda a, b: xor(a >> 1, 3988292384 * (a & 1))))
+  FROM crc WHERE i < length(s)),
+heads AS (SELECT c, c - c % 20 AS base, xor(x, 4294967295) % 4 AS h FROM crc WHERE i = length(s)),
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations),
+rebuilt AS (SELECT c, 0 AS part, k, role, text FROM heads JOIN turns ON conv_id = base AND k <= h
+            UNION ALL SELECT c, 1, k, role, text FROM heads JOIN turns ON conv_id = c AND k > h),
+numbered AS (SELECT c, row_number() OVER w AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+                    string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS key
+             FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, k ROWS UNBOUNDED PRECEDING)),
+lengths AS (SELECT c, coalesce(max(d), 0) AS n FROM heads LEFT JOIN numbered USING (c) GROUP BY c),
+prefixes AS (SELECT c, d, words, key FROM numbered UNION ALL SELECT c, 0, 0, '' FROM heads),
+nodes AS (SELECT key, d, min(c) AS low, count(*) AS n, max(words) AS words,
+                 coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends
+          FROM prefixes JOIN lengths USING (c) GROUP BY key, d),
+children AS (SELECT left(key, 64 * (d - 1)) AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+sums AS (SELECT key, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+         FROM (SELECT left(key, 64 * unnest(range(0, d + 1))) AS key, CAST(n_children = 0 AS INT) AS leaf, (n - 1) * words AS saved
+               FROM full_nodes) GROUP BY key)
+SELECT v.low AS conv_id, v.d AS depth, p.low AS parent_conv_id, v.n AS n_convs, v.n_children, n_leaves, saved_tokens,
+       sha256(v.ends) AS ends_sha256
+FROM full_nodes v JOIN sums USING (key) LEFT JOIN nodes p ON v.d > 0 AND p.key = left(v.key, 64 * (v.d - 1))
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from carelens.llm import (decontaminate, embeddings, filter_audit, lines, minhash, oracle_sql, packing, pieces, quality, substring, token_files,
-                          toxicity, url_filter)
+                          toxicity, trie, url_filter)
 from carelens.llm.shared import held_out, pick
 from carelens.session import checkpoint_dir
 
@@ -125,3 +125,9 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_filter_audit", oracle_sql.OP13)
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+@query("op11_conversation_trie", oracle_sql.OP11)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trie.shared_heads(trie.sequences(table(spark, sf_dir, "conversations")), every=20, most=4)
+    return trie.prefixes(rows).drop("ended")
