@@ -18,8 +18,9 @@ in buckets that more than one component shares, signatures travel to the
 bucket; its tasks compare all pairs across components and emit, instead of
 pairs, one link from each component to the smallest that it may belong to.  The
 sets of each such group of components then meet, and pairs across components
-are compared again and verified until no two of them link.  Buckets and groups
-of more than ``most`` documents are dealt into pairs of blocks.
+are compared again and verified until no two of them link.  Buckets of more than
+``most`` documents are dealt into pairs of blocks by their signatures, and groups
+by the size of their sets, so that sets are copied only where they would not fit.
 
 Null and empty texts have no set and link with nothing; null doc_ids are
 reported alone, without a component; a doc_id that repeats is one document, its
@@ -85,7 +86,7 @@ def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-6,
-                    most: int = 1024) -> DataFrame:
+                    most: int = 4096, heavy: int = 8_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     Two documents link if 100 * intersection >= percent * union of their sets.
@@ -130,7 +131,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     pairs = _ordered(part.select(F.col("any").alias("u"), F.col("id").alias("v")))
     links = links.union(cut(verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent, size, miss)))
     part = _shared_by_components(buckets, links)
-    links = links.union(_across(part, sets, percent, size, miss, most))
+    links = links.union(_across(part, sets, percent, size, miss, most, heavy))
 
     whole = components(links).withColumnRenamed("id", "rep")
     rep = classes.withColumnRenamed("id", "rep")
@@ -199,7 +200,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _across(part: DataFrame, sets: DataFrame, percent: int, size: int, miss: float, most: int) -> DataFrame:
+def _across(part: DataFrame, sets: DataFrame, percent: int, size: int, miss: float, most: int, heavy: int) -> DataFrame:
     """Links (a, b) between components that share a bucket, enough of them to connect what links."""
     stops = _stops(size, percent, miss)
 
@@ -231,11 +232,14 @@ def _across(part: DataFrame, sets: DataFrame, percent: int, size: int, miss: flo
         return list(zip(*links)) if links else ([], [])
 
     keys = ["bucket", "lo", "hi"]
-    signed = part.select("bucket", "id", "component").join(sets.select("id", "sig"), "id")
-    groups = components(by_group(dealt(signed, "bucket", most), keys, maybe, "a long, b long"))
+    # ids are dealt first; signatures and sets join the blocks
+    blocks = dealt(part.select("bucket", "id", "component"), "bucket", most)
+    groups = components(by_group(blocks.join(sets.select("id", "sig"), "id"), keys, maybe, "a long, b long"))
     groups = groups.select(F.col("id").alias("component"), F.col("component").alias("bucket"))
-    members = part.select("id", "component").distinct().join(groups, "component").join(sets, "id")
-    return cut(by_group(dealt(members, "bucket", most), keys, confirm, "a long, b long"))
+    members = part.select("id", "component").distinct().join(groups, "component")
+    members = members.join(sets.select("id", F.octet_length("hashes").alias("bytes")), "id")
+    blocks = dealt(members, "bucket", most, "bytes", heavy).drop("bytes")
+    return cut(by_group(blocks.join(sets, "id"), keys, confirm, "a long, b long"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, size: int, miss: float) -> DataFrame:
@@ -271,6 +275,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, size: int, miss: f
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` of each group's smallest doc_id, unchanged; rows without a doc_id stay."""
-    gone = near_duplicates(docs, shingle, percent).where(~F.col("kept")).select("doc_id")
-    return carried(carry(docs, doc_id="long").join(gone, "doc_id", "left_anti"), docs)
+    """One row of each group of near-duplicates, unchanged: that of the smallest doc_id.
+
+    Each distinct text of a doc_id that repeats is a document of its own, and so is each without a doc_id;
+    these come last.  Of rows equal in doc_id and text one stays.  Texts without a word are no copies.
+    """
+    rows = carry(docs, doc_id="long", text="string").withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    repeated = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id"))
+    if repeated.isEmpty():
+        rows = rows.withColumn("key", F.col("doc_id"))
+    else:
+        several = repeated.where("doc_id is not null")
+        odd = rows.join(several, "doc_id", "left_semi").union(rows.where("doc_id is null").select("doc_id", "text", "row", "hash"))
+        odd = odd.dropDuplicates(["doc_id", "hash"])
+        firsts = odd.where("doc_id is not null").groupBy("doc_id").agg(F.min("hash").alias("hash")).withColumn("key", F.col("doc_id"))
+        high = 1 << 62  # above any doc_id
+        later = F.xxhash64("doc_id", "hash").bitwiseAND(F.lit(high - 1)).bitwiseOR(F.lit(high))
+        odd = odd.join(firsts, ["doc_id", "hash"], "left").withColumn("key", F.coalesce("key", later))
+        plain = rows.where("doc_id is not null").join(several, "doc_id", "left_anti").withColumn("key", F.col("doc_id"))
+        rows = plain.unionByName(odd)
+    found = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), shingle, percent).withColumnRenamed("doc_id", "key")
+    if not repeated.isEmpty():  # the smallest key need not have the smallest doc_id
+        found = found.join(odd.select("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order")), "key", "left")
+        found = found.withColumn("order", F.coalesce("order", "key"))
+        best = found.groupBy("component_id").agg(F.min(F.struct("order", "key")).alias("best"))
+        found = found.join(best, "component_id").withColumn("kept", F.col("best.key") == F.col("key"))
+    gone = found.where(~F.col("kept")).select("key")
+    return carried(rows.join(gone, "key", "left_anti"), docs)

@@ -123,15 +123,19 @@ def carried(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select("row.*").toDF(*like.columns)
 
 
-def dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+def dealt(rows: DataFrame, key: str, most: int, weight: str | None = None, heavy: int = 0) -> DataFrame:
     """Add (lo, hi, mine): groups of more than ``most`` rows become pairs of blocks.
 
     A row (with an ``id``) belongs to block ``mine`` of its group and goes to
-    every pair (lo, hi) that its block is part of.
+    every pair (lo, hi) that its block is part of.  With ``weight``, a block has
+    about ``heavy`` of that column's sum at most.
     """
-    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    blocks = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("long")
-    rows = rows.join(large, key, "left").withColumn("blocks", blocks).drop("n")
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(weight or F.lit(0)).alias("w"))
+    blocks = F.ceil(F.col("n") / most)
+    if weight:
+        blocks = F.greatest(blocks, F.ceil(F.col("w") / heavy))
+    large = sizes.select(key, blocks.cast("long").alias("blocks")).where("blocks > 1")
+    rows = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     return rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other")

@@ -165,14 +165,14 @@ def test_run_equals_the_stages(spark, stages):
 
 def test_entry_has_every_operator():
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if re.match(r"op\d", n)}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if re.match(r"op\d", n)}
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality", "lines", "near", "leaks", "packing"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.ORACLE[name]).fetch_df()
     got = queries.QUERIES[name](spark, SF).toPandas()
