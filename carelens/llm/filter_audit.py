@@ -10,8 +10,10 @@ space; case matters).  A text fails
 * E  if a row with a smaller doc_id has the same text, wherever it is.
 
 All files are read once, as a fixed number of micro-batches of a stream that
-ends when they are through.  State is keyed by the text (SHA-256): the smallest
-doc_id seen and how many rows of each part hold it.  A row enters its part's
+ends when they are through.  State is keyed by the text (128 bits of its SHA-256):
+the smallest doc_id seen and how many rows of each part hold it.  The states of
+about ``TEXTS`` texts, dealt by their hashes, are kept and updated together; how
+many such buckets there are follows from the number of rows.  A row enters its part's
 counter of failure masks at once, as a copy (E) unless its doc_id is the smallest
 so far.  When a smaller doc_id arrives, the rows counted before as first are
 retracted from their mask and added to the mask with E.  The sum of all changes
@@ -51,7 +53,8 @@ FILTERS = "ABCDE"
 COPY = 16  # the mask of filter E
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CHANGES = "part string, mask int, good int, toxic int, n long"
-_STATE = "low long, held string"
+_STATE = "texts string"
+TEXTS = 64
 _STREAMING = {
     "spark.sql.caseSensitive": "true",  # columns by exact name, so that others cannot clash
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -71,7 +74,7 @@ def failures(text: Column) -> Column:
 
 def combined(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Rows of one text, part and labels as one: the smallest doc_id, rows that have it, rows above it."""
-    keys = ["key", "mask", "part", "good", "toxic"]
+    keys = ["bucket", "key", "mask", "part", "good", "toxic"]
 
     def flush(held):
         rows = pa.Table.from_batches(held)
@@ -83,10 +86,12 @@ def combined(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator
         first = first.select([*keys, "count_all"]).rename_columns([*keys, "at_low"])
         low = low.join(first, keys)
         above = pa.compute.subtract(low["count_all_sum"], low["at_low"])
-        out = pa.table([*(low[k] for k in keys), low["doc_id_min"], low["at_low"], above], names=[*keys, "low", "at_low", "above"])
+        names = [*keys, "low", "at_low", "above", "named"]
+        out = pa.table([*(low[k] for k in keys), low["doc_id_min"], low["at_low"], above, pa.array([True] * low.num_rows, pa.bool_())],
+                       names=names)
         null = null.group_by(keys).aggregate([([], "count_all")])
-        none, zero = pa.nulls(null.num_rows, pa.int64()), pa.array([0] * null.num_rows, pa.int64())
-        null = pa.table([*(null[k] for k in keys), none, null["count_all"], zero], names=out.column_names)
+        zero = pa.array([0] * null.num_rows, pa.int64())
+        null = pa.table([*(null[k] for k in keys), zero, null["count_all"], zero, pa.array([False] * null.num_rows, pa.bool_())], names=names)
         return pa.concat_tables([out, null.cast(out.schema)]).combine_chunks().to_batches()
 
     held, size = [], 0
@@ -120,14 +125,23 @@ def arrive(rows: Iterator[tuple], low: int | None, held: Counter) -> tuple[int |
     return low, held, changes
 
 
-def _update(key, frames, state):
-    low, held = state.get if state.exists else (None, "[]")
-    rows = ((int(r[0]), r[1], int(r[2]), int(r[3]), None if pd.isna(r[4]) else int(r[4]), int(r[5]), int(r[6]))
-            for f in frames for r in zip(*(f[c] for c in ("mask", "part", "good", "toxic", "low", "at_low", "above"))))
-    low, held, changes = arrive(rows, low, Counter({(p, g, t): n for p, g, t, n in json.loads(held)}))
-    if low is not None:
-        state.update((low, json.dumps([[*kind, n] for kind, n in held.items()])))
-    yield pd.DataFrame([(*kind, mask, n) for (kind, mask), n in changes.items() if n], columns=["part", "good", "toxic", "mask", "n"]
+def _update(bucket, frames, state):
+    """Changes to the counters by new rows of a bucket of texts: (part, mask, good, toxic, n)."""
+    texts = json.loads(state.get[0]) if state.exists else {}
+    arrived = {}
+    for f in frames:
+        for key, mask, part, good, toxic, low, at_low, above, named in zip(*(f[c].tolist() for c in (
+                "key", "mask", "part", "good", "toxic", "low", "at_low", "above", "named"))):
+            arrived.setdefault(key, []).append((mask, part, good, toxic, low if named else None, at_low, above))
+    total = Counter()
+    for key, rows in arrived.items():
+        low, held = texts.get(key, (None, []))
+        low, held, changes = arrive(iter(rows), low, Counter({(p, g, t): n for p, g, t, n in held}))
+        if low is not None:
+            texts[key] = low, [[*kind, n] for kind, n in held.items()]
+        total.update(changes)
+    state.update((json.dumps(texts),))
+    yield pd.DataFrame([(*kind, mask, n) for (kind, mask), n in total.items() if n], columns=["part", "good", "toxic", "mask", "n"]
                        ).astype({"good": "int32", "toxic": "int32", "mask": "int32", "n": "int64"})[["part", "mask", "good", "toxic", "n"]]
 
 
@@ -166,19 +180,21 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, part: str = "sou
         kinds = {f.name: f.dataType for f in table.schema.fields}
         schema = T.StructType([T.StructField(c, kinds[c]) for c in ("doc_id", "text", part)])
         files = -(-len(table.inputFiles()) // batches) or 1
+        buckets = table.count() // TEXTS + 1  # from the files' footers
         # the last letter as a pattern: a path that may be one file is then not taken for a folder of partitions;
         # no file is too old to count
         docs = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("maxFileAge", "36500d")
                 .parquet(f"{path[:-1]}[{path[-1]}]"))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                            F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
-        rows = rows.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("key"), failures(F.col("text")).alias("mask"))
+        rows = rows.select("doc_id", "part", F.substring(F.sha2("text", 256), 1, 32).alias("key"), failures(F.col("text")).alias("mask"))
         # rows without a doc_id find no label; spread, they do not meet in one task
         rows = rows.withColumn("spread", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("key"), F.lit(1024))).otherwise(0).cast("int"))
         rows = rows.join(marks, ["doc_id", "spread"], "left").select(
-            "key", "mask", "part", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")], "doc_id")
-        rows = rows.mapInArrow(combined, "key binary, mask int, part string, good int, toxic int, low long, at_low long, above long")
-        changes = rows.groupBy("key").applyInPandasWithState(_update, _CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
+            F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "mask", "part",
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")], "doc_id")
+        rows = rows.mapInArrow(combined, "bucket long, key string, mask int, part string, good int, toxic int, low long, at_low long, above long, named boolean")
+        changes = rows.groupBy("bucket").applyInPandasWithState(_update, _CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
         stream = (changes.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress")
                   .trigger(availableNow=True).start())
         stream.awaitTermination()

@@ -51,10 +51,10 @@ def rows_and_labels(n=120):
     texts = ["", None, " \t\n", "A" * 30, "#", "\x1c one \x85 two", "é" * 60, *(
         " ".join(rng.choice(["alpha", "Beta", "x%", "c", "d", "e" * rng.randrange(1, 9)] + [f"w{i}" for i in range(m)])
                  for _ in range(m)) for m in (20, 49, 50, 51, 80, 200)), "same text, " * 30, "w " * 3000]
-    rows = [(rng.choice([None, *range(60)]), rng.choice(texts + ["one very common text"] * 8), rng.choice(["a", "b", None, "", "Ü'x"]))
+    rows = [(rng.choice([None, *range(30), *range(2**60, 2**60 + 30)]), rng.choice(texts + ["one very common text"] * 8), rng.choice(["a", "b", None, "", "Ü'x"]))
             for _ in range(n)]
     rows += rows[:5]  # repeated rows
-    labels = [(rng.choice([None, *range(70)]), rng.choice([0, 1, None]), rng.choice([0, 1, None])) for _ in range(60)]
+    labels = [(rng.choice([None, *range(35), *range(2**60, 2**60 + 35)]), rng.choice([0, 1, None]), rng.choice([0, 1, None])) for _ in range(60)]
     return rows, labels
 
 
@@ -125,20 +125,21 @@ def test_earlier_mask_is_retracted():
 
 def test_rows_of_one_text_are_combined_in_their_task():
     rng = random.Random(2)
-    rows = [(b"k%d" % (rng.randrange(3)), 1, rng.choice("ab"), 0, rng.randrange(2), rng.choice([None, 1, 2, 3])) for _ in range(300)]
-    names = ["key", "mask", "part", "good", "toxic", "doc_id"]
-    types = [pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+    rows = [(7, "k%d" % (rng.randrange(3)), 1, rng.choice("ab"), 0, rng.randrange(2), rng.choice([None, 1, 2, 3])) for _ in range(300)]
+    names = ["bucket", "key", "mask", "part", "good", "toxic", "doc_id"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
     batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo:lo + 50]], t) for i, t in enumerate(types)], names)
                for lo in range(0, 300, 50)]
     for most in (1, 120, 10**6):
         out = [r for b in filter_audit.combined(iter(batches), most) for r in b.to_pylist()]
         got = Counter()
         for r in out:
-            got[tuple(r[c] for c in names[:5])] += r["at_low"] + r["above"]
-        assert got == Counter(r[:5] for r in rows)
+            got[tuple(r[c] for c in names[:6])] += r["at_low"] + r["above"]
+        assert got == Counter(r[:6] for r in rows)
         if most == 10**6:
             assert len(out) <= 2 * len(got)
             for r in out:
-                mine = [x[5] for x in rows if x[:5] == tuple(r[c] for c in names[:5]) and x[5] is not None]
-                if r["low"] is not None:
+                mine = [x[6] for x in rows if x[:6] == tuple(r[c] for c in names[:6]) and x[6] is not None]
+                assert r["named"] or not r["low"]
+                if r["named"]:
                     assert (r["low"], r["at_low"]) == (min(mine), mine.count(min(mine)))
