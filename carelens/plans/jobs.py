@@ -1,6 +1,6 @@
 """Job entry points: ingest files -> fact, fact -> summaries, summaries -> answers.
 
-``python -m carelens.plans.jobs ingest  --target FACT [--summaries DIR] [--quality-log LOG] FILE|FOLDER ...``
+``python -m carelens.plans.jobs ingest  --target FACT [--summaries DIR] [--quality-log LOG] [--quarantine LOG] FILE|FOLDER ...``
 ``python -m carelens.plans.jobs summarise --fact FACT --out SUMMARY_DIR [--per-table]``
 ``python -m carelens.plans.jobs serve --summaries SUMMARY_DIR QUERY [--param k=v ...] [--out DIR]``
 ``python -m carelens.plans.jobs report --summaries SUMMARY_DIR TYPE [--param scope=value ...] [--out DIR]``
@@ -32,40 +32,36 @@ from carelens.operators.summaries import (
 )
 from carelens.plans.catalog import FolderSummaries
 from carelens.session import build_session, checkpoint_dir
-from carelens.sources.delimited import number_records, read_tagged
+from carelens.sources.delimited import number_records, quarantined, read_records, remove, saver
 from carelens.sources.tables import read_fact, write_summary
 
 
 def ingest(spark: SparkSession, sources: str | list[str], target: str, current_year: int | None = None,
-           multi_line: bool = False, summary_dir: str | None = None) -> dict[str, int]:
+           multi_line: bool = False, summary_dir: str | None = None, quarantine: str | None = None) -> dict[str, int]:
     """Clean the source files and append their new records to the fact at ``target``.
 
     Returns the quality counters plus ``long_rows`` (quarantined lines).  With
-    ``summary_dir``, the summaries there are updated from the new records only.
-    """
-    return load_tagged(spark, read_tagged(spark, sources, multi_line), target, current_year, summary_dir)
-
-
-def load_tagged(spark: SparkSession, tagged: DataFrame, target: str, current_year: int | None = None,
-                summary_dir: str | None = None) -> dict[str, int]:
-    """Tagged raw records (reader output) -> cleaned, de-duplicated, appended; returns the counters.
-
-    With ``summary_dir`` the summaries there are then brought up to date from
-    the newly appended fact rows (see ``update_summaries``).
+    ``summary_dir``, the summaries there are then brought up to date from the
+    newly appended fact rows (see ``update_summaries``).  With ``quarantine``,
+    the file, line and number of fields of each quarantined line are appended to
+    the Parquet table there.  Files with line breaks inside quotes are found
+    while reading; ``multi_line`` only saves reading them twice.
     """
     run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-ingest-{uuid.uuid4().hex}"
+    save = saver(spark, run)
     # 1. parse + clean row by row (one narrow pass over the text), keep position tags
-    stage(tagged, current_year).write.parquet(f"{run}/staged")
-    staged = spark.read.parquet(f"{run}/staged")
-    long_rows = staged.where(F.col("_long")).count()
+    staged, splits = read_records(spark, sources, save, lambda raw: stage(raw, current_year), multi_line)
+    long_rows = splits.agg(F.coalesce(F.sum("_quarantined"), F.lit(0))).first()[0]
     # 2. ordinals from the split table, then one shuffle by record hash (map-side combined)
-    collapse_duplicates(number_records(staged)).write.parquet(f"{run}/collapsed")
-    collapsed = spark.read.parquet(f"{run}/collapsed")
+    collapsed = save(collapse_duplicates(number_records(staged, splits)), "collapsed")
     # 3. anti-join against the target and append; counters from the collapsed records
     inserted = append_new(spark, clean_records(collapsed), target)
+    if quarantine and long_rows:
+        quarantined(staged, splits).withColumn("loaded_at", F.current_timestamp()).write.mode("append").parquet(quarantine)
     if summary_dir is not None:
         update_summaries(spark, target, summary_dir)
     row = quality_summary(collapsed, inserted).first().asDict()
+    remove(spark, run)  # kept after a failure, to look at
     return {**{k: int(row[k]) for k in COUNTERS}, "long_rows": int(long_rows)}
 
 
@@ -256,7 +252,8 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("sources", nargs="+")
     a.add_argument("--target", required=True, help="Parquet path, or a catalog table name (created bucketed)")
     a.add_argument("--current-year", type=int)
-    a.add_argument("--multi-line", action="store_true")
+    a.add_argument("--multi-line", action="store_true", help="read every file as whole records at once, one task each")
+    a.add_argument("--quarantine", help="append file, line and fields of lines with too many fields to this Parquet table")
     a.add_argument("--quality-log", help="append the load's counters to this Parquet table")
     a.add_argument("--summaries", help="update the summaries in this folder from the new records only")
     s = sub.add_parser("summarise")
@@ -284,7 +281,7 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     spark = build_session(app_name=f"carelens-{args.cmd}")
     if args.cmd == "ingest":
-        counters = ingest(spark, args.sources, args.target, args.current_year, args.multi_line, args.summaries)
+        counters = ingest(spark, args.sources, args.target, args.current_year, args.multi_line, args.summaries, args.quarantine)
         if args.quality_log:
             log_quality(spark, counters, args.sources, args.quality_log)
         print(json.dumps(counters))

@@ -383,10 +383,29 @@ SELECT
   CASE WHEN l_linenumber = 7 THEN 'maybe' WHEN l_linestatus = 'O' THEN 'yes' ELSE '0' END AS emergency_department_indicator,
   CASE WHEN l_linenumber = 2 THEN '0' ELSE '3,100' END AS birth_weight,
   CASE WHEN l_orderkey % 67 = 0 THEN '-5' ELSE concat('$', cast(cast(l_extendedprice AS decimal(16,2)) AS string)) END AS total_charges,
-  cast(cast(cast(l_extendedprice AS decimal(16,2)) * (1 - cast(l_discount AS decimal(4,2))) AS decimal(16,2)) AS string) AS total_costs
+  cast(cast(cast(l_extendedprice AS decimal(16,2)) * (1 - cast(l_discount AS decimal(4,2))) AS decimal(16,2)) AS string) AS total_costs,
+  CAST(NULL AS VARCHAR) AS patient_disposition
 FROM copies
 """
 
+# the same records as the files hold them: file, line, number of fields; short lines lose their last three fields
+FILE_LINES = f"""
+SELECT * REPLACE (
+    'discharges-' || source_row_number % 8 || CASE source_row_number % 2 WHEN 0 THEN '.csv' ELSE '.tsv' END AS source_file_name,
+    CASE WHEN short AND source_row_number % 2 = 0 THEN NULL ELSE total_costs END AS total_costs,
+    CASE WHEN short AND source_row_number % 2 = 0 THEN NULL ELSE total_charges END AS total_charges,
+    CASE WHEN short AND source_row_number % 2 = 0 THEN NULL ELSE emergency_department_indicator END AS emergency_department_indicator,
+    CASE WHEN short AND source_row_number % 2 = 1 THEN NULL ELSE hospital_service_area END AS hospital_service_area,
+    CASE WHEN short AND source_row_number % 2 = 1 THEN NULL ELSE hospital_county END AS hospital_county,
+    CASE WHEN source_row_number % 8 IN (1, 6) AND source_row_number % 5 = 0 THEN 'Home, self-care' || chr(10) || 'with "aid"'
+         WHEN source_row_number % 5 = 3 THEN 'Left "early", by' || chr(9) || 'choice' END AS patient_disposition),
+  1 + row_number() OVER (PARTITION BY source_row_number % 8 ORDER BY source_row_number) AS line, 33 + excess AS fields
+FROM (SELECT *, CASE source_row_number % 37 WHEN 5 THEN 1 WHEN 11 THEN 2 WHEN 17 THEN 1 WHEN 23 THEN 3 ELSE 0 END AS excess,
+             source_row_number % 41 = 7 AND excess = 0 AS short FROM ({RAW_VIEW}))"""
+
+FILES_VIEW = f"""SELECT * REPLACE (1 + row_number() OVER (PARTITION BY source_file_name ORDER BY line) AS source_row_number)
+FROM ({FILE_LINES}) WHERE excess = 0"""
+
 RAW_COLS = [
     "hospital_service_area", "hospital_county", "operating_certificate_number", "permanent_facility_id",
     "facility_name", "age_group", "zip_code_3", "gender", "race", "ethnicity", "length_of_stay",
@@ -401,7 +420,7 @@ _PRESENT = {
     "hospital_service_area", "hospital_county", "facility_name", "age_group", "zip_code_3", "gender",
     "length_of_stay", "type_of_admission", "discharge_year", "ccsr_diagnosis_code", "ccsr_diagnosis_description",
     "apr_severity_code", "apr_risk_of_mortality", "apr_medical_surgical_description",
-    "emergency_department_indicator", "birth_weight", "total_charges", "total_costs",
+    "emergency_department_indicator", "birth_weight", "total_charges", "total_costs", "patient_disposition",
 }
 _NUMERIC = {
     "length_of_stay": ("DECIMAL(10,2)", "{v} < 0"),
@@ -527,15 +546,20 @@ def clean_select_sql(year: int, columns: list[str]) -> str:
 
 def src_records_sql() -> str:
     cols = ", ".join(f"nullif({c}, '') AS {c}" for c in RAW_COLS if c in _PRESENT)
-    return f"WITH raw AS ({RAW_VIEW}) SELECT {cols} FROM raw"
+    return f"SELECT {cols} FROM ({FILES_VIEW})"
 
 
 def src_ordinals_sql() -> str:
-    return f"WITH raw AS ({RAW_VIEW}) SELECT count(*) AS records, CAST(0 AS BIGINT) AS files_with_gaps FROM raw"
+    return f"SELECT source_file_name, CAST(source_row_number AS BIGINT) AS source_row_number, total_charges, patient_disposition FROM ({FILES_VIEW})"
+
+
+def src_quarantine_sql() -> str:
+    return f"SELECT source_file_name, CAST(line AS BIGINT) AS line, CAST(fields AS INTEGER) AS fields FROM ({FILE_LINES}) WHERE excess > 0"
 
 
 def src_quality_sql(year: int) -> str:
-    return f"SELECT *, CAST(0 AS BIGINT) AS long_rows FROM ({quality_sql(year)})"
+    return (f"SELECT *, (SELECT count(*) FROM ({FILE_LINES}) WHERE excess > 0) AS long_rows "
+            f"FROM ({quality_sql(year).replace(RAW_VIEW, FILES_VIEW)})")
 
 
 def dedup_sql(year: int) -> str:

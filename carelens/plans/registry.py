@@ -292,8 +292,10 @@ register("quality_partial_overlap", _quality_partial, O.quality_sql(CURRENT_YEAR
 
 # --- A1-A7, A9, A11: the raw records as files, read and ingested -------------
 
+import uuid  # noqa: E402
+
 from carelens.plans.jobs import ingest  # noqa: E402
-from carelens.sources.delimited import read_discharge_file  # noqa: E402
+from carelens.sources.delimited import quarantined, read_discharge_file, read_records, saver  # noqa: E402
 from carelens.sources.fixtures import rendered_files  # noqa: E402
 
 
@@ -302,11 +304,13 @@ def _src_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _src_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = read_discharge_file(spark, rendered_files(spark, sf_dir)).groupBy("source_file_name").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("source_row_number").alias("distinct"),
-        F.min("source_row_number").alias("low"), F.max("source_row_number").alias("high"))
-    gaps = (F.col("low") != 2) | (F.col("high") != F.col("n") + 1) | (F.col("distinct") != F.col("n"))
-    return files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_if(gaps).alias("files_with_gaps"))
+    return read_discharge_file(spark, rendered_files(spark, sf_dir)).select(
+        "source_file_name", "source_row_number", "total_charges", "patient_disposition")
+
+
+def _src_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/carelens-read-{uuid.uuid4().hex}"
+    return quarantined(*read_records(spark, rendered_files(spark, sf_dir), saver(spark, folder)))
 
 
 def _src_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,6 +321,7 @@ def _src_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("src_records", _src_records, O.src_records_sql())
 register("src_ordinals", _src_ordinals, O.src_ordinals_sql())
+register("src_quarantine", _src_quarantine, O.src_quarantine_sql())
 register("src_ingest_quality", _src_quality, O.src_quality_sql(CURRENT_YEAR))
 
 

@@ -10,13 +10,19 @@
 * Null tokens are compared before trimming (`` NA `` stays text).
 * Rows with more fields than the header are quarantined, short rows are
   padded with NULLs.  Detection reads the schema one column wider than the
-  header plus Spark's corrupt-record column: a row that fits the wider schema
-  exactly, or spills text into the extra column, is a long row.
+  header plus Spark's corrupt-record column, which is null only for a row that
+  fits the wider schema exactly and else holds the row's text.
+* Files are read line by line, in splits.  A line with an odd number of quotes
+  belongs to a record with a line break inside quotes (or holds a stray quote):
+  what was read of its file is dropped, and that file is read again as whole
+  records, in one task.  So only files with such lines are read twice.
 * ``source_row_number`` is the record's ordinal among the kept records of its
   file plus 2 (line 1 is the header).  It is exact across any number of
   input splits: kept rows carry (file, split start, position among the kept
-  rows), one small table holds each split's record count and first position;
+  rows), one small table holds each split's record counts and first positions;
   the running sum of the counts gives each split's first ordinal.
+* A quarantined row's ``line`` is its ordinal among all records of its file, kept
+  or not, plus 2, by a second running sum; blank lines do not count.
 * Folders are listed and headers read through the file system that Spark
   resolves the path on, whatever its scheme.
 """
@@ -25,8 +31,11 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 from collections import OrderedDict
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
@@ -34,9 +43,14 @@ from pyspark.sql import types as T
 from carelens.functions.sizing import broadcast_bounded
 from carelens.functions.text import null_tokens_to_null
 from carelens.schema import HEADER_ALIASES, NULL_TOKENS, RAW_COLUMNS, REQUIRED_HEADERS
+from carelens.session import checkpoint_dir
 
 _OVERFLOW, _CORRUPT = "_overflow", "_corrupt_record"
-TAGS = ["_file", "_block", "_pos"]
+TAGS = ["_file", "_block", "_pos", "_line", "_fields", "_odd"]
+# ``_block`` of a file that is read as whole records
+WHOLE = -1
+# lines that a quoted header may span
+HEADER_LINES = 1000
 
 # One row per input split (32 bytes: path hash, split start, first position,
 # offset).  100 TB in 128 MB splits is ~800k rows, ~25 MB; beyond this bound
@@ -48,24 +62,38 @@ def delimiter_for(path: str) -> str:
     return "\t" if path.lower().endswith(".tsv") else ","
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """(Hadoop path, its file system): the one Spark itself resolves the path on."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own, if it is there."""
+    where, fs = file_system(spark, path)
+    fs.delete(where, True)
+
+
 def read_header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    """Header fields of one file (first line only; BOM removed; quotes honoured)."""
-    where, fs = _file_system(spark, path)
+    """Header fields of one file (BOM removed; quotes honoured, also around line breaks)."""
+    where, fs = file_system(spark, path)
     stream = fs.open(where)
+    lines = []
     try:
         java = spark._jvm.java
-        line = java.io.BufferedReader(java.io.InputStreamReader(stream, java.nio.charset.StandardCharsets.UTF_8)).readLine()
+        reader = java.io.BufferedReader(java.io.InputStreamReader(stream, java.nio.charset.StandardCharsets.UTF_8))
+        while (line := reader.readLine()) is not None:
+            lines.append(line)
+            if sum(x.count('"') for x in lines) % 2 == 0:
+                break
+            if len(lines) == HEADER_LINES:
+                raise ValueError(f"header of {path} has no closing quote in {HEADER_LINES} lines")
     finally:
         stream.close()
-    if not line:
+    text = "\n".join(lines).lstrip("\ufeff")
+    if not text:
         raise ValueError(f"empty source file: {path}")
-    return next(csv.reader(io.StringIO(line.lstrip("\ufeff")), delimiter=sep))
+    return next(csv.reader(io.StringIO(text), delimiter=sep))
 
 
 def read_headers(spark: SparkSession, paths: list[str]) -> "OrderedDict[tuple, list[str]]":
@@ -105,25 +133,33 @@ def _scan(spark: SparkSession, paths: list[str], width: int, sep: str, multi_lin
             .csv(paths))
 
 
-def _project(df: DataFrame, header: list[str]) -> DataFrame:
+def _project(df: DataFrame, header: list[str], sep: str, whole: bool) -> DataFrame:
     """Positional fields -> source file name, the 33 raw columns (null tokens applied), ``_long``, split tags."""
     positions = column_positions(list(header))
-    long_row = F.col(_OVERFLOW).isNotNull() | F.col(_CORRUPT).isNull()
+    width, text = len(header), F.col(_CORRUPT)
+    count = lambda where, what: F.length(where) - F.length(F.replace(where, F.lit(what), F.lit("")))
+    # what stands between quotes separates nothing; few rows have so many separators that this must be looked at
+    fields = F.when(text.isNull(), width + 1).otherwise(count(F.regexp_replace(text, '"[^"]*+"', ""), sep) + 1)
+    many = F.when(count(text, sep) > width, fields > width).otherwise(False)
+    long_row = F.col(_OVERFLOW).isNotNull() | text.isNull() | many
+    odd = F.lit(False) if whole else F.coalesce(count(text, '"') % 2 == 1, F.lit(False))
     cols = [F.col("_metadata.file_name").alias("source_file_name")]
     for name in RAW_COLUMNS:
         if name in positions:
             cols.append(null_tokens_to_null(F.col(f"_c{positions[name]}"), NULL_TOKENS).alias(name))
         else:
             cols.append(F.lit(None).cast("string").alias(name))
-    cols += [long_row.alias("_long"), F.col("_metadata.file_path").alias("_file"),
-             F.col("_metadata.file_block_start").alias("_block")]
+    cols += [long_row.alias("_long"), F.when(long_row, fields).alias("_fields"), odd.alias("_odd"),
+             F.col("_metadata.file_path").alias("_file"),
+             (F.lit(WHOLE) if whole else F.col("_metadata.file_block_start")).cast("long").alias("_block")]
     return df.select(*cols)
 
 
 def with_positions(untagged: DataFrame) -> DataFrame:
-    """Add ``_pos``, which counts the kept lines within their split (null for quarantined ones)."""
+    """Add ``_line``, which counts the lines of a split, and ``_pos``, which counts the kept ones (null for the others)."""
     # a branch that is not taken does not advance the counter
-    return untagged.withColumn("_pos", F.when(~F.col("_long"), F.monotonically_increasing_id()))
+    return untagged.withColumns({"_pos": F.when(~F.col("_long"), F.monotonically_increasing_id()),
+                                 "_line": F.monotonically_increasing_id()})
 
 
 def csv_schema(width: int) -> T.StructType:
@@ -136,7 +172,7 @@ def expand_paths(spark: SparkSession, paths: str | list[str]) -> list[str]:
     """Files to read, on any file system: a folder expands to its ``.csv``/``.tsv`` files in name order."""
     out: list[str] = []
     for p in [paths] if isinstance(paths, str) else list(paths):
-        where, fs = _file_system(spark, p)
+        where, fs = file_system(spark, p)
         if not fs.exists(where):
             raise FileNotFoundError(f"no such source: {p}")
         if fs.getFileStatus(where).isDirectory():
@@ -153,20 +189,65 @@ def expand_paths(spark: SparkSession, paths: str | list[str]) -> list[str]:
 def read_tagged(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
     """Raw records of one or more files with ``_long`` (quarantine flag) and position tags.
 
-    Columns: ``source_file_name``, the 33 raw columns, ``_long``, ``_file``,
-    ``_block``, ``_pos``.  ``_pos`` counts the kept lines of one split.
-    ``multi_line`` allows quoted line breaks but makes each file one split.
+    Columns: ``source_file_name``, the 33 raw columns, ``_long`` and ``TAGS``.
+    Lines are taken for records; those marked ``_odd`` show files for which
+    this is wrong (see ``read_records``).  With ``multi_line``, and for files
+    whose header has a line break, records are read whole, each file in one task.
     """
     layouts = read_headers(spark, expand_paths(spark, paths))
-    frames = [_project(_scan(spark, group, len(header), sep, multi_line), list(header))
-              for (sep, header), group in layouts.items()]
+    frames = []
+    for (sep, header), group in layouts.items():
+        whole = multi_line or any("\n" in name for name in header)
+        frames.append(with_positions(_project(_scan(spark, group, len(header), sep, whole), list(header), sep, whole)))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return with_positions(out)
+    return out
+
+
+def split_table(tagged: DataFrame) -> DataFrame:
+    """One row per input split: its file, start, records, kept and quarantined ones, first positions, odd lines."""
+    return tagged.groupBy(F.xxhash64("_file").alias("_fid"), "_file", "_block").agg(
+        F.count_if(~F.col("_long")).alias("_n"), F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_lines"),
+        F.min("_line").alias("_first_line"), F.count_if(F.col("_long")).alias("_quarantined"), F.max("_odd").alias("_odd"))
+
 
+Save = Callable[[DataFrame, str], DataFrame]
 
-def number_records(tagged: DataFrame, max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
+
+def read_records(spark: SparkSession, paths: str | list[str], save: Save, prepare: Callable[[DataFrame], DataFrame] | None = None,
+                 multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(tagged records, split table) of the files, records with line breaks inside quotes included.
+
+    ``save(df, name)`` writes an intermediate result and returns what was written;
+    ``prepare`` is applied to tagged records, row by row, before they are written.
+    Rows whose split is not in the split table belong to no record.
+    """
+    prepare = prepare or (lambda df: df)
+    rows = save(prepare(read_tagged(spark, paths, multi_line)), "lines")
+    splits = save(split_table(rows), "splits")
+    broken = [unquote(r[0]) for r in splits.where("_odd").select("_file").distinct().collect()]  # of the files listed above
+    if not broken:
+        return rows, splits
+    again = save(prepare(read_tagged(spark, broken, multi_line=True)), "records")
+    files = splits.where("_odd").select("_file").distinct()
+    splits = save(splits.join(files, "_file", "left_anti").select(*splits.columns)
+                  .unionByName(split_table(again)), "all-splits")
+    return rows.unionByName(again), splits
+
+
+def _numbered(rows: DataFrame, splits: DataFrame, counted: str, first: str, position: str, max_broadcast_splits: int) -> DataFrame:
+    """``rows`` with ``_number``: ordinal + 2 in their file, by running sums over the split table."""
+    collision = (splits.select("_fid", "_file").distinct().groupBy("_fid").count()
+                 .where(F.col("count") > 1).limit(1).count() > 0)
+    key = "_file" if collision else "_fid"
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(key, "_block", F.col(first).alias("_start"), F.coalesce(F.sum(counted).over(earlier), F.lit(0)).alias("_offset"))
+    rows = rows.withColumn("_fid", F.xxhash64("_file")).join(broadcast_bounded(offsets, max_broadcast_splits), [key, "_block"])
+    return rows.withColumn("_number", (F.col("_offset") + (F.col(position) - F.col("_start")) + 2).cast("long"))
+
+
+def number_records(tagged: DataFrame, splits: DataFrame, max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
     """Replace the position tags of kept records by ``source_row_number`` (ordinal in file + 2).
 
     Works on the reader's output or on anything derived from it row by row
@@ -175,28 +256,26 @@ def number_records(tagged: DataFrame, max_broadcast_splits: int = MAX_BROADCAST_
     table is 32 bytes a row (~25 MB for the ~800k splits of 100 TB); if two
     paths ever share a hash, the path itself is used as the key instead.
     """
-    lines = tagged.withColumn("_fid", F.xxhash64("_file"))
-    splits = lines.groupBy("_fid", "_file", "_block").agg(
-        F.count_if(~F.col("_long")).alias("_n"), F.min("_pos").alias("_first"))
-    collision = (splits.select("_fid", "_file").distinct().groupBy("_fid").count()
-                 .where(F.col("count") > 1).limit(1).count() > 0)
-    key = "_file" if collision else "_fid"
-    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(key, "_block", "_first",
-                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    numbered = lines.where(~F.col("_long")).join(broadcast_bounded(offsets, max_broadcast_splits), [key, "_block"])
     rest = [c for c in tagged.columns if c not in ("source_file_name", "_long", *TAGS)]
-    return numbered.select(
-        "source_file_name",
-        (F.col("_offset") + (F.col("_pos") - F.col("_first")) + 2).cast("long").alias("source_row_number"),
-        *rest)
+    numbered = _numbered(tagged.where(~F.col("_long")), splits, "_n", "_first", "_pos", max_broadcast_splits)
+    return numbered.select("source_file_name", F.col("_number").alias("source_row_number"), *rest)
 
 
-def read_discharge_file(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
-    """Kept raw records with ``source_file_name`` and ``source_row_number`` (lazy apart from header reads)."""
-    return number_records(read_tagged(spark, paths, multi_line))
+def quarantined(tagged: DataFrame, splits: DataFrame, max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
+    """(source_file_name, line, fields) of the rows with more fields than their header."""
+    rows = _numbered(tagged.where("_long"), splits, "_lines", "_first_line", "_line", max_broadcast_splits)
+    return rows.select("source_file_name", F.col("_number").alias("line"), F.col("_fields").cast("int").alias("fields"))
+
 
+def saver(spark: SparkSession, folder: str) -> Save:
+    """Writes intermediate results under ``folder``."""
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+    return save
 
-def quarantined_rows(tagged: DataFrame) -> DataFrame:
-    """Count of long rows per file (the source system warns and skips them)."""
-    return tagged.where(F.col("_long")).groupBy("source_file_name").agg(F.count(F.lit(1)).alias("long_rows"))
+
+def read_discharge_file(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Kept raw records with ``source_file_name`` and ``source_row_number``; the files are read at once."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/carelens-read-{uuid.uuid4().hex}"
+    return number_records(*read_records(spark, paths, saver(spark, folder), multi_line=multi_line))

@@ -19,6 +19,7 @@ from carelens.functions.sizing import broadcast_bounded
 from carelens.operators.clean import charge_cost_gap
 from carelens.schema import HEADER_ALIASES, RAW_COLUMNS
 from carelens.session import checkpoint_dir
+from carelens.sources.delimited import file_system
 
 # nation x region is fixed by the star's definition (25 x 5); anything far
 # beyond that is not a dimension to broadcast.
@@ -161,19 +162,46 @@ def raw_discharges(spark: SparkSession, sf_dir: str, file_name: str = "synthetic
     return numbered.select(*cols)
 
 
+FILES = 8
+#: Separators and fields that quarantined lines have in excess, by the remainder of their number modulo 37.
+EXCESS = {5: ["x"], 11: ["", ""], 17: [""], 23: ["x", "", "y"]}
+
+
+def _quoted(value: Column, sep: str) -> Column:
+    plain = F.coalesce(value, F.lit(""))
+    return F.when(plain.rlike(f'[{sep}"\n]'), F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(plain)
+
+
 def rendered_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The raw records as files with source headers: half as CSV, half as TSV with the columns reversed.
+    """The raw records as files with source headers: four as CSV, four as TSV with the columns reversed.
 
-    Written under the shared checkpoint folder; returns the two folders.
+    Record n is in file n % 8.  Fields hold separators, quotes and, in files 1 and 6, line breaks; some lines
+    have too many or too few fields, and some are blank.  Written under the shared checkpoint folder; returns
+    the files.
     """
     header_of = {column: header for header, column in reversed(HEADER_ALIASES.items())}
-    raw = raw_discharges(spark, sf_dir)
+    n = F.col("source_row_number")
+    rows = raw_discharges(spark, sf_dir).withColumn("file_no", (n % FILES).cast("int"))
+    rows = rows.withColumn("patient_disposition", F.when(F.col("file_no").isin(1, 6) & (n % 5 == 0), 'Home, self-care\nwith "aid"')
+                           .when(n % 5 == 3, 'Left "early", by\tchoice'))
+    lines, headers = [], []
+    for kind, sep, columns in ((0, ",", RAW_COLUMNS), (1, "\t", RAW_COLUMNS[::-1])):
+        fields = [_quoted(F.col(c), sep) for c in columns]
+        full, short = (F.concat_ws(sep, *fields[:k]) for k in (len(columns), len(columns) - 3))
+        line = F.when(n % 41 == 7, short).otherwise(full)
+        for rest, excess in EXCESS.items():
+            line = F.when(n % 37 == rest, F.concat(full, F.lit(sep + sep.join(excess)))).otherwise(line)
+        line = F.when(n % 43 == 9, F.concat(line, F.lit("\n"))).otherwise(line)
+        lines.append(F.when(F.col("file_no") % 2 == kind, line))
+        headers += [(k, 0, sep.join(header_of[c] for c in columns)) for k in range(kind, FILES, 2)]
+    rows = rows.select("file_no", n.alias("n"), F.coalesce(*lines).alias("line"))
+    rows = rows.union(spark.createDataFrame(headers, "file_no int, n long, line string"))
     root = f"{checkpoint_dir(spark).rstrip('/')}/carelens-files-{uuid.uuid4().hex}"
-    folders = []
-    for kind, sep, half, columns in (("csv", ",", 0, RAW_COLUMNS), ("tsv", "\t", 1, RAW_COLUMNS[::-1])):
-        part = raw.where(F.col("source_row_number") % 2 == half).select(*[F.col(c).alias(header_of[c]) for c in columns])
-        folders.append(f"{root}/{kind}")
-        (part.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         .option("extension", kind).csv(folders[-1]))
-    return folders
+    rows.repartition(FILES, "file_no").sortWithinPartitions("file_no", "n").select("line", "file_no").write.partitionBy("file_no").text(root)
+    files = []
+    for k in range(FILES):
+        where, fs = file_system(spark, f"{root}/file_no={k}")
+        part = next(f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
+        files.append(f"{root}/discharges-{k}.{'tsv' if k % 2 else 'csv'}")
+        fs.rename(part, file_system(spark, files[-1])[0])
+    return files

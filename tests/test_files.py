@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carelens.plans.jobs import ingest, summarise
 from carelens.schema import HEADER_ALIASES
-from carelens.sources.delimited import number_records, read_discharge_file, read_tagged
+from carelens.sources.delimited import number_records, quarantined, read_discharge_file, read_records, read_tagged, saver, split_table
 
 HEADERS = [h for h in HEADER_ALIASES if h != "County"]  # 33 headers
 
@@ -72,10 +72,15 @@ def test_ragged_rows(spark, workdir):
         f.write("C,2021,D1,3,xx\n")     # long: quarantined
         f.write("D,2021,D1,3,\n")       # long (one extra empty field): quarantined
         f.write("E,2021,D1,4\n")
+        f.write("F,2021,D1,3,,\n")     # two extra empty fields
+        f.write('"G, ""g""",2021,D1,"1, 2, 3, 4, 5"\n')  # separators inside quotes are none
+        f.write('"H, h",2021,D1,3,"x, y",z\n')
     tagged = read_tagged(spark, p)
-    assert tagged.where("_long").count() == 2
+    assert tagged.where("_long").count() == 4
+    rows, splits = read_records(spark, p, saver(spark, os.path.join(workdir, "read")))
+    assert sorted((r.line, r.fields) for r in quarantined(rows, splits).collect()) == [(4, 5), (5, 5), (7, 6), (9, 6)]
     got = read_discharge_file(spark, p).orderBy("source_row_number").collect()
-    assert [(r["facility_name"], r["source_row_number"]) for r in got] == [("A", 2), ("B", 3), ("E", 4)]
+    assert [(r["facility_name"], r["source_row_number"]) for r in got] == [("A", 2), ("B", 3), ("E", 4), ('G, "g"', 5)]
     assert got[1]["length_of_stay"] is None
 
 
@@ -224,7 +229,7 @@ def test_split_table_does_not_grow_with_quarantined_lines(spark, workdir):
     tagged = read_tagged(spark, p)
     rows = tagged.collect()
     assert all((r["_pos"] is None) == r["_long"] for r in rows) and sum(r["_long"] for r in rows) == 100
-    numbered = number_records(tagged)
+    numbered = number_records(tagged, split_table(tagged))
     assert "collect_list" not in numbered._jdf.queryExecution().toString()
     got = {r["facility_name"]: r["source_row_number"] for r in numbered.collect()}
     assert got == {f"F{i}": n + 2 for n, i in enumerate(i for i in range(300) if i % 3)}
@@ -241,3 +246,83 @@ def test_folders_and_schemes(spark, workdir):
         assert len({r["facility_name"] for r in rows}) == 1
     with pytest.raises(FileNotFoundError):
         read_tagged(spark, os.path.join(workdir, "absent.csv"))
+
+
+def broken_files(workdir):
+    """A folder with a plain file, one with line breaks in fields, one with them in its header, one with a stray quote."""
+    folder = os.path.join(workdir, "odd files")
+    os.makedirs(folder)
+    head = "Facility Name,Discharge Year,CCSR Diagnosis Code,Length of Stay,Patient Disposition"
+    files = {
+        "plain.csv": head + "".join(f"\nP{i},2021,D{i},3,x" for i in range(50)) + "\n",
+        "breaks.csv": head + "".join(f'\nB{i},2021,D{i},3,"Home, or\r\n\n""Care"" {i}"' if i % 3 else f"\nB{i},2021,D{i},3,y\n"
+                                     for i in range(50)) + '\nlong,2021,D,3,"a\nb",extra\n',
+        "header.csv": '"Some\nNote",' + head + "".join(f"\nn,H{i},2021,D{i},3,z" for i in range(5)) + "\n",
+        "stray.csv": head + '\nS0,2021,D0,3,5" pipe\nS1,2021,D1,3,w\n',
+    }
+    for name, text in files.items():
+        with open(os.path.join(folder, name), "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+    return folder
+
+
+@pytest.mark.parametrize("split", ["200", "1000000"])
+def test_line_breaks_inside_quotes(spark, workdir, split):
+    import pandas as pd
+
+    folder = broken_files(workdir)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows, splits = read_records(spark, folder, saver(spark, os.path.join(workdir, "read")))
+        got = sorted(map(tuple, number_records(rows, splits).select(
+            "source_file_name", "source_row_number", "facility_name", "patient_disposition").collect()))
+        whole = splits.where("_block = -1").select("_file").distinct().collect()
+        long = [tuple(r) for r in quarantined(rows, splits).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = []
+    for name in sorted(os.listdir(folder)):
+        table = pd.read_csv(os.path.join(folder, name), dtype=str, on_bad_lines="skip", encoding="utf-8-sig")
+        want += [(name, i + 2, r["Facility Name"], r["Patient Disposition"]) for i, r in table.iterrows()]
+    assert got == want
+    assert {os.path.basename(r[0]) for r in whole} == {"breaks.csv", "header.csv", "stray.csv"}
+    assert long == [("breaks.csv", 52, 6)]
+
+
+def test_ingest_loads_records_with_line_breaks(spark, workdir):
+    p = os.path.join(workdir, "three.csv")
+    with open(p, "w", encoding="utf-8", newline="") as f:
+        f.write("Facility Name,Discharge Year,CCSR Diagnosis Code,Length of Stay,Patient Disposition\n"
+                'A,2021,D1,3,Home\nB,2021,D1,3,"Home\nCare"\nC,2021,D1,3,Home\nD,2021,D1,3,Home,x\n')
+    log = os.path.join(workdir, "quarantine")
+    got = ingest(spark, p, os.path.join(workdir, "fact"), current_year=2024, quarantine=log)
+    assert (got["input_rows"], got["clean_rows"], got["inserted_rows"], got["long_rows"]) == (3, 3, 3, 1)
+    fact = spark.read.parquet(os.path.join(workdir, "fact"))
+    assert {(r.facility_name, r.source_row_number, r.patient_disposition) for r in fact.collect()} == {
+        ("A", 2, "Home"), ("B", 3, "Home\nCare"), ("C", 4, "Home")}
+    assert [(r.source_file_name, r.line, r.fields) for r in spark.read.parquet(log).collect()] == [("three.csv", 5, 6)]
+    ck = spark.conf.get("spark.checkpoint.dir")
+    assert not [d for d in os.listdir(ck) if d.startswith("carelens-ingest-")]  # run folders go
+
+
+def test_staged_rows_are_read_once_by_the_dedup(spark, workdir, monkeypatch):
+    from carelens.plans import jobs
+
+    p = write(os.path.join(workdir, "one.csv"), HEADERS, [row(**{"Race": f"r{i}"}) for i in range(20)])
+    plans = []
+
+    def spy(folder_saver):
+        def make(spark, folder):
+            save = folder_saver(spark, folder)
+
+            def wrapped(df, name):
+                plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+                return save(df, name)
+            return wrapped
+        return make
+
+    monkeypatch.setattr(jobs, "saver", spy(jobs.saver))
+    ingest(spark, p, os.path.join(workdir, "fact"), current_year=2024)
+    assert [name for name, _ in plans] == ["lines", "splits", "collapsed"]
+    assert dict(plans)["splits"].count("Relation") == 1 and dict(plans)["collapsed"].count("Relation") == 2  # rows, split table
