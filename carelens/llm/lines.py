@@ -26,10 +26,8 @@ their texts) and are told apart by their texts' hashes (equal rows keep or lose
 the same lines), an empty table gives an empty result.  A line is named by its
 64-bit hash.
 
-With ``copies`` = (shingle, percent), a row goes whole if it is a near-duplicate
-(``minhash``) of an earlier row that has one of its lines first.  Lines are then
-cut from the rows that are left, so a near copy leaves no fragment, and no line
-gives way to one that goes with its row.  Rows without a doc_id stay.
+A row goes whole if cutting its lines would take ``most_cut`` of its characters
+or more, so a copy leaves no fragment; the others keep their first lines.
 """
 
 from __future__ import annotations
@@ -38,14 +36,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from carelens.functions.sizing import broadcast_bounded
-from carelens.llm import minhash
 from carelens.llm.links import components
-from carelens.llm.shared import batch, carried, carry, cut, from_text, groups_of, mix, powers, prepare
+from carelens.llm.shared import batch, carried, carry, cut, groups_of, mix, powers, prepare
 
 BLANKS = " \t\r\x0b\x0c"
 NO_ID = (1 << 63) - 1
-SIGNATURE = 60
 
 
 class Hashed:
@@ -256,64 +251,23 @@ def _repeats(places: DataFrame, least_docs: int) -> DataFrame:
             .agg(F.collect_set("at").alias("gone")))
 
 
-def _copies(rows: DataFrame, places: DataFrame, shingle: int, percent: int, miss: float = 1e-6,
-            most: int = 2_000_000) -> DataFrame | None:
-    """(doc, tie) of the rows to drop whole; None if there are none.
-
-    Rows that go no longer hold the first place of a line, so their lines' next
-    places are tried until no pair of rows is new.
-    """
-    def detail(texts):
-        sets = [minhash.shingle_set(t, shingle) for t in texts]
-        return [[minhash.signature(s, SIGNATURE).astype("<u4").tobytes() for s in sets], [s.astype("<u8").tobytes() for s in sets]]
-
-    rows = rows.where(F.col("doc") != NO_ID).select("doc", F.xxhash64("doc", "tie").alias("id"), "text")
-    places = cut(places.where(F.col("doc") != NO_ID)
-                 .select("line_class", "doc", "tie", F.xxhash64("doc", "tie").alias("id")).distinct())
-    gone = tested = None
-    while True:
-        left = places if gone is None else places.join(gone, ["doc", "tie"], "left_anti")
-        firsts = left.groupBy("line_class").agg(F.min(F.struct("doc", "tie", "id")).alias("first"))
-        pairs = (left.join(firsts, "line_class").where(F.col("first.doc") < F.col("doc"))
-                 .select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            return gone
-        tested = pairs if tested is None else tested.union(pairs)
-        wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        texts = rows.join(broadcast_bounded(wanted, most), "id", "left_semi").select("id", "text")
-        sets = cut(from_text(texts, "sig binary, hashes binary", detail).dropDuplicates(["id"]))
-        linked = minhash.verified(pairs, sets, percent, SIGNATURE, miss).select(F.col("b").alias("id")).distinct()
-        found = cut(places.join(linked, "id", "left_semi").select("doc", "tie").distinct())
-        if found.isEmpty():
-            return gone
-        gone = found if gone is None else gone.union(found)
-
-
 def remove_repeats(docs: DataFrame, edits: int = 1, least_docs: int = 2, min_chars: int = 24,
-                   drop_emptied: bool = False, short: bool = False, copies: tuple[int, int] | None = None) -> DataFrame:
+                   drop_emptied: bool = False, short: bool = False, most_cut: float | None = None) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``.
 
     A text that loses every line becomes empty; ``drop_emptied`` drops the rows
-    of texts that lost lines and have nothing but blanks left.
+    of texts that lost lines and have nothing but blanks left, ``most_cut`` those
+    that lost that share of their characters.
     """
     prepare(docs.sparkSession)
     keyed = carry(docs, doc_id="long", text="string")
     rows = keyed.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "tie": F.xxhash64("text")})
-    places = _places(keyed, edits, min_chars, short)
-    if copies is not None:
-        # classes of one row have nothing to compare or remove
-        several = places.groupBy("line_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line_class")
-        places = cut(places.join(several, "line_class", "left_semi"))
-        whole = _copies(rows, places, *copies)
-        if whole is not None:
-            places = places.join(whole, ["doc", "tie"], "left_anti")
-            rows = rows.join(whole, ["doc", "tie"], "left_anti")
-    rows = rows.join(_repeats(places, least_docs), ["doc", "tie"], "left")
+    rows = rows.join(_repeats(_places(keyed, edits, min_chars, short), least_docs), ["doc", "tie"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    rows = rows.withColumn("text", text)
+    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
     if drop_emptied:
-        rows = rows.where(F.col("gone").isNull() | (F.trim("text", F.lit(BLANKS + "\n")) != ""))
+        rows = rows.where(F.col("gone").isNull() | (F.trim("left", F.lit(BLANKS + "\n")) != ""))
+    if most_cut is not None:
+        rows = rows.where(F.col("gone").isNull() | (F.length("text") - F.length("left") < F.lit(most_cut) * F.length("text")))
     at = docs.columns.index("text")
-    return carried(rows.select(F.col("row").withField(f"c{at}", F.col("text")).alias("row")), docs)
+    return carried(rows.select(F.col("row").withField(f"c{at}", F.col("left")).alias("row")), docs)

@@ -218,20 +218,17 @@ def test_lines_repeated_inside_one_document(spark):
     assert rows[0][1] in left and sum("f" in t.split("\n") for t in left) == 1
 
 
-def test_near_copies_go_whole_before_lines_are_cut(spark):
+def test_documents_that_lose_most_of_their_text_go_whole(spark):
     words = ["w%d" % i for i in range(400)]
     parts = [" ".join(words[i:i + 40]) for i in range(0, 400, 40)]
-    near = parts[:4] + [parts[4].replace("w170", "other words")] + parts[5:]
-    chain = near[:8] + [near[8].replace("w330", "third")] + near[9:]
-    far = parts[:3] + ["an own line that no other document has but this one"]
-    rows = [(5, "\n".join(parts)), (7, "\n".join(near)), (8, "\n".join(chain)), (9, "\n".join(far)),
-            (10, near[4] + "\nnew"), (None, "\n".join(near)), (11, "\n".join(parts))]
+    own = "an own line that no other document has but this one " * 30
+    rows = [(5, "\n".join(parts)), (7, "\n".join(parts[:9] + ["x y z"])), (8, own + "\n" + parts[2]), (9, parts[0] + "\n" + parts[1]),
+            (None, "\n".join(parts)), (11, own[:-1]), (12, None), (13, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r.text for r in lines.remove_repeats(docs, short=True, copies=(5, 80)).collect()}
-    # 10 keeps the line that it shares only with rows that go
-    assert out == {5: rows[0][1], 9: far[3], 10: rows[4][1], None: ""}
-    left = corpus_pipeline.dedup_lines(spark, docs, "")  # the stage: two documents suffice
-    assert {r.doc_id: r.text for r in left.collect()} == {5: rows[0][1], 9: far[3], 10: rows[4][1]}
+    out = {r.doc_id: r.text for r in lines.remove_repeats(docs, short=True, most_cut=0.5).collect()}
+    assert out == {5: rows[0][1], 8: rows[2][1].split("\n")[0], 12: None, 13: ""}
+    left = corpus_pipeline.dedup_lines(spark, docs, "")  # the stage: more than six documents
+    assert {r.doc_id: r.text for r in left.collect()} == dict(rows)
 
 
 # --- op8 ---------------------------------------------------------------------
