@@ -6,15 +6,15 @@ columns of ``documents``; texts that a stage shortens keep their other columns
 (``n_chars`` describes the original).
 
 1. quality   documents whose score is under 0.3 go (labels of the held-out fifth are never used)
-2. lines     near copies (as in 3) of a document that has one of their lines first go whole; lines that
-             two documents or more share (up to one edit from 24 characters on, equal below) then stay
-             only where they stand first; a document that loses its last word goes
+2. lines     lines that more than six documents share (up to one edit from 24 characters on, equal below) stay
+             only where they stand first; a document that loses its last word, or half of its characters, goes
 3. near      one document of each group of near-duplicates stays (runs of five words, similarity 0.8)
 4. leaks     documents that hold ten consecutive words of a benchmark item go
 5. packing   the rest is encoded, joined and cut into sequences of 2048 ids
 
-Null texts count as empty; rows without a doc_id stay; empty tables give empty
-results.  Tokenizers and trained models do not exist in SQL, so the stages are
+Null texts count as empty; rows without a doc_id, and rows that repeat one with
+another text, are documents of their own; equal rows are one from stage 3 on;
+extra columns stay; empty tables give empty results.  Tokenizers and trained models do not exist in SQL, so the stages are
 tested against brute-force versions instead.
 """
 
@@ -29,20 +29,17 @@ from carelens.llm import decontaminate, lines, minhash, packing, quality
 from carelens.llm.queries import table, vocabulary
 from carelens.session import checkpoint_dir
 
-NEAR = {"shingle": 5, "percent": 80}
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), least=0.3)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.remove_repeats(docs, edits=1, least_docs=2, drop_emptied=True, short=True,
-                                copies=(NEAR["shingle"], NEAR["percent"]))
+    return lines.remove_repeats(docs, edits=1, least_docs=7, drop_emptied=True, short=True, most_cut=0.5)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_first(docs, **NEAR)
+    return minhash.keep_first(docs, shingle=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
