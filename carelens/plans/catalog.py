@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from carelens.operators.summaries import SUMMARIES
+from carelens.sources.tables import read_summary
 
 
 class FactSummaries:
@@ -24,7 +25,7 @@ class FactSummaries:
 
 
 class FolderSummaries:
-    """Summary lookup over ``<folder>/<summary name>`` Parquet tables."""
+    """Summary lookup over ``<folder>/<summary name>`` Parquet tables, each in its newest complete version."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -32,4 +33,7 @@ class FolderSummaries:
     def __call__(self, name: str) -> DataFrame:
         if name not in SUMMARIES:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        found = read_summary(self.spark, f"{self.folder}/{name}")
+        if found is None:
+            raise FileNotFoundError(f"no complete {name} in {self.folder}")
+        return found

@@ -19,25 +19,26 @@ import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from carelens.operators import charts, serving
 from carelens.operators.report import report_facts
 from carelens.operators.clean import clean_records, collapse_duplicates, stage
-from carelens.operators.load import append_new, read_target
+from carelens.operators.load import append_new, is_table_name, read_target
 from carelens.operators.quality import COUNTERS, quality_summary
 from carelens.operators.summaries import (
     SUMMARIES, grouping_sets_aggregate, merge_summary, split_summary, with_updated_at,
 )
 from carelens.plans.catalog import FolderSummaries
 from carelens.session import build_session, checkpoint_dir
-from carelens.sources.delimited import number_records, quarantined, read_records, remove, saver
-from carelens.sources.tables import read_fact, write_summary
+from carelens.sources.delimited import number_records, quarantined, read_records, saver
+from carelens.sources.files import claim_path, claimed, remove
+from carelens.sources.tables import read_fact, read_summary, write_summary
 
 
 def ingest(spark: SparkSession, sources: str | list[str], target: str, current_year: int | None = None,
-           multi_line: bool = False, summary_dir: str | None = None, quarantine: str | None = None) -> dict[str, int]:
+           multi_line: bool = False, summary_dir: str | None = None, quarantine: str | None = None,
+           clear_claim: bool = False) -> dict[str, int]:
     """Clean the source files and append their new records to the fact at ``target``.
 
     Returns the quality counters plus ``long_rows`` (quarantined lines).  With
@@ -46,22 +47,27 @@ def ingest(spark: SparkSession, sources: str | list[str], target: str, current_y
     the file, line and number of fields of each quarantined line are appended to
     the Parquet table there.  Files with line breaks inside quotes are found
     while reading; ``multi_line`` only saves reading them twice.
+
+    The load claims ``target`` until it ends: two loads at once would not see
+    each other's records and could store one twice, so the second raises
+    ``TargetClaimed``.  ``clear_claim`` first removes what a dead load has left.
     """
-    run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-ingest-{uuid.uuid4().hex}"
-    save = saver(spark, run)
-    # 1. parse + clean row by row (one narrow pass over the text), keep position tags
-    staged, splits = read_records(spark, sources, save, lambda raw: stage(raw, current_year), multi_line)
-    long_rows = splits.agg(F.coalesce(F.sum("_quarantined"), F.lit(0))).first()[0]
-    # 2. ordinals from the split table, then one shuffle by record hash (map-side combined)
-    collapsed = save(collapse_duplicates(number_records(staged, splits)), "collapsed")
-    # 3. anti-join against the target and append; counters from the collapsed records
-    inserted = append_new(spark, clean_records(collapsed), target)
-    if quarantine and long_rows:
-        quarantined(staged, splits).withColumn("loaded_at", F.current_timestamp()).write.mode("append").parquet(quarantine)
-    if summary_dir is not None:
-        update_summaries(spark, target, summary_dir)
-    row = quality_summary(collapsed, inserted).first().asDict()
-    remove(spark, run)  # kept after a failure, to look at
+    with claimed(spark, claim_path(spark, target, is_table_name(target)), clear_claim):
+        run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-ingest-{uuid.uuid4().hex}"
+        save = saver(spark, run)
+        # 1. parse + clean row by row (one narrow pass over the text), keep position tags
+        staged, splits = read_records(spark, sources, save, lambda raw: stage(raw, current_year), multi_line)
+        long_rows = splits.agg(F.coalesce(F.sum("_quarantined"), F.lit(0))).first()[0]
+        # 2. ordinals from the split table, then one shuffle by record hash (map-side combined)
+        collapsed = save(collapse_duplicates(number_records(staged, splits)), "collapsed")
+        # 3. anti-join against the target and append; counters from the collapsed records
+        inserted = append_new(spark, clean_records(collapsed), target)
+        if quarantine and long_rows:
+            quarantined(staged, splits).withColumn("loaded_at", F.current_timestamp()).write.mode("append").parquet(quarantine)
+        if summary_dir is not None:
+            update_summaries(spark, target, summary_dir)
+        row = quality_summary(collapsed, inserted).first().asDict()
+        remove(spark, run)  # kept after a failure, to look at
     return {**{k: int(row[k]) for k in COUNTERS}, "long_rows": int(long_rows)}
 
 
@@ -94,7 +100,7 @@ def update_summaries(spark: SparkSession, target: str, summary_dir: str, paralle
     ``load_id`` it contains.  Its update reads only newer fact rows,
     summarises them and merges them into the current rows.  That equals a
     rebuild because every measure is additive and descriptions are ``max``.
-    Each table moves its own watermark with its rows, so an update cut short
+    Each table moves its own watermark with its rows, in one new version, so an update cut short
     by a failure is simply run again: tables already updated fold nothing
     twice, and the others catch up.  A table without a watermark is rebuilt
     from the whole fact.
@@ -103,13 +109,8 @@ def update_summaries(spark: SparkSession, target: str, summary_dir: str, paralle
     run = f"{checkpoint_dir(spark).rstrip('/')}/carelens-summaries-{uuid.uuid4().hex}"
 
     def current_of(name: str) -> DataFrame | None:
-        try:
-            current = spark.read.parquet(f"{summary_dir.rstrip('/')}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        return current if FOLDED in current.columns else None
+        current = read_summary(spark, f"{summary_dir.rstrip('/')}/{name}")
+        return current if current is not None and FOLDED in current.columns else None
 
     currents = {name: current_of(name) for name in SUMMARIES}
     marks = {name: _newest(cur, FOLDED) for name, cur in currents.items() if cur is not None}
@@ -134,13 +135,13 @@ def update_summaries(spark: SparkSession, target: str, summary_dir: str, paralle
             if mark is None:
                 return name
             table = merge_summary(name, current.drop("updated_at", FOLDED), SUMMARIES[name](newer))
-        # a path cannot be overwritten while it is read: stage the new table, then copy it into place
-        write_summary(_stamped(table, mark), f"{run}/{name}")
-        write_summary(spark.read.parquet(f"{run}/{name}"), path)
+        write_summary(_stamped(table, mark), path)  # a version of its own: the current one stays while it is read
         return name
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_writes)) as pool:
-        return list(pool.map(one, list(SUMMARIES)))
+        names = list(pool.map(one, list(SUMMARIES)))
+    remove(spark, run)
+    return names
 
 
 def summarise(spark: SparkSession, fact_location, out_dir: str, tables: list[str] | None = None,
@@ -176,7 +177,10 @@ def summarise(spark: SparkSession, fact_location, out_dir: str, tables: list[str
         return name
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_writes)) as pool:
-        return list(pool.map(write, names))
+        written = list(pool.map(write, names))
+    if single_pass:
+        remove(spark, run)
+    return written
 
 
 # serving query name -> (summary table, function)
@@ -254,6 +258,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--current-year", type=int)
     a.add_argument("--multi-line", action="store_true", help="read every file as whole records at once, one task each")
     a.add_argument("--quarantine", help="append file, line and fields of lines with too many fields to this Parquet table")
+    a.add_argument("--clear-claim", action="store_true", help="remove the claim that a dead load has left on the target")
     a.add_argument("--quality-log", help="append the load's counters to this Parquet table")
     a.add_argument("--summaries", help="update the summaries in this folder from the new records only")
     s = sub.add_parser("summarise")
@@ -281,7 +286,8 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     spark = build_session(app_name=f"carelens-{args.cmd}")
     if args.cmd == "ingest":
-        counters = ingest(spark, args.sources, args.target, args.current_year, args.multi_line, args.summaries, args.quarantine)
+        counters = ingest(spark, args.sources, args.target, args.current_year, args.multi_line, args.summaries, args.quarantine,
+                          args.clear_claim)
         if args.quality_log:
             log_quality(spark, counters, args.sources, args.quality_log)
         print(json.dumps(counters))

@@ -44,6 +44,7 @@ from carelens.functions.sizing import broadcast_bounded
 from carelens.functions.text import null_tokens_to_null
 from carelens.schema import HEADER_ALIASES, NULL_TOKENS, RAW_COLUMNS, REQUIRED_HEADERS
 from carelens.session import checkpoint_dir
+from carelens.sources.files import file_system
 
 _OVERFLOW, _CORRUPT = "_overflow", "_corrupt_record"
 TAGS = ["_file", "_block", "_pos", "_line", "_fields", "_odd"]
@@ -62,18 +63,6 @@ def delimiter_for(path: str) -> str:
     return "\t" if path.lower().endswith(".tsv") else ","
 
 
-def file_system(spark: SparkSession, path: str):
-    """(Hadoop path, its file system): the one Spark itself resolves the path on."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this library's own, if it is there."""
-    where, fs = file_system(spark, path)
-    fs.delete(where, True)
-
-
 def read_header(spark: SparkSession, path: str, sep: str) -> list[str]:
     """Header fields of one file (BOM removed; quotes honoured, also around line breaks)."""
     where, fs = file_system(spark, path)

@@ -19,7 +19,7 @@ from carelens.functions.sizing import broadcast_bounded
 from carelens.operators.clean import charge_cost_gap
 from carelens.schema import HEADER_ALIASES, RAW_COLUMNS
 from carelens.session import checkpoint_dir
-from carelens.sources.delimited import file_system
+from carelens.sources.files import file_system
 
 # nation x region is fixed by the star's definition (25 x 5); anything far
 # beyond that is not a dimension to broadcast.

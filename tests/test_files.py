@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from carelens.plans.jobs import ingest, summarise
 from carelens.schema import HEADER_ALIASES
 from carelens.sources.delimited import number_records, quarantined, read_discharge_file, read_records, read_tagged, saver, split_table
+from carelens.sources.tables import read_summary
 
 HEADERS = [h for h in HEADER_ALIASES if h != "County"]  # 33 headers
 
@@ -129,7 +130,7 @@ def test_ingest_twice_and_summarise(spark, workdir):
     assert fact.where(F.col("created_at").isNull()).count() == 0
     out = os.path.join(workdir, "summaries")
     summarise(spark, target, out)
-    op = spark.read.parquet(os.path.join(out, "hospital_operation_summary"))
+    op = read_summary(spark, os.path.join(out, "hospital_operation_summary"))
     assert op.agg(F.sum("discharge_count")).first()[0] == 2
     assert op.where(F.col("updated_at").isNull()).count() == 0
 
