@@ -163,7 +163,7 @@ def _stops(size: int, percent: int, miss: float) -> list[tuple[int, int, int]]:
 
 
 def surviving(sig: np.ndarray, component: np.ndarray, mine: np.ndarray, across: bool, stops) -> list[np.ndarray]:
-    """Pairs of rows of different components that no batch prunes: (row, row, matches).
+    """Pairs of rows of different components that no batch prunes: (row, row, matches), by the first row.
 
     ``across``: only pairs of different blocks (those inside one belong to another task).
     """
@@ -219,14 +219,29 @@ def _across(part: DataFrame, sets: DataFrame, percent: int, size: int, miss: flo
         return list(joined), [joined.find(x) for x in joined]
 
     def confirm(t: pa.Table):
-        component, (i, j, matches) = rows_of(t)
-        hashes = t.column("hashes")
+        component, (i, j, _) = rows_of(t)
+        sets = [np.frombuffer(h.as_buffer(), "<u8") for h in t.column("hashes")]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        hashes, place = np.unique(np.concatenate(sets), return_inverse=True)
+        mine = np.zeros(len(hashes), np.int64)  # which hashes the row at hand has
         joined, links = _Sets(), []
-        for k in np.argsort(-matches, kind="stable").tolist():
-            x, y = int(component[i[k]]), int(component[j[k]])
-            if joined.find(x) != joined.find(y):
-                one, two = (np.frombuffer(hashes[int(r)].as_buffer(), "<u8") for r in (i[k], j[k]))
-                if _linked(one, two, percent):
+        cuts = np.flatnonzero(np.diff(i, prepend=-1))
+        for a, z in zip(cuts, [*cuts[1:], len(i)]):
+            row, own = int(i[a]), joined.find(int(component[i[a]]))
+            others = j[a:z]
+            others = others[[joined.find(c) != own for c in component[others].tolist()]]
+            if not len(others):
+                continue
+            spot = place[starts[row]:starts[row] + sizes[row]]
+            mine[spot] = 1
+            ends = np.cumsum(sizes[others])
+            at = np.repeat(starts[others] - (ends - sizes[others]), sizes[others]) + np.arange(ends[-1])
+            both = np.add.reduceat(mine[place[at]], ends - sizes[others])
+            mine[spot] = 0
+            for k in np.flatnonzero(100 * both >= percent * (sizes[row] + sizes[others] - both)).tolist():
+                x, y = int(component[row]), int(component[others[k]])
+                if joined.find(x) != joined.find(y):
                     joined.join(x, y)
                     links.append((x, y))
         return list(zip(*links)) if links else ([], [])
