@@ -1,15 +1,20 @@
 """Report fact packs: the numbers behind each written report, as long rows.
 
-A report is a fixed list of serving answers under one scope.  Each section
-turns those answers into ``(report_type, section, position, metric,
-value_text)`` rows: section metrics have position 0, table rows are
-numbered from 1 in the answer's own order.  All inputs are small serving
-answers; "first" facts are scalar subqueries over ``orderBy().limit(1)``.
+A report is a fixed list of serving answers under one scope.  Each answer is
+turned into ``(report_type, section, position, metric, value_text)`` rows by one
+aggregate: it gathers the answer's rows in order into one list (top-N lists and
+breakdowns by a code list, so their size does not grow with the data), and the
+section's metrics (position 0), taken from the list's size and its first row,
+and the table's cells (positions from 1) are read off that list.  So a summary is
+scanned once for each answer taken from it.  A section also names the answers
+it rests on, under ``<section>.sources``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from carelens.functions.format import count_text, decimal_text, label_text, money_text, percent_text
 from carelens.operators import serving as Q
@@ -19,128 +24,96 @@ from carelens.schema import NOT_AVAILABLE
 OUT = ["report_type", "section", "position", "metric", "value_text"]
 OP = "hospital_operation_summary"
 
+#: column -> its text
+Cells = dict[str, Callable[[Column], Column]]
+
 
-def _first(answer: DataFrame, order: list[Column], col: str) -> Column:
-    return answer.orderBy(*order).limit(1).select(col).scalar()
+def _fact(section: str, position: Column, metric: str, value: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), position.cast("int").alias("position"), F.lit(metric).alias("metric"),
+                    value.alias("value_text"))
 
 
-def _present(answer: DataFrame, order: list[Column], col: str, text) -> Column:
-    """Text of ``col`` on the first row in ``order``; the placeholder when there is no row."""
-    has_row = answer.select(F.count(F.lit(1))).scalar() > 0
-    return F.when(has_row, text(_first(answer, order, col))).otherwise(F.lit(NOT_AVAILABLE))
+def _facts(answer: DataFrame, order: list[Column], texts: Cells, section: str, counted: str | None = None,
+           first: dict[str, str] | None = None, table: str | None = None, cells: list[str] | None = None) -> DataFrame:
+    """Rows (section, position, metric, value_text) of one answer, whose rows are sorted by ``order``, ascending.
 
+    ``counted`` names the metric that counts the answer's rows, ``first`` the metrics that show a column of its
+    first row, ``table`` the section in which ``cells`` of every row are listed.
+    """
+    row = F.struct(F.lit(1).alias("_row"), *[o.alias(f"_o{i}") for i, o in enumerate(order)], *[text(F.col(c)).alias(c) for c, text in texts.items()])
+    rows = F.col("rows")
+    facts = [_fact(section, F.lit(0), counted, count_text(F.size(rows)))] if counted else []
+    top = F.get(rows, F.lit(0))
+    facts += [_fact(section, F.lit(0), metric, F.when(F.size(rows) > 0, top[c]).otherwise(F.lit(NOT_AVAILABLE)))
+              for metric, c in (first or {}).items()]
+    found = F.array(*facts)
+    if table:
+        listed = F.transform(rows, lambda r, i: F.array(*[_fact(table, i + 1, c, r[c]) for c in cells or texts]))
+        found = F.concat(found, F.flatten(listed))
+    return answer.agg(F.sort_array(F.collect_list(row)).alias("rows")).select(F.inline(found))
 
-def _metrics(report_type: str, section: str, base: DataFrame, metrics: list[tuple[str, Column]]) -> DataFrame:
-    """One row per metric from a one-row ``base``."""
-    args = []
-    for name, value in metrics:
-        args += [F.lit(name), value]
-    return base.select(F.stack(F.lit(len(metrics)), *args)).toDF("metric", "value_text").select(
-        F.lit(report_type).alias("report_type"), F.lit(section).alias("section"),
-        F.lit(0).alias("position"), "metric", "value_text")
 
+def _sources(like: DataFrame, section: str, answers: list[str]) -> DataFrame:
+    spark = like.sparkSession
+    return spark.range(1).select(F.inline(F.array(*[_fact(f"{section}.sources", F.lit(i), "source", F.lit(a))
+                                                    for i, a in enumerate(answers, 1)])))
 
-def _table(report_type: str, section: str, answer: DataFrame, order: list[Column],
-           cells: list[tuple[str, Column]], position: Column | None = None) -> DataFrame:
-    """Cells of each answer row; ``position`` numbers the rows.
 
-    The answers tabulated here are top-N lists or categorical breakdowns
-    (payment types, medical/surgical): their size is bounded by a code list,
-    not by the data, so numbering them in one ordered window is cheap.
-    """
-    pos = position if position is not None else F.row_number().over(Window.orderBy(*order))
-    numbered = answer.select(pos.cast("int").alias("position"),
-                             *[value.alias(f"_v{i}") for i, (_, value) in enumerate(cells)])
-    args = []
-    for i, (name, _) in enumerate(cells):
-        args += [F.lit(name), F.col(f"_v{i}")]
-    return numbered.select("position", F.stack(F.lit(len(cells)), *args)).toDF(
-        "position", "metric", "value_text").select(
-        F.lit(report_type).alias("report_type"), F.lit(section).alias("section"), "position", "metric",
-        "value_text")
-
-
-def _one_row(summary: DataFrame) -> DataFrame:
-    return summary.agg(F.count(F.lit(1)).alias("_one"))
-
-
-def kpi_section(report_type: str, lookup: SummaryLookup, scope: Q.Scope) -> DataFrame:
-    k = Q.kpi(lookup(OP), scope)
-    return _metrics(report_type, "kpi", k, [
-        ("hospital_count", count_text(F.col("hospital_count"))),
-        ("discharge_count", count_text(F.col("discharge_count"))),
-        ("average_length_of_stay", decimal_text(F.col("average_length_of_stay"))),
-        ("total_charges", money_text(F.col("total_charges"))),
-        ("total_costs", money_text(F.col("total_costs"))),
-        ("emergency_ratio", percent_text(F.col("emergency_ratio"))),
-    ])
-
-
-def operations_section(report_type: str, lookup: SummaryLookup, scope: Q.Scope) -> DataFrame:
+def kpi_section(lookup: SummaryLookup, scope: Q.Scope) -> list[DataFrame]:
+    texts = {"hospital_count": count_text, "discharge_count": count_text, "average_length_of_stay": decimal_text,
+             "total_charges": money_text, "total_costs": money_text, "emergency_ratio": percent_text}
+    kpi = Q.kpi(lookup(OP), scope)
+    return [_facts(kpi, [], texts, "kpi", first={c: c for c in texts}), _sources(kpi, "kpi", ["kpi"])]
+
+
+def operations_section(lookup: SummaryLookup, scope: Q.Scope) -> list[DataFrame]:
     ranking = Q.hospital_ranking(lookup(OP), scope, limit=10)
-    order = [F.asc("rank")]
-    base = _one_row(lookup(OP))
-    head = _metrics(report_type, "operations", base, [
-        ("ranked_hospitals", count_text(ranking.select(F.count(F.lit(1))).scalar())),
-        ("top_facility_name", _present(ranking, order, "facility_name", label_text)),
-        ("top_discharge_count", _present(ranking, order, "discharge_count", count_text)),
-        ("top_average_cost", _present(ranking, order, "average_cost", money_text)),
-    ])
-    table = _table(report_type, "operations.hospitals", ranking, order, [
-        ("facility_name", label_text(F.col("facility_name"))),
-        ("hospital_county", label_text(F.col("hospital_county"))),
-        ("discharge_count", count_text(F.col("discharge_count"))),
-        ("average_cost", money_text(F.col("average_cost"))),
-    ], position=F.col("rank"))
-    return head.unionByName(table)
-
-
-def patient_section(report_type: str, lookup: SummaryLookup, scope: Q.Scope) -> DataFrame:
+    texts = {"facility_name": label_text, "hospital_county": label_text, "discharge_count": count_text, "average_cost": money_text}
+    return [_facts(ranking, [F.col("rank")], texts, "operations", "ranked_hospitals",
+                   {"top_facility_name": "facility_name", "top_discharge_count": "discharge_count", "top_average_cost": "average_cost"},
+                   "operations.hospitals"),
+            _sources(ranking, "operations", ["hospital_ranking"])]
+
+
+def patient_section(lookup: SummaryLookup, scope: Q.Scope) -> list[DataFrame]:
+    most = -F.col("discharge_count")
+    money = {"discharge_count": count_text, "total_charges": money_text, "total_costs": money_text}
     ages = Q.age_gender(lookup("patient_age_gender_summary"), scope)
+    sort = F.col("age_group_sort")
     payments = Q.payment(lookup("patient_payment_summary"), scope)
-    med = Q.medical_surgical(lookup("patient_medical_surgical_summary"), scope)
-    age_order = [F.desc("discharge_count"), F.col("age_group_sort").asc_nulls_last(), F.asc("gender")]
-    pay_order = [F.desc("discharge_count"), F.asc("payment_typology_1")]
-    med_order = [F.desc("discharge_count"), F.asc("apr_medical_surgical_description")]
-    head = _metrics(report_type, "patient", _one_row(lookup(OP)), [
-        ("age_gender_groups", count_text(ages.select(F.count(F.lit(1))).scalar())),
-        ("payment_types", count_text(payments.select(F.count(F.lit(1))).scalar())),
-        ("top_payment", _present(payments, pay_order, "payment_typology_1", label_text)),
-        ("top_payment_count", _present(payments, pay_order, "discharge_count", count_text)),
-        ("top_age_group", _present(ages, age_order, "age_group", label_text)),
-        ("top_gender", _present(ages, age_order, "gender", label_text)),
-    ])
-    money_cells = [("discharge_count", count_text(F.col("discharge_count"))),
-                   ("total_charges", money_text(F.col("total_charges"))),
-                   ("total_costs", money_text(F.col("total_costs")))]
-    pay = _table(report_type, "patient.payments", payments, pay_order,
-                 [("payment_typology_1", label_text(F.col("payment_typology_1")))] + money_cells)
-    ms = _table(report_type, "patient.medical_surgical", med, med_order,
-                [("apr_medical_surgical_description", label_text(F.col("apr_medical_surgical_description")))]
-                + money_cells)
-    return head.unionByName(pay).unionByName(ms)
-
-
-def disease_section(report_type: str, lookup: SummaryLookup, scope: Q.Scope) -> DataFrame:
+    dispositions = Q.disposition(lookup("patient_disposition_summary"), scope, limit=10)
+    admissions = Q.admission_emergency(lookup("patient_admission_emergency_summary"), scope)
+    admission = ["type_of_admission", "emergency_department_indicator"]
+    kinds = Q.medical_surgical(lookup("patient_medical_surgical_summary"), scope)
+    kind = "apr_medical_surgical_description"
+    return [
+        _facts(ages, [most, sort.isNull(), sort, F.col("gender")], {"age_group": label_text, "gender": label_text}, "patient",
+               "age_gender_groups", {"top_age_group": "age_group", "top_gender": "gender"}),
+        _facts(payments, [most, F.col("payment_typology_1")], {"payment_typology_1": label_text, **money}, "patient", "payment_types",
+               {"top_payment": "payment_typology_1", "top_payment_count": "discharge_count"}, "patient.payments"),
+        _facts(dispositions, [F.col("position")], {"patient_disposition": label_text, **money}, "patient", "dispositions",
+               {"top_disposition": "patient_disposition"}, "patient.dispositions"),
+        _facts(admissions, [F.col(c) for c in admission], {**dict.fromkeys(admission, label_text), "discharge_count": count_text},
+               "patient", "admission_emergency_groups", table="patient.admission_emergency"),
+        _facts(kinds, [most, F.col(kind)], {kind: label_text, **money}, "patient", table="patient.medical_surgical"),
+        _sources(ages, "patient", ["age_gender", "payment", "disposition", "admission_emergency", "medical_surgical"]),
+    ]
+
+
+def disease_section(lookup: SummaryLookup, scope: Q.Scope) -> list[DataFrame]:
+    most = -F.col("discharge_count")
     systems = Q.disease_systems(lookup("disease_system_summary"), scope)
     diagnoses = Q.top_diagnoses(lookup("diagnosis_summary"), scope, limit=10)
     severity = Q.severity(lookup("patient_risk_summary"), scope)
-    sys_order = [F.desc("discharge_count"), F.coalesce(F.col("apr_mdc_code"), F.lit("")).asc()]
-    dia_order = [F.asc("position")]
-    head = _metrics(report_type, "disease", _one_row(lookup(OP)), [
-        ("disease_systems", count_text(systems.select(F.count(F.lit(1))).scalar())),
-        ("top_diagnoses", count_text(diagnoses.select(F.count(F.lit(1))).scalar())),
-        ("severity_levels", count_text(severity.select(F.count(F.lit(1))).scalar())),
-        ("top_system_code", _present(systems, sys_order, "apr_mdc_code", label_text)),
-        ("top_system_count", _present(systems, sys_order, "discharge_count", count_text)),
-        ("top_diagnosis_code", _present(diagnoses, dia_order, "ccsr_diagnosis_code", label_text)),
-    ])
-    table = _table(report_type, "disease.diagnoses", diagnoses, dia_order, [
-        ("ccsr_diagnosis_code", label_text(F.col("ccsr_diagnosis_code"))),
-        ("ccsr_diagnosis_description", label_text(F.col("ccsr_diagnosis_description"))),
-        ("discharge_count", count_text(F.col("discharge_count"))),
-    ], position=F.col("position"))
-    return head.unionByName(table)
+    return [
+        _facts(systems, [most, F.coalesce(F.col("apr_mdc_code"), F.lit(""))], {"apr_mdc_code": label_text, "discharge_count": count_text},
+               "disease", "disease_systems", {"top_system_code": "apr_mdc_code", "top_system_count": "discharge_count"}),
+        _facts(diagnoses, [F.col("position")],
+               {"ccsr_diagnosis_code": label_text, "ccsr_diagnosis_description": label_text, "discharge_count": count_text},
+               "disease", "top_diagnoses", {"top_diagnosis_code": "ccsr_diagnosis_code"}, "disease.diagnoses"),
+        _facts(severity, [], {}, "disease", "severity_levels"),
+        _sources(systems, "disease", ["disease_systems", "top_diagnoses", "severity"]),
+    ]
 
 
 SECTIONS = {
@@ -155,8 +128,8 @@ def report_facts(lookup: SummaryLookup, report_type: str, scope: Q.Scope = Q.ALL
     """All section facts of one report type under one scope."""
     if report_type not in SECTIONS:
         raise ValueError(f"unknown report type: {report_type}")
-    parts = [section(report_type, lookup, scope) for section in SECTIONS[report_type]]
+    parts = [part for section in SECTIONS[report_type] for part in section(lookup, scope)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(*OUT)
+    return out.withColumn("report_type", F.lit(report_type)).select(*OUT)

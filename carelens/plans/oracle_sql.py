@@ -693,19 +693,27 @@ def _first_t(src: str, order: str, col: str, fmt) -> str:
             f"{fmt(f'(SELECT {col} FROM {src} ORDER BY {order} LIMIT 1)')} ELSE {_NA} END)")
 
 
-def report_sql(rt: str) -> str:
+def _source_rows(rt: str, section: str, answers: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{rt}' AS report_type, '{section}.sources' AS section, CAST({i} AS INTEGER) AS position, "
+        f"'source' AS metric, '{a}' AS value_text" for i, a in enumerate(answers, 1))
+
+
+def report_sql(rt: str, scope=None) -> str:
     ctes = {
-        "k": kpi_sql(), "rk": hospital_ranking_sql(None, "discharge_count", "desc", 10),
-        "ag": age_gender_sql(), "pm": payment_sql(), "ms": medical_surgical_sql(),
-        "sy": disease_systems_sql(), "dg": top_diagnoses_sql(None, 10), "sv": severity_sql(),
+        "k": kpi_sql(scope), "rk": hospital_ranking_sql(scope, "discharge_count", "desc", 10),
+        "ag": age_gender_sql(scope), "pm": payment_sql(scope), "ms": medical_surgical_sql(scope),
+        "dp": disposition_sql(scope, 10), "ae": admission_emergency_sql(scope),
+        "sy": disease_systems_sql(scope), "dg": top_diagnoses_sql(scope, 10), "sv": severity_sql(scope),
     }
     one = "(SELECT 1 AS one) AS o"
     parts = [_metric_rows(rt, "kpi", "k", [
         ("hospital_count", _count_t("hospital_count")), ("discharge_count", _count_t("discharge_count")),
         ("average_length_of_stay", _dec_t("average_length_of_stay")),
         ("total_charges", _money_t("total_charges")), ("total_costs", _money_t("total_costs")),
-        ("emergency_ratio", _pct_t("emergency_ratio"))])]
+        ("emergency_ratio", _pct_t("emergency_ratio"))]), _source_rows(rt, "kpi", ["kpi"])]
     if rt in ("comprehensive", "operations"):
+        parts.append(_source_rows(rt, "operations", ["hospital_ranking"]))
         parts.append(_metric_rows(rt, "operations", one, [
             ("ranked_hospitals", _count_t("(SELECT count(*) FROM rk)")),
             ("top_facility_name", _first_t("rk", "rank", "facility_name", _label_t)),
@@ -718,7 +726,11 @@ def report_sql(rt: str) -> str:
         age_o = "discharge_count DESC, age_group_sort ASC NULLS LAST, gender ASC NULLS FIRST"
         pay_o = "discharge_count DESC, payment_typology_1 ASC NULLS FIRST"
         med_o = "discharge_count DESC, apr_medical_surgical_description ASC NULLS FIRST"
+        parts.append(_source_rows(rt, "patient", ["age_gender", "payment", "disposition", "admission_emergency", "medical_surgical"]))
         parts.append(_metric_rows(rt, "patient", one, [
+            ("dispositions", _count_t("(SELECT count(*) FROM dp)")),
+            ("top_disposition", _first_t("dp", "position", "patient_disposition", _label_t)),
+            ("admission_emergency_groups", _count_t("(SELECT count(*) FROM ae)")),
             ("age_gender_groups", _count_t("(SELECT count(*) FROM ag)")),
             ("payment_types", _count_t("(SELECT count(*) FROM pm)")),
             ("top_payment", _first_t("pm", pay_o, "payment_typology_1", _label_t)),
@@ -727,6 +739,12 @@ def report_sql(rt: str) -> str:
             ("top_gender", _first_t("ag", age_o, "gender", _label_t))]))
         money = [("discharge_count", _count_t("discharge_count")), ("total_charges", _money_t("total_charges")),
                  ("total_costs", _money_t("total_costs"))]
+        parts.append(_table_rows(rt, "patient.dispositions", "dp", "position",
+                                 [("patient_disposition", _label_t("patient_disposition"))] + money))
+        ae_o = "type_of_admission ASC NULLS FIRST, emergency_department_indicator ASC NULLS FIRST"
+        parts.append(_table_rows(rt, "patient.admission_emergency", f"(SELECT *, row_number() OVER (ORDER BY {ae_o}) AS rn FROM ae) AS a",
+                                 "rn", [("type_of_admission", _label_t("type_of_admission")),
+                                        ("emergency_department_indicator", _label_t("emergency_department_indicator")), money[0]]))
         parts.append(_table_rows(rt, "patient.payments", f"(SELECT *, row_number() OVER (ORDER BY {pay_o}) AS rn FROM pm) AS p",
                                  "rn", [("payment_typology_1", _label_t("payment_typology_1"))] + money))
         parts.append(_table_rows(rt, "patient.medical_surgical",
@@ -735,6 +753,7 @@ def report_sql(rt: str) -> str:
                                  + money))
     if rt in ("comprehensive", "disease"):
         sys_o = "discharge_count DESC, coalesce(apr_mdc_code, '') ASC"
+        parts.append(_source_rows(rt, "disease", ["disease_systems", "top_diagnoses", "severity"]))
         parts.append(_metric_rows(rt, "disease", one, [
             ("disease_systems", _count_t("(SELECT count(*) FROM sy)")),
             ("top_diagnoses", _count_t("(SELECT count(*) FROM dg)")),

@@ -349,12 +349,16 @@ register("chart_drilldown_bubbles_drg", _on(DD, C.drilldown_bubbles, level="drg"
          O.drilldown_bubbles_sql("drg", None, MDC))
 
 
-def _report(report_type: str) -> Query:
-    return lambda spark, sf_dir: report_facts(summaries(spark, sf_dir), report_type)
+def _report(report_type: str, scope: dict | None = None) -> Query:
+    return lambda spark, sf_dir: report_facts(summaries(spark, sf_dir), report_type, _scope(scope) or Q.ALL)
 
 
 for _rt in ("comprehensive", "operations", "patient", "disease"):
     register(f"report_{_rt}", _report(_rt), O.report_sql(_rt))
+register("report_comprehensive_facility", _report("comprehensive", FACILITY), O.report_sql("comprehensive", FACILITY))
+register("report_patient_area", _report("patient", AREA), O.report_sql("patient", AREA))
+register("report_comprehensive_empty", _report("comprehensive", {"facility_name": "No Such Facility"}),
+         O.report_sql("comprehensive", {"facility_name": "No Such Facility"}))
 
 
 # --- A10: freshness, of a summary stamped with the newest order date at midnight UTC ---
