@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
@@ -45,3 +46,34 @@ def canonical_text(text: Column, aliases: Mapping[str, str]) -> Column:
 def canonicalize(c: Column, aliases: Mapping[str, str]) -> Column:
     """Normalise raw text, then apply the alias map."""
     return canonical_text(normalize_text(c), aliases)
+
+
+def _plain_letters() -> tuple[str, str]:
+    """(accented lower-case letters, their letters without accents), from their canonical decompositions."""
+    accented, plain = [], []
+    for code in range(0x80, 0x2E80):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        base = "".join(x for x in parts if not unicodedata.combining(x))
+        if len(parts) > len(base) == 1 and c == c.lower():
+            accented.append(c)
+            plain.append(base)
+    return "".join(accented), "".join(plain)
+
+
+_ACCENTED, _PLAIN = _plain_letters()
+_MARKS = "".join(chr(code) for code in range(0x300, 0x370))
+
+
+def fold(c: Column) -> Column:
+    """A key under which texts are equal that differ only in case, accents or trailing blanks.
+
+    It compares as the source's collation does, and being a plain string it can be stored and pushed to a scan.
+    """
+    return F.rtrim(fold_letters(c))
+
+
+def fold_letters(c: Column) -> Column:
+    """``fold`` that keeps trailing blanks, for patterns."""
+    # characters without a counterpart (combining marks) are dropped
+    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), _ACCENTED + _MARKS, _PLAIN)

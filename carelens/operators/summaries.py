@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from carelens.functions.text import fold
 from carelens.schema import DEC_SUM, EMERGENCY_NO, EMERGENCY_YES, MEDICAL_SURGICAL_KINDS, SCOPE_COLUMNS
 
 SCOPE = list(SCOPE_COLUMNS)
@@ -123,6 +124,15 @@ SUMMARIES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+#: scope column -> stored key that ignores case and accents (see ``fold``)
+SCOPE_KEYS = {c: f"_key_{c}" for c in SCOPE_COLUMNS}
+
+
+def with_scope_keys(summary: DataFrame) -> DataFrame:
+    """Add the folded keys by which stored summaries are clustered and filtered."""
+    return summary.withColumns({key: fold(F.col(c)) for c, key in SCOPE_KEYS.items()})
+
+
 def with_updated_at(summary: DataFrame, at: Column | None = None) -> DataFrame:
     """Stamp a summary with its build time (the freshness the serving layer reports), or with ``at``."""
     return summary.withColumn("updated_at", F.current_timestamp() if at is None else at)

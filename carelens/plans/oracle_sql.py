@@ -131,7 +131,7 @@ def big(expr: str) -> str:
 
 
 def where(scope: dict[str, str] | None, *extra: str) -> str:
-    parts = [f"{k} = '{v}'" for k, v in (scope or {}).items()] + list(extra)
+    parts = [f"{k} COLLATE NOCASE.NOACCENT = '{v}'" for k, v in (scope or {}).items()] + list(extra)
     return ("WHERE " + " AND ".join(parts)) if parts else ""
 
 
@@ -169,7 +169,7 @@ def summary_sql(name: str, columns: list[str]) -> str:
 
 def filter_values_sql(column: str, scope: dict[str, str] | None = None) -> str:
     return with_summary("hospital_operation_summary",
-                        f"SELECT DISTINCT {column} FROM summ", scope,
+                        f"SELECT min({column}) AS {column} FROM summ GROUP BY strip_accents(lower({column}))", scope,
                         f"{column} IS NOT NULL", f"trim({column}) <> ''")
 
 
@@ -276,7 +276,7 @@ def hospital_ranking_sql(scope=None, sort_by="discharge_count", order="desc", li
 
 def hospital_comparison_sql(scope=None, sort_by="discharge_count", order="desc", page=1, page_size=20,
                             keyword=None) -> str:
-    extra = [f"facility_name ILIKE '%{keyword}%'"] if keyword else []
+    extra = [f"strip_accents(facility_name) ILIKE strip_accents('%{keyword}%')"] if keyword else []
     skip = (page - 1) * page_size
     return _with_cte("hospital_operation_summary",
                      _HOSP_G + f", r AS (SELECT *, row_number() OVER (ORDER BY {_hosp_order(sort_by, order)}) AS rn FROM g),"

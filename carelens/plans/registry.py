@@ -375,6 +375,29 @@ def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("q_freshness", _freshness,
          "SELECT strftime(max(CAST(o_orderdate AS DATE)), '%Y-%m-%d') || 'T08:00:00+08:00' AS updated_at FROM orders")
 
+# --- D0-D3, D12: case and accents do not matter ---------------------------------
+
+def _spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operation summary with other spellings of the area in half of the facilities."""
+    odd = F.substring("facility_name", -1, 1).isin(*"13579")
+    area = F.col("hospital_service_area")
+    return summaries(spark, sf_dir)(OP).withColumn("hospital_service_area", F.when(odd, F.replace(F.lower(area), F.lit("a"), F.lit("á")))
+                                                   .otherwise(area))
+
+
+_SPELLED = "CASE WHEN right(facility_name, 1) IN ('1','3','5','7','9') THEN replace(lower(hospital_service_area), 'a', 'á') ELSE hospital_service_area END"
+FOLDED_AREA = {"hospital_service_area": "ásIA"}
+register("q_areas_spelled", lambda spark, sf_dir: Q.areas(_spelled(spark, sf_dir)),
+         O.with_summary(OP, f"SELECT min(a) AS hospital_service_area FROM (SELECT {_SPELLED} AS a FROM summ) "
+                            "WHERE a IS NOT NULL GROUP BY strip_accents(lower(a))"))
+register("q_counties_spelled", lambda spark, sf_dir: Q.counties(_spelled(spark, sf_dir), "ÁSIA"),
+         O.filter_values_sql("hospital_county", AREA))
+register("q_kpi_spelled", lambda spark, sf_dir: comparable(Q.kpi(_spelled(spark, sf_dir), _scope(FOLDED_AREA))),
+         O.kpi_sql(AREA))
+register("q_payment_spelled", _on("patient_payment_summary", Q.payment, scope=_scope(FOLDED_AREA)), O.payment_sql(FOLDED_AREA))
+register("q_hospital_comparison_spelled", _on(OP, Q.hospital_comparison, page_size=7, keyword="sÜpplier#00000000_"),
+         O.hospital_comparison_sql(None, "discharge_count", "desc", 1, 7, "sÜpplier#00000000_"))
+
 # queries without SQL to check them
 NO_ORACLE: set[str] = set()
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from carelens.operators.load import read_target
-from carelens.schema import SCOPE_COLUMNS
+from carelens.operators.summaries import SCOPE_KEYS, with_scope_keys
 from carelens.sources.files import file_system, remove
 
 Location = str | dict
@@ -51,8 +51,8 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_summary(summary: DataFrame, location: Location) -> None:
-    """Replace a summary table.  Parquet rows are clustered by the scope columns so that
-    row-group statistics prune scoped reads, and go to a version of their own;
+    """Replace a summary table.  Parquet rows get keys of the scope columns, are clustered
+    by them so that row-group statistics prune scoped reads, and go to a version of their own;
     JDBC targets are truncated, not dropped, so their indexes and column types survive."""
     if isinstance(location, dict):
         (summary.write.format("jdbc").options(**location).option("truncate", "true")
@@ -60,7 +60,8 @@ def write_summary(summary: DataFrame, location: Location) -> None:
         return
     spark, path = summary.sparkSession, location.rstrip("/")
     found = versions(spark, path)
-    summary.sortWithinPartitions(*SCOPE_COLUMNS).write.parquet(f"{path}/version={found[-1][0] + 1 if found else 1}")
+    (with_scope_keys(summary).sortWithinPartitions(*SCOPE_KEYS.values()).write
+     .parquet(f"{path}/version={found[-1][0] + 1 if found else 1}"))
     done = [n for n, complete in versions(spark, path) if complete]
     for n, complete in found:
         if n not in done[-KEPT_VERSIONS:]:  # old ones, and what dead writers left

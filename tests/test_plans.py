@@ -50,7 +50,7 @@ def test_scoped_serving_read_pushes_the_filter(spark, workdir):
     summarise(spark, fact, os.path.join(workdir, "s"))
     op = FolderSummaries(spark, os.path.join(workdir, "s"))("hospital_operation_summary")
     plan = plan_of(Q.kpi(op, Q.Scope.of(facility_name="Supplier#000000001")))
-    assert "EqualTo(facility_name,Supplier#000000001)" in plan
+    assert "EqualTo(_key_facility_name,supplier#000000001)" in plan
     assert "ReadSchema" in plan and "patient_disposition" not in plan
 
 

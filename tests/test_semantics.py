@@ -116,3 +116,20 @@ def test_canonicalize_matches_python(spark):
         got = [r[0] for r in df.select(canonicalize(F.col("v"), aliases)).collect()]
         want = [aliases.get(v.strip().upper(), v.strip() or None) if v.strip() else None for v in values]
         assert got == want
+
+
+def test_fold_ignores_case_and_accents(spark):
+    import unicodedata
+
+    from carelens.functions.text import fold
+
+    texts = ["kings", "KINGS", "K\u00ceNGS", "Ki\u0301ngs  ", "stra\u00dfe", "STRASSE", "\u00e5\u00c5", "\u017d\u0161\u0159", "\u03ac\u0391", "\u0439 \u0418",
+             "\u1ed9 \u1ea4", "no accents", "", " lead", "\u6f22\u5b57", "l\u2019h\u00f4pital", "#%_\\", None]
+
+    def plain(t):
+        parts = unicodedata.normalize("NFD", t.lower().replace("\u00df", "ss"))
+        return unicodedata.normalize("NFC", "".join(c for c in parts if not unicodedata.combining(c))).rstrip(" ")
+
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(fold(F.col("t"))).collect()]
+    assert got == [None if t is None else plain(t) for t in texts]
+    assert len(set(got[:4])) == 1 and got[4] == got[5]
