@@ -99,7 +99,7 @@ class Grams:
 def scan(rows: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = 32_000_000) -> DataFrame:
     """Append to rows with a ``text``: n_words, hits (positions of the words hit) and items (ids found)."""
     spark = rows.sparkSession
-    items = pick(benchmark, item_id="long", text="string").where("text is not null")
+    items = pick(benchmark, item_id="long", text="string").where("text is not null").distinct()  # repeats would fill one slice
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(size / max_bytes))
     made = "n_words long, hits array<bigint>, items array<bigint>"
