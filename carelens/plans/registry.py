@@ -375,6 +375,29 @@ def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("q_freshness", _freshness,
          "SELECT strftime(max(CAST(o_orderdate AS DATE)), '%Y-%m-%d') || 'T08:00:00+08:00' AS updated_at FROM orders")
 
+# --- A8, A9: a fact folder, summarised, added to, its summaries updated and read back ---
+
+from carelens.plans.jobs import FOLDED, summarise, update_summaries  # noqa: E402
+from carelens.operators.summaries import SCOPE_KEYS  # noqa: E402
+from carelens.sources.tables import read_summary  # noqa: E402
+
+
+def _summary_folder(table: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = f"{checkpoint_dir(spark).rstrip('/')}/carelens-folder-{uuid.uuid4().hex}"
+        fact = discharges(spark, sf_dir).withColumn("load_id", F.pmod(F.crc32(F.col("facility_name").cast("binary")), F.lit(2)) + 1)
+        fact.where("load_id = 1").write.parquet(f"{root}/fact")
+        summarise(spark, f"{root}/fact", f"{root}/summaries")
+        fact.where("load_id = 2").write.mode("append").parquet(f"{root}/fact")
+        update_summaries(spark, f"{root}/fact", f"{root}/summaries")
+        return comparable(read_summary(spark, f"{root}/summaries/{table}").drop(FOLDED, *SCOPE_KEYS.values()))
+    return run
+
+
+for _table in ("patient_payment_summary", "disease_drilldown_summary"):
+    register(f"summary_folder_{_table.removesuffix('_summary')}", _summary_folder(_table), ORACLE[_SUMMARY_KEYS[_table]])
+
+
 # --- D0-D3, D12: case and accents do not matter ---------------------------------
 
 def _spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,6 +443,8 @@ register("q_hospital_comparison_area_keyword",
          O.hospital_comparison_sql(AREA, "total_charges", "desc", 1, 7, "00000001"))
 register("q_hospital_comparison_past_end", _on(OP, Q.hospital_comparison, page=500, page_size=100),
          O.hospital_comparison_sql(None, "discharge_count", "desc", 500, 100))
+register("q_hospital_comparison_deep", _on(OP, Q.hospital_comparison, sort_by="average_cost", order="asc", page=4, page_size=6, shallow=5),
+         O.hospital_comparison_sql(None, "average_cost", "asc", 4, 6))
 register("q_top_diagnoses_top1_county", _on("diagnosis_summary", Q.top_diagnoses, scope=_scope(AREA_COUNTY), limit=1),
          O.top_diagnoses_sql(AREA_COUNTY, limit=1))
 register("q_disposition_top1_facility",
