@@ -160,3 +160,60 @@ def test_toxicity_finds_planted_passages(spark):
     nothing = spark.createDataFrame([], "doc_id long, toxic int")
     assert {round(r.score, 6) for r in toxicity.judge(frame, nothing).collect()} == {0.5}
     assert toxicity.judge(frame.limit(0), nothing).count() == 0
+
+
+def walk(model, root, row):
+    """A tree's value for one row, node by node."""
+    node = root
+    while model.left[node] != node:
+        node = (model.left if row[model.feature[node]] <= model.threshold[node] else model.right)[node]
+    return model.value[node]
+
+
+def best_split(x, grad, hess, edges, rows, least, ridge):
+    """(gain, feature, threshold) of the best split of ``rows``, from plain sums over the rows."""
+    best = (0.0, None, None)
+    g, h = grad[rows].sum(), hess[rows].sum()
+    for f in range(x.shape[1]):
+        for t in edges[f]:
+            low = rows[x[rows, f] <= t]
+            if min(len(low), len(rows) - len(low)) < least:
+                continue
+            gl, hl = grad[low].sum(), hess[low].sum()
+            gain = gl**2 / (hl + ridge) + (g - gl)**2 / (h - hl + ridge) - g**2 / (h + ridge)
+            if gain > best[0] + 1e-9:
+                best = (gain, f, t)
+    return best
+
+
+def test_trees_equal_a_plain_version():
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 5)), 1)
+    y = ((x[:, 0] + x[:, 3] > 0.2) ^ (x[:, 1] > 1)).astype(int)
+    bins, least, ridge, rate, depth = 12, 15, 1.0, 0.3, 3
+    model = quality.fit(x, y, trees=4, depth=depth, rate=rate, bins=bins, least=least, ridge=ridge)
+    new = np.round(rng.normal(size=(200, 5)), 1)
+    want = [model.base + sum(walk(model, root, row) for root in model.roots) for row in new]
+    assert np.allclose(model.margin(new), want)  # flattened traversal
+
+    edges = [np.unique(np.quantile(x[:, f], np.arange(1, bins) / bins)) for f in range(5)]
+    margin = np.full(len(y), model.base)
+    splits = 0
+    for root in model.roots:
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = p - y, np.maximum(p * (1 - p), 1e-6)
+        open_nodes = [(root, np.arange(len(y)), 0)]
+        while open_nodes:
+            node, rows, level = open_nodes.pop()
+            gain, f, t = best_split(x, grad, hess, edges, rows, least, ridge) if level < depth else (0, None, None)
+            if gain <= 1e-6:
+                assert model.left[node] == model.right[node] == node
+                assert np.isclose(model.value[node], -rate * grad[rows].sum() / (hess[rows].sum() + ridge))
+                margin[rows] += model.value[node]
+                continue
+            splits += 1
+            low = x[rows, model.feature[node]] <= model.threshold[node]  # of equal gains any may be chosen
+            gl, hl, g, h = (v.sum() for v in (grad[rows[low]], hess[rows[low]], grad[rows], hess[rows]))
+            assert np.isclose(gl**2 / (hl + ridge) + (g - gl)**2 / (h - hl + ridge) - g**2 / (h + ridge), gain)
+            open_nodes += [(model.left[node], rows[low], level + 1), (model.right[node], rows[~low], level + 1)]
+    assert splits > 10
