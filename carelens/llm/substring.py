@@ -252,9 +252,32 @@ def remove_repeats(docs: DataFrame, window: int = 13, hot: int = 200_000) -> Dat
                   low < F.col("doc"), (F.col("first") + i).cast("int"))), lambda x: x.isNotNull()).alias("at"))
               .where(F.size("at") > 0).distinct()
               .groupBy("doc", "tie").agg(F.flatten(F.collect_list("at")).alias("at")))
+    places = cut(places)
+    # only texts that lose words meet their places; a bitmap of fixed size tells the others apart
+    mark = F.pmod(F.xxhash64("doc", "tie"), F.lit(MARKS)).alias("mark")
+    losing = docs.sparkSession.sparkContext.broadcast(marked(places.select(mark)))
+    texts = rows.select("doc_id", "doc", "tie", "text", mark)
     spec = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
                          T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
+    def chosen(b, wanted):
+        marks = b.column("mark").to_numpy()
+        found = losing.value[marks >> 6] >> (marks & 63).astype(np.uint64) & np.uint64(1)
+        return b.filter(pa.array(found == wanted))
+
+    def maybe_losing(batches):
+        for b in batches:
+            yield chosen(b, 1)
+
+    def left_alone(batches):
+        for b in batches:
+            some = chosen(b, 0)
+            for first, texts in groups_of(some.column("text").to_pylist()):
+                words = [ascii_words(t) for t in texts]
+                yield batch("doc_id long, n_words long, n_removed long, kept string",
+                            [some.column("doc_id").slice(first, len(texts)), list(map(len, words)), [0] * len(texts),
+                             [b" ".join(w).decode("utf-8", "surrogatepass") for w in words]])
+
     def remove(batches):
         for b in batches:
             ids, starts = b.column("doc_id"), b.column("at").to_pylist()
@@ -273,4 +296,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, hot: int = 200_000) -> Dat
                 yield batch("doc_id long, n_words long, n_removed long, kept string",
                             [ids.slice(first, len(texts)), sizes, gone, kept])
 
-    return (rows.join(places, ["doc", "tie"], "left").select("doc_id", "text", "at").mapInArrow(remove, spec))
+    cutting = texts.mapInArrow(maybe_losing, texts.schema).join(places, ["doc", "tie"], "left")
+    return texts.mapInArrow(left_alone, spec).union(cutting.select("doc_id", "text", "at").mapInArrow(remove, spec))
