@@ -31,6 +31,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,14 +163,32 @@ def _stops(size: int, percent: int, miss: float) -> list[tuple[int, int, int]]:
     return [(a, b, least_matches(b, percent / 100, miss)) for a, b in zip([0, *ends], ends)]
 
 
-def surviving(sig: np.ndarray, component: np.ndarray, mine: np.ndarray, across: bool, stops) -> list[np.ndarray]:
-    """Pairs of rows of different components that no batch prunes: (row, row, matches), by the first row.
+class _Joined:
+    """The components of a group's rows, merged step by step; each set is named by its smallest component."""
 
-    ``across``: only pairs of different blocks (those inside one belong to another task).
+    def __init__(self, component: np.ndarray):
+        self.names, self.of = np.unique(component, return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def roots(self, rows) -> np.ndarray:
+        return self.root[self.of[rows]]
+
+    def join(self, x: int, y: int) -> None:
+        x, y = sorted((int(x), int(y)))
+        self.root[self.root == y] = x
+
+
+def surviving(sig: np.ndarray, joined: _Joined, mine: np.ndarray, across: bool, stops) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of different components that no batch prunes, a row at a time.
+
+    What the caller joins meanwhile is not compared any more.  ``across``: only pairs of different blocks
+    (those inside one belong to another task).
     """
-    found = [[], [], []]
     for i in range(len(sig) - 1):
-        rest = np.flatnonzero((component[i + 1:] != component[i]) & ((mine[i + 1:] != mine[i]) | (not across))) + i + 1
+        apart = joined.roots(slice(i + 1, None)) != joined.roots(i)
+        if across:
+            apart &= mine[i + 1:] != mine[i]
+        rest = np.flatnonzero(apart) + i + 1
         matches = np.zeros(len(rest), np.int64)
         for start, stop, need in stops:
             matches += (sig[rest, start:stop] == sig[i, start:stop]).sum(axis=1)
@@ -177,22 +196,8 @@ def surviving(sig: np.ndarray, component: np.ndarray, mine: np.ndarray, across:
             rest, matches = rest[alive], matches[alive]
             if not len(rest):
                 break
-        for column, values in zip(found, (np.full(len(rest), i), rest, matches)):
-            column.append(values)
-    return [np.concatenate([np.empty(0, np.int64), *c]) for c in found]
-
-
-class _Sets(dict):
-    """Disjoint sets of numbers, named by their smallest."""
-
-    def find(self, x: int) -> int:
-        while (up := self.get(x, x)) != x:
-            self[x] = x = self.get(up, up)
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = sorted((self.find(x), self.find(y)))
-        self[y] = x
+        if len(rest):
+            yield i, rest
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -207,43 +212,38 @@ def _across(part: DataFrame, sets: DataFrame, percent: int, size: int, miss: flo
     def rows_of(t: pa.Table):
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(t.num_rows, size)
         across = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-        component = t.column("component").to_numpy()
-        return component, surviving(sig, component, t.column("mine").to_numpy(), across, stops)
+        joined = _Joined(t.column("component").to_numpy())
+        return joined, surviving(sig, joined, t.column("mine").to_numpy(), across, stops)
 
     def maybe(t: pa.Table):
-        component, (i, j, _) = rows_of(t)
-        pairs = np.unique(np.stack([component[i], component[j]], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
-        joined = _Sets()
-        for x, y in pairs.tolist():
-            joined.join(x, y)
-        return list(joined), [joined.find(x) for x in joined]
+        joined, found = rows_of(t)
+        for i, rest in found:
+            for other in np.unique(joined.roots(rest)).tolist():
+                joined.join(joined.roots(i), other)
+        moved = np.flatnonzero(joined.root != np.arange(len(joined.root)))
+        return joined.names[moved], joined.names[joined.root[moved]]
 
     def confirm(t: pa.Table):
-        component, (i, j, _) = rows_of(t)
+        joined, found = rows_of(t)
         sets = [np.frombuffer(h.as_buffer(), "<u8") for h in t.column("hashes")]
         sizes = np.array([len(x) for x in sets], np.int64)
         starts = np.cumsum(sizes) - sizes
         hashes, place = np.unique(np.concatenate(sets), return_inverse=True)
         mine = np.zeros(len(hashes), np.int64)  # which hashes the row at hand has
-        joined, links = _Sets(), []
-        cuts = np.flatnonzero(np.diff(i, prepend=-1))
-        for a, z in zip(cuts, [*cuts[1:], len(i)]):
-            row, own = int(i[a]), joined.find(int(component[i[a]]))
-            others = j[a:z]
-            others = others[[joined.find(c) != own for c in component[others].tolist()]]
-            if not len(others):
-                continue
+        links = []
+        for row, others in found:
             spot = place[starts[row]:starts[row] + sizes[row]]
             mine[spot] = 1
-            ends = np.cumsum(sizes[others])
-            at = np.repeat(starts[others] - (ends - sizes[others]), sizes[others]) + np.arange(ends[-1])
-            both = np.add.reduceat(mine[place[at]], ends - sizes[others])
+            for some in np.split(others, np.flatnonzero(np.diff(np.cumsum(sizes[others]) // 1_000_000)) + 1):
+                ends = np.cumsum(sizes[some])
+                at = np.repeat(starts[some] - (ends - sizes[some]), sizes[some]) + np.arange(ends[-1])
+                both = np.add.reduceat(mine[place[at]], ends - sizes[some])
+                for k in some[100 * both >= percent * (sizes[row] + sizes[some] - both)].tolist():
+                    x, y = joined.roots(row), joined.roots(k)
+                    if x != y:
+                        joined.join(x, y)
+                        links.append((joined.names[joined.of[row]], joined.names[joined.of[k]]))
             mine[spot] = 0
-            for k in np.flatnonzero(100 * both >= percent * (sizes[row] + sizes[others] - both)).tolist():
-                x, y = int(component[row]), int(component[others[k]])
-                if joined.find(x) != joined.find(y):
-                    joined.join(x, y)
-                    links.append((x, y))
         return list(zip(*links)) if links else ([], [])
 
     keys = ["bucket", "lo", "hi"]
