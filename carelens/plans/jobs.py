@@ -277,6 +277,7 @@ def main(argv: list[str] | None = None) -> None:
     st.add_argument("--quality-log", required=True)
     st.add_argument("--summaries", help="keep the summaries in this folder up to date")
     st.add_argument("--current-year", type=int)
+    st.add_argument("--clear-claim", action="store_true", help="remove the claim that a dead load has left on the target")
     st.add_argument("--once", action="store_true", help="process the files present now, then stop")
     r = sub.add_parser("report")
     r.add_argument("--summaries", required=True)
@@ -297,7 +298,8 @@ def main(argv: list[str] | None = None) -> None:
         from carelens.streaming import start_ingest
 
         query = start_ingest(spark, args.landing, args.target, args.checkpoint, args.quality_log,
-                             current_year=args.current_year, available_now=args.once, summary_dir=args.summaries)
+                             current_year=args.current_year, available_now=args.once, summary_dir=args.summaries,
+                             clear_claim=args.clear_claim)
         query.awaitTermination()
     elif args.cmd == "report":
         facts = report(spark, args.summaries, args.report_type, **dict(kv.split("=", 1) for kv in args.param))

@@ -27,18 +27,23 @@ def new_files(spark: SparkSession, landing_dir: str, max_files_per_trigger: int
 
 def start_ingest(spark: SparkSession, landing_dir: str, target: str, checkpoint_location: str,
                  quality_log: str, current_year: int | None = None, available_now: bool = False,
-                 max_files_per_trigger: int | None = None, summary_dir: str | None = None) -> StreamingQuery:
+                 max_files_per_trigger: int | None = None, summary_dir: str | None = None,
+                 clear_claim: bool = False) -> StreamingQuery:
     """Start the continuous ingest; ``available_now`` processes what is there and stops.
 
     With ``summary_dir`` every micro-batch also folds its new records into the
     summary tables there, so they stay current without rescanning the fact.
+    ``clear_claim`` removes the claim that a stream which died has left on the
+    target, before the first micro-batch.
     """
+    claim = {"clear": clear_claim}
 
     def load_batch(batch: DataFrame, epoch_id: int) -> None:
         paths = sorted(r.path for r in batch.collect())  # one short row per new file
         if not paths:
             return
-        counters = ingest(spark, paths, target, current_year, summary_dir=summary_dir)
+        counters = ingest(spark, paths, target, current_year, summary_dir=summary_dir, clear_claim=claim["clear"])
+        claim["clear"] = False
         row = {"epoch_id": int(epoch_id), **counters}
         spark.createDataFrame([row]).withColumn("loaded_at", F.current_timestamp()) \
             .write.mode("append").parquet(quality_log)

@@ -2,8 +2,11 @@
 
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from test_files import HEADERS, row, write
 
+from carelens.sources.files import claim_path
 from carelens.streaming import start_ingest
 
 
@@ -16,9 +19,13 @@ def test_stream_ingest_once(spark, workdir):
     q = start_ingest(spark, landing, target, ckpt, log, current_year=2024, available_now=True)
     q.awaitTermination(120)
     assert spark.read.parquet(target).count() == 2
-    # a second day: one new record, one already loaded
+    # a second day: one new record, one already loaded; the stream died while it held the target
+    with open(claim_path(spark, target, False), "w") as f:
+        f.write("dead")
     write(os.path.join(landing, "day2.csv"), HEADERS, [row(**{"Facility Name": "Fac C"}), row()])
-    q = start_ingest(spark, landing, target, ckpt, log, current_year=2024, available_now=True)
+    with pytest.raises(StreamingQueryException, match="dead"):
+        start_ingest(spark, landing, target, ckpt, log, current_year=2024, available_now=True).awaitTermination(120)
+    q = start_ingest(spark, landing, target, ckpt, log, current_year=2024, available_now=True, clear_claim=True)
     q.awaitTermination(120)
     fact = spark.read.parquet(target)
     assert fact.count() == 3
