@@ -3,7 +3,7 @@
 import hashlib
 import os
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from carelens.functions.ordinal import number_rows
 from carelens.operators.clean import record_hash
@@ -61,7 +61,7 @@ def test_records_with_line_breaks_are_prepared_from_what_was_stored(spark, workd
 def test_no_task_sorts_a_whole_file(spark, monkeypatch):
     lines = spark.range(1, 400).select(F.col("id").alias("source_row_number"), *[F.lit("v").alias(c) for c in fixtures.RAW_COLUMNS])
     monkeypatch.setattr(fixtures, "raw_discharges", lambda *_: lines)
-    monkeypatch.setattr(DataFrame, "sortWithinPartitions", None)
+    monkeypatch.setattr(type(lines), "sortWithinPartitions", None)
     files = fixtures.rendered_files(spark, "")
     assert len(files) == fixtures.FILES
     for k, path in enumerate(files):
