@@ -358,3 +358,19 @@ def test_collisions_are_calibrated():
     assert embeddings.table_count(9, 0.95, 1e-6) < 40
 
 
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    from carelens.llm.links import components
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(5)] + [(40, 30), (None, 3)], "a long, b long"))
+        assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(6)] + [(30, 30), (40, 30)]
+        assert found.rdd.getNumPartitions() < 80  # of one table, and of the distinct ids made from it
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
