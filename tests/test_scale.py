@@ -83,3 +83,53 @@ def test_summary_is_built_once(spark):
     lookup = FactSummaries(fact, lambda df: stored.append(df) or df)
     assert lookup("patient_payment_summary") is lookup("patient_payment_summary")
     assert len(stored) == 1
+
+
+def test_sorted_rows_go_to_as_many_tasks_as_there_are_rows_for(spark, monkeypatch):
+    from carelens.functions import ordinal
+
+    monkeypatch.setattr(ordinal, "ROWS_PER_TASK", 100)
+    assert [ordinal.tasks_for(n) for n in (0, 100, 101, 1000)] == [1, 1, 2, 10]
+    rows = number_rows(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), ["k"], "n", tasks=ordinal.tasks_for(1000))
+    assert all(r["n"] == r["k"] + 1 for r in rows.collect())
+    held = ordinal.sort_rows(spark.range(1000), ["id"], 10).groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == 10
+
+
+def test_numbers_of_texts_with_marks(spark):
+    from carelens.functions.numbers import parse_number, parse_texts
+    from carelens.functions.text import normalize_text
+
+    texts = ["1", " $ 1,000.5 ", "$,", "120 +", "1e3", "\u00a0-5\u00a0", "", None, "$\u2003 7", "~", "+.5", "1$2"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(parse_number(F.col("t")), parse_texts(F.array(normalize_text(F.col("t"))))[0]).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+    assert [None if r[1] is None else float(r[1]) for r in got] == [1, 1000.5, None, None, 1000, -5, None, None, 7, None, 0.5, 12]
+
+
+def test_counters_need_no_other_columns(spark):
+    from carelens.operators.clean import collapse_duplicates, for_counters, stage
+    from carelens.operators.quality import quality_summary
+    from test_rules import raw_frame
+
+    rows = [{"race": "x"}, {"race": "x"}, {"race": "y", "facility_name": "Redacted for Confidentiality"}, {"length_of_stay": "12a"}]
+    staged = stage(raw_frame(spark, rows), 2024)
+    assert quality_summary(collapse_duplicates(for_counters(staged))).collect() == quality_summary(collapse_duplicates(staged)).collect()
+
+
+def test_a_report_stores_only_what_its_summaries_read(spark):
+    from carelens.operators.report import report_facts
+    from carelens.operators.summaries import SUMMARIES
+    from carelens.plans import registry
+    from carelens.sources.fixtures import discharges
+    from conftest import SF_SMALL
+
+    fact = discharges(spark, SF_SMALL)
+    for kind, tables in registry.REPORT_TABLES.items():
+        asked = set()
+        report_facts(lambda name: asked.add(name) or SUMMARIES[name](fact), kind)
+        assert asked == set(tables)
+        kept = fact.select(*registry._read_columns(fact, tables))
+        for table in tables:
+            SUMMARIES[table](kept)  # every column is there
+    assert "ccsr_diagnosis_code" not in registry._read_columns(fact, registry.REPORT_TABLES["patient"])
