@@ -11,10 +11,10 @@ are removed.
 
 Equal strings are combined in the map task before the shuffle, and travel in
 compressed blocks, one for each group of minimisers; the number of groups grows
-with the corpus.  A minimiser with more than ``hot`` super-k-mers is not one
-bucket: its windows travel alone, keyed by their own hash, so equal ones still
-meet and different ones spread.  At most ``MOST_HOT`` minimisers can be hot,
-since the bound rises with the corpus.  Strings are judged in key order, a
+with the corpus.  A minimiser whose low bits (``COUNTED``) stand for more than
+``hot`` super-k-mers is not one bucket: its windows travel alone, keyed by their
+own hash, so equal ones still meet and different ones spread.  At most
+``MOST_HOT`` low bits can be hot, since the bound rises with the corpus.  Strings are judged in key order, a
 bounded number at a time.  On the way back, places whose string cannot be in the
 results are left out by a bitmap of fixed size (``MARKS`` bits).
 
@@ -37,6 +37,8 @@ from carelens.llm.shared import Words, ascii_words, batch, by_group, cut, groups
 SEED = 3
 MOST_HOT = 10_000
 MARKS = 1 << 25
+LEVEL = 9  # of the blocks' compression
+COUNTED = 1 << 24  # minimisers are counted by their low bits: so many counts at most
 GROUP = 100_000  # super-k-mers in a group of minimisers, about
 LAST = np.iinfo(np.int64).max
 
@@ -51,7 +53,7 @@ def _lowest(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def super_kmers(words: Words, window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first word, windows) of each super-k-mer; windows with a ``hot`` (sorted) minimiser stand alone."""
+    """(key, first word, windows) of each super-k-mer; windows whose minimiser's low bits are ``hot`` (sorted) stand alone."""
     at = words.windows(window)
     if not len(at):
         return np.empty(0, np.int64), at, at
@@ -59,7 +61,8 @@ def super_kmers(words: Words, window: int, hot: np.ndarray) -> tuple[np.ndarray,
     low = _lowest(window_hashes(words.hashes, seed), window - seed + 1)[at]
     new = np.concatenate([[True], (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)])
     if len(hot):
-        alone = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+        bits = low & np.uint64(COUNTED - 1)
+        alone = hot[np.minimum(np.searchsorted(hot, bits), len(hot) - 1)] == bits
         low = np.where(alone, window_hashes(words.hashes, window, seed=1)[at], low)
         new |= alone
         new[1:] |= alone[:-1]
@@ -80,14 +83,15 @@ def _strings(words: Words, first: np.ndarray, counts: np.ndarray, window: int) -
 
 
 def minimisers(rows: DataFrame, window: int, hot: int) -> tuple[int, np.ndarray]:
-    """Super-k-mers in the corpus; sorted minimisers with more than ``hot`` or a ``MOST_HOT``-th of them."""
-    spec = "key long, n long"
+    """Super-k-mers in the corpus; sorted low bits of minimisers with more than ``hot`` or a ``MOST_HOT``-th of them."""
+    spec = "key int, n int"
 
     def count(batches):
         for b in batches:
             keys = [k for _, _, k, _, _ in _texts(b, window, np.empty(0, np.uint64))]
             if keys:
-                yield batch(spec, np.unique(np.concatenate(keys), return_counts=True))
+                bits = (np.concatenate(keys) & (COUNTED - 1)).astype(np.int32)
+                yield batch(spec, np.unique(bits, return_counts=True))
 
     seen = Observation()
     counts = rows.select("text").mapInArrow(count, spec).groupBy("key").agg(F.sum("n").alias("n"))
@@ -98,16 +102,19 @@ def minimisers(rows: DataFrame, window: int, hot: int) -> tuple[int, np.ndarray]
 
 
 def _block(keys: np.ndarray, docs: np.ndarray, several: np.ndarray, strings: list[bytes]) -> bytes:
+    """Keys are sorted; of each, its top half and what that exceeds the one before by are enough to tell groups apart."""
     head = np.array([len(keys)], "<i8")
-    parts = [head.tobytes(), keys.astype("<i8").tobytes(), docs.astype("<i8").tobytes(), several.astype(np.uint8).tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, b"\n".join(strings)]))
+    short = (keys >> 32).astype("<u4")
+    parts = [head.tobytes(), np.diff(short, prepend=short[:1] * 0).tobytes(), docs.astype("<i8").tobytes(), several.astype(np.uint8).tobytes()]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([*parts, b"\n".join(strings)]))
 
 
 def _unblock(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    keys, docs = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * i) for i in range(2))
-    return keys, docs, np.frombuffer(raw, np.uint8, n, 8 + 16 * n) > 0, raw[8 + 17 * n:].split(b"\n")
+    keys = np.cumsum(np.frombuffer(raw, "<u4", n, 8), dtype=np.uint32)
+    docs = np.frombuffer(raw, "<i8", n, 8 + 4 * n)
+    return keys, docs, np.frombuffer(raw, np.uint8, n, 8 + 12 * n) > 0, raw[8 + 13 * n:].split(b"\n")
 
 
 def packed(rows: DataFrame, window: int, hot: np.ndarray, groups: int, held: int = 100_000) -> DataFrame:
@@ -191,7 +198,7 @@ def judged(blocks: DataFrame, window: int, most_bytes: int = 1_500_000) -> DataF
         strings = [s for some in strings for s in some]
         order = np.argsort(keys, kind="stable")
         size = np.cumsum([len(strings[i]) for i in order.tolist()])
-        new_key = np.flatnonzero(np.diff(keys[order])) + 1  # where judging may be cut
+        new_key = np.flatnonzero(keys[order][1:] != keys[order][:-1]) + 1  # where judging may be cut
         wanted = np.searchsorted(size, np.arange(most_bytes, size[-1], most_bytes))
         cuts = np.unique(new_key[np.minimum(np.searchsorted(new_key, wanted), len(new_key) - 1)]) if len(new_key) else []
         codes, firsts = [], []

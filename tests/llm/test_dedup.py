@@ -374,3 +374,18 @@ def test_components_of_few_links_take_few_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_blocks_of_strings_keep_groups_in_few_bytes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(-2**63, 2**63 - 1, 2000).repeat(2))
+    strings = [str(i).encode() for i in range(len(keys))]
+    docs, several = np.arange(len(keys)) + 2**40, np.arange(len(keys)) % 3 == 0
+    block = substring._block(keys, docs, several, strings)
+    short, got_docs, got_several, got = substring._unblock(block)
+    assert got == strings and (got_docs == docs).all() and (got_several == several).all()
+    assert ((short[1:] == short[:-1]) == (keys[1:] == keys[:-1])).all()
+    assert len(block) < len(substring.zstandard.ZstdCompressor(level=3).compress(
+        keys.tobytes() + docs.tobytes() + several.tobytes() + b"\n".join(strings)))
