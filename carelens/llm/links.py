@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     at the smallest.  A step aggregates minima before it joins them back, so an
     id with very many links is a skewed join side, which Spark splits, and
     never one group.  Each step's links are checkpointed, and a table of few
-    links is handled in few tasks: every task of a shuffle writes files of its own.
+    links is handled in few tasks: every task of a shuffle or checkpoint writes files of its own.
     """
     links = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = cut(links)
@@ -32,10 +32,10 @@ def components(links: DataFrame) -> DataFrame:
         both = links.union(links.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = cut(large.distinct()).coalesce(tasks)
+        large = cut(large.distinct().coalesce(tasks))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select("b", "low").union(low.select("a", "low")).where("b != low")
-        links = cut(small.toDF("a", "b").distinct()).coalesce(tasks)
+        links = cut(small.toDF("a", "b").distinct().coalesce(tasks))
         after = _fingerprint(links)
         if after == before:
             break

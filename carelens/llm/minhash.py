@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from carelens.llm.links import components
-from carelens.llm.shared import (batch, by_group, carried, carry, cut, dealt, from_text, mix, pick, window_hashes,
-                                    word_hashes)
+from carelens.llm.shared import (batch, by_group, carried, carry, cut, dealt, from_text, mix, pick, stage_memo,
+                                 window_hashes, word_hashes)
 
 BATCH = 20
 
@@ -262,6 +262,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, size: int, miss: f
     spec = "a long, b long"
 
     def prune(batches):
+        stage_memo("begun", object)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -273,6 +274,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, size: int, miss: f
             yield batch(spec, [b.column("a").take(alive), b.column("b").take(alive)])
 
     def confirm(batches):
+        stage_memo("begun", object)
         for b in batches:
             keep = []
             for i, (x, y) in enumerate(zip(b.column("hashes_a").to_pylist(), b.column("hashes_b").to_pylist())):

@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from carelens.llm.shared import batch, cut
+from carelens.llm.shared import batch, cut, stage_memo
 from carelens.llm.tokens import part_offsets, token_table
 
 _PIECES = ("part int, doc_id long, start long, length long, doc_tokens long, "
@@ -35,6 +35,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) -
     placed = table.join(F.broadcast(part_offsets(table)), "part")
 
     def slices(batches):
+        stage_memo("begun", object)  # the encoder of the stage before goes
         for b in batches:
             if not b.num_rows:
                 continue

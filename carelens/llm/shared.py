@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -192,12 +193,23 @@ def folded_words(text: str) -> list[bytes]:
 _KEPT: dict = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers outlive their stages, and Arrow and the C library keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def stage_memo(name, make):
     """An object that this worker keeps for the tasks of one stage; what earlier stages left is dropped first."""
     context = TaskContext.get()
     stage = context.stageId() if context else -1
-    for old in [k for k, (kept_for, _) in _KEPT.items() if kept_for != stage]:
+    gone = [k for k, (kept_for, _) in _KEPT.items() if kept_for != stage]
+    for old in gone:
         del _KEPT[old]
+    if gone:
+        _give_back()
     if name not in _KEPT:
         _KEPT[name] = stage, make()
     return _KEPT[name][1]

@@ -376,6 +376,30 @@ def test_components_of_few_links_take_few_tasks(spark):
             spark.conf.set(k, v)
 
 
+def test_steps_of_few_links_are_checkpointed_in_few_files(spark, monkeypatch):
+    from carelens.llm import links
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    parts = []
+
+    def cut(df, plain=links.cut):
+        out = plain(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(links, "cut", cut)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = links.components(spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long"))
+        assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(6)]
+        assert len(parts) > 2 and set(parts[1:]) == {1}  # the first table is not counted yet
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_blocks_of_strings_keep_groups_in_few_bytes():
     import numpy as np
 
@@ -389,3 +413,27 @@ def test_blocks_of_strings_keep_groups_in_few_bytes():
     assert ((short[1:] == short[:-1]) == (keys[1:] == keys[:-1])).all()
     assert len(block) < len(substring.zstandard.ZstdCompressor(level=3).compress(
         keys.tobytes() + docs.tobytes() + several.tobytes() + b"\n".join(strings)))
+
+
+def test_memory_of_an_earlier_stage_goes_back_to_the_system(monkeypatch):
+    import re
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    from carelens.llm import shared
+
+    def resident():
+        return int(re.search(r"\nRss:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+
+    def blocks(n):
+        return [bytes(3000) for _ in range(n)]
+
+    stage = SimpleNamespace(stageId=lambda: 1)
+    monkeypatch.setattr(shared, "TaskContext", SimpleNamespace(get=lambda: stage))
+    monkeypatch.setattr(shared, "_KEPT", {})
+    shared.stage_memo("large", lambda: blocks(60_000))
+    last = blocks(1)  # above the others, so what they leave is no end of the heap
+    full = resident()
+    stage.stageId = lambda: 2
+    shared.stage_memo("begun", object)
+    assert last and full - resident() > 120
