@@ -117,6 +117,20 @@ def test_counters_need_no_other_columns(spark):
     assert quality_summary(collapse_duplicates(for_counters(staged))).collect() == quality_summary(collapse_duplicates(staged)).collect()
 
 
+def test_a_visible_edge_is_a_range_and_no_set_of_texts(spark, capsys):
+    from carelens.functions.text import normalize_text, tidy
+
+    texts = [chr(i) + "a" + chr(j) for i in (*range(1, 130), 0xA0, 0x2003, 0x1F600) for j in (9, 32, 33, 126, 127, 0x85, 0x3000, 0x1F600)]
+    texts += [*map(chr, range(1, 300)), "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    made = df.select("t", tidy(F.col("t")).alias("tidy"), normalize_text(F.col("t")).alias("text"))
+    for t, neat, text in made.collect():
+        assert text == ((t.strip() or None) if t is not None else None)
+        assert neat is None if t is None else neat == (t != "" and all("!" <= c <= "~" for c in (t[0], t[-1])))
+    made.explain(True)
+    assert " INSET " not in capsys.readouterr().out  # 94 texts hashed and compared for each field of each record
+
+
 def test_a_report_stores_only_what_its_summaries_read(spark):
     from carelens.operators.report import report_facts
     from carelens.operators.summaries import SUMMARIES
