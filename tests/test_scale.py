@@ -117,6 +117,19 @@ def test_counters_need_no_other_columns(spark):
     assert quality_summary(collapse_duplicates(for_counters(staged))).collect() == quality_summary(collapse_duplicates(staged)).collect()
 
 
+def test_counters_sort_and_store_no_texts_of_required_values(spark):
+    from carelens.operators.clean import REQUIRED_VALUES, clean_records, collapse_duplicates, for_counters, stage
+    from test_rules import raw_frame
+
+    rows = [{"race": "x"}, {"facility_name": " "}, {"race": "x"}]
+    kept = for_counters(stage(raw_frame(spark, rows), 2024))
+    assert not set(REQUIRED_VALUES) & set(kept.columns)
+    collapsed = collapse_duplicates(kept)
+    assert sorted((r["_copies"], r["_core_missing"]) for r in collapsed.collect()) == sorted(
+        (r["_copies"], r["_core_missing"]) for r in collapse_duplicates(stage(raw_frame(spark, rows), 2024)).collect())
+    assert set(clean_records(collapsed).columns) == {"source_row_hash", "source_file_name", "source_row_number"}
+
+
 def test_a_visible_edge_is_a_range_and_no_set_of_texts(spark, capsys):
     from carelens.functions.text import normalize_text, tidy
 
