@@ -7,26 +7,35 @@ whatever surrounds it (a space belongs to the word after it, and a white-space
 run never takes the space before a word), so the concatenated chunk ids are
 the ids of the whole text.  New chunks without white space go to the library
 many at a time, joined by spaces, and are told apart again by the tokens that
-begin with a space.  Tests compare the ids with the library's for whole texts.
+begin with a space.  New chunks of printable ASCII are cut here where the
+byte-level pre-tokenizer cuts them, and only their distinct pieces go to the
+library's model.  Tests compare the ids with the library's for whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from carelens.llm.shared import batch, cut, groups_of, pick, stage_memo
+from carelens.llm.shared import batch, cut, pick, stage_memo
 
 _BEFORE_WORD = re.compile(r" (?=[^\s᠎])")
 _SPACE_RUN = re.compile(r" [\s᠎]")
 _SPACE = re.compile(r"[\s᠎]")
+# ASCII chunks, and their pieces once a space is written as \u0120 and a line end as \u010a (the byte-level alphabet)
+_ASCII = re.compile(r"[!-~]+(?:\n[!-~]+)*")
+_PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|\u0120?[A-Za-z]+|\u0120?[0-9]+|\u0120?[^A-Za-z0-9\u0120\u010a]+|\u010a")
 JOINED = 200
+PIECED = 20_000
+GROUP = 2_000_000
 
 
 class _Memo(dict):
@@ -44,18 +53,25 @@ class _Memo(dict):
         self.new.append(chunk)
         return n
 
-    def rows(self, chunks: list[str], code) -> np.ndarray:
-        """Rows of ``chunks``; ``code`` turns the new ones into (flat ids, sizes)."""
+    def rows(self, chunks: pa.StringArray, code) -> np.ndarray:
+        """Rows of ``chunks``; ``code`` turns the new ones into (flat ids, sizes).
+
+        Arrow tells equal chunks apart, so each is looked up once a batch.
+        """
         if len(self) > self.most:
             self._clear()
-        found = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        coded = chunks.dictionary_encode()
+        at = coded.indices.to_numpy()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)  # to_pylist takes far longer
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
             self.table.extend(*code(self.new))
             self.new = []
-        uses = np.bincount(found, minlength=len(self))
-        uses[:len(self.uses)] += self.uses
+        uses = np.zeros(len(self), np.int64)
+        uses[:len(self.uses)] = self.uses
+        uses[found] += np.bincount(at, minlength=len(found))
         self.uses = uses
-        return found
+        return found[at]
 
     def _clear(self) -> None:
         order = np.argsort(-self.uses, kind="stable")[:self.most // 2]
@@ -80,6 +96,12 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        self.cuts_ascii = (parts["normalizer"] is None and parts["model"]["type"] == "BPE"
+                           and (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) == ("ByteLevel", True, False)
+                           and all(t["special"] for t in parts["added_tokens"]))
+        self.model = self.tokenizer.model
         self.heads, self.after_space = _Memo(most), _Memo(most)
 
     def _by_library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,39 +111,77 @@ class ChunkEncoder:
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         return np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum())), sizes
 
-    def _after_space(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and sizes of chunks that follow a space, which is theirs."""
-        plain = np.fromiter((c != "" and not _SPACE.search(c) for c in chunks), bool, len(chunks))
-        words = [c for c, p in zip(chunks, plain.tolist()) if p]
+    def _by_model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_by_library`` for words of ``_ASCII``, each after a space: the model sees each distinct piece once."""
+        pieces = _PIECE.findall(("\u0120" + "\u0120".join(words)).replace("\n", "\u010a"))
+        place = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+        rows = [[t.id for t in self.model.tokenize(p)] for p in place]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum()))
+        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        opens = np.fromiter((p[0] == "\u0120" for p in place), bool, len(place))[at]
+        ids, ends = _take(flat, (np.cumsum(sizes) - sizes)[at], sizes[at])
+        return ids, np.diff((ends - sizes[at])[opens], append=len(ids))
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_by_library`` for words without white space, each after a space."""
         flat, _ = self._by_library([" " + " ".join(words[lo:lo + JOINED]) for lo in range(0, len(words), JOINED)])
         starts = np.flatnonzero(self.opens[flat])
         if len(starts) != len(words):
             raise ValueError("the tokenizer does not give every word a token of its own that begins with a space")
-        other, other_sizes = self._by_library([" " + c for c, p in zip(chunks, plain.tolist()) if not p])
-        at, sizes = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
-        at[plain], sizes[plain] = starts, np.diff(starts, append=len(flat))
-        at[~plain], sizes[~plain] = len(flat) + np.cumsum(other_sizes) - other_sizes, other_sizes
-        return _take(np.concatenate([flat, other]), at, sizes)[0], sizes
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        heads, rest, sizes = [], [], []
-        for t in texts:
-            chunks = _BEFORE_WORD.split(t) if _SPACE_RUN.search(t) else t.split(" ")
-            heads.append(chunks[0])
-            rest += chunks[1:]
-            sizes.append(len(chunks) - 1)
-        h = self.heads.rows(heads, self._by_library)
-        r = self.after_space.rows(rest, self._after_space)
+        return flat, np.diff(starts, append=len(flat))
+
+    def _after_space(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of chunks that follow a space, which is theirs."""
+        ascii_, plain, other = [], [], []
+        for i, c in enumerate(chunks):
+            if self.cuts_ascii and _ASCII.fullmatch(c):
+                ascii_.append(i)
+            elif c and not _SPACE.search(c):
+                plain.append(i)
+            else:
+                other.append(i)
+        made = [self._by_model([chunks[i] for i in ascii_[lo:lo + PIECED]]) for lo in range(0, len(ascii_), PIECED)]
+        made.append(self._joined([chunks[i] for i in plain]))
+        made.append(self._by_library([" " + chunks[i] for i in other]))
+        flat, sizes = (np.concatenate(x) for x in zip(*made))
+        order = np.argsort(np.array([*ascii_, *plain, *other], np.int64))
+        return _take(flat, (np.cumsum(sizes) - sizes)[order], sizes[order])[0], sizes[order]
+
+    def encode(self, texts: list[str] | pa.StringArray) -> list[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        chunks, sizes = _chunks(texts)
+        first = np.zeros(len(chunks), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        h = self.heads.rows(chunks.filter(pa.array(first)), self._by_library)
+        r = self.after_space.rows(chunks.filter(pa.array(~first)), self._after_space)
         head_ids, head_ends = self.heads.table.gather(h)
         ids, ends = self.after_space.table.gather(r)
         ends, head_ends = np.concatenate([[0], ends]), np.concatenate([[0], head_ends])
         out, a = [], 0
-        for i, n in enumerate(sizes):
+        for i, n in enumerate((sizes - 1).tolist()):
             out.append(np.concatenate([head_ids[head_ends[i]:head_ends[i + 1]], ids[ends[a]:ends[a + n]]]))
             a += n
         return out
 
 
+def _chunks(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The chunks of all ``texts`` (not null), one after the other, and how many each text has."""
+    split = pc.split_pattern(texts, " ")
+    sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
+    flat = split.flatten()
+    runs = [i for i, t in enumerate(texts.to_pylist()) if _SPACE_RUN.search(t)]
+    if not runs:
+        return flat, sizes
+    # only the spaces before a non-space part chunks there
+    ends, parts, done = np.cumsum(sizes), [], 0
+    for i in runs:
+        chunks = _BEFORE_WORD.split(texts[i].as_py())
+        parts += [flat.slice(done, ends[i] - sizes[i] - done), pa.array(chunks, flat.type)]
+        done, sizes[i] = ends[i], len(chunks)
+    return pa.concat_arrays([*parts, flat.slice(done)]), sizes
+
+
 class _Ragged:
     """Rows of ids, appended to and gathered by index."""
 
@@ -175,8 +235,13 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     end = np.array([end_id], np.uint32)
     for b in batches:
         doc_ids = b.column("doc_id").to_pylist()
-        for first, texts in groups_of(b.column("text").to_pylist()):
-            yield doc_ids[first:first + len(texts)], [np.concatenate([i, end]) for i in coder.encode(texts)]
+        texts = pc.fill_null(b.column("text"), "")
+        # slices of about GROUP bytes; a longer text is one of its own
+        nth = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // GROUP
+        edges = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi > lo:
+                yield doc_ids[lo:hi], [np.concatenate([i, end]) for i in coder.encode(texts.slice(lo, hi - lo))]
 
 
 _TABLE = "part int, before long, doc_id long, n_tokens long, ids binary"

@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from carelens.llm import packing, token_files
+from carelens.llm import packing, token_files, tokens
 from carelens.llm.tokens import ChunkEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +41,38 @@ def test_chunks_give_the_ids_of_whole_texts(library):
                 assert ids.tolist() == ids_of(library, text), text[:80]
 
 
+def test_a_batch_looks_each_chunk_up_once_and_cuts_new_ones_into_distinct_pieces(library):
+    class Counted(type(ChunkEncoder(PATH).heads)):
+        looked = 0
+
+        def __getitem__(self, chunk):
+            self.looked += 1
+            return super().__getitem__(chunk)
+
+    class Model:
+        seen = []
+
+        def tokenize(self, piece):
+            self.seen.append(piece)
+            return library.model.tokenize(piece)
+
+    coder = ChunkEncoder(PATH)
+    coder.after_space, coder.model = Counted(500_000), Model()
+    texts = ["a tree, a tree. a tree's\nleaf and  wood"] * 50
+    assert [i.tolist() for i in coder.encode(texts)] == [ids_of(library, texts[0])] * 50
+    assert coder.after_space.looked == 6  # "tree,", "a", "tree.", "tree's\nleaf", "and ", "wood"
+    assert sorted(Model.seen) == sorted({"\u0120tree", ",", "\u0120a", ".", "'s", "\u010a", "leaf", "\u0120wood"})
+
+
+@pytest.mark.parametrize("group", [1, 30, 2_000_000])
+def test_slices_of_a_batch_hold_every_row_in_order(library, monkeypatch, group):
+    monkeypatch.setattr(tokens, "GROUP", group)
+    texts = [None, *ODD, None]
+    b = pa.RecordBatch.from_arrays([pa.array([None, *range(len(texts) - 1)], pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = [(d, i.tolist()) for ids, rows in tokens.encoded(iter([b.slice(0, 0), b]), PATH, 2) for d, i in zip(ids, rows)]
+    assert got == [(d, ids_of(library, t) + [2]) for d, t in zip([None, *range(len(texts) - 1)], texts)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
 @pytest.mark.parametrize("high", [1, 2, 50257, 2**31, 2**32])
 def test_blocks_round_trip(n, high):
