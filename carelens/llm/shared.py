@@ -193,7 +193,7 @@ def folded_words(text: str) -> list[bytes]:
 _KEPT: dict = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: workers outlive their stages, and Arrow and the C library keep what was freed."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
@@ -209,7 +209,7 @@ def stage_memo(name, make):
     for old in gone:
         del _KEPT[old]
     if gone:
-        _give_back()
+        give_back()
     if name not in _KEPT:
         _KEPT[name] = stage, make()
     return _KEPT[name][1]

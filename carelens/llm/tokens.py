@@ -15,6 +15,7 @@ library's model.  Tests compare the ids with the library's for whole texts.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from carelens.llm.shared import batch, cut, pick, stage_memo
+from carelens.llm.shared import batch, cut, give_back, pick, stage_memo
 
 _BEFORE_WORD = re.compile(r" (?=[^\s᠎])")
 _SPACE_RUN = re.compile(r" [\s᠎]")
@@ -35,7 +36,7 @@ _ASCII = re.compile(r"[!-~]+(?:\n[!-~]+)*")
 _PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|\u0120?[A-Za-z]+|\u0120?[0-9]+|\u0120?[^A-Za-z0-9\u0120\u010a]+|\u010a")
 JOINED = 200
 PIECED = 20_000
-GROUP = 2_000_000
+GROUP = 500_000
 
 
 class _Memo(dict):
@@ -87,7 +88,7 @@ class _Memo(dict):
 class ChunkEncoder:
     """Token ids of whole texts from memoised chunks; memos hold at most ``most`` chunks and one batch."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -215,7 +216,12 @@ def _take(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker, stage and tokenizer file."""
+    """One encoder per Python worker, stage and tokenizer file.
+
+    A task has one core: the library's own threads would take those of other
+    tasks, and memory for each.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return stage_memo(("encoder", path), lambda: ChunkEncoder(path))
 
 
@@ -232,16 +238,17 @@ def in_doc_order(docs: DataFrame) -> DataFrame:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Slices (doc_ids, ids with the end id) of a partition of ``in_doc_order``, in order."""
     coder = encoder(path)
+    give_back()  # what the task before has freed
     end = np.array([end_id], np.uint32)
     for b in batches:
         doc_ids = b.column("doc_id").to_pylist()
-        texts = pc.fill_null(b.column("text"), "")
+        texts = b.column("text")
         # slices of about GROUP bytes; a longer text is one of its own
-        nth = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // GROUP
+        nth = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64) // GROUP
         edges = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), len(texts)]
         for lo, hi in zip(edges, edges[1:]):
             if hi > lo:
-                yield doc_ids[lo:hi], [np.concatenate([i, end]) for i in coder.encode(texts.slice(lo, hi - lo))]
+                yield doc_ids[lo:hi], [np.concatenate([i, end]) for i in coder.encode(pc.fill_null(texts.slice(lo, hi - lo), ""))]
 
 
 _TABLE = "part int, before long, doc_id long, n_tokens long, ids binary"

@@ -1,5 +1,6 @@
 """op2 and op6: token files and packing against the tokenizers library run on whole texts."""
 
+import os
 import random
 import zlib
 
@@ -57,14 +58,34 @@ def test_a_batch_looks_each_chunk_up_once_and_cuts_new_ones_into_distinct_pieces
             return library.model.tokenize(piece)
 
     coder = ChunkEncoder(PATH)
-    coder.after_space, coder.model = Counted(500_000), Model()
+    coder.after_space, coder.model = Counted(150_000), Model()
     texts = ["a tree, a tree. a tree's\nleaf and  wood"] * 50
     assert [i.tolist() for i in coder.encode(texts)] == [ids_of(library, texts[0])] * 50
     assert coder.after_space.looked == 6  # "tree,", "a", "tree.", "tree's\nleaf", "and ", "wood"
     assert sorted(Model.seen) == sorted({"\u0120tree", ",", "\u0120a", ".", "'s", "\u010a", "leaf", "\u0120wood"})
 
 
-@pytest.mark.parametrize("group", [1, 30, 2_000_000])
+def test_tasks_do_not_use_the_threads_of_the_library(monkeypatch):
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "")  # restored afterwards
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM")
+    tokens.encoder(PATH)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+def test_memos_and_slices_of_a_task_stay_small(library, monkeypatch):
+    coder = ChunkEncoder(PATH)
+    monkeypatch.setattr(tokens, "encoder", lambda path: coder)
+    texts = [" ".join(f"w{1000 * i + j}" for j in range(1000)) for i in range(300)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    sizes = []
+    for ids, rows in tokens.encoded(iter([b]), PATH, 2):
+        assert rows[-1].tolist() == ids_of(library, texts[ids[-1]]) + [2]
+        assert len(coder.after_space) <= 150_000 + 1000 * len(ids)
+        sizes.append(sum(len(texts[d]) for d in ids))
+    assert max(sizes) < 520_000 and sum(sizes) == sum(map(len, texts))
+
+
+@pytest.mark.parametrize("group", [1, 30, 500_000])
 def test_slices_of_a_batch_hold_every_row_in_order(library, monkeypatch, group):
     monkeypatch.setattr(tokens, "GROUP", group)
     texts = [None, *ODD, None]
