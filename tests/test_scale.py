@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -160,3 +161,86 @@ def test_a_report_stores_only_what_its_summaries_read(spark):
         for table in tables:
             SUMMARIES[table](kept)  # every column is there
     assert "ccsr_diagnosis_code" not in registry._read_columns(fact, registry.REPORT_TABLES["patient"])
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def _left(spark, before):
+    """Shuffle files beyond ``before``; they are removed in the background."""
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return left
+
+
+def test_written_results_leave_no_shuffle_files(spark, workdir):
+    key, rows = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark.range(1000).withColumn("k", F.col("id") % 7)
+    was, before = spark.conf.get(key, None), _shuffle_files(spark)
+    saver(spark, workdir)(rows.repartition(5, "k"), "dealt")
+    assert not _left(spark, before)
+    number_rows(rows.repartitionByRange(4, "id"), ["id"], "n", dealt=True)
+    assert spark.conf.get(key, None) == was
+
+
+def test_dealt_rows_are_numbered_and_read_by_as_many_tasks(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartitionByRange(9, "k")
+    numbered = number_rows(rows, ["k"], "n", dealt=True)
+    assert all(r["n"] == r["k"] + 1 for r in numbered.collect())
+    assert numbered.groupBy(F.spark_partition_id()).count().count() == 9
+
+
+def test_raw_records_are_not_shuffled_again_once_numbered(spark):
+    from conftest import SF_SMALL
+
+    plan = fixtures.raw_discharges(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan
+
+
+def test_records_are_shuffled_under_the_bytes_of_their_hash(spark):
+    from carelens.operators.clean import collapse_duplicates, stage
+    from test_rules import raw_frame
+
+    staged = stage(raw_frame(spark, [{"race": "x"}, {"race": "x"}, {"race": "y"}]), 2024)
+    collapsed = collapse_duplicates(staged)
+    assert {r[0] for r in collapsed.select("source_row_hash").collect()} == {r[0] for r in staged.select("source_row_hash").collect()}
+    assert "lower(hex(_hash" in collapsed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_first_load_joins_nothing(spark, workdir):
+    from carelens.operators.load import new_records, read_target
+    from carelens.schema import fact_schema
+
+    stored = read_target(spark, f"{workdir}/none")
+    assert stored.schema == fact_schema() and stored.count() == 0
+    load = spark.createDataFrame([("h", 1), (None, 2)], "source_row_hash string, n int")
+    fresh = new_records(load, stored)
+    assert "Join" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.n for r in fresh.collect()) == [1, 2]
+
+
+def test_a_load_in_slices_is_the_whole_load(spark, monkeypatch):
+    from carelens.plans import registry
+    from conftest import SF_SMALL
+
+    whole = registry.QUERIES["load_partial_overlap"](spark, SF_SMALL)
+    monkeypatch.setattr(registry, "ROWS_PER_SLICE", 2000)
+    cut = registry.QUERIES["load_partial_overlap"](spark, SF_SMALL)
+    assert "carelens-slices" in "".join(cut.inputFiles()) and cut.schema == whole.schema
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_rendered_files_and_summary_folders_leave_little_behind(spark):
+    from carelens.plans import registry
+    from conftest import SF_SMALL
+
+    root, before = checkpoint_dir(spark), _shuffle_files(spark)
+    there = set(os.listdir(root))
+    fixtures.rendered_files(spark, SF_SMALL)
+    assert not {f for f in _left(spark, before) if f.endswith(".data")}
+    registry.QUERIES["summary_folder_patient_payment"](spark, SF_SMALL)
+    (folder,) = (d for d in set(os.listdir(root)) - there if d.startswith("carelens-folder-"))
+    assert sorted(os.listdir(f"{root}/{folder}")) == ["fact", "summaries"]
